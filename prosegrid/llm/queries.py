@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegrid.llm import bpe, chat, packing, simhash, urls
+from prosegrid.llm import bpe, chat, langid, packing, quality, simhash, topk, urls
 from prosegrid.llm.shared import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -14,11 +14,41 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20, scale=64)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 
+def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents with p_text, p_metadata and score in ``_quality``; 0.5 or more is good."""
+    return docs.withColumn("_quality", quality.quality(docs, quality.fit(docs, labels)))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "_quality.p_text", "_quality.p_metadata", "_quality.score", (F.col("_quality.score") >= 0.5).cast("int").alias("keep"))
+
+
+def spoken(docs: DataFrame) -> DataFrame:
+    """The documents with language, posterior and text_language in ``_language``; the declared
+    language is markup, the source a host."""
+    model, priors = langid.fit(docs, declared="lang", host="source")
+    return langid.identify(docs, model, priors, declared="lang", host="source")
+
+
+#: A document of lower posterior is in no language that is sure enough.
+SURE_LANGUAGE = 0.5
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spoken(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "_language.language", "_language.posterior", "_language.text_language", (F.col("_language.posterior") >= SURE_LANGUAGE).cast("int").alias("keep"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge_urls(pages, "url", URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -63,8 +93,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_top_k": op1_top_k,
     "op2_simhash": op2_simhash,
+    "op3_quality": op3_quality,
     "op6_url_filter": op6_url_filter,
+    "op7_language": op7_language,
     "op8_bpe": op8_bpe,
     "op9_packing": op9_packing,
     "op10_chat": op10_chat,
@@ -75,6 +108,17 @@ for _mark in chat.CONTROL:
     _ESCAPED = f"replace({_ESCAPED}, '{_mark}', '{_mark[0]}' || chr(92) || '{_mark[1:]}')"
 
 ORACLES = {
+    "op1_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS c FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.c, v.c)::BIGINT AS score
+            FROM v q, v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND len(q.c) = len(v.c)
+        ), ranked AS (
+            SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored
+        )
+        SELECT * FROM ranked WHERE rank <= 20""",
     "op6_url_filter": r"""
         WITH parts AS (
             SELECT page_id,
