@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegrid.llm import bpe, chat, langid, packing, quality, simhash, topk, urls
+from prosegrid.llm import bpe, chat, langid, lm, packing, quality, simhash, topk, urls
 from prosegrid.llm.shared import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -49,6 +49,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "_language.language", "_language.posterior", "_language.text_language", (F.col("_language.posterior") >= SURE_LANGUAGE).cast("int").alias("keep"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.scores(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("mean_score", 6).alias("mean_score"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge_urls(pages, "url", URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -96,6 +101,7 @@ QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
+    "op4_lm_score": op4_lm_score,
     "op6_url_filter": op6_url_filter,
     "op7_language": op7_language,
     "op8_bpe": op8_bpe,
@@ -119,6 +125,32 @@ ORACLES = {
             SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored
         )
         SELECT * FROM ranked WHERE rank <= 20""",
+    "op4_lm_score": r"""
+        WITH docs AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+            FROM documents
+        ), t AS (
+            SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM docs
+        ), g AS (
+            SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS w1, lag(w, 2) OVER (PARTITION BY doc_id ORDER BY i) AS w2 FROM t
+        ), n1 AS (
+            SELECT w, count(*) AS c FROM g GROUP BY w
+        ), n2 AS (
+            SELECT w1, w, count(*) AS c FROM g WHERE w1 IS NOT NULL GROUP BY ALL HAVING count(*) >= 2
+        ), n3 AS (
+            SELECT w2, w1, w, count(*) AS c FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 2
+        ), s AS (
+            SELECT g.doc_id, CASE
+                WHEN n3.c IS NOT NULL THEN ln(n3.c) - ln(before2.c)
+                WHEN n2.c IS NOT NULL THEN ln(n2.c) - ln(before1.c) + CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END
+                ELSE ln(n1.c) - ln((SELECT sum(c) FROM n1)) + ln(0.4) * least(i - 1, 2) END AS x
+            FROM g JOIN n1 ON n1.w = g.w LEFT JOIN n2 ON n2.w1 = g.w1 AND n2.w = g.w LEFT JOIN n3 ON n3.w2 = g.w2 AND n3.w1 = g.w1 AND n3.w = g.w
+            LEFT JOIN n1 before1 ON before1.w = g.w1 LEFT JOIN n2 before2 ON before2.w1 = g.w2 AND before2.w = g.w1
+        ), summed AS (
+            SELECT doc_id, sum(x) AS score FROM s GROUP BY doc_id
+        )
+        SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(score, 0), 4) AS score, round(score / len(ws), 6) AS mean_score
+        FROM docs LEFT JOIN summed USING (doc_id)""",
     "op6_url_filter": r"""
         WITH parts AS (
             SELECT page_id,
