@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegrid.llm import bpe, chat, langid, lm, packing, quality, simhash, topk, urls
+from prosegrid.llm import bpe, chat, langid, lm, media, packing, quality, simhash, topk, urls
 from prosegrid.llm.shared import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -54,6 +54,21 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("mean_score", 6).alias("mean_score"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = media.MediaStore(table(spark, sf_dir, "documents"))
+    files = store.read_back().withColumn("read", media.decoded(F.col("media")))
+    facts = files.select(
+        "media_sha",
+        F.length("read.samples").cast("long").alias("payload_bytes"),
+        F.sha2("read.samples", 256).alias("payload_sha256"),
+        F.crc32(F.substring("read.samples", -media.UNIT, media.UNIT)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "read.feature",
+    )
+    return store.documents().join(facts, "media_sha").drop("media_sha")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge_urls(pages, "url", URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -102,6 +117,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op4_lm_score": op4_lm_score,
+    "op5_media": op5_media,
     "op6_url_filter": op6_url_filter,
     "op7_language": op7_language,
     "op8_bpe": op8_bpe,
