@@ -6,10 +6,10 @@ each base symbol. The gadget of a merge (u, v): the state s that u leads to gets
 the arc v, u leads to the copy from then on, and wherever u may be read, the new token uv may be
 read as well and leads where v leads from s.
 
-A state keeps its arcs for good, and all arcs of one label lead to one state. So a state is stored
-as what its gadget changed: the state it is a copy of, the arc that it lacks, and the merge's
-number, below which it has its parent's arcs; whether a later token may be read is whether its
-left part may. Transitions asked for once are kept in a table.
+A state keeps its arcs for good, and all arcs of one label lead to one state. So a state is known
+by its label and the number of gadgets applied, and a gadget is stored as the arc that it takes
+away: whether a later token may be read is whether its left part may, and before u's own gadgets
+it led where its right part led. Transitions asked for once are kept in a table.
 
 Every prefix of a word has one accepted sequence, so a word is read by taking the longest token
 that has an arc here and stepping back where no arc leads on. Words come from the tokenizer
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,12 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u200
 #: White space to str.split() alone.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 #: White-space-free pieces of text whose ids a Python worker keeps, each short.
-KEPT_PIECES, KEPT_LENGTH = 300_000, 40
+KEPT_PIECES, KEPT_WORDS, KEPT_LENGTH = 400_000, 300_000, 40
 KEPT_ARCS = 1_000_000
+#: What a tokenizer file writes after the last letter of a word, and the one character that stands for it here.
+WORD_END, END = "</w>", "\0"
+#: Letters of a label by which its greatest length is looked up.
+START = 3
 
 _built: dict = {}
 
@@ -50,103 +55,93 @@ def byte_letters() -> list[str]:
 
 
 class Automaton:
-    """States are numbers, 0 the first; state k > 0 came from merge number born[k]."""
+    """Labels end in END where a word does. born: the merge that made a token, -1 for a base symbol."""
 
     def __init__(self, base: list[str], merges: list[tuple[str, str]]):
-        self.label = list(base)
-        self.number = {symbol: n for n, symbol in enumerate(base)}
-        self.left = [-1] * len(base)
-        self.born_token = [-1] * len(base)
-        self.leads = [0] * len(base)
-        self.parent, self.lacks, self.born = [-1], [-1], [-1]
+        self.label = [x.replace(WORD_END, END) for x in base]
+        self.number = {symbol: n for n, symbol in enumerate(self.label)}
+        self.left, self.right, self.born = [-1] * len(base), [-1] * len(base), [-1] * len(base)
+        self.lacks: dict[int, int] = {}  # of u << 20 | v: the merge whose gadget took the arc v from where u leads
         self.unread: set[int] = set()
-        self.arcs: dict[int, bool] = {}
+        self.kept: dict[int, bool] = {}
         for rank, (u, v) in enumerate(merges):
-            self._gadget(rank, self.number[u], self.number[v])
-        self.arcs.clear()
-        self._grow_tree()
+            self._gadget(rank, self.number[u.replace(WORD_END, END)], self.number[v.replace(WORD_END, END)])
+        for token in self.unread:
+            self.number.pop(self.label[token], None)
+        self.reach: dict[str, int] = {}  # the longest label that begins with these letters
+        for text in self.number:
+            start = text[:START]
+            self.reach[start] = max(self.reach.get(start, 0), len(text))
 
     def _gadget(self, rank: int, u: int, v: int) -> None:
-        state = self.leads[u]
         token = len(self.label)
         self.label.append(self.label[u] + self.label[v])
         self.left.append(u)
-        self.born_token.append(rank)
-        self.leads.append(self.leads[v])
+        self.right.append(v)
+        self.born.append(rank)
         self.number.setdefault(self.label[token], token)
-        if u in self.unread or v in self.unread or not self.has_arc(state, v):
+        if u in self.unread or v in self.unread or not self.has_arc(u, v):
             self.unread.add(token)  # an earlier merge always takes one of the parts away
-            return
-        self.parent.append(state)
-        self.lacks.append(v)
-        self.born.append(rank)
-        self.leads[u] = len(self.parent) - 1
-
-    def has_arc(self, state: int, token: int) -> bool:
-        while state:
-            if self.born_token[token] >= self.born[state]:
-                token = self.left[token]
-            elif token == self.lacks[state]:
+        else:
+            self.lacks[u << 20 | v] = rank
+
+    def has_arc(self, before: int, token: int) -> bool:
+        """Whether the state that before leads to has an arc for token."""
+        lacks, born = self.lacks, self.born
+        age = len(self.label)  # the state as the gadgets below this number left it
+        while True:
+            if lacks.get(before << 20 | token, age) < age:
                 return False
+            if born[token] > born[before]:  # an arc of a later token is there if its left part's is
+                age, token = born[token] + 1, self.left[token]  # and its own gadget took its right part's arc away
+            elif born[before] >= 0:  # when before was made, it led where its right part led
+                age, before = born[before], self.right[before]
             else:
-                state = self.parent[state]
-        return True
+                return True
 
     def may_follow(self, before: int, token: int) -> bool:
-        """has_arc after the token before, from the table."""
+        """has_arc, from the table of transitions."""
         key = before << 20 | token
-        known = self.arcs.get(key)
+        known = self.kept.get(key)
         if known is None:
-            if len(self.arcs) >= KEPT_ARCS:
-                self.arcs.clear()
-            known = self.arcs[key] = self.has_arc(self.leads[before], token)
+            if len(self.kept) >= KEPT_ARCS:
+                self.kept.clear()
+            known = self.kept[key] = self.has_arc(before, token)
         return known
 
-    def _grow_tree(self) -> None:
-        """Labels by their symbols, to find the tokens that begin at a place."""
-        self.tree: list = [{}, -1]
-        for text, token in self.number.items():
-            if token in self.unread:
-                continue
-            node = self.tree
-            ended = text.endswith(self.END)
-            symbols = [*text[: -len(self.END)]] if ended else [*text]
-            if ended:
-                symbols[-1] += self.END
-            for symbol in symbols:
-                node = node[0].setdefault(symbol, [{}, -1])
-            node[1] = token
-
-    END = "</w>"
-
-    def read(self, symbols: list[str]) -> list[int]:
-        """The accepted sequence of tokens whose labels make up the symbols."""
-        n, at, path, ends = len(symbols), 0, [], []
-        options: list[list[tuple[int, int]]] = []
-        dead: set[tuple[int, int]] = set()
+    def read(self, word: str) -> list[int]:
+        """The accepted sequence of tokens whose labels make up the word, whose last letter is followed by END.
+
+        A place has one accepted sequence that leads to it, so a place that leads no further is
+        never tried again.
+        """
+        number, kept = self.number.get, self.kept.get
+        whole = number(word)
+        if whole is not None:
+            return [whole]
+        n, at, path, ends, dead = len(word), 0, [], [], set()
+        end = min(n, self.reach.get(word[:START], START - 1))
         while at < n:
-            if len(options) == len(path):
-                node, found = self.tree, []
-                for k in range(at, n):
-                    node = node[0].get(symbols[k])
-                    if node is None:
-                        break
-                    if node[1] >= 0:
-                        found.append((node[1], k + 1))
-                options.append(found)
-            choice = options[-1]
-            while choice:
-                token, end = choice.pop()
-                if (token, end) not in dead and (not path or self.may_follow(path[-1], token)):
-                    path.append(token)
-                    ends.append(end)
-                    at = end
-                    break
+            while end > at:
+                if end != n - 1:  # END belongs to the letter before it
+                    token = number(word[at:end])
+                    if token is not None and end not in dead:
+                        if not path:
+                            break
+                        good = kept(path[-1] << 20 | token)
+                        if good or (good is None and self.may_follow(path[-1], token)):
+                            break
+                end -= 1
             else:
-                options.pop()
-                end = ends.pop()
-                dead.add((path.pop(), end))
+                dead.add(at)
+                path.pop()
+                end = ends.pop() - 1
                 at = ends[-1] if ends else 0
+                continue
+            path.append(token)
+            ends.append(end)
+            at = end
+            end = min(n, at + self.reach.get(word[at : at + START], START - 1))
         return path
 
 
@@ -158,9 +153,9 @@ class Codec:
         vocabulary: dict[str, int] = spec["model"]["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         letters = byte_letters()
-        self.letters = {chr(b): letters[b] for b in range(256)}
-        self.automaton = Automaton([*letters, *(x + Automaton.END for x in letters)], merges)
-        self.ids = [vocabulary[label] for label in self.automaton.label]
+        self.letters = {b: letters[b] for b in range(256)}
+        self.automaton = Automaton([*letters, *(x + WORD_END for x in letters)], merges)
+        self.ids = [vocabulary[label.replace(END, WORD_END)] for label in self.automaton.label]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.labels = {i: label for label, i in vocabulary.items()} | {i: label for label, i in self.special.items()}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -168,14 +163,20 @@ class Codec:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.spaces = regex.compile(f"[{SPACES}]+")
         self.kept: dict[str, bytes] = {}
+        self.kept_words: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        symbols = word.encode().decode("latin-1").translate(self.letters) + END
+        found = array("i", [self.ids[token] for token in self.automaton.read(symbols)]).tobytes()
+        if len(word) <= KEPT_LENGTH:
+            if len(self.kept_words) >= KEPT_WORDS:
+                self.kept_words.clear()
+            self.kept_words[word] = found
+        return found
 
     def _piece(self, piece: str) -> bytes:
-        ids = []
-        for word in self.words.findall(piece):
-            symbols = [self.letters[c] for c in word.encode().decode("latin-1")]
-            symbols[-1] += Automaton.END
-            ids += [self.ids[token] for token in self.automaton.read(symbols)]
-        found = np.array(ids, "<i4").tobytes()
+        get = self.kept_words.get
+        found = b"".join([ids if (ids := get(w)) is not None else self._word(w) for w in self.words.findall(piece)])
         if len(piece) <= KEPT_LENGTH:
             if len(self.kept) >= KEPT_PIECES:
                 self.kept.clear()
