@@ -93,7 +93,7 @@ class Automaton:
             if lacks.get(before << 20 | token, age) < age:
                 return False
             if born[token] > born[before]:  # an arc of a later token is there if its left part's is
-                age, token = born[token] + 1, self.left[token]  # and its own gadget took its right part's arc away
+                age, token = min(age, born[token] + 1), self.left[token]  # and its own gadget took its right part's arc away
             elif born[before] >= 0:  # when before was made, it led where its right part led
                 age, before = born[before], self.right[before]
             else:
