@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosegrid.functions import stats
-from prosegrid.operators.tokens import ngrams
+from prosegrid.functions.text import TERMINALS
+from prosegrid.operators.tokens import in_block, ngrams
 
 
 def facet_counts(docs: DataFrame, facets: list[str], label: str, repo: str) -> DataFrame:
@@ -35,28 +36,28 @@ def label_rows(docs: DataFrame, label: str, repo: str, size: str) -> DataFrame:
 
 
 def frequent_ngrams(tokens: DataFrame, docs: DataFrame, longest: int, least_repos: int) -> DataFrame:
-    """n, gram, n_total, repos: by length, only runs whose two shorter runs are frequent are counted.
+    """n, gram, n_total, repos of the runs of up to longest tokens that so many repositories have.
 
-    docs: doc_id, repo. Prefix and suffix are semi-joins; the frequent runs of a length are as many
-    as the corpus has.
+    docs: doc_id, repo. All lengths are counted in one pass over the tokens and one shuffle, which
+    counts by run and repository before it moves anything. A run's parts are at least as frequent,
+    so no length needs another's result.
     """
-    found = kept = None
-    for n in range(1, longest + 1):
-        rows = ngrams(tokens, n)
-        if kept is not None:
-            words = F.split("gram", " ")
-            prefix, suffix = F.array_join(F.slice(words, F.lit(1), F.lit(n - 1)), " "), F.array_join(F.slice(words, F.lit(2), F.lit(n - 1)), " ")
-            edge = r"[\p{L}\p{N}]"
-            # A part that begins or ends with a mark is no reported run, so it has no say.
-            for part in (prefix, suffix):
-                named = rows.withColumn("_part", part)
-                plain = named.where(F.split("_part", " ")[0].rlike(edge) & F.element_at(F.split("_part", " "), -1).rlike(edge))
-                marked = named.where(~(F.split("_part", " ")[0].rlike(edge) & F.element_at(F.split("_part", " "), -1).rlike(edge)))
-                rows = plain.join(kept.select(F.col("gram").alias("_part")), "_part", "left_semi").drop("_part").unionByName(marked.drop("_part"))
-        counted = rows.join(docs, "doc_id").groupBy("gram").agg(F.count("*").alias("n_total"), F.count_distinct("repo").alias("repos"))
-        kept = counted.where(F.col("repos") >= least_repos).select(F.lit(n).alias("n"), "gram", "n_total", "repos")
-        found = kept if found is None else found.unionByName(kept)
-    return found
+    order = in_block()
+    prose = F.col("kind").isin("Word", "Number", "Punctuation", "Symbol") & ~F.col("text").isin(TERMINALS)
+    ahead = F.collect_list(F.struct(prose.alias("prose"), F.col("kind").isin("Word", "Number").alias("edge"), "folded")).over(order.rowsBetween(0, longest - 1))
+    sizes = F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: n)
+    runs = F.transform(
+        sizes,
+        lambda n: F.when(
+            (F.size("_ahead") >= n) & F.get("_ahead", n - 1)["edge"] & F.forall(F.slice("_ahead", 1, n), lambda t: t["prose"]),
+            F.struct(n.alias("n"), F.array_join(F.transform(F.slice("_ahead", 1, n), lambda t: t["folded"]), " ").alias("gram")),
+        ),
+    )
+    starts = tokens.withColumn("_ahead", ahead).where(F.col("kind").isin("Word", "Number"))
+    rows = starts.select("doc_id", F.explode(F.array_compact(runs)).alias("run")).join(docs, "doc_id")
+    by_repo = rows.groupBy("run.n", "run.gram", "repo").agg(F.count("*").alias("c"))
+    counted = by_repo.groupBy("n", "gram").agg(F.sum("c").alias("n_total"), F.count("*").alias("repos"))
+    return counted.where(F.col("repos") >= least_repos)
 
 
 def side_rates(tokens: DataFrame, docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:

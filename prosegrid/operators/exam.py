@@ -38,8 +38,8 @@ def gates(tallies: DataFrame, gate_rows: DataFrame) -> DataFrame:
 
     tallies: name, n, d. gate_rows: name, floor (per mille), least.
     """
-    verdict = F.when(F.col("d") < F.col("least"), "not judged").when(F.col("n") * 1000 >= F.col("floor") * F.col("d"), "pass").otherwise("fail")
-    return gate_rows.join(tallies, "name", "left").select("name", "n", "d", F.coalesce(verdict, F.lit("not judged")).alias("verdict"))
+    verdict = F.when(F.coalesce("d", F.lit(0)) < F.col("least"), "not judged").when(F.col("n") * 1000 >= F.col("floor") * F.col("d"), "pass").otherwise("fail")
+    return gate_rows.join(tallies, "name", "left").select("name", "n", "d", verdict.alias("verdict"))
 
 
 def most_common(rows: DataFrame, key: str, tag: str) -> DataFrame:
