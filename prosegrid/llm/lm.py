@@ -104,7 +104,7 @@ class Block:
         self.numbers = np.frombuffer(stream, np.uint32)
         self.words = unpacked(words)
         starts = np.cumsum(sizes) - sizes
-        self.place = np.arange(len(self.numbers)) - np.repeat(starts, sizes)
+        self.place = (np.arange(len(self.numbers)) - np.repeat(starts, sizes)).astype(np.int32)
         self.keys = {1: self.words[self.numbers]}
         self.sorted: dict[int, np.ndarray] = {1: self.words}
         self.found: dict[int, np.ndarray] = {}  # the total of the n-gram that ends at each word, 0 if not in the tables
@@ -121,6 +121,8 @@ class Block:
             asked[1:] &= (self.found[n - 1][1:] > 0) & (self.found[n - 1][:-1] > 0)
         self.at = np.flatnonzero(asked)
         self.sorted[n], counts = np.unique(keys[self.at], return_counts=True)
+        if n > 2:
+            del self.keys[n - 1]
         return counts
 
     def told(self, n: int, totals: np.ndarray) -> None:
@@ -128,8 +130,8 @@ class Block:
         if n == 1:
             self.found[1] = totals[self.numbers]
             return
-        self.found[n] = np.zeros(len(self.numbers), np.int64)
-        self.found[n][self.at] = totals[np.searchsorted(self.sorted[n], self.keys[n][self.at])]
+        self.found[n] = np.zeros(len(self.numbers), np.uint32)
+        self.found[n][self.at] = totals[np.searchsorted(self.sorted.pop(n), self.keys[n][self.at])]
 
     def scores(self, order: int, corpus_words: int) -> np.ndarray:
         """The logarithm of each word's score."""
@@ -155,7 +157,7 @@ def _rebuilt(sizes: pa.ListScalar, stream: pa.BinaryScalar, words: pa.BinaryScal
     for n in range(1, order + 1):
         block.lengthen(n)
         parts = [np.frombuffer(totals, np.uint32) for _, totals in sorted(by.get(n, []), key=lambda x: x[0])]
-        block.told(n, np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64))
+        block.told(n, np.concatenate(parts) if parts else np.zeros(0, np.uint32))
     return block
 
 
