@@ -61,3 +61,35 @@ def merged(answers: DataFrame, voters: list[str]) -> DataFrame:
     given = F.array_distinct(F.array_compact(F.array(*voters)))
     status = F.when(F.size(given) == 0, "abstained").when(F.size(given) == 1, "agreed").otherwise("disputed")
     return answers.withColumn("status", status).withColumn("base", F.when(F.col("status") == "agreed", F.get(given, F.lit(0))))
+
+
+def wilson(right: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
+    """Bounds of a share; null without rows."""
+    p = F.try_divide(right, n)
+    centre = p + z * z / (2 * n)
+    margin = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+    scale = 1 + z * z / n
+    return F.when(n > 0, (centre - margin) / scale), F.when(n > 0, (centre + margin) / scale)
+
+
+def cutoff(rows: DataFrame, score: str, right: str, floor: float) -> DataFrame:
+    """The lowest score down to which the share right is at least the floor, and the rows at or above it.
+
+    Rows are counted by score first; what is left is one row for each distinct score.
+    """
+    by = rows.groupBy(score).agg(F.count("*").alias("n"), F.sum(right).alias("right"))
+    down = Window.orderBy(F.desc(score))
+    run = by.withColumns({"_n": F.sum("n").over(down), "_right": F.sum("right").over(down)})
+    return run.where(F.col("_right") >= floor * F.col("_n")).orderBy(F.col(score)).limit(1).select(F.col(score).alias("cutoff"), F.col("_n").alias("n"), F.col("_right").alias("right"))
+
+
+def paired(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
+    """One row: how many keys both runs have, one alone has, and which way values changed."""
+    met = before.select(key, F.col(value).alias("_a")).join(after.select(key, F.col(value).alias("_b")), key, "full_outer")
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    return met.agg(F.count_if(both).alias("both"), F.count_if(~both).alias("alone"), F.count_if(both & (F.col("_b") > F.col("_a"))).alias("up"), F.count_if(both & (F.col("_b") < F.col("_a"))).alias("down"))
+
+
+def largest_confusions(rows: DataFrame, gold: str, guess: str, most: int) -> DataFrame:
+    wrong = rows.where(F.col(gold) != F.col(guess)).groupBy(gold, guess).agg(F.count("*").alias("n"))
+    return wrong.orderBy(F.desc("n"), gold, guess).limit(most)

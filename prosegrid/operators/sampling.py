@@ -37,3 +37,15 @@ def apportioned(weights: DataFrame, key: str, weight: str, seats: int) -> DataFr
     ranked = rest.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("_rest"), key)))
     left = F.lit(seats) - F.sum("_whole").over(Window.partitionBy())
     return ranked.withColumn("_left", left).select(key, (F.col("_whole") + F.when(F.col("_rank") <= F.col("_left"), 1).otherwise(0)).alias("seats"))
+
+
+def interleaved(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """Adds turn: the first of every group comes before the second of any."""
+    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+
+
+def history_label(commits: DataFrame, key: str, agent: Column) -> DataFrame:
+    """key and label: human without commits by agents, llm with nothing else, mixed with both; unknown without commits that tell."""
+    told = commits.withColumn("_agent", agent.cast("int")).groupBy(key).agg(F.count("_agent").alias("n"), F.sum("_agent").alias("by_agents"))
+    label = F.when(F.col("n") == 0, "unknown").when(F.col("by_agents") == 0, "human").when(F.col("by_agents") == F.col("n"), "llm").otherwise("mixed")
+    return told.select(key, label.alias("label"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosegrid.functions import globs
@@ -85,3 +85,51 @@ def overlap_groups(spans: DataFrame, key: str) -> DataFrame:
     order = Window.partitionBy(key).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return spans.withColumn("_new", F.when(reach > F.col("start"), 0).otherwise(1)).withColumn("group", F.sum("_new").over(order)).drop("_new")
+
+
+def explained(paths: DataFrame, section: Section) -> DataFrame:
+    """path, setting, value, source: every setting of a path and the glob it comes from, base where no override sets it."""
+    names = sorted({*section.settings, *(k for _, s in section.overrides for k in s)})
+    order = sorted(range(len(section.overrides)), key=lambda i: (*globs.specificity(section.overrides[i][0]), i), reverse=True)
+    rows = []
+    for name in names:
+        layers = [(glob, settings[name]) for glob, settings in (section.overrides[i] for i in order) if name in settings]
+        found = [F.when(globs.matches(F.col("path"), glob), F.struct(F.lit(str(value)).alias("value"), F.lit(glob).alias("source"))) for glob, value in layers]
+        base = F.struct(F.lit(None if section.settings.get(name) is None else str(section.settings[name])).alias("value"), F.lit("base").alias("source"))
+        rows.append(F.struct(F.lit(name).alias("setting"), F.coalesce(*found, base).alias("_")))
+    told = paths.select("path", F.explode(F.array(*rows)).alias("row"))
+    return told.select("path", "row.setting", "row._.value", "row._.source")
+
+
+def choice(path: Column, globs_: list[str], excludes: list[str]) -> Column:
+    """hit, excluded or miss."""
+    hit, barred = F.lit(False), F.lit(False)
+    for glob in globs_:
+        hit = hit | globs.matches(path, glob)
+    for glob in excludes:
+        barred = barred | globs.matches(path, glob)
+    return F.when(~hit, "miss").when(barred, "excluded").otherwise("hit")
+
+
+def closest(entries: DataFrame, sentences: DataFrame, most: int = 3, width: int = 60) -> DataFrame:
+    """entry, rank, sent_id, distance: the nearest sentences of an entry's own file, by the edits between their first characters.
+
+    entries: entry, path, quote. sentences: path, sent_id, text.
+    """
+    start = lambda c: F.left(F.col(c), F.lit(width))
+    near = entries.join(sentences, "path").select("entry", "sent_id", F.levenshtein(start("quote"), start("text")).alias("distance"))
+    rank = F.row_number().over(Window.partitionBy("entry").orderBy("distance", "sent_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= most).select("entry", "rank", "sent_id", "distance")
+
+
+def release(version: Column) -> Column:
+    """A struct that orders releases: 0.10.1 after 0.9."""
+    parts = F.split(version, r"\.")
+    number = lambda i: F.coalesce(F.get(parts, F.lit(i)).try_cast("int"), F.lit(0))
+    return F.struct(number(0).alias("major"), number(1).alias("minor"), number(2).alias("patch"))
+
+
+def news(rows: DataFrame, stamp: str, running: str) -> DataFrame:
+    """Rows (since) that are newer than the stamp and not newer than what runs."""
+    since = release(F.col("since"))
+    return rows.where((since > release(F.lit(stamp))) & (since <= release(F.lit(running))))

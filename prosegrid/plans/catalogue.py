@@ -610,3 +610,97 @@ def voter_agreement(spark, sf_dir):
     SELECT doc_id, CASE len(g) WHEN 0 THEN 'abstained' WHEN 1 THEN 'agreed' ELSE 'disputed' END AS status, CASE WHEN len(g) = 1 THEN first END AS base FROM given""")
 def voter_merge(spark, sf_dir):
     return exam.merged(_votes(spark, sf_dir), ["a", "b", "c"]).select("doc_id", "status", "base")
+
+
+# More of settings, sampling and exams
+
+
+@query(rf"""
+    WITH paths AS (SELECT page_id, regexp_extract(url, '://(.*)$', 1) AS path FROM pages)
+    SELECT page_id, CASE WHEN NOT regexp_matches(path, '{globs.glob_regex("**/en/**")}') AND NOT regexp_matches(path, '{globs.glob_regex("*9*")}') THEN 'miss'
+        WHEN regexp_matches(path, '{globs.glob_regex("*.html")}') THEN 'excluded' ELSE 'hit' END AS choice FROM paths""")
+def glob_choice(spark, sf_dir):
+    return _paths(spark, sf_dir).select("page_id", settings.choice(F.col("path"), ["**/en/**", "*9*"], ["*.html"]).alias("choice"))
+
+
+@query(rf"""
+    WITH paths AS (SELECT DISTINCT regexp_extract(url, '://(.*)$', 1) AS path FROM pages), flags AS (
+        SELECT regexp_matches(path, '{globs.glob_regex("**/en/*")}') AS en, regexp_matches(path, '{globs.glob_regex("*7*")}') AS seven, regexp_matches(path, '{globs.glob_regex("**/en/7*")}') AS en7, regexp_matches(path, '{globs.glob_regex("**/fr/**")}') AS fr FROM paths
+    ), told AS (
+        SELECT 'limit' AS setting, CASE WHEN fr THEN '**/fr/**' WHEN en THEN '**/en/*' WHEN seven THEN '*7*' ELSE 'base' END AS source FROM flags
+        UNION ALL SELECT 'group', CASE WHEN en7 THEN '**/en/7*' WHEN seven THEN '*7*' ELSE 'base' END FROM flags
+    ) SELECT setting, source, count(*) AS paths FROM told GROUP BY setting, source""")
+def settings_explained(spark, sf_dir):
+    """How many paths take each setting from which override."""
+    told = settings.explained(_paths(spark, sf_dir).select("path").distinct(), OVERRIDES)
+    return told.groupBy("setting", "source").agg(F.count("*").alias("paths"))
+
+
+@query(r"""
+    WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS sent_id FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')),
+    entries AS (SELECT doc_id, substr(text, 5, 70) AS quote FROM documents WHERE doc_id % 10 = 0),
+    near AS (SELECT e.doc_id AS entry, sent_id, levenshtein(left(quote, 60), left(text, 60)) AS distance FROM entries e JOIN lines l USING (doc_id))
+    SELECT entry, (row_number() OVER (PARTITION BY entry ORDER BY distance, sent_id))::INT AS rank, sent_id::INT AS sent_id, distance::INT AS distance FROM near QUALIFY rank <= 3""")
+def closest_quotes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    plain = docs.where((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x00-\x7F]"))
+    lines = K.line_blocks(plain).select(F.col("doc_id").alias("path"), F.col("block_id").alias("sent_id"), "text")
+    entries = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("entry"), F.col("doc_id").alias("path"), F.substring("text", 5, 70).alias("quote"))
+    return settings.closest(entries, lines)
+
+
+@query("SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id))::INT AS turn FROM documents ORDER BY turn, source LIMIT 100")
+def interleaved_sources(spark, sf_dir):
+    rows = sampling.interleaved(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["doc_id"])
+    return rows.orderBy("turn", "source").limit(100)
+
+
+@query("""
+    SELECT o_custkey, CASE WHEN n = 0 THEN 'unknown' WHEN a = 0 THEN 'human' WHEN a = n THEN 'llm' ELSE 'mixed' END AS label FROM (
+        SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'P') AS n, count(*) FILTER (o_orderstatus = 'O') AS a FROM orders GROUP BY o_custkey)""")
+def history_labels(spark, sf_dir):
+    """A label for each customer's history of orders: P tells nothing, O is the agent's."""
+    agent = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "O")
+    return sampling.history_label(table(spark, sf_dir, "orders"), "o_custkey", agent)
+
+
+@query("SELECT strftime(o_orderdate, '%Y') || 'Q' || quarter(o_orderdate) AS quarter, count(*) AS n FROM orders GROUP BY 1")
+def quarter_counts(spark, sf_dir):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return table(spark, sf_dir, "orders").groupBy(T.quarter_of(day).alias("quarter")).agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH t AS (SELECT source, sum(quality)::DOUBLE AS r, count(*)::DOUBLE AS n FROM documents JOIN labels USING (doc_id) GROUP BY source)
+    SELECT source, round((r / n + 3.8416 / (2 * n) - 1.96 * sqrt(r / n * (1 - r / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS low,
+        round((r / n + 3.8416 / (2 * n) + 1.96 * sqrt(r / n * (1 - r / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS high FROM t""")
+def wilson_bounds(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").groupBy("source").agg(F.sum("quality").cast("double").alias("r"), F.count("*").cast("double").alias("n"))
+    low, high = exam.wilson(F.col("r"), F.col("n"))
+    return rows.select("source", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@query(f"""
+    WITH {JUDGED}, marked AS (SELECT round(score, 3) AS score, (guess = quality)::INT AS r FROM judged), by_score AS (SELECT score, count(*) AS n, sum(r) AS r FROM marked GROUP BY score),
+    run AS (SELECT score, sum(n) OVER (ORDER BY score DESC) AS n, sum(r) OVER (ORDER BY score DESC) AS r FROM by_score)
+    SELECT score AS cutoff, n::BIGINT AS n, r::BIGINT AS "right" FROM run WHERE r >= 0.9 * n ORDER BY score LIMIT 1""")
+def margin_cutoff(spark, sf_dir):
+    """The lowest score down to which nine of ten guesses are right."""
+    rows = _judged(spark, sf_dir).select(F.round("score", 3).alias("score"), (F.col("guess") == F.col("quality")).cast("int").alias("right"))
+    return exam.cutoff(rows, "score", "right", 0.9)
+
+
+@query(f"""
+    WITH {VOTES}, pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, length(a.a) AS p, length(b.b) AS q FROM (SELECT * FROM votes WHERE doc_id % 2 = 0) a FULL JOIN (SELECT * FROM votes WHERE doc_id % 3 = 0) b ON a.doc_id = b.doc_id)
+    SELECT count(*) FILTER (p IS NOT NULL AND q IS NOT NULL) AS "both", count(*) FILTER (p IS NULL OR q IS NULL) AS alone, count(*) FILTER (q > p) AS up, count(*) FILTER (q < p) AS down FROM pairs""")
+def paired_runs(spark, sf_dir):
+    """Two runs that judge different documents in part, joined by document."""
+    votes = _votes(spark, sf_dir)
+    before = votes.where("doc_id % 2 = 0").select("doc_id", F.char_length("a").alias("value"))
+    after = votes.where("doc_id % 3 = 0").select("doc_id", F.char_length("b").alias("value"))
+    return exam.paired(before, after, "doc_id", "value")
+
+
+@query(f"WITH {VOTES} SELECT a, b, count(*) AS n FROM votes WHERE a <> b GROUP BY a, b ORDER BY n DESC, a, b LIMIT 5")
+def largest_confusions(spark, sf_dir):
+    return exam.largest_confusions(_votes(spark, sf_dir), "a", "b", 5)

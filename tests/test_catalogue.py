@@ -6,7 +6,7 @@ import pytest
 from prosegrid.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["documents", "embeddings", "pages", "benchmark", "labels", "conversations", "lineitem"]
+TABLES = ["documents", "embeddings", "pages", "benchmark", "labels", "conversations", "lineitem", "orders"]
 
 
 @pytest.fixture(scope="module")
