@@ -37,6 +37,8 @@ LEAST, MEAN, MOST = 512, 2048, 16384
 #: Bytes that the rolling hash sees: its 16 bits shift one out with each byte.
 WINDOW = 16
 RATE = 8000
+#: Rows of a batch whose files are held at once.
+SLICE = 512
 #: Payload bytes are a positive multiple of this.
 UNIT = 64
 
@@ -105,7 +107,7 @@ class MediaStore:
 
         def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             met: set[bytes] = set()
-            for batch in batches:
+            for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
                 rows = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                     text = text.as_py() or b""
@@ -157,7 +159,7 @@ class MediaStore:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (zip(*found) if found else ((), ()))], ["digest", "chunk"])
 
         def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
                 files = []
                 for media, digests, ends, fetched in zip(batch.column("media"), batch.column("digests").to_pylist(), batch.column("ends").to_pylist(), batch.column("fetched")):
                     own = memoryview(media.as_buffer())
