@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosegrid.llm import bpe, chat, langid, lm, media, packing, quality, simhash, topk, urls
@@ -23,19 +23,20 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 
-def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents with p_text, p_metadata and score in ``_quality``; 0.5 or more is good."""
-    return docs.withColumn("_quality", quality.quality(docs, quality.fit(docs, labels)))
+def graded(docs: DataFrame, labels: DataFrame) -> Column:
+    """A struct of p_text, p_metadata and score; a score of 0.5 or more is good."""
+    return quality.quality(docs, quality.fit(docs, labels))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "_quality.p_text", "_quality.p_metadata", "_quality.score", (F.col("_quality.score") >= 0.5).cast("int").alias("keep"))
+    docs = table(spark, sf_dir, "documents")
+    scored = docs.select("doc_id", graded(docs, table(spark, sf_dir, "labels")).alias("q"))
+    return scored.select("doc_id", "q.*", (F.col("q.score") >= 0.5).cast("int").alias("keep"))
 
 
 def spoken(docs: DataFrame) -> DataFrame:
-    """The documents with language, posterior and text_language in ``_language``; the declared
-    language is markup, the source a host."""
+    """The documents with language, posterior and text_language in a struct; the declared language
+    is markup, the source a host."""
     model, priors = langid.fit(docs, declared="lang", host="source")
     return langid.identify(docs, model, priors, declared="lang", host="source")
 
@@ -46,7 +47,7 @@ SURE_LANGUAGE = 0.5
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spoken(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "_language.language", "_language.posterior", "_language.text_language", (F.col("_language.posterior") >= SURE_LANGUAGE).cast("int").alias("keep"))
+    return found.select("doc_id", f"{langid.RESULT}.*", (F.col(langid.RESULT)["posterior"] >= SURE_LANGUAGE).cast("int").alias("keep"))
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

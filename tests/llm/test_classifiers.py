@@ -54,7 +54,7 @@ def test_language_without_declarations(spark):
     """Texts whose declaration is withheld are told from the others' trigrams."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("truth", F.col("lang")).withColumn("lang", F.when(F.col("doc_id") % 4 > 0, F.col("lang")))
     model, priors = langid.fit(docs, host="source")
-    rows = langid.identify(docs, model, priors, host="source").where("lang is null and length(text) > 60").select("truth", "_language.language").collect()
+    rows = langid.identify(docs, model, priors, host="source").where("lang is null and length(text) > 60").select("truth", f"{langid.RESULT}.language").collect()
     assert np.mean([r.truth == r.language for r in rows]) > 0.97
 
 
@@ -65,7 +65,7 @@ def test_language_evidence(spark):
     rows += [(300, fr, "en", "b.fr", "fr"), (301, "", None, "b.fr", "fr"), (302, None, "en", None, None), (303, "", None, "new.fr", "fr"), (304, "", None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, host string, tld string")
     model, priors = langid.fit(docs, host="host", suffix="tld")
-    found = {r.doc_id: r for r in langid.identify(docs, model, priors, host="host", suffix="tld").select("doc_id", "_language.*").collect()}
+    found = {r.doc_id: r for r in langid.identify(docs, model, priors, host="host", suffix="tld").select("doc_id", f"{langid.RESULT}.*").collect()}
     assert [found[n].language for n in (0, 100, 300, 301, 302, 303)] == ["en", "fr", "fr", "fr", "en", "fr"]
     assert len(found) == len(rows) and found[304].posterior <= found[301].posterior
 
@@ -75,5 +75,5 @@ def test_language_hard_rows(spark, hard):
     assert langid.identify(hard, model, priors, host="source").count() == len(HARD)
     for bare in (hard.limit(0), hard.withColumn("lang", F.lit(None).cast("string"))):
         model, priors = langid.fit(bare, host="source")
-        found = langid.identify(bare, model, priors, host="source").select("_language.*").collect()
+        found = langid.identify(bare, model, priors, host="source").select(f"{langid.RESULT}.*").collect()
         assert all(r.language is None and r.posterior == 1 for r in found)
