@@ -12,15 +12,11 @@ from prosegrid.operators.tokens import in_block, ngrams
 
 def facet_counts(docs: DataFrame, facets: list[str], label: str, repo: str) -> DataFrame:
     """facet, value, label, files, repos for each facet, in one pass."""
-    sets = ", ".join(f"({f}, {label})" for f in facets)
-    docs.createOrReplaceTempView("_facet_docs")
-    names = ", ".join(facets)
-    which = "CASE " + " ".join(f"WHEN grouping({f}) = 0 THEN '{f}'" for f in facets) + " END"
-    value = f"coalesce({', '.join(f'CAST({f} AS STRING)' for f in facets)})"
-    return docs.sparkSession.sql(
-        f"SELECT {which} AS facet, {value} AS value, {label} AS label, count(*) AS files, count(DISTINCT {repo}) AS repos "
-        f"FROM _facet_docs GROUP BY {names}, {label} GROUPING SETS ({sets})"
-    )
+    grouped = docs.groupingSets([[f, label] for f in facets], *facets, label)
+    counted = grouped.agg(F.count("*").alias("files"), F.count_distinct(repo).alias("repos"), *(F.grouping(f).alias(f"_all_{f}") for f in facets))
+    facet = F.coalesce(*(F.when(F.col(f"_all_{f}") == 0, f) for f in facets))
+    value = F.coalesce(*(F.col(f).cast("string") for f in facets))
+    return counted.select(facet.alias("facet"), value.alias("value"), F.col(label).alias("label"), "files", "repos")
 
 
 def label_rows(docs: DataFrame, label: str, repo: str, size: str) -> DataFrame:
