@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from prosegrid.llm.shared import bounded_batches
+
 #: What \s means in the tokenizer files.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space to str.split() alone.
@@ -224,6 +226,7 @@ class _Shipped:
 
 def bpe_encode(spark: SparkSession, text: Column, tokenizer: str) -> Column:
     """The ids of a text column, array<int>; tokenizer is the path of its file on the driver."""
+    bounded_batches(spark)
     shipped = _Shipped(spark, tokenizer)
 
     @F.arrow_udf("array<int>")

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.shared import shared_folder
+from prosegrid.llm.shared import bounded_batches, shared_folder
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 BLOCK_WORDS = 1 << 21
@@ -202,6 +202,7 @@ def _totals(entries: DataFrame) -> DataFrame:
 def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, n_words, score (sum of natural logarithms) and mean_score of each document."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"blocks_{uuid.uuid4().hex}"
     _blocks(docs).write.bucketBy(buckets, "block").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)

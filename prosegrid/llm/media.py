@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.shared import shared_folder, written
+from prosegrid.llm.shared import bounded_batches, shared_folder, written
 
 #: Bytes of a chunk: at least, on average beyond that, and at most.
 LEAST, MEAN, MOST = 512, 2048, 16384
@@ -125,6 +125,7 @@ class MediaStore:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names)
 
         spark = docs.sparkSession
+        bounded_batches(spark)
         name = f"files_{uuid.uuid4().hex}"
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
         stored = rows.mapInArrow(store, "place binary, doc_id long, n_bytes long, media_sha binary, media binary, digests array<binary>, ends array<int>")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from prosegrid.llm.bpe import SPACES, byte_letters
-from prosegrid.llm.shared import written
+from prosegrid.llm.shared import bounded_batches, written
 
 WINDOW = 2048
 #: Pieces of text whose ids a Python worker keeps, each short.
@@ -111,6 +111,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW)
     ids are little-endian unsigned 32-bit numbers. tokenizer is the path of its file on the driver.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     tokens = written(spark, tokenized(docs, tokenizer, end_id), "tokens")
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

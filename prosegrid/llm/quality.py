@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosegrid.llm.shared import bounded_batches
+
 MAX_LABELLED, MAX_POOL = 20_000, 20_000
 ROUNDS = 4
 #: How sure a view must be of a pseudo-label, and the share of the pool it may pass on in a round.
@@ -170,6 +172,7 @@ def _sample(docs: DataFrame, labels: DataFrame, quality: str) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, quality: str = "quality") -> CoTrained | None:
     """A model from the bounded sample, or None without labels of both classes."""
+    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("array<double>")
     def both(texts: pa.Array, sources: pa.Array, langs: pa.Array, sizes: pa.Array) -> pa.Array:

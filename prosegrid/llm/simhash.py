@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegrid.llm.components import components
-from prosegrid.llm.shared import written
+from prosegrid.llm.shared import bounded_batches, written
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
@@ -132,6 +132,7 @@ def links(nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fingerprint (long) and component_id, the smallest doc_id reachable over links."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     prints = written(spark, fingerprints(docs, words), "fingerprints")
     nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
     nodes = written(spark, nodes, "nodes")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosegrid.llm.shared import written
+from prosegrid.llm.shared import bounded_batches, written
 
 CHUNK_ROWS, BLOCK_ROWS = 4096, 1024
 SLICES = 2
@@ -97,6 +97,7 @@ def _matrix(rows: pa.StructScalar, dim: int) -> tuple[np.ndarray, np.ndarray]:
 def top_k(frame: DataFrame, queries: str, k: int = 20, scale: int = 64) -> DataFrame:
     """query_id, rank from 1, vec_id and score; queries is a condition on vec_id, such as ``vec_id % 20 = 0``."""
     spark = frame.sparkSession
+    bounded_batches(spark)
     vectors = written(spark, integer_vectors(frame, scale).withColumn("dim", F.size("v")), "vectors")
     n, asked = vectors.agg(F.count("*"), F.count_if(F.expr(queries))).first()
     n_chunks, n_blocks = max(1, math.ceil(n / CHUNK_ROWS)), max(1, math.ceil(asked / BLOCK_ROWS))
