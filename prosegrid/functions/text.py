@@ -84,3 +84,17 @@ def content_facts(text: Column) -> dict[str, Column]:
         "words": F.regexp_count(text, F.lit(r"[^\s]+")).cast("long"),
         "frontmatter": text.rlike(r"^\x{FEFF}?(---|\+\+\+)[ \t]*\r?\n"),
     }
+
+
+def filled(message: str, values: dict[str, Column]) -> Column:
+    """A message with its {name} placeholders replaced."""
+    out = F.lit(message)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value.cast("string"))
+    return out
+
+
+def line_list(lines: Column) -> Column:
+    """line 3, or lines 3, 5: distinct and in order."""
+    found = F.array_sort(F.array_distinct(lines))
+    return F.concat(F.when(F.size(found) == 1, "line ").otherwise("lines "), F.array_join(F.transform(found, lambda n: n.cast("string")), ", "))

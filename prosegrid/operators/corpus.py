@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosegrid.functions import stats
-from prosegrid.functions.text import TERMINALS
+from prosegrid.functions.text import ENGLISH, TERMINALS
 from prosegrid.operators.tokens import in_block, ngrams
 
 
@@ -111,3 +111,45 @@ def masked_examples(tokens: DataFrame, hits: DataFrame, docs: DataFrame, common:
     shown = F.when(F.col("_common") | ~F.col("kind").isin("Word"), F.col("folded")).otherwise("_")
     lines = known.groupBy("gram", "rank", "repo").agg(F.array_sort(F.collect_list(F.struct("pos", shown.alias("word")))).alias("_words"))
     return lines.select("gram", "rank", "repo", F.array_join(F.transform("_words", lambda w: w["word"]), " ").alias("example"))
+
+
+def lint_rates(docs: DataFrame, findings: DataFrame, lints: list[str], label: str = "label", repo: str = "repo") -> DataFrame:
+    """lint, label, failing, checked, file_share, repo_share, zeros included.
+
+    docs: doc_id, label, repo. findings: doc_id, lint. Each repository's share of failing files
+    weighs the same in repo_share.
+    """
+    failing = findings.select("doc_id", "lint").distinct().join(docs, "doc_id").groupBy("lint", label, repo).agg(F.count("*").alias("failing"))
+    checked = docs.groupBy(label, repo).agg(F.count("*").alias("checked"))
+    every = checked.withColumn("lint", F.explode(F.array(*map(F.lit, lints))))
+    rows = every.join(failing, ["lint", label, repo], "left").na.fill(0, ["failing"])
+    return rows.groupBy("lint", label).agg(
+        F.sum("failing").alias("failing"),
+        F.sum("checked").alias("checked"),
+        (F.sum("failing") / F.sum("checked")).alias("file_share"),
+        F.avg(F.col("failing") / F.col("checked")).alias("repo_share"),
+    )
+
+
+def ranked(rows: DataFrame, item: str, least_repos: int, top: int) -> DataFrame:
+    """The items of enough repositories on either side, by focus rate, then ratio, then name."""
+    enough = rows.where(F.greatest("focus_repos", "reference_repos") >= least_repos)
+    return enough.orderBy(F.desc("focus_rate"), F.desc("ratio"), item).limit(top)
+
+
+def tool_rows(docs: DataFrame, tools: str, repo: str) -> DataFrame:
+    """tool, files and repositories where it stands alone and where it stands at all. tools: an array."""
+    rows = docs.select(F.explode(F.array_distinct(tools)).alias("tool"), (F.size(F.array_distinct(tools)) == 1).alias("alone"), F.col(repo).alias("repo"))
+    return rows.groupBy("tool").agg(F.count_if("alone").alias("files_alone"), F.count("*").alias("files"), F.count_distinct(F.when(F.col("alone"), F.col("repo"))).alias("repos_alone"), F.count_distinct("repo").alias("repos"))
+
+
+def eligible_sentences(tokens: DataFrame, least_words: int = 2, most_tokens: int = 60, english: float = 0.0) -> DataFrame:
+    """doc_id, block_id, sent_id, words, n_tokens of sentences fit for a sample."""
+    found = tokens.groupBy("doc_id", "block_id", "sent_id").agg(
+        F.count_if(F.col("kind") == "Word").alias("words"),
+        F.count("*").alias("n_tokens"),
+        F.count_if(F.col("folded").isin(ENGLISH)).alias("_common"),
+        F.count_if(F.col("kind").isin("Code", "Url")).alias("_other"),
+    )
+    good = found.where((F.col("words") >= least_words) & (F.col("n_tokens") <= most_tokens) & (F.col("_other") == 0) & (F.col("_common") >= english * F.col("words")))
+    return good.drop("_common", "_other")

@@ -49,3 +49,17 @@ def history_label(commits: DataFrame, key: str, agent: Column) -> DataFrame:
     told = commits.withColumn("_agent", agent.cast("int")).groupBy(key).agg(F.count("_agent").alias("n"), F.sum("_agent").alias("by_agents"))
     label = F.when(F.col("n") == 0, "unknown").when(F.col("by_agents") == 0, "human").when(F.col("by_agents") == F.col("n"), "llm").otherwise("mixed")
     return told.select(key, label.alias("label"))
+
+
+def stratified(rows: DataFrame, stratum: str, quotas: dict[str, int], caps: list[tuple[str, int]], order: Column) -> DataFrame:
+    """Rows by order within quotas of strata, after at most so many of each group; order must tell rows apart.
+
+    Caps apply one after another, each to what the one before left, so the result is the same on
+    every run and needs no driver loop.
+    """
+    rows = rows.withColumn("_order", order)
+    for group, most in caps:
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(stratum, group).orderBy("_order"))).where(F.col("_n") <= most)
+    quota = F.create_map(*(F.lit(x) for pair in quotas.items() for x in pair))
+    drawn = rows.withColumn("_n", F.row_number().over(Window.partitionBy(stratum).orderBy("_order")))
+    return drawn.where(F.col("_n") <= quota[F.col(stratum)]).drop("_n", "_order")

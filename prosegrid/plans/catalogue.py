@@ -704,3 +704,67 @@ def paired_runs(spark, sf_dir):
 @query(f"WITH {VOTES} SELECT a, b, count(*) AS n FROM votes WHERE a <> b GROUP BY a, b ORDER BY n DESC, a, b LIMIT 5")
 def largest_confusions(spark, sf_dir):
     return exam.largest_confusions(_votes(spark, sf_dir), "a", "b", 5)
+
+
+# Reports
+
+
+@query("""
+    WITH facts AS (SELECT doc_id, max((length(line) > 600)::INT) AS density FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id),
+    labelled AS (SELECT d.doc_id, d.source, l.quality AS label, density, (octet_length(encode(text)) > 8000)::INT AS size, 0 AS absent FROM documents d JOIN labels l USING (doc_id) JOIN facts USING (doc_id)),
+    long AS (SELECT 'density' AS lint, label, source, density AS hit FROM labelled UNION ALL SELECT 'max_size_bytes', label, source, size FROM labelled UNION ALL SELECT 'absent', label, source, absent FROM labelled),
+    by_repo AS (SELECT lint, label, source, sum(hit) AS failing, count(*) AS checked FROM long GROUP BY ALL)
+    SELECT lint, label, sum(failing)::BIGINT AS failing, sum(checked)::BIGINT AS checked, round(sum(failing) / sum(checked), 6) AS file_share, round(avg(failing / checked), 6) AS repo_share FROM by_repo GROUP BY lint, label""")
+def lint_rates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    long = K.line_blocks(docs).where(F.char_length("text") > lints.PARAGRAPH_CHARS).select("doc_id", F.lit("density").alias("lint"))
+    large = docs.where(F.octet_length("text") > 8000).select("doc_id", F.lit("max_size_bytes").alias("lint"))
+    labelled = docs.join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", F.col("quality").alias("label"), F.col("source").alias("repo"))
+    found = corpus.lint_rates(labelled, long.unionByName(large), ["density", "max_size_bytes", "absent"])
+    return found.withColumns({c: F.round(c, 6) for c in ("file_share", "repo_share")})
+
+
+@query(f"""
+    WITH {TOKENS}, sides AS (SELECT d.doc_id, l.quality AS side, d.source AS repo FROM documents d JOIN labels l USING (doc_id)),
+    repos AS (SELECT side, repo, count(*) AS tokens FROM tokens JOIN sides USING (doc_id) GROUP BY side, repo), n_repos AS (SELECT side, count(*) AS n FROM repos GROUP BY side),
+    seen AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\x00-\\x7F]')) AS ch FROM documents), hits AS (SELECT ch, side, repo, count(*) AS n FROM seen JOIN sides USING (doc_id) GROUP BY ALL),
+    rates AS (SELECT ch, side, sum(h.n)::BIGINT AS occurrences, count(*) AS repos, sum(h.n * 1e6 / tokens) / any_value(n_repos.n) AS rate FROM hits h JOIN repos USING (side, repo) JOIN n_repos USING (side) GROUP BY ch, side),
+    smooth AS (SELECT 0.5e6 / sum(tokens) AS s FROM repos WHERE side = 1),
+    wide AS (SELECT ch, coalesce(max(repos) FILTER (side = 0), 0) AS focus_repos, coalesce(max(rate) FILTER (side = 0), 0) AS focus_rate, coalesce(max(repos) FILTER (side = 1), 0) AS reference_repos, coalesce(max(rate) FILTER (side = 1), 0) AS reference_rate FROM rates GROUP BY ch)
+    SELECT printf('U+%04X', unicode(ch)) AS label, focus_repos, reference_repos, round(focus_rate, 6) AS focus_rate, round((focus_rate + s) / (reference_rate + s), 6) AS ratio
+    FROM wide, smooth WHERE greatest(focus_repos, reference_repos) >= 3 ORDER BY wide.focus_rate DESC, ch LIMIT 50""".replace("\\\\", "\\"))
+def chars_report(spark, sf_dir):
+    """Characters of enough repositories on either side, by focus rate."""
+    docs = table(spark, sf_dir, "documents")
+    on = docs.join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", F.col("quality").alias("side"), F.col("source").alias("repo"))
+    hits = chars.histogram(docs, "doc_id", "text").join(on, "doc_id").groupBy("ch", "side", "repo").agg(F.sum("n").alias("n"))
+    repos = line_tokens(spark, sf_dir).join(on, "doc_id").groupBy("side", "repo").agg(F.count("*").alias("tokens"))
+    best = corpus.ranked(corpus.compared(hits, repos, "ch"), "ch", 3, 50)
+    return best.select(T.code_point_label(F.col("ch")).alias("label"), "focus_repos", "reference_repos", F.round("focus_rate", 6).alias("focus_rate"), F.round("ratio", 6).alias("ratio"))
+
+
+@query("""
+    WITH t AS (SELECT source, unnest(list_distinct(langs)) AS tool, len(list_distinct(langs)) = 1 AS alone FROM (SELECT source, doc_id // 4 AS k, list(lang) AS langs FROM documents GROUP BY ALL))
+    SELECT tool, count(*) FILTER (alone) AS files_alone, count(*) AS files, count(DISTINCT source) FILTER (alone) AS repos_alone, count(DISTINCT source) AS repos FROM t GROUP BY tool""")
+def tool_rows(spark, sf_dir):
+    """Languages standing in for tools: alone in a group of a source's documents, or in it at all."""
+    groups = table(spark, sf_dir, "documents").groupBy("source", F.expr("doc_id div 4").alias("k")).agg(F.collect_list("lang").alias("tools"))
+    return corpus.tool_rows(groups, "tools", "source")
+
+
+@query(f"""
+    WITH {TOKENS}, {SENTENCES}, s AS (SELECT doc_id, block_id, sent_id, count(*) FILTER (kind = 'Word') AS words, count(*) AS n_tokens, count(*) FILTER (folded IN ({quoted(T.ENGLISH)})) AS common, count(*) FILTER (kind IN ('Code', 'Url')) AS other FROM sents GROUP BY ALL)
+    SELECT doc_id, count(*) AS sentences, sum(words)::BIGINT AS words FROM s WHERE words >= 2 AND n_tokens <= 60 AND other = 0 AND common >= 0.2 * words GROUP BY doc_id""")
+def eligible_sentences(spark, sf_dir):
+    found = corpus.eligible_sentences(K.sentences(line_tokens(spark, sf_dir)), 2, 60, 0.2)
+    return found.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum("words").alias("words"))
+
+
+@query("""
+    WITH a AS (SELECT doc_id, lang, source, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY n_chars, doc_id) <= 4),
+    b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS r FROM a)
+    SELECT doc_id, lang, source FROM b WHERE r <= CASE lang WHEN 'en' THEN 30 WHEN 'de' THEN 15 WHEN 'fr' THEN 15 ELSE 0 END""")
+def stratified_draw(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    drawn = sampling.stratified(docs, "lang", {"en": 30, "de": 15, "fr": 15}, [("source", 4)], F.struct("n_chars", "doc_id"))
+    return drawn.select("doc_id", "lang", "source")
