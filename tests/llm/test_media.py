@@ -71,6 +71,11 @@ def test_shared_chunks_are_kept_once(spark, texts):
     assert {bytes(r.media) for r in store.read_back().collect()} == files
 
 
+def test_shuffled_store(spark, texts):
+    store = media.MediaStore(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), shuffled=True)
+    assert {bytes(r.media) for r in store.read_back().collect()} == {media.sound_file(media.payload((t or "").encode())) for t in texts}
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.op5_media(spark, str(tmp_path)).collect() == []
