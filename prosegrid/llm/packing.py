@@ -22,23 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from prosegrid.llm.bpe import SPACES, byte_letters
 from prosegrid.llm.shared import bounded_batches, written
 
 WINDOW = 2048
 #: Pieces of text whose ids a Python worker keeps, each short.
-KEPT_PIECES, KEPT_LENGTH = 400_000, 40
+KEPT_PIECES, KEPT_LENGTH = 200_000, 40
 #: Fixed value: how byte-level BPE files of this kind split a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_built: dict = {}
-
 
 class ByteCodec:
     """A byte-level BPE tokenizer file whose ids are the ranks of its merges."""
@@ -48,12 +46,10 @@ class ByteCodec:
         byte_of = {letter: b for b, letter in enumerate(byte_letters())}
         special = {x["content"] for x in spec["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in special}
-        self.special = special
+        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.whole = Tokenizer.from_str(text)
-        self.whole.no_truncation()
-        self.whole.no_padding()
-        self.kind = "<u2" if max(ranks.values()) + len(special) < 1 << 16 else "<u4"
+        self.kind = "<u2" if max([*ranks.values(), *self.special.values()]) < 1 << 16 else "<u4"
         self.kept: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
@@ -68,8 +64,11 @@ class ByteCodec:
         return found
 
     def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
         if any(s in text for s in self.special):
-            return self.packed(self.whole.encode(text, add_special_tokens=False).ids)
+            parts = self.specials.split(text)
+            return b"".join(self.packed([self.special[p]]) if k % 2 else self.encode(p) for k, p in enumerate(parts))
         if any(space + " " in text for space in (SPACES if not text.isascii() else SPACES[:6])) or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
             return self.packed(self.fast.encode_ordinary(text))
         first, *rest = text.split(" ")
@@ -77,21 +76,15 @@ class ByteCodec:
         return self.packed(self.fast.encode_ordinary(first)) + b"".join([found if (found := get(p)) is not None else self._piece(p) for p in rest])
 
 
-def _codec(name: str, text: str) -> ByteCodec:
-    if name not in _built:
-        _built.clear()
-        _built[name] = ByteCodec(text)
-    return _built[name]
-
-
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """part, at, doc_id, n_tokens and ids (packed) of each document; at is its offset in its part."""
     with open(tokenizer, encoding="utf-8") as file:
         text = file.read()
-    sent, name = docs.sparkSession.sparkContext.broadcast(text), f"{tokenizer}:{hash(text)}"
+    sent = docs.sparkSession.sparkContext.broadcast(text)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, part, at = _codec(name, sent.value), TaskContext.get().partitionId(), 0
+        # One codec a task: an idle worker that kept its own would hold memory from the stages that follow.
+        codec, part, at = ByteCodec(sent.value), TaskContext.get().partitionId(), 0
         end, width = codec.packed([end_id]), np.dtype(codec.kind).itemsize
         for batch in batches:
             ids = [codec.encode(t.as_py() or "") + end for t in batch.column("text")]
