@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.shared import written
+from prosegrid.llm.shared import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,6 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         lower = written(spark, lower, "labels")
         further = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
         jumped = written(spark, lower.join(further, "label", "left").select("node", F.least("label", "further").alias("label"), "old"), "labels")
-        if not jumped.where("label <> old").limit(1).count():
-            return jumped.select("node", "label")
-        labels = jumped.select("node", "label")
+        discard(labels, lower)
+        labels = jumped
+        if not labels.where("label <> old").limit(1).count():
+            discard(arcs)
+            return labels.select("node", "label")

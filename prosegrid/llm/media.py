@@ -2,27 +2,29 @@
 
 A payload becomes a sound file of 8-bit samples. A rolling gear hash over the file's bytes cuts it
 into chunks, wherever the hash of the last WINDOW bytes falls into the cutting range, within a
-least and a greatest length; equal stretches of different files so give equal chunks. A file is
-stored as the ordered list of its chunks' digests; Spark joins on the digests settle which file of
-all that hold a chunk keeps its bytes, and the others fetch them from there. Files are rebuilt in
-list order and verified against their own digest before they are read.
+least and a greatest length; equal stretches of different files so give equal chunks.
 
-Equal files are one file. Files lie in a table bucketed by their digest, so the joins with chunk
-lists and fetched chunks move only chunks that several files share; a chunk that a file keeps
-itself never leaves it. Bytes of chunks that another file keeps are never read again; rewriting
-the table without them is left to the user, since it takes as much disk once more. A chunk that very many files share is a row for each file in a join that
-Spark may split, not a group.
+The store has three parts: each file's ordered list of chunk digests; the chunks that occur once in
+all files, bucketed by their file; and the chunks that occur more often, each once, by digest. No
+bytes are held anywhere else. A first pass over the texts makes the lists; grouping the digests
+tells which occur more than once. A second pass cuts the files again and writes the chunks. It asks
+a bit map of bounded size whether a chunk may be one of several: those that it says no to are
+written where they are, the others, once a task, are deduplicated by digest. A full map sends more
+chunks that way and loses none.
+
+Files are rebuilt by joins alone: the list, with the chunks of its own bucket and those that a join
+on the digest brings. A chunk that very many files share is dealt into lanes of bounded size. A
+missing or altered chunk raises an error, as does a file that doesn't match its digest.
 
 Defined results: a null text is an empty one; empty and short payloads are padded with zeros to
-the unit, so that none is empty; repeated rows get a row each; an empty table gives an empty
-result. Other columns are ignored. A file that doesn't match its digest raises an error.
+the unit, so that none is empty; equal files are one file; repeated rows get a row each; an empty
+table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.shared import bounded_batches, shared_folder, written
+from prosegrid.llm.shared import MAP_BITS, bit_map, bounded_batches, discard, may_hold, saved, written
 
 #: Bytes of a chunk: at least, on average beyond that, and at most.
 LEAST, MEAN, MOST = 512, 2048, 16384
@@ -39,6 +41,10 @@ WINDOW = 16
 RATE = 8000
 #: Rows of a batch whose files are held at once.
 SLICE = 512
+#: Digests that a task remembers to have written.
+REMEMBERED = 1 << 20
+#: Occurrences of a shared chunk that one lane of a join serves.
+LANE = 20_000
 #: Payload bytes are a positive multiple of this.
 UNIT = 64
 
@@ -99,93 +105,98 @@ def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-class MediaStore:
-    """Files in a table of the shared folder, each as its bytes, its chunks' digests and their ends."""
+def _chunks(media: bytes) -> list[tuple[bytes, bytes]]:
+    """The file's chunks, each with its digest, in order."""
+    ends = cuts(media)
+    return [(_digest(chunk), chunk) for chunk in (media[a:b] for a, b in zip([0, *ends], ends))]
+
+
+def _key(digest: Column) -> Column:
+    """The digest's first four bytes as a number."""
+    return F.conv(F.hex(F.substring(digest, 1, 4)), 16, 10).cast("long")
+
 
-    def __init__(self, docs: DataFrame, shuffled: bool = False):
-        """Stores the text column's payloads as sound files.
+class MediaStore:
+    """Files as lists of digests, and each distinct chunk once, in tables of the shared folder."""
 
-        Each task writes a file for each bucket. Where that makes too many small files, shuffled
-        deals the rows by bucket first, for one more move of the bytes.
-        """
+    def __init__(self, docs: DataFrame):
+        """Stores the text column's payloads as sound files."""
 
-        def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            met: set[bytes] = set()
+        def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
                 rows = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                     text = text.as_py() or b""
                     media = sound_file(payload(text))
+                    rows.append((doc_id, len(text), hashlib.sha256(media).digest(), [digest for digest, _ in _chunks(media)]))
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 4, kinds)], ["doc_id", "n_bytes", "media_sha", "digests"])
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            written_here: set[bytes] = set()
+            for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
+                rows = []
+                for text in batch.column("text"):
+                    media = sound_file(payload(text.as_py()))
                     sha = hashlib.sha256(media).digest()
-                    if sha in met:  # its bytes are there; the row may lie anywhere, so copies don't gather in a bucket
-                        rows.append((repr(doc_id).encode(), doc_id, len(text), sha, None, None, None))
-                        continue
-                    if len(met) < 1 << 20:
-                        met.add(sha)
-                    ends = cuts(media)
-                    rows.append((sha, doc_id, len(text), sha, media, [_digest(media[a:b]) for a, b in zip([0, *ends], ends)], ends))
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-                names = ["place", "doc_id", "n_bytes", "media_sha", "media", "digests", "ends"]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names)
+                    chunks = _chunks(media)
+                    maybe = may_hold(sent.value, np.array([int.from_bytes(digest[:4], "big") for digest, _ in chunks])).tolist()
+                    for (digest, chunk), several in zip(chunks, maybe):
+                        if several and digest in written_here:
+                            continue
+                        if several and len(written_here) < REMEMBERED:
+                            written_here.add(digest)
+                        rows.append((sha, digest, chunk, several))
+                kinds = (pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 4, kinds)], ["home", "digest", "chunk", "several"])
 
         spark = docs.sparkSession
         bounded_batches(spark)
-        name = f"files_{uuid.uuid4().hex}"
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-        stored = rows.mapInArrow(store, "place binary, doc_id long, n_bytes long, media_sha binary, media binary, digests array<binary>, ends array<int>")
+        self.lists = written(spark, rows.mapInArrow(list_, "doc_id long, n_bytes long, media_sha binary, digests array<binary>"), "lists")
+        counted = self.lists.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n"))
+        several = written(spark, counted.where("n > 1"), "several")
+        sent = spark.sparkContext.broadcast(bit_map(several, _key(F.col("digest")), MAP_BITS))
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        stored = stored.repartition(buckets, "place") if shuffled else stored
-        stored.write.bucketBy(buckets, "place").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
-        self.table = spark.table(name)
-        chunks = self._files("digests").select("media_sha", F.posexplode("digests").alias("seq", "digest"))
-        kept = chunks.groupBy("digest").agg(F.min(F.struct("media_sha", "seq")).alias("keeper"), F.max("media_sha").alias("last"))
-        shared = kept.where("keeper.media_sha <> last").select("digest", F.col("keeper.media_sha").alias("keeper"), F.col("keeper.seq").alias("keeper_seq"))
-        self.shared = written(spark, shared, "shared-chunks")
-        foreign = chunks.join(self.shared, "digest").where("media_sha <> keeper").select("media_sha", "seq", "digest")
-        self.foreign = written(spark, foreign, "foreign-chunks")
-
-    def _files(self, *columns: str) -> DataFrame:
-        """One row for each file, whichever task stored it; bucketed by place, which is the digest."""
-        one = self.table.where("media_sha = place").groupBy("place").agg(*(F.first(c).alias(c) for c in columns))
-        return one.withColumn("media_sha", F.col("place"))
+        chunks = saved(rows.mapInArrow(cut, "home binary, digest binary, chunk binary, several boolean"), "chunks", buckets, "home")
+        self.own = chunks.where("not several")
+        shared = chunks.where("several").dropDuplicates(["digest"]).join(several, "digest", "left")
+        lanes = F.ceil(F.coalesce("n", F.lit(1)) / LANE).cast("int")
+        self.shared = written(spark, shared.select("digest", "chunk", lanes.alias("lanes")), "shared-chunks")
+        discard(several)
 
     def documents(self) -> DataFrame:
         """doc_id, n_bytes and the file's digest, media_sha."""
-        return self.table.select("doc_id", "n_bytes", "media_sha")
+        return self.lists.select("doc_id", "n_bytes", "media_sha")
 
     def read_back(self) -> DataFrame:
-        """media_sha and media: every file, rebuilt from its ordered chunks, each from the file that keeps it, and verified."""
-
-        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = []
-                for media, ends, asked in zip(batch.column("media"), batch.column("ends").to_pylist(), batch.column("asked").to_pylist()):
-                    media = media.as_buffer()
-                    found += [(x["digest"], bytes(media[ends[x["seq"] - 1] if x["seq"] else 0 : ends[x["seq"]]])) for x in asked]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (zip(*found) if found else ((), ()))], ["digest", "chunk"])
+        """media_sha and media: every file, rebuilt from its ordered chunks and verified."""
 
         def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
                 files = []
-                for media, digests, ends, fetched in zip(batch.column("media"), batch.column("digests").to_pylist(), batch.column("ends").to_pylist(), batch.column("fetched")):
-                    own = memoryview(media.as_buffer())
-                    chunks = [own[a:b] for a, b in zip([0, *ends], ends)]
-                    for x in fetched.values if fetched.is_valid else ():
-                        chunk = x["chunk"].as_py()
-                        if _digest(chunk) != digests[x["seq"].as_py()]:
-                            raise ValueError("a chunk doesn't match its digest")
-                        chunks[x["seq"].as_py()] = chunk
-                    files.append(b"".join(chunks))
-                shas = batch.column("media_sha").to_pylist()
-                if any(hashlib.sha256(file).digest() != sha for file, sha in zip(files, shas)):
-                    raise ValueError("a file doesn't match its digest")
-                yield pa.RecordBatch.from_arrays([pa.array(shas, pa.binary()), pa.array(files, pa.binary())], ["media_sha", "media"])
-
-        asked = self.shared.groupBy(F.col("keeper").alias("place")).agg(F.collect_list(F.struct(F.col("keeper_seq").alias("seq"), "digest")).alias("asked"))
-        chunks = self._files("media", "ends").join(asked, "place").select("media", "ends", "asked").mapInArrow(kept, "digest binary, chunk binary")
-        fetched = self.foreign.join(chunks, "digest").groupBy(F.col("media_sha").alias("place")).agg(F.collect_list(F.struct("seq", "chunk")).alias("fetched"))
-        files = self._files("media", "digests", "ends").join(fetched, "place", "left")
-        return files.select("media_sha", "media", "digests", "ends", "fetched").mapInArrow(rebuild, "media_sha binary, media binary")
+                for sha, digests, *held in zip(batch.column("media_sha").to_pylist(), batch.column("digests").to_pylist(), batch.column("own"), batch.column("fetched")):
+                    chunks = {x["digest"].as_py(): x["chunk"].as_py() for kept in held if kept.is_valid for x in kept.values}
+                    if any(chunks.get(d) is None for d in digests):
+                        raise ValueError("a chunk is missing")
+                    if any(_digest(chunk) != digest for digest, chunk in chunks.items()):
+                        raise ValueError("a chunk doesn't match its digest")
+                    file = b"".join(map(chunks.__getitem__, digests))
+                    if hashlib.sha256(file).digest() != sha:
+                        raise ValueError("a file doesn't match its digest")
+                    files.append(file)
+                yield pa.RecordBatch.from_arrays([batch.column("media_sha"), pa.array(files, pa.binary())], ["media_sha", "media"])
+
+        files = self.lists.groupBy("media_sha").agg(F.first("digests").alias("digests"))
+        held = lambda name: F.collect_list(F.struct("digest", "chunk")).alias(name)
+        own = self.own.groupBy(F.col("home").alias("media_sha")).agg(held("own"))
+        asked = files.select("media_sha", F.explode(F.array_distinct("digests")).alias("digest"))
+        places = self.shared.select("digest", "lanes").withColumnRenamed("digest", "shared")
+        asked = asked.join(places, F.col("digest") == F.col("shared")).select("media_sha", "digest", F.pmod(F.xxhash64("media_sha"), "lanes").cast("int").alias("lane"))
+        served = self.shared.select("digest", "chunk", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"))
+        fetched = asked.join(served, ["digest", "lane"]).groupBy("media_sha").agg(held("fetched"))
+        met = files.join(own, "media_sha", "left").join(fetched, "media_sha", "left")
+        return met.select("media_sha", "digests", "own", "fetched").mapInArrow(rebuild, "media_sha binary, media binary")
 
 
 def decoded(media: Column) -> Column:

@@ -1,20 +1,23 @@
 """Exact top-k inner products in three phases with a uniform threshold.
 
-A score is a sum over slices of the dimensions, so each chunk of vectors holds one list of local
-scores for each slice. Phase one gathers, for every query, the best k entries of each list; the
-k-th best of their full scores is a cutoff that the answer cannot fall below. Phase two sends the
-cutoffs back with the queries: an entry can only belong to the answer if one of its m local scores
-reaches an m-th of the cutoff, and such entries are collected. Phase three resolves their scores
-exactly, and the best k remain.
-
-Queries meet vectors in blocks of bounded size: a block of queries goes to every chunk. A chunk
-returns k entries for a query at most, chosen by score and then id, so vectors that are equal
-don't multiply.
+A score is a sum over slices of the dimensions. For each query there are as many lists as slices,
+each with a local score for every vector; the lists are rows of their own, cut into chunks of
+vectors, and each phase meets them in blocks of queries.
+
+1. Gather: every list gives its k best entries. Their full scores are looked up, and the k-th best
+   of them is a cutoff that the answer cannot fall below.
+2. Collect: the cutoffs are broadcast, one number for each query, or joined if there are too many.
+   With m lists, an entry of the answer has a local score of an m-th of the cutoff at least in one
+   of them; the lists return such entries and no others.
+3. Resolve: the local scores that a collected entry still lacks are computed from its vectors, the
+   sums are compared with the cutoff, and the best k remain. The full score of an entry that no
+   list returned is never computed.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do
 rows with a null id; rows that repeat an id count once, with the smallest vector; vectors are only
-compared with those of as many components; sums are 64-bit integers. An empty table, or a query
-alone, gives no rows. Other columns are ignored.
+compared with those of as many components. Components are held at 2^62 at most and local scores at
+2^61, so only scores that large lose digits. An empty table, or a query alone, gives no rows. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,67 +27,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosegrid.llm.shared import bounded_batches, written
 
 CHUNK_ROWS, BLOCK_ROWS = 4096, 1024
 SLICES = 2
+#: Cutoffs that are broadcast, 16 bytes each; more are joined by a shuffle.
+MAX_BROADCAST_CUTOFFS = 1_000_000
 #: Below any score, for entries that don't exist or are the query itself.
 NONE = np.iinfo(np.int64).min
+LARGEST = 1 << 61
 
 
 def integer_vectors(frame: DataFrame, scale: int) -> DataFrame:
     """vec_id and v = floor(scale * x) of the vectors that take part."""
-    value = lambda x: F.lit(scale) * x.cast("double")
-    sound = F.forall("embedding", lambda x: F.coalesce(F.abs(value(x)) < 2.0**62, F.lit(False)))
+    value = lambda x: x.cast("double")
+    sound = F.forall("embedding", lambda x: F.coalesce(F.abs(value(x)) < float("inf"), F.lit(False)))
     vectors = frame.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(sound)
-    floors = F.transform("embedding", lambda x: F.floor(value(x)))
+    held = lambda x: F.greatest(F.least(F.lit(scale) * value(x), F.lit(2.0**62)), F.lit(-(2.0**62)))
+    floors = F.transform("embedding", lambda x: F.floor(held(x)))
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), floors.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-class Pair:
-    """A block of queries against a chunk of vectors."""
-
-    def __init__(self, queries: pa.StructScalar, vectors: pa.StructScalar, dim: int):
-        self.query_ids, q = _matrix(queries, dim)
-        self.ids, v = _matrix(vectors, dim)
-        exact = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(dim, 1) < 2.0**53
-        kind = np.float64 if exact else np.int64
-        cuts = [round(dim * k / SLICES) for k in range(SLICES + 1)]
-        self.local = [(q[:, a:b].astype(kind) @ v[:, a:b].astype(kind).T).astype(np.int64) for a, b in zip(cuts, cuts[1:])]
-        self.score = sum(self.local[1:], self.local[0])
-        order = np.argsort(self.ids)
-        at = np.minimum(np.searchsorted(self.ids, self.query_ids, sorter=order), len(order) - 1)
-        own = order[at]
-        self.own = np.flatnonzero(self.ids[own] == self.query_ids), own
-        self.score[self.own[0], own[self.own[0]]] = NONE
-
-    def gathered(self, k: int) -> list[np.ndarray]:
-        """For each query, up to k full scores of the entries that lead its local lists."""
-        k = min(k, len(self.ids))
-        lead = np.sort(np.concatenate([np.argpartition(-s, k - 1, axis=1)[:, :k] for s in self.local], axis=1), axis=1)
-        scores = np.take_along_axis(self.score, lead, axis=1)
-        scores[:, 1:][lead[:, 1:] == lead[:, :-1]] = NONE
-        scores = -np.sort(-scores, axis=1)[:, :k]
-        return [row[row != NONE] for row in scores]
-
-    def resolved(self, cutoffs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of queries, places of vectors and scores of the best k at or above each query's cutoff."""
-        share = -(-cutoffs // SLICES)  # a local score of that at least, rounded up
-        reached = self.local[0] >= share[:, None]
-        for s in self.local[1:]:
-            reached |= s >= share[:, None]
-        q, v = np.nonzero(reached)
-        scores = self.score[q, v]
-        enough = (scores >= cutoffs[q]) & (scores != NONE)
-        q, v, scores = q[enough], v[enough], scores[enough]
-        order = np.lexsort((self.ids[v], -scores, q))
-        q, v, scores = q[order], v[order], scores[order]
-        starts = np.searchsorted(q, np.arange(len(self.query_ids)))
-        best = np.arange(len(q)) - starts[q] < k
-        return q[best], v[best], scores[best]
+def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The inner products of two matrices' rows, each with each, exactly."""
+    most = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(v.astype(float)).max(initial=0)) * max(q.shape[1], 1)
+    if most < 2.0**53:
+        return (q.astype(float) @ v.astype(float).T).astype(np.int64)
+    if most < LARGEST:
+        return q @ v.T
+    return np.clip(q.astype(object) @ v.astype(object).T, -LARGEST, LARGEST).astype(np.int64)
+
+
+def pair_products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The inner product of each row of q with the row of v at the same place."""
+    most = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(v.astype(float)).max(initial=0)) * max(q.shape[1], 1)
+    if most < LARGEST:
+        return np.einsum("ij,ij->i", q, v)
+    return np.clip((q.astype(object) * v.astype(object)).sum(axis=1), -LARGEST, LARGEST).astype(np.int64)
+
+
+def slice_edges(dim: int) -> list[int]:
+    return [dim * n // SLICES for n in range(SLICES + 1)]
 
 
 def _matrix(rows: pa.StructScalar, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,45 +80,150 @@ def _matrix(rows: pa.StructScalar, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return ids.to_numpy(zero_copy_only=False), v.to_numpy(zero_copy_only=False).reshape(len(ids), dim)
 
 
+def _own(query_ids: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a query meets itself."""
+    order = np.argsort(ids)
+    at = order[np.minimum(np.searchsorted(ids, query_ids, sorter=order), len(order) - 1)]
+    own = np.flatnonzero(ids[at] == query_ids)
+    return own, at[own]
+
+
+def local_scores(queries: pa.StructScalar, entries: pa.StructScalar, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of a block's queries and of a chunk's entries, and their scores in one list; a query's own entry has none."""
+    query_ids, q = _matrix(queries, dim)
+    ids, v = _matrix(entries, dim)
+    scores = products(q, v)
+    scores[_own(query_ids, ids)] = NONE
+    return query_ids, ids, scores
+
+
+class Search:
+    """The three phases over one table of vectors."""
+
+    def __init__(self, frame: DataFrame, queries: str, k: int, scale: int):
+        spark = frame.sparkSession
+        bounded_batches(spark)
+        self.k = k
+        self.vectors = written(spark, integer_vectors(frame, scale).withColumn("dim", F.size("v")), "vectors")
+        n, self.n_queries = self.vectors.agg(F.count("*"), F.count_if(F.expr(queries))).first()
+        self.n_chunks, n_blocks = max(1, math.ceil(n / CHUNK_ROWS)), max(1, math.ceil(self.n_queries / BLOCK_ROWS))
+        place = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+        chunks = self.vectors.groupBy("dim", place(self.n_chunks).alias("chunk")).agg(F.collect_list(F.struct("vec_id", "v")).alias("vectors"))
+        self.chunks = written(spark, chunks, "chunks")
+        self.asking = self.vectors.where(queries).withColumn("block", place(n_blocks))
+
+    def _blocks(self, asking: DataFrame, *more: str) -> DataFrame:
+        return asking.groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "v", *more)).alias("queries"))
+
+    def _lists(self, blocks: DataFrame, *more: str) -> DataFrame:
+        """slice, width, chunk, block, queries and entries: each block beside each chunk of each list."""
+
+        def rows(name: str, *others: str) -> Column:
+            def of(n: int) -> Column:
+                low, high = F.expr(f"dim * {n} div {SLICES}").cast("int"), F.expr(f"dim * {n + 1} div {SLICES}").cast("int")
+                some = F.transform(name, lambda x: F.struct(x["vec_id"].alias("vec_id"), F.slice(x["v"], low + 1, high - low).alias("v"), *(x[o].alias(o) for o in others)))
+                return F.struct(F.lit(n).alias("slice"), (high - low).alias("width"), some.alias("rows"))
+
+            return F.explode(F.array(*map(of, range(SLICES)))).alias("list")
+
+        asked = blocks.select("dim", "block", rows("queries", *more)).select("dim", "block", "list.slice", F.col("list.rows").alias("queries"))
+        asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(self.n_chunks - 1))))
+        entries = self.chunks.select("dim", "chunk", rows("vectors")).select("dim", "chunk", "list.slice", "list.width", F.col("list.rows").alias("entries"))
+        return asked.join(entries, ["dim", "chunk", "slice"]).select("dim", "slice", "width", "chunk", "block", "queries", "entries")
+
+    def cutoffs(self) -> DataFrame:
+        """query_id and cutoff: the k-th best full score among the leaders of the query's lists, null if there are fewer."""
+        k = self.k
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, number, width, chunk, _, q, v in zip(*batch.columns):
+                    query_ids, ids, scores = local_scores(q, v, width.as_py())
+                    some = min(k, len(ids))
+                    lead = np.argpartition(-scores, some - 1, axis=1)[:, :some]
+                    locals_ = np.take_along_axis(scores, lead, axis=1)
+                    best = [[{"local": s, "vec_id": i} for s, i in zip(row, ids[at].tolist()) if s != NONE] for row, at in zip(locals_.tolist(), lead)]
+                    kind = pa.list_(pa.struct([("local", pa.int64()), ("vec_id", pa.int64())]))
+                    fixed = lambda x: pa.array(np.full(len(best), x.as_py(), np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(query_ids), fixed(number), fixed(chunk), pa.array(best, kind)], ["query_id", "slice", "chunk", "best"])
+
+        gathered = self._lists(self._blocks(self.asking)).mapInArrow(gather, "query_id long, slice int, chunk int, best array<struct<local: long, vec_id: long>>")
+        best = lambda: F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, k).alias("best")
+        some = gathered.groupBy("query_id", "slice", F.pmod("chunk", F.lit(math.isqrt(self.n_chunks) + 1)).alias("chunk")).agg(best())
+        leaders = some.groupBy("query_id", "slice").agg(best()).select("query_id", F.explode("best.vec_id").alias("vec_id")).distinct()
+
+        @F.arrow_udf("long")
+        def score(queries: pa.Array, entries: pa.Array) -> pa.Array:
+            sizes = {len(x) for x in queries}
+            if len(sizes) == 1:
+                shape = (len(queries), sizes.pop())
+                return pa.array(pair_products(*(x.flatten().to_numpy(zero_copy_only=False).reshape(shape) for x in (queries, entries))))
+            whole = [np.array([x.as_py()], np.int64).reshape(1, -1) for x in (*queries, *entries)]
+            return pa.array([int(pair_products(q, v)[0]) for q, v in zip(whole[: len(queries)], whole[len(queries) :])], pa.int64())
+
+        met = leaders.join(self.vectors.select("vec_id", "v"), "vec_id").join(self.asking.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+        scored = met.select("query_id", score("q", "v").alias("score"))
+        ranked = F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1))  # of SLICES * k scores at most
+        return scored.groupBy("query_id").agg(ranked.alias("cutoff"))
+
+    def collected(self, cutoffs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The blocks with their cutoffs, and the collected entries: dim, block, chunk, slice and the places of queries and entries with their local scores."""
+
+        def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for dim, number, width, chunk, block, q, v in zip(*batch.columns):
+                    _, _, scores = local_scores(q, v, width.as_py())
+                    share = -(-q.values.field("cutoff").to_numpy(zero_copy_only=False) // SLICES)  # rounded up
+                    at, found = np.nonzero((scores >= share[:, None]) & (scores != NONE))
+                    lists = [pa.array([x], pa.list_(t)) for x, t in ((at.astype(np.int32), pa.int32()), (found.astype(np.int32), pa.int32()), (scores[at, found], pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([pa.array([x.as_py()], pa.int32()) for x in (dim, block, chunk, number)] + lists, ["dim", "block", "chunk", "slice", "queries", "entries", "local"])
+
+        known = cutoffs.select(F.col("query_id").alias("vec_id"), "cutoff")
+        known = F.broadcast(known) if self.n_queries <= MAX_BROADCAST_CUTOFFS else known
+        told = self.asking.join(known, "vec_id", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(-(1 << 62))))
+        blocks = written(self.vectors.sparkSession, self._blocks(told, "cutoff"), "blocks")
+        kind = "dim int, block int, chunk int, slice int, queries array<int>, entries array<int>, local array<long>"
+        return blocks, self._lists(blocks, "cutoff").mapInArrow(collect, kind)
+
+    def resolved(self, blocks: DataFrame, collected: DataFrame) -> DataFrame:
+        """query_id, vec_id and score of the collected entries that reach the cutoff, k of a chunk for a query at most."""
+        k = self.k
+
+        def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for dim, asked, vectors, lists in zip(*batch.columns):
+                    query_ids, q = _matrix(asked, dim.as_py())
+                    ids, v = _matrix(vectors, dim.as_py())
+                    edges = slice_edges(dim.as_py())
+                    number = lists.values.field("slice").to_numpy(zero_copy_only=False)
+                    sizes = [len(x) for x in lists.values.field("local")]
+                    flat = {c: lists.values.field(c).flatten().to_numpy(zero_copy_only=False) for c in ("queries", "entries", "local")}
+                    pairs, place = np.unique(flat["queries"].astype(np.int64) * len(ids) + flat["entries"], return_inverse=True)
+                    at, found = pairs // len(ids), pairs % len(ids)
+                    scores = np.zeros(len(pairs), np.int64)
+                    of = np.repeat(number, sizes)
+                    for n in range(SLICES):
+                        told = np.zeros(len(pairs), bool)
+                        told[place[of == n]] = True
+                        scores[place[of == n]] += flat["local"][of == n]
+                        rest = np.flatnonzero(~told)
+                        a, b = edges[n], edges[n + 1]
+                        scores[rest] += pair_products(q[at[rest], a:b], v[found[rest], a:b])
+                    enough = scores >= asked.values.field("cutoff").to_numpy(zero_copy_only=False)[at]
+                    at, found, scores = at[enough], found[enough], scores[enough]
+                    order = np.lexsort((ids[found], -scores, at))
+                    at, found, scores = at[order], found[order], scores[order]
+                    best = np.arange(len(at)) - np.searchsorted(at, np.arange(len(query_ids)))[at] < k
+                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[at[best]]), pa.array(ids[found[best]]), pa.array(scores[best])], ["query_id", "vec_id", "score"])
+
+        lists = collected.where(F.size("local") > 0).groupBy("dim", "block", "chunk").agg(F.collect_list(F.struct("slice", "queries", "entries", "local")).alias("lists"))
+        met = lists.join(self.chunks, ["dim", "chunk"]).join(blocks.withColumnRenamed("queries", "asked"), ["dim", "block"])
+        return met.select("dim", "asked", "vectors", "lists").mapInArrow(resolve, "query_id long, vec_id long, score long")
+
+
 def top_k(frame: DataFrame, queries: str, k: int = 20, scale: int = 64) -> DataFrame:
     """query_id, rank from 1, vec_id and score; queries is a condition on vec_id, such as ``vec_id % 20 = 0``."""
-    spark = frame.sparkSession
-    bounded_batches(spark)
-    vectors = written(spark, integer_vectors(frame, scale).withColumn("dim", F.size("v")), "vectors")
-    n, asked = vectors.agg(F.count("*"), F.count_if(F.expr(queries))).first()
-    n_chunks, n_blocks = max(1, math.ceil(n / CHUNK_ROWS)), max(1, math.ceil(asked / BLOCK_ROWS))
-    place = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    chunks = vectors.groupBy("dim", place(n_chunks).alias("chunk")).agg(F.collect_list(F.struct("vec_id", "v")).alias("vectors"))
-    chunks = written(spark, chunks, "chunks")
-    asking = vectors.where(queries).withColumn("block", place(n_blocks))
-
-    def met(rows: DataFrame, *columns: str) -> DataFrame:
-        """Blocks of the asking rows beside each chunk of their dimension."""
-        blocks = rows.groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "v", *columns)).alias("queries"))
-        everywhere = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-        return everywhere.join(chunks, ["dim", "chunk"]).select("dim", "chunk", "queries", "vectors")
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for dim, chunk, q, v in zip(*batch.columns):
-                pair = Pair(q, v, dim.as_py())
-                best = pa.array([row.tolist() for row in pair.gathered(k)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(pair.query_ids), pa.array(np.full(len(best), chunk.as_py(), np.int32)), best], ["query_id", "chunk", "best"])
-
-    best = lambda: F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, k).alias("best")
-    lists = met(asking).mapInArrow(gather, "query_id long, chunk int, best array<long>")
-    some = lists.groupBy("query_id", F.pmod("chunk", F.lit(math.isqrt(n_chunks) + 1)).alias("chunk")).agg(best())
-    cutoffs = some.groupBy("query_id").agg(best()).select(F.col("query_id").alias("vec_id"), F.get("best", F.lit(k - 1)).alias("cutoff"))
-    asking = asking.join(cutoffs, "vec_id", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(-(1 << 62))))
-
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for dim, _, q, v in zip(*batch.columns):
-                pair = Pair(q, v, dim.as_py())
-                cutoffs = q.values.field("cutoff").to_numpy(zero_copy_only=False)
-                at, found, scores = pair.resolved(cutoffs, k)
-                yield pa.RecordBatch.from_arrays([pa.array(pair.query_ids[at]), pa.array(pair.ids[found]), pa.array(scores)], ["query_id", "vec_id", "score"])
-
-    entries = met(asking, "cutoff").mapInArrow(resolve, "query_id long, vec_id long, score long")
+    search = Search(frame, queries, k, scale)
+    entries = search.resolved(*search.collected(search.cutoffs()))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return entries.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

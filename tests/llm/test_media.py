@@ -56,24 +56,40 @@ def test_round_trip(spark, texts, tmp_path):
         assert r.feature.startswith("mean=")
 
 
-def test_shared_chunks_are_kept_once(spark, texts):
+def test_each_chunk_is_kept_once(spark, texts):
     store = media.MediaStore(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
     files = {media.sound_file(media.payload((t or "").encode())) for t in texts}
-    held = {}
+    distinct = set()
     for file in files:
         ends = media.cuts(file)
-        for a, b in zip([0, *ends], ends):
-            held.setdefault(file[a:b], set()).add(file)
-    several = {chunk: by for chunk, by in held.items() if len(by) > 1}
-    assert store.shared.count() == len(several) > 2
-    kept_by_others = sum(len(by) - 1 for by in several.values())
-    assert store.foreign.dropDuplicates(["media_sha", "digest"]).count() == kept_by_others
+        distinct |= {file[a:b] for a, b in zip([0, *ends], ends)}
+    held = [bytes(r.chunk) for part in (store.own, store.shared) for r in part.collect()]
+    assert len(held) == len(distinct) and set(held) == distinct
+    assert store.shared.count() > 2
     assert {bytes(r.media) for r in store.read_back().collect()} == files
 
 
-def test_shuffled_store(spark, texts):
-    store = media.MediaStore(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), shuffled=True)
+@pytest.mark.parametrize("part", ["own", "shared"])
+def test_missing_or_altered_chunks_fail(spark, texts, part):
+    store = media.MediaStore(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    whole = getattr(store, part)
+    victim = whole.agg(F.min("digest")).first()[0]
+    setattr(store, part, whole.where(F.col("digest") != F.lit(bytes(victim))))
+    with pytest.raises(Exception, match="a chunk is missing"):
+        store.read_back().collect()
+    setattr(store, part, whole.withColumn("chunk", F.when(F.col("digest") == F.lit(bytes(victim)), F.encode(F.lit("other"), "UTF-8")).otherwise(F.col("chunk"))))
+    with pytest.raises(Exception, match="a chunk doesn't match its digest"):
+        store.read_back().collect()
+
+
+@pytest.mark.parametrize("bits, lane", [(64, 20_000), (1 << 26, 2)])
+def test_full_map_and_many_lanes(spark, texts, monkeypatch, bits, lane):
+    """A map that says maybe to every chunk, and chunks that are dealt into lanes."""
+    monkeypatch.setattr(media, "MAP_BITS", bits)
+    monkeypatch.setattr(media, "LANE", lane)
+    store = media.MediaStore(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
     assert {bytes(r.media) for r in store.read_back().collect()} == {media.sound_file(media.payload((t or "").encode())) for t in texts}
+    assert store.shared.count() == store.shared.select("digest").distinct().count()
 
 
 def test_empty(spark, tmp_path):

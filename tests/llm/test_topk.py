@@ -32,6 +32,29 @@ def test_against_brute_force(spark, monkeypatch, chunk, block):
     assert sorted(map(tuple, found.collect())) == brute(rows, 20, 20)
 
 
+def test_only_entries_that_reach_their_share_are_collected(spark):
+    """An entry is collected from a list exactly if its local score is half of the query's cutoff at least; others are never resolved."""
+    rng = np.random.default_rng(9)
+    rows = {i: rng.normal(size=8).round(3).tolist() for i in range(600)}
+    ints = {i: np.floor(64 * np.float32(v).astype(float)).astype(int) for i, v in rows.items()}
+    search = topk.Search(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<float>"), "vec_id % 20 = 0", 20, 64)
+    cutoffs = search.cutoffs()
+    cutoff = {r.query_id: r.cutoff for r in cutoffs.collect()}
+    for q, least in cutoff.items():
+        best = sorted((int(ints[q] @ v) for i, v in ints.items() if i != q), reverse=True)
+        assert least <= best[19]
+    _, collected = search.collected(cutoffs)
+    n = sum(len(r.local) for r in collected.collect())
+    reached = sum(2 * int(ints[q][a : a + 4] @ v[a : a + 4]) >= least for q, least in cutoff.items() for i, v in ints.items() for a in (0, 4) if i != q)
+    assert n == reached < 0.15 * 2 * len(cutoff) * 599
+
+
+def test_huge_components_take_part(spark):
+    rows = [(0, [1.0, 0.5]), (1, [3e38, 0.0]), (2, [-3e38, 1.0]), (3, [0.0, 2.0])]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id % 20 = 0", 20).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [1, 3, 2]
+
+
 def test_few_or_no_rows(spark):
     schema = "vec_id long, embedding array<float>"
     assert topk.top_k(spark.createDataFrame([], schema), "vec_id % 20 = 0").collect() == []
