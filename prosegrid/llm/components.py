@@ -1,4 +1,4 @@
-"""Connected components of a link table, by label propagation with pointer jumping."""
+"""Connected components of a link table, by label propagation with pointer jumping, and what ties them to documents."""
 
 from __future__ import annotations
 
@@ -30,3 +30,17 @@ def components(links: DataFrame) -> DataFrame:
         if not labels.where("label <> old").limit(1).count():
             discard(arcs)
             return labels.select("node", "label")
+
+
+def same_document(rows: DataFrame, node: str) -> DataFrame:
+    """Links (a, b) between the nodes of rows that repeat a doc_id; a null doc_id ties nothing."""
+    pairs = rows.where("doc_id is not null").select("doc_id", node).distinct()
+    first = pairs.groupBy("doc_id").agg(F.min(node).alias("a"), F.max(node).alias("last")).where("a <> last").select("doc_id", "a")
+    return pairs.join(first, "doc_id").where(F.col(node) != F.col("a")).select("a", F.col(node).alias("b"))
+
+
+def smallest_documents(nodes: DataFrame, node: str, labels: DataFrame) -> DataFrame:
+    """node and component_id, the smallest doc_id of its component, null if no row of it has one. nodes: node and doc, its smallest doc_id."""
+    known = nodes.select(node, "doc").join(labels.select(F.col("node").alias(node), "label"), node, "left").select(node, "doc", F.coalesce("label", node).alias("label"))
+    whole = known.groupBy("label").agg(F.min("doc").alias("component_id"))
+    return known.join(whole, "label").select(node, "component_id")

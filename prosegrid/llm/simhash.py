@@ -11,8 +11,8 @@ pairs, so no link between components is lost and none is repeated.
 
 Defined results: a null or blank text has the fingerprint zero, linked like any other; a text of
 fewer words than a shingle is one shingle; repeated rows and rows that repeat a doc_id are linked
-through it; an empty table gives an empty result. A row with a null doc_id gets the component of
-its fingerprint. Other columns are ignored.
+through it; an empty table gives an empty result. A row with a null doc_id links others like any
+row; its component_id is null where no row that it reaches has a doc_id. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.components import components
+from prosegrid.llm.components import components, same_document, smallest_documents
 from prosegrid.llm.shared import bounded_batches, written
 
 SHINGLE_WORDS = 3
@@ -134,8 +134,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     prints = written(spark, fingerprints(docs, words), "fingerprints")
-    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
-    nodes = written(spark, nodes, "nodes")
-    labels = components(links(nodes.where("node is not null")))
-    known = nodes.join(labels, "node", "left").select("fingerprint", F.coalesce("label", "node").alias("component_id"))
+    nodes = written(spark, prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc")), "nodes")
+    labels = components(links(nodes.withColumn("node", F.col("fingerprint"))).unionAll(same_document(prints, "fingerprint")))
+    known = smallest_documents(nodes, "fingerprint", labels)
     return prints.join(known, "fingerprint").select("doc_id", "fingerprint", "component_id")

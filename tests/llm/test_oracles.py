@@ -4,7 +4,13 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from prosegrid.llm import queries, simhash
+from prosegrid.llm import queries
+
+def shingle_set(text):
+    """The text's runs of five words."""
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(len(words), 1)))}
+
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,10 +39,10 @@ def test_pipeline(spark):
     after = docs.where(docs.doc_id.isin(sorted(kept)))
     spoken = corpus_pipeline.language(spark, after, SF)
     assert spoken.columns == docs.columns and {r.doc_id for r in spoken.collect()} == kept
-    prints = {i: simhash.simhash(rows[i].text.encode()) for i in kept}
+    shingles = {i: shingle_set(rows[i].text) for i in kept}
     root = {}
     for i in sorted(kept):
-        near = {root[j] for j in root if (prints[i] ^ prints[j]).bit_count() <= 3}
+        near = {root[j] for j in root if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])}
         root |= {j: min(near) for j in root if root[j] in near} | {i: min(near | {i})}
     left = {i for i in kept if root[i] == i}
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, after, SF).collect()} == left

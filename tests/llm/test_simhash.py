@@ -73,3 +73,26 @@ def test_empty_and_null_ids(spark):
     assert simhash.near_duplicates(empty).collect() == []
     rows = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (None, "other words are here")], "doc_id long, text string")
     assert sorted(str(r.component_id) for r in simhash.near_duplicates(rows).collect()) == ["5", "5", "5", "None"]
+
+
+def test_links_through_repeated_and_missing_ids(spark, monkeypatch):
+    """Fingerprints stand for texts here: rows that repeat a doc_id tie theirs, and a row without one ties its neighbours."""
+
+    def component(rows):
+        frame = spark.createDataFrame(rows, "doc_id long, fingerprint long")
+        monkeypatch.setattr(simhash, "fingerprints", lambda docs, words: frame)
+        return [(r.doc_id, r.component_id) for r in simhash.near_duplicates(frame).orderBy("doc_id", "fingerprint").collect()]
+
+    a, b = 0x0F0F0F0F0F0F0F0F, 0x3333333333333333
+    assert component([(3, a), (5, a), (5, b), (9, b)]) == [(3, 3), (5, 3), (5, 3), (9, 3)]
+    assert component([(1, 0), (None, 0b111), (2, 0b111111)]) == [(None, 1), (1, 1), (2, 1)]
+    assert component([(None, a), (None, b), (7, 0)]) == [(None, None), (None, None), (7, 7)]
+
+
+def test_long_text(spark):
+    rng = np.random.default_rng(4)
+    text = " ".join(f"w{n}" for n in rng.integers(0, 5000, 120_000))
+    docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, "short")], "doc_id long, text string")
+    found = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    assert found[1].fingerprint & (1 << 64) - 1 == plain_print(text)
+    assert (found[2].component_id, found[3].component_id) == (1, 3)
