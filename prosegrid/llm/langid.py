@@ -8,15 +8,25 @@ Four kinds of evidence about a document's language are multiplied:
 * the prior of its host, smoothed towards that of the host's suffix, which is smoothed towards
   that of the whole table.
 
+A language is a declared value with ``MIN_DOCUMENTS`` documents and ``MIN_TRIGRAMS`` trigrams at
+least, whatever its share of the table. One more, OUTSIDE, stands for all others: any trigram is as
+likely in it as any other, so noise and languages that no model was learned from fit it best. A
+declared value without enough text is no language; its documents get whichever fits. Of more than
+``MAX_LANGUAGES`` the ones with the most text are modelled and the rest fall to OUTSIDE.
+
 Trigram counts, declarations, suffixes and priors are grouped aggregations over all documents; what
-comes back to the driver is bounded by the number of languages, not of documents. A language is a
-declared value that ``MIN_SHARE`` of the declaring documents have at least. Priors are joined by
-host, broadcast while there are few enough hosts and by a shuffle beyond.
+comes back to the driver is bounded by the number of languages, not of documents, hosts or
+suffixes. Priors are joined by host and suffix, broadcast while there are few enough and by a
+shuffle beyond.
+
+A document's share is the part of its text, by stretches of STRETCH trigrams, that is in its
+language on its own; texts of mixed languages have a low one.
 
 Defined results: a null text is an empty one and says nothing; a null declaration or address says
-nothing, and an unheard-of host has its suffix's prior; where nothing is declared anywhere, the
-language is null and every document is kept; ties go to the first language by name; an empty table
-gives an empty result. Columns other than those read pass through.
+nothing, and an unheard-of host has its suffix's prior; a text of one stretch or less has share 1;
+where no language is declared often enough, language is null and posterior and share are 1; ties
+go to the first language by name; an empty table gives an empty result. Columns other than those
+read pass through.
 """
 
 from __future__ import annotations
@@ -32,13 +42,18 @@ from pyspark.sql import functions as F
 from prosegrid.llm.shared import bounded_batches, written
 
 BUCKETS = 1 << 15
-MIN_SHARE = 0.01
+MIN_DOCUMENTS, MIN_TRIGRAMS = 3, 1000
+MAX_LANGUAGES = 256
+#: The language of texts that no language was learned from.
+OUTSIDE = "und"
 #: Power to which the likelihood of a trigram is raised.
 TEMPER = 0.15
 #: Pseudo-counts: of a trigram, of a declaration or suffix, of a parent's prior.
 TRIGRAM, TOLD, PARENT = 0.5, 1.0, 20.0
-#: Hosts whose priors are broadcast; beyond, they are joined by a shuffle.
-MAX_BROADCAST_HOSTS = 100_000
+#: Hosts or suffixes whose priors are broadcast, about 60 bytes each and 8 for each language; beyond, they are joined by a shuffle.
+MAX_BROADCAST_CELLS = 1_000_000
+#: Trigrams of a stretch, and bytes of a text that are looked at in one go.
+STRETCH, BLOCK = 512, 1 << 18
 #: The column of results; it and its working columns have names that no table has.
 RESULT = "_langid_result"
 #: Languages whose counts a task holds before it hands them on.
@@ -53,16 +68,54 @@ def trigrams(text: bytes | None) -> np.ndarray:
     return (((b[:-2] * 961 + b[1:-1] * 31 + b[2:]) * 2654435761 & 0xFFFFFFFF) >> 17).astype(np.int64)
 
 
+def blocks(text: bytes | None) -> Iterator[np.ndarray]:
+    """The trigrams block by block; none is lost between blocks."""
+    text = text or b""
+    for at in range(0, max(len(text) - 2, 0), BLOCK):
+        yield trigrams(text[at : at + BLOCK + 2])
+
+
 @dataclass
 class Model:
-    languages: list[str]
+    languages: list[str]  # OUTSIDE is the last
     trigram: np.ndarray  # log likelihoods, a row for each bucket
     declared: dict[str, np.ndarray]
-    suffix: dict[str, np.ndarray]
-    whole: np.ndarray  # prior of the whole table
 
-    def likelihood(self, text: bytes | None) -> np.ndarray:
-        return TEMPER * self.trigram[trigrams(text)].sum(axis=0)
+    def heard(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log likelihood of the text by language, and for each of its stretches its best language and its size."""
+        likely, best, sizes = np.zeros(len(self.languages)), [], []
+        for found in blocks(text):
+            starts = np.arange(0, len(found), STRETCH)
+            if len(starts) > 1 and len(found) - starts[-1] < STRETCH // 2:
+                starts = starts[:-1]  # a short rest belongs to the stretch before it
+            by = np.add.reduceat(self.trigram[found], starts, axis=0)
+            likely += by.sum(axis=0)
+            best.append(by.argmax(axis=1))
+            sizes.append(np.diff(starts, append=len(found)))
+        none = np.empty(0, np.int64)
+        return TEMPER * likely, np.concatenate(best or [none]), np.concatenate(sizes or [none])
+
+    def fused(self, text: bytes | None, declared: str | None, suffix: np.ndarray | None, prior: np.ndarray) -> tuple[str, float, str | None, float]:
+        """Language, posterior, the language by the text alone, and the share of the text in the language."""
+        heard, best, sizes = self.heard(text)
+        odds = heard + prior
+        if declared is not None:
+            odds = odds + self.declared.get(declared if declared in self.languages else OUTSIDE, 0.0)
+        if suffix is not None:
+            odds = odds + suffix
+        first = int(odds.argmax())
+        share = float(sizes[best == first].sum() / sizes.sum()) if len(sizes) > 1 else 1.0
+        return self.languages[first], float(1 / np.exp(odds - odds[first]).sum()), self.languages[int(heard.argmax())] if len(sizes) else None, share
+
+
+@dataclass
+class Fitted:
+    """The model, and what tables tell: log priors of hosts; evidence and log priors of suffixes; the log prior of the whole."""
+
+    model: Model
+    hosts: DataFrame
+    suffixes: DataFrame
+    whole: np.ndarray
 
 
 def _trigram_counts(docs: DataFrame) -> DataFrame:
@@ -81,19 +134,19 @@ def _trigram_counts(docs: DataFrame) -> DataFrame:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
                 if lang not in held and len(held) >= HELD:
                     yield from handed()
-                found = trigrams(text.as_py())
                 if lang not in held:
                     held[lang] = np.zeros(BUCKETS, np.int64)
-                if len(found):
-                    held[lang] += np.bincount(found, minlength=BUCKETS) if len(found) > 4096 else 0
-                    if len(found) <= 4096:
+                for found in blocks(text.as_py()):
+                    if len(found) > 4096:
+                        held[lang] += np.bincount(found, minlength=BUCKETS)
+                    else:
                         np.add.at(held[lang], found, 1)
         yield from handed()
 
     return docs.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def _told(counts: dict[tuple[str, str], int], languages: list[str]) -> dict[str, np.ndarray]:
+def told_by(counts: dict[tuple[str, str], int], languages: list[str]) -> dict[str, np.ndarray]:
     """For each told value, the log of how likely each language is to tell it."""
     values = sorted({v for v, _ in counts})
     table = np.full((len(values), len(languages)), TOLD)
@@ -104,78 +157,89 @@ def _told(counts: dict[tuple[str, str], int], languages: list[str]) -> dict[str,
 
 def _evidence(declared: str, host: str | None, suffix: str | None) -> list[Column]:
     name = lambda column: (F.col(column) if column else F.lit(None)).cast("string")
-    return [F.col("text").cast("binary").alias("_text"), name(declared).alias("_declared"), name(host).alias("_host"), name(suffix).alias("_suffix")]
+    told = F.nullif(name(declared), F.lit(OUTSIDE))
+    return [F.col("text").cast("binary").alias("_text"), told.alias("_declared"), name(host).alias("_host"), name(suffix).alias("_suffix")]
 
 
-def fit(docs: DataFrame, declared: str = "lang", host: str | None = None, suffix: str | None = None) -> tuple[Model | None, DataFrame | None]:
-    """A model, and the log priors of hosts: _host, _suffix and _prior (an array by language)."""
-    bounded_batches(docs.sparkSession)
+def fit(docs: DataFrame, declared: str = "lang", host: str | None = None, suffix: str | None = None) -> Fitted | None:
+    """The model and its tables, or None where no language is declared often enough."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(*_evidence(declared, host, suffix))
-    shares = rows.where("_declared is not null").groupBy("_declared").count().where("count > 0")
-    total = shares.agg(F.sum("count")).first()[0] or 0
-    languages = sorted(r[0] for r in shares.where(F.col("count") >= MIN_SHARE * total).collect())  # 1 / MIN_SHARE at most
-    if not languages:
-        return None, None
-    spoken = rows.where(F.col("_declared").isin(languages)).select(F.col("_declared").alias("lang"), F.col("_text").alias("text"))
-    counts = np.full((BUCKETS, len(languages)), TRIGRAM)
+    told = rows.where("_declared is not null").groupBy("_declared").agg(F.count_if(F.octet_length("_text") > 2).alias("docs"), F.sum(F.greatest(F.octet_length("_text") - 2, F.lit(0))).alias("size"))
+    enough = told.where((F.col("docs") >= MIN_DOCUMENTS) & (F.col("size") >= MIN_TRIGRAMS)).orderBy(F.desc("size"), "_declared").limit(MAX_LANGUAGES)
+    known = sorted(r["_declared"] for r in enough.collect())
+    if not known:
+        return None
+    languages = [*known, OUTSIDE]
+    spoken = rows.where(F.col("_declared").isin(known)).select(F.col("_declared").alias("lang"), F.col("_text").alias("text"))
+    counts = np.full((BUCKETS, len(known)), TRIGRAM)
     grams = _trigram_counts(spoken).toPandas()  # BUCKETS rows for each language at most
-    counts[grams.bucket, grams.lang.map({x: n for n, x in enumerate(languages)})] += grams.n
-    model = Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32), {}, {}, np.log(np.full(len(languages), 1 / len(languages))))
+    counts[grams.bucket, grams.lang.map({x: n for n, x in enumerate(known)})] += grams.n
+    likely = np.column_stack([np.log(counts / counts.sum(axis=0)), np.full(BUCKETS, -np.log(BUCKETS))])
+    model = Model(languages, likely.astype(np.float32), {})
 
     @F.arrow_udf("string")
     def spoken_by(texts: pa.Array) -> pa.Array:
-        scores = [model.likelihood(t.as_py()) for t in texts]
-        return pa.array([languages[int(s.argmax())] if s.any() else None for s in scores], pa.string())
+        found = [model.heard(t.as_py()) for t in texts]
+        return pa.array([languages[int(heard.argmax())] if len(sizes) else None for heard, _, sizes in found], pa.string())
 
-    seen = rows.select("_declared", "_host", "_suffix", spoken_by("_text").alias("_spoken")).groupBy("_declared", "_host", "_suffix", "_spoken").agg(F.count("*").alias("n"))
-    seen = written(docs.sparkSession, seen.where("_spoken is not null"), "seen")
-    for column, into in (("_declared", "declared"), ("_suffix", "suffix")):
-        known = F.when(F.col(column).isin(languages) if into == "declared" else F.lit(True), F.col(column)).otherwise("other")
-        told = seen.where(F.col(column).isNotNull()).groupBy(known.alias("value"), "_spoken").agg(F.sum("n").alias("n"))
-        told = told.orderBy(F.desc("n"), "value", "_spoken").limit(10_000).collect()  # suffixes are few; rarer ones say nothing
-        setattr(model, into, _told({(r["value"], r["_spoken"]): r["n"] for r in told}, languages))
+    seen = rows.select("_declared", "_host", "_suffix", spoken_by("_text").alias("_spoken")).where("_spoken is not null").groupBy("_declared", "_host", "_suffix", "_spoken").agg(F.count("*").alias("n"))
+    seen = written(spark, seen, "seen")
+    value = F.when(F.col("_declared").isin(known), F.col("_declared")).otherwise(OUTSIDE)
+    pairs = seen.where("_declared is not null").groupBy(value.alias("value"), "_spoken").agg(F.sum("n").alias("n")).collect()  # languages squared at most
+    model.declared = told_by({(r["value"], r["_spoken"]): r["n"] for r in pairs}, languages)
 
     by_language = F.array(*(F.coalesce(F.sum(F.when(F.col("_spoken") == x, F.col("n"))), F.lit(0)).cast("double") for x in languages))
+    logs = lambda c: F.transform(c, lambda p: F.log(p))
     smoothed = lambda own, parent: F.transform(F.arrays_zip(own.alias("n"), parent.alias("p")), lambda x: (x["n"] + PARENT * x["p"]) / (F.aggregate(own, F.lit(0.0), lambda a, b: a + b) + PARENT))
-    whole = seen.agg(by_language.alias("n")).first()
-    share = (np.array(whole["n"], float) + 1) / (sum(whole["n"]) + len(languages))
-    model.whole = np.log(share)
-    of_suffix = seen.groupBy("_suffix").agg(by_language.alias("n")).select("_suffix", smoothed(F.col("n"), F.array(*map(F.lit, share.tolist()))).alias("parent"))
+    numbers = lambda a: F.array(*map(F.lit, a.tolist()))
+    whole = np.array(seen.agg(by_language.alias("n")).first()["n"])
+    share = (whole + 1) / (whole.sum() + len(languages))
+    of_suffix = seen.groupBy("_suffix").agg(by_language.alias("n")).withColumn("parent", smoothed(F.col("n"), numbers(share)))
+    named = of_suffix.where("_suffix is not null")
+    n_suffixes, *totals = named.agg(F.count("*"), *(F.coalesce(F.sum(F.get("n", F.lit(i))), F.lit(0.0)) for i in range(len(languages)))).first()
+    told = F.transform(F.arrays_zip(F.col("n").alias("n"), numbers(np.array(totals) + TOLD * (n_suffixes + 1)).alias("all")), lambda x: F.log((x["n"] + TOLD) / x["all"]))
+    suffixes = written(spark, named.select("_suffix", told.alias("_told"), logs("parent").alias("_parent")), "suffixes")
     of_host = seen.where("_host is not null").groupBy("_host", "_suffix").agg(by_language.alias("own"))
-    priors = of_host.join(of_suffix, of_host["_suffix"].eqNullSafe(of_suffix["_suffix"])).select("_host", of_host["_suffix"], smoothed(F.col("own"), F.col("parent")).alias("p"))
-    priors = priors.select("_host", "_suffix", F.transform("p", lambda p: F.log(p)).alias("_prior"))
-    return model, written(docs.sparkSession, priors, "priors")
+    hosts = of_host.join(of_suffix, of_host["_suffix"].eqNullSafe(of_suffix["_suffix"])).select("_host", of_host["_suffix"], logs(smoothed(F.col("own"), F.col("parent"))).alias("_prior"))
+    return Fitted(model, written(spark, hosts, "hosts"), suffixes, np.log(share))
 
 
-def identify(docs: DataFrame, model: Model | None, priors: DataFrame | None, declared: str = "lang", host: str | None = None, suffix: str | None = None) -> DataFrame:
-    """The documents with a struct RESULT: language, posterior and text_language."""
-    if model is None:
-        nothing = F.struct(F.lit(None).cast("string").alias("language"), F.lit(1.0).alias("posterior"), F.lit(None).cast("string").alias("text_language"))
+def identify(docs: DataFrame, fitted: Fitted | None, declared: str = "lang", host: str | None = None, suffix: str | None = None) -> DataFrame:
+    """The documents with a struct RESULT: language, posterior, text_language and share."""
+    if fitted is None:
+        nothing = F.struct(F.lit(None).cast("string").alias("language"), F.lit(1.0).alias("posterior"), F.lit(None).cast("string").alias("text_language"), F.lit(1.0).alias("share"))
         return docs.withColumn(RESULT, nothing)
-    languages = model.languages
-    kinds = pa.struct([("language", pa.string()), ("posterior", pa.float64()), ("text_language", pa.string())])
-
-    @F.arrow_udf("language string, posterior double, text_language string")
-    def fuse(texts: pa.Array, declarations: pa.Array, suffixes: pa.Array, hosts: pa.Array) -> pa.Array:
-        rows = []
-        for text, told, at, prior in zip(texts, declarations.to_pylist(), suffixes.to_pylist(), hosts.to_pylist()):
-            heard = model.likelihood(text.as_py())
-            odds = heard + (np.array(prior) if prior else model.whole)
-            if told is not None:
-                odds = odds + model.declared.get(told if told in languages else "other", 0.0)
-            if at is not None:
-                odds = odds + model.suffix.get(at, 0.0)
-            best = int(odds.argmax())
-            rows.append((languages[best], float(1 / np.exp(odds - odds[best]).sum()), languages[int(heard.argmax())] if heard.any() else None))
-        parts = zip(*rows) if rows else ((), (), ())
+    model, whole = fitted.model, fitted.whole
+    kinds = pa.struct([("language", pa.string()), ("posterior", pa.float64()), ("text_language", pa.string()), ("share", pa.float64())])
+
+    @F.arrow_udf("language string, posterior double, text_language string, share double")
+    def fuse(texts: pa.Array, declarations: pa.Array, suffixes: pa.Array, priors: pa.Array) -> pa.Array:
+        array = lambda x, other: np.array(x) if x is not None else other
+        rows = [model.fused(t.as_py(), d, array(s, None), array(p, whole)) for t, d, s, p in zip(texts, declarations.to_pylist(), suffixes.to_pylist(), priors.to_pylist())]
+        parts = zip(*rows) if rows else ((),) * len(kinds)
         return pa.StructArray.from_arrays([pa.array(p, k.type) for p, k in zip(parts, kinds)], fields=list(kinds))
 
     text, told, name, at = _evidence(declared, host, suffix)
-    work = {c: f"{RESULT}_{c}" for c in ("host", "suffix", "prior", "prior_host", "prior_suffix")}
-    keyed = docs.withColumns({work["host"]: name, work["suffix"]: at})
-    few = priors.count() <= MAX_BROADCAST_HOSTS
-    priors = F.broadcast(priors) if few else priors
-    priors = priors.select(F.col("_host").alias(work["prior_host"]), F.col("_suffix").alias(work["prior_suffix"]), F.col("_prior").alias(work["prior"]))
-    same = (F.col(work["host"]) == F.col(work["prior_host"])) & F.col(work["suffix"]).eqNullSafe(F.col(work["prior_suffix"]))
-    met = keyed.join(priors, same, "left")
-    return met.withColumn(RESULT, fuse(text, told, work["suffix"], work["prior"])).drop(*work.values())
+    work = {c: f"{RESULT}_{c}" for c in ("host", "suffix", "prior", "prior_host", "prior_suffix", "told", "parent", "of")}
+    met = docs.withColumns({work["host"]: name, work["suffix"]: at})
+
+    def joined(met: DataFrame, table: DataFrame, on: Column, by: str) -> DataFrame:
+        if table.count() * len(model.languages) <= MAX_BROADCAST_CELLS:
+            return met.join(F.broadcast(table), on, "left")
+        # Rows that have no key are spread, since no row of the table has theirs.
+        spread = F.coalesce(F.col(by), F.concat(F.lit("\0"), F.pmod(F.xxhash64(text), F.lit(4096)).cast("string")))
+        whole_key = met.withColumn(by, spread).join(table, on, "left")
+        return whole_key.withColumn(by, F.when(~F.startswith(F.col(by), F.lit("\0")), F.col(by)))
+
+    if host:
+        hosts = fitted.hosts.select(F.col("_host").alias(work["prior_host"]), F.col("_suffix").alias(work["prior_suffix"]), F.col("_prior").alias(work["prior"]))
+        same = (F.col(work["host"]) == F.col(work["prior_host"])) & F.col(work["suffix"]).eqNullSafe(F.col(work["prior_suffix"]))
+        met = joined(met, hosts, same, work["host"])
+    if suffix:
+        suffixes = fitted.suffixes.select(F.col("_suffix").alias(work["of"]), F.col("_told").alias(work["told"]), F.col("_parent").alias(work["parent"]))
+        met = joined(met, suffixes, F.col(work["suffix"]) == F.col(work["of"]), work["suffix"])
+    nothing = F.lit(None).cast("array<double>")
+    prior = F.coalesce(F.col(work["prior"]) if host else nothing, F.col(work["parent"]) if suffix else nothing)
+    return met.withColumn(RESULT, fuse(text, told, F.col(work["told"]) if suffix else nothing, prior)).drop(*work.values())

@@ -35,19 +35,39 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spoken(docs: DataFrame) -> DataFrame:
-    """The documents with language, posterior and text_language in a struct; the declared language
-    is markup, the source a host."""
-    model, priors = langid.fit(docs, declared="lang", host="source")
-    return langid.identify(docs, model, priors, declared="lang", host="source")
+    """The documents with language, posterior, text_language and share in a struct; the declared
+    language is markup, the source a host. Documents have no address, so no suffix speaks."""
+    return langid.identify(docs, langid.fit(docs, declared="lang", host="source"), declared="lang", host="source")
 
 
-#: A document of lower posterior is in no language that is sure enough.
-SURE_LANGUAGE = 0.5
+#: A document of lower posterior is in no language that is sure enough, one of a lower share in several.
+SURE_LANGUAGE, WHOLE_LANGUAGE = 0.5, 0.6
+#: How sure it must be that a document is in no known language.
+SURE_OUTSIDE = 0.9
+
+
+def in_one_language() -> Column:
+    """Whether a document that spoken() has read stays: surely in a known language, and most of it in that one; or nothing is known of any."""
+    found = F.col(langid.RESULT)
+    known = (found["posterior"] >= SURE_LANGUAGE) & (found["share"] >= WHOLE_LANGUAGE)
+    outside = found["language"] == langid.OUTSIDE
+    return found["language"].isNull() | F.when(outside, found["posterior"] < SURE_OUTSIDE).otherwise(known)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spoken(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", f"{langid.RESULT}.*", (F.col(langid.RESULT)["posterior"] >= SURE_LANGUAGE).cast("int").alias("keep"))
+    return found.select("doc_id", f"{langid.RESULT}.*", in_one_language().cast("int").alias("keep"))
+
+
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over pages, where the markup declares a language and the address has a host and a suffix."""
+    host, _ = urls.host_and_path(F.col("url"))
+    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
+    parts = {"text": text, "declared": F.nullif(F.regexp_extract("html", r'(?i)<html[^>]*\blang="?([A-Za-z-]+)', 1), F.lit("")), "host": F.nullif(host, F.lit(""))}
+    pages = table(spark, sf_dir, "pages").select("page_id", *(c.alias(n) for n, c in parts.items()))
+    pages = pages.withColumn("suffix", F.substring_index("host", ".", -1))
+    found = langid.identify(pages, langid.fit(pages, "declared", "host", "suffix"), "declared", "host", "suffix")
+    return found.select("page_id", "declared", "host", "suffix", f"{langid.RESULT}.*", in_one_language().cast("int").alias("keep"))
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +144,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_packing": op9_packing,
     "op10_chat": op10_chat,
+    "pages_language": pages_language,
 }
 
 _ESCAPED = "replace({0}, chr(92), chr(92) || chr(92))"
