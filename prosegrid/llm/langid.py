@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.shared import bounded_batches, written
+from prosegrid.llm.shared import bounded_batches, trim, trimmed, written
 
 BUCKETS = 1 << 15
 MIN_DOCUMENTS, MIN_TRIGRAMS = 3, 1000
@@ -143,7 +143,7 @@ def _trigram_counts(docs: DataFrame) -> DataFrame:
                         np.add.at(held[lang], found, 1)
         yield from handed()
 
-    return docs.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(trimmed(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def told_by(counts: dict[tuple[str, str], int], languages: list[str]) -> dict[str, np.ndarray]:
@@ -182,6 +182,7 @@ def fit(docs: DataFrame, declared: str = "lang", host: str | None = None, suffix
     @F.arrow_udf("string")
     def spoken_by(texts: pa.Array) -> pa.Array:
         found = [model.heard(t.as_py()) for t in texts]
+        trim()
         return pa.array([languages[int(heard.argmax())] if len(sizes) else None for heard, _, sizes in found], pa.string())
 
     seen = rows.select("_declared", "_host", "_suffix", spoken_by("_text").alias("_spoken")).where("_spoken is not null").groupBy("_declared", "_host", "_suffix", "_spoken").agg(F.count("*").alias("n"))
@@ -219,6 +220,7 @@ def identify(docs: DataFrame, fitted: Fitted | None, declared: str = "lang", hos
         array = lambda x, other: np.array(x) if x is not None else other
         rows = [model.fused(t.as_py(), d, array(s, None), array(p, whole)) for t, d, s, p in zip(texts, declarations.to_pylist(), suffixes.to_pylist(), priors.to_pylist())]
         parts = zip(*rows) if rows else ((),) * len(kinds)
+        trim()
         return pa.StructArray.from_arrays([pa.array(p, k.type) for p, k in zip(parts, kinds)], fields=list(kinds))
 
     text, told, name, at = _evidence(declared, host, suffix)

@@ -2,21 +2,22 @@
 
 A word's score is count(n-gram) / count(its context) for the longest n-gram that the tables hold,
 times ALPHA for each word of context given up; a single word's is its share of all words. The
-tables hold n-grams that occur MIN_COUNT times at least, and every word. A document's score is the
-sum of the logarithms over its words.
+tables hold n-grams that occur MIN_COUNT times at least, and every word. A document's total is the
+sum of the logarithms over its words, its score their mean.
 
 The texts are read once, into blocks of about BLOCK_WORDS words: which words a block has, and its
-documents as sequences of their numbers. The n-grams of a block are exploded to (key, count)
-entries, each n-gram of a block once, and dealt by ranges of their 64-bit hash keys; each range is
-one part of the count table. What a part has counted is joined back to the blocks that asked, and
-the logarithms are summed by document. Blocks are a table bucketed by block, so the joins move
-counts, never texts. From three words on, only n-grams go out whose two shorter parts are both in
-the tables, since no other can be.
+documents as sequences of their numbers. The n-grams of a block are exploded, each of them once,
+and dealt by ranges of their 64-bit hash keys. They travel as arrays, a row for each block and range,
+and are rows of (key, count) from then on: the count table is their grouped sum, 64 bits wide, and
+a sort-merge join by key brings the counts back to the blocks' n-grams. Both find their rows
+together already, so neither moves them again, and both can spill. The counts return packed to the
+blocks, which are a table bucketed by block, and the logarithms are summed by document. From three
+words on, only n-grams go out whose two shorter parts are both in the tables, since no other can be.
 
-An n-gram however frequent is one entry of a block, so no range of keys gets more than its share.
+An n-gram however frequent is one row of a block, so no range of keys gets more than its share.
 
 Defined results: words are what lies between ASCII white space, A-Z lower-cased; a null or blank
-text has no words, score 0 and a null mean; repeated rows count and are scored each; an empty
+text has no words, total 0 and a null score; repeated rows count and are scored each; an empty
 table gives an empty result. N-grams don't reach over documents. Other columns are ignored. Keys
 of 64 bits are taken as equal only by equal n-grams.
 """
@@ -24,22 +25,22 @@ of 64 bits are taken as equal only by equal n-grams.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegrid.llm.shared import bounded_batches, shared_folder
+from prosegrid.llm.shared import bounded_batches, saved, trimmed, written
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
-BLOCK_WORDS = 1 << 21
-#: Entries of a range of keys, about.
-RANGE_ENTRIES = 1 << 20
+BLOCK_WORDS = 1 << 20
+#: Ranges of keys for each partition, at least, so that partitions get about as many.
+RANGES = 4
 
 
 def packed(keys: np.ndarray) -> bytes:
@@ -93,7 +94,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             yield block()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(read, "block long, doc_ids array<long>, sizes array<int>, stream binary, words binary")
+    return rows.mapInArrow(trimmed(read), "block long, doc_ids array<long>, sizes array<int>, stream binary, words binary")
 
 
 class Block:
@@ -130,7 +131,7 @@ class Block:
         if n == 1:
             self.found[1] = totals[self.numbers]
             return
-        self.found[n] = np.zeros(len(self.numbers), np.uint32)
+        self.found[n] = np.zeros(len(self.numbers), np.int64)
         self.found[n][self.at] = totals[np.searchsorted(self.sorted.pop(n), self.keys[n][self.at])]
 
     def scores(self, order: int, corpus_words: int) -> np.ndarray:
@@ -147,17 +148,25 @@ class Block:
         return score
 
 
-def _rebuilt(sizes: pa.ListScalar, stream: pa.BinaryScalar, words: pa.BinaryScalar, told: pa.ListScalar | None, order: int) -> Block:
+def widened(blob: memoryview, wide: bool) -> np.ndarray:
+    """Counts as 64-bit numbers; a blob without any beyond 32 bits holds them in 32."""
+    return np.frombuffer(blob, "<i8" if wide else "<u4").astype(np.int64)
+
+
+def _rebuilt(sizes: pa.ListScalar, stream: pa.BinaryScalar, words: pa.BinaryScalar, told: pa.ListScalar | None, order: int, bits: int) -> Block:
     """The block with what it was told about its n-grams of up to order words."""
     block = Block(sizes.values.to_numpy(zero_copy_only=False), stream.as_buffer(), words.as_buffer())
-    by: dict[int, list[tuple[int, bytes]]] = {}
-    if told is not None:
-        for answer in told.values:
-            by.setdefault(answer["n"].as_py(), []).append((answer["range"].as_py(), answer["totals"].as_buffer()))
+    by: dict[int, list[pa.StructScalar]] = {}
+    for answer in told.values if told is not None and told.is_valid else ():
+        by.setdefault(answer["n"].as_py(), []).append(answer)
     for n in range(1, order + 1):
         block.lengthen(n)
-        parts = [np.frombuffer(totals, np.uint32) for _, totals in sorted(by.get(n, []), key=lambda x: x[0])]
-        block.told(n, np.concatenate(parts) if parts else np.zeros(0, np.uint32))
+        totals = np.zeros(len(block.sorted[n]), np.int64)
+        for answer in by.get(n, []):
+            low = np.searchsorted(block.sorted[n], np.uint64(answer["range"].as_py()) << np.uint64(64 - bits))
+            found = widened(answer["totals"].as_buffer(), answer["wide"].as_py())
+            totals[low : low + len(found)] = found
+        block.told(n, totals)
     return block
 
 
@@ -168,67 +177,81 @@ def _entries(blocks: DataFrame, lengths: list[int], known: int, bits: int) -> Da
         for batch in batches:
             told = batch.column("told") if known else [None] * len(batch)
             for number, sizes, stream, words, answers in zip(batch.column("block"), batch.column("sizes"), batch.column("stream"), batch.column("words"), told):
-                block = _rebuilt(sizes, stream, words, answers, known)
+                block = _rebuilt(sizes, stream, words, answers, known, bits)
                 for n in lengths:
-                    counts = block.lengthen(n).astype(np.uint32)
+                    counts = block.lengthen(n).astype(np.int32)  # of one block
                     keys = block.sorted[n]
-                    edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(keys)] if bits else [0, len(keys)]
-                    some = [r for r in range(1 << bits) if edges[r] < edges[r + 1]]
-                    columns = [pa.array([number.as_py()] * len(some), pa.int64()), pa.array([n] * len(some), pa.int32()), pa.array(some, pa.int32())]
-                    columns += [pa.array([packed(keys[edges[r] : edges[r + 1]]) for r in some], pa.binary()), pa.array([counts[edges[r] : edges[r + 1]].tobytes() for r in some], pa.binary())]
+                    some, starts = np.unique(keys >> np.uint64(64 - bits), return_index=True)
+                    columns = [pa.array([number.as_py()] * len(some), pa.int64()), pa.array([n] * len(some), pa.int32()), pa.array(some.astype(np.int32))]
+                    ends = pa.array([*starts.tolist(), len(keys)], pa.int32())
+                    columns += [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (keys.view(np.int64), counts)]
                     yield pa.RecordBatch.from_arrays(columns, ["block", "n", "range", "keys", "counts"])
 
-    return blocks.mapInArrow(explode, "block long, n int, range int, keys binary, counts binary")
+    return blocks.mapInArrow(trimmed(explode), "block long, n int, range int, keys array<long>, counts array<int>")
+
+
+def _totals(entries: DataFrame, parts: int) -> DataFrame:
+    """block, n, range, totals, wide: the corpus counts of a block's keys in their order, up to the last that the tables hold."""
 
+    @F.arrow_udf("totals binary, wide boolean")
+    def pack(places: pa.Array, totals: pa.Array) -> pa.Array:
+        blobs, wide = [], []
+        for at, counts in zip(places, totals):
+            at, counts = at.values.to_numpy(zero_copy_only=False), counts.values.to_numpy(zero_copy_only=False)
+            whole = np.zeros(at.max() + 1, np.int64)
+            whole[at] = counts
+            wide.append(bool(counts.max() >= 1 << 32))
+            blobs.append(whole.astype("<i8" if wide[-1] else "<u4").tobytes())
+        return pa.StructArray.from_arrays([pa.array(blobs, pa.binary()), pa.array(wide, pa.bool_())], ["totals", "wide"])
 
-def _totals(entries: DataFrame) -> DataFrame:
-    """block, n, range, totals: the corpus counts of a block's keys, 0 below the least count."""
+    dealt = entries.repartition(parts, "range")
+    grams = dealt.select("range", "n", "block", F.posexplode(F.arrays_zip("keys", "counts")).alias("at", "gram")).select("range", "n", "block", "at", F.col("gram.keys").alias("key"), F.col("gram.counts").alias("count"))
+    table = grams.groupBy("key", "n", "range").agg(F.sum("count").alias("total"), F.count("block").alias("blocks")).where((F.col("n") == 1) | (F.col("total") >= MIN_COUNT))
+    # Other blocks hold an n-gram once at least, so the condition always holds; with it both sides read the same columns, and the dealt rows move once for both.
+    met = grams.join(table.hint("merge"), ["key", "n", "range"]).where(F.col("count") <= F.col("total") - F.col("blocks") + 1)
+    told = met.groupBy("block", "n", "range").agg(F.collect_list("at").alias("places"), F.collect_list("total").alias("totals"))
+    return told.select("block", "n", "range", pack("places", "totals").alias("answer")).select("block", "n", "range", "answer.*")
 
-    def count(group: pa.Table) -> pa.Table:
-        n = group.column("n")[0].as_py()
-        keys = [unpacked(k.as_buffer()) for k in group.column("keys")]
-        counts = [np.frombuffer(c.as_buffer(), np.uint32) for c in group.column("counts")]
-        table, place = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(place, np.concatenate(counts).astype(float)).astype(np.uint32)
-        if n > 1:
-            totals[totals < MIN_COUNT] = 0
-        ends = np.cumsum([len(k) for k in keys])
-        blobs = [totals[place[a:b]].tobytes() for a, b in zip([0, *ends[:-1]], ends)]
-        return pa.table({"block": group.column("block"), "n": group.column("n"), "range": group.column("range"), "totals": pa.array(blobs, pa.binary())})
 
-    return entries.groupBy("n", "range").applyInArrow(count, "block long, n int, range int, totals binary")
+@contextmanager
+def dealt_by_range(spark: SparkSession) -> Iterator[None]:
+    """Lets a join by key, n and range use rows that are dealt by range as they are; the session's setting comes back afterwards."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """doc_id, n_words, score (sum of natural logarithms) and mean_score of each document."""
+    """doc_id, n_words, total (sum of natural logarithms) and score, their mean, of each document."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"blocks_{uuid.uuid4().hex}"
-    _blocks(docs).write.bucketBy(buckets, "block").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
-    blocks = spark.table(name)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = math.ceil(math.log2(RANGES * parts))
+    blocks = saved(_blocks(docs), "blocks", parts, "block")
     n_words = blocks.select(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0))).first()[0]
-    bits = max(0, math.ceil(math.log2(max(n_words, 1) / RANGE_ENTRIES)))
 
     def with_told(totals: DataFrame) -> DataFrame:
-        told = totals.groupBy("block").agg(F.collect_list(F.struct("n", "range", "totals")).alias("told"))
-        return blocks.join(told.hint("shuffle_hash"), "block", "left")
+        told = totals.groupBy("block").agg(F.collect_list(F.struct("n", "range", "totals", "wide")).alias("told"))
+        return blocks.join(told.hint("merge"), "block", "left")
 
-    path = f"{shared_folder(spark)}/totals_{uuid.uuid4().hex}"
-    kind = "block long, n int, range int, totals binary"
-    first = list(range(1, min(order, 2) + 1))
-    for lengths in [first] + [[n] for n in range(3, order + 1)]:
-        known = lengths[0] - 1
-        asked = with_told(spark.read.schema(kind).parquet(path)) if known else blocks
-        _totals(_entries(asked, lengths, known, bits)).write.mode("append").option("compression", "zstd").parquet(path)
+    totals = None
+    for lengths in [list(range(1, min(order, 2) + 1))] + [[n] for n in range(3, order + 1)]:
+        asked = with_told(totals) if totals is not None else blocks
+        with dealt_by_range(spark):
+            found = written(spark, _totals(_entries(asked, lengths, lengths[0] - 1, bits), parts), "totals")
+        totals = found if totals is None else totals.unionAll(found)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, sizes, stream, words, told in zip(*(batch.column(c) for c in ("doc_ids", "sizes", "stream", "words", "told"))):
-                block = _rebuilt(sizes, stream, words, told if told.is_valid else None, order)
+                block = _rebuilt(sizes, stream, words, told, order, bits)
                 ends = np.concatenate([[0.0], np.cumsum(block.scores(order, n_words))])
                 at = np.cumsum(block.sizes)
-                yield pa.RecordBatch.from_arrays([ids.values, pa.array(block.sizes.astype(np.int64)), pa.array(ends[at] - ends[at - block.sizes])], ["doc_id", "n_words", "score"])
+                yield pa.RecordBatch.from_arrays([ids.values, pa.array(block.sizes.astype(np.int64)), pa.array(ends[at] - ends[at - block.sizes])], ["doc_id", "n_words", "total"])
 
-    found = with_told(spark.read.schema(kind).parquet(path)).mapInArrow(score, "doc_id long, n_words long, score double")
-    return found.withColumn("mean_score", F.try_divide("score", "n_words"))
+    found = with_told(totals).mapInArrow(trimmed(score), "doc_id long, n_words long, total double")
+    return found.withColumn("score", F.try_divide("total", "n_words"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.shared import MAP_BITS, bit_map, bounded_batches, discard, may_hold, saved, written
+from prosegrid.llm.shared import MAP_BITS, bit_map, bounded_batches, discard, may_hold, saved, trimmed, written
 
 #: Bytes of a chunk: at least, on average beyond that, and at most.
 LEAST, MEAN, MOST = 512, 2048, 16384
@@ -153,12 +153,12 @@ class MediaStore:
         spark = docs.sparkSession
         bounded_batches(spark)
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-        self.lists = written(spark, rows.mapInArrow(list_, "doc_id long, n_bytes long, media_sha binary, digests array<binary>"), "lists")
+        self.lists = written(spark, rows.mapInArrow(trimmed(list_), "doc_id long, n_bytes long, media_sha binary, digests array<binary>"), "lists")
         counted = self.lists.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n"))
         several = written(spark, counted.where("n > 1"), "several")
         sent = spark.sparkContext.broadcast(bit_map(several, _key(F.col("digest")), MAP_BITS))
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        chunks = saved(rows.mapInArrow(cut, "home binary, digest binary, chunk binary, several boolean"), "chunks", buckets, "home")
+        chunks = saved(rows.mapInArrow(trimmed(cut), "home binary, digest binary, chunk binary, several boolean"), "chunks", buckets, "home")
         self.own = chunks.where("not several")
         shared = chunks.where("several").dropDuplicates(["digest"]).join(several, "digest", "left")
         lanes = F.ceil(F.coalesce("n", F.lit(1)) / LANE).cast("int")
@@ -196,7 +196,7 @@ class MediaStore:
         served = self.shared.select("digest", "chunk", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"))
         fetched = asked.join(served, ["digest", "lane"]).groupBy("media_sha").agg(held("fetched"))
         met = files.join(own, "media_sha", "left").join(fetched, "media_sha", "left")
-        return met.select("media_sha", "digests", "own", "fetched").mapInArrow(rebuild, "media_sha binary, media binary")
+        return met.select("media_sha", "digests", "own", "fetched").mapInArrow(trimmed(rebuild), "media_sha binary, media binary")
 
 
 def decoded(media: Column) -> Column:

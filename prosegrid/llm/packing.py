@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosegrid.llm.bpe import SPACES, byte_letters
-from prosegrid.llm.shared import bounded_batches, written
+from prosegrid.llm.shared import bounded_batches, trimmed, written
 
 WINDOW = 2048
 #: Pieces of text whose ids a Python worker keeps, each short.
-KEPT_PIECES, KEPT_LENGTH = 200_000, 40
+KEPT_PIECES, KEPT_LENGTH = 100_000, 40
 #: Fixed value: how byte-level BPE files of this kind split a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -95,7 +95,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["part", "at", "doc_id", "n_tokens", "ids", "width"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(encode, "part long, at long, doc_id long, n_tokens long, ids binary, width int")
+    return rows.mapInArrow(trimmed(encode), "part long, at long, doc_id long, n_tokens long, ids binary, width int")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW) -> DataFrame:
@@ -127,4 +127,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW)
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
     placed = tokens.join(F.broadcast(bases), "part").select("doc_id", "n_tokens", (F.col("base") + F.col("at")).alias("first"), "ids", "width")
-    return placed.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return placed.mapInArrow(trimmed(cut), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.shared import bounded_batches
+from prosegrid.llm.shared import bounded_batches, trim
 
 MAX_LABELLED, MAX_POOL = 20_000, 20_000
 ROUNDS = 4
@@ -207,6 +207,7 @@ def quality(docs: DataFrame, model: CoTrained | None) -> Column:
             text = np.vstack([text_view(t.as_py()) for t in texts])
             metadata = np.vstack([metadata_view(s.as_py(), g.as_py(), c.as_py()) for s, g, c in zip(sources, langs, sizes)])
             parts = model.fused(text, metadata)
+        trim()
         return pa.StructArray.from_arrays([pa.array(p) for p in parts], fields=list(kinds))
 
     return score(*_inputs())

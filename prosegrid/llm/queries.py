@@ -72,7 +72,7 @@ def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lm.scores(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("mean_score", 6).alias("mean_score"))
+    return found.select("doc_id", "n_words", F.round("total", 4).alias("total"), F.round("score", 6).alias("score"))
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,9 +185,9 @@ ORACLES = {
             FROM g JOIN n1 ON n1.w = g.w LEFT JOIN n2 ON n2.w1 = g.w1 AND n2.w = g.w LEFT JOIN n3 ON n3.w2 = g.w2 AND n3.w1 = g.w1 AND n3.w = g.w
             LEFT JOIN n1 before1 ON before1.w = g.w1 LEFT JOIN n2 before2 ON before2.w1 = g.w2 AND before2.w = g.w1
         ), summed AS (
-            SELECT doc_id, sum(x) AS score FROM s GROUP BY doc_id
+            SELECT doc_id, sum(x) AS total FROM s GROUP BY doc_id
         )
-        SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(score, 0), 4) AS score, round(score / len(ws), 6) AS mean_score
+        SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(total, 0), 4) AS total, round(total / len(ws), 6) AS score
         FROM docs LEFT JOIN summed USING (doc_id)""",
     "op6_url_filter": r"""
         WITH parts AS (

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegrid.llm.components import components, same_document, smallest_documents
-from prosegrid.llm.shared import bounded_batches, written
+from prosegrid.llm.shared import bounded_batches, trimmed, written
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
@@ -126,7 +126,7 @@ def links(nodes: DataFrame) -> DataFrame:
                     found.update(lane_links(values, ids, second.values.to_numpy(zero_copy_only=False)))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    return lanes.select("prints", "nodes", "second").mapInArrow(compare, "a long, b long")
+    return lanes.select("prints", "nodes", "second").mapInArrow(trimmed(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:

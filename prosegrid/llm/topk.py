@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosegrid.llm.shared import bounded_batches, written
+from prosegrid.llm.shared import bounded_batches, trimmed, written
 
 CHUNK_ROWS, BLOCK_ROWS = 4096, 1024
 SLICES = 2
@@ -147,7 +147,7 @@ class Search:
                     fixed = lambda x: pa.array(np.full(len(best), x.as_py(), np.int32))
                     yield pa.RecordBatch.from_arrays([pa.array(query_ids), fixed(number), fixed(chunk), pa.array(best, kind)], ["query_id", "slice", "chunk", "best"])
 
-        gathered = self._lists(self._blocks(self.asking)).mapInArrow(gather, "query_id long, slice int, chunk int, best array<struct<local: long, vec_id: long>>")
+        gathered = self._lists(self._blocks(self.asking)).mapInArrow(trimmed(gather), "query_id long, slice int, chunk int, best array<struct<local: long, vec_id: long>>")
         best = lambda: F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, k).alias("best")
         some = gathered.groupBy("query_id", "slice", F.pmod("chunk", F.lit(math.isqrt(self.n_chunks) + 1)).alias("chunk")).agg(best())
         leaders = some.groupBy("query_id", "slice").agg(best()).select("query_id", F.explode("best.vec_id").alias("vec_id")).distinct()
@@ -183,7 +183,7 @@ class Search:
         told = self.asking.join(known, "vec_id", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(-(1 << 62))))
         blocks = written(self.vectors.sparkSession, self._blocks(told, "cutoff"), "blocks")
         kind = "dim int, block int, chunk int, slice int, queries array<int>, entries array<int>, local array<long>"
-        return blocks, self._lists(blocks, "cutoff").mapInArrow(collect, kind)
+        return blocks, self._lists(blocks, "cutoff").mapInArrow(trimmed(collect), kind)
 
     def resolved(self, blocks: DataFrame, collected: DataFrame) -> DataFrame:
         """query_id, vec_id and score of the collected entries that reach the cutoff, k of a chunk for a query at most."""
@@ -218,7 +218,7 @@ class Search:
 
         lists = collected.where(F.size("local") > 0).groupBy("dim", "block", "chunk").agg(F.collect_list(F.struct("slice", "queries", "entries", "local")).alias("lists"))
         met = lists.join(self.chunks, ["dim", "chunk"]).join(blocks.withColumnRenamed("queries", "asked"), ["dim", "block"])
-        return met.select("dim", "asked", "vectors", "lists").mapInArrow(resolve, "query_id long, vec_id long, score long")
+        return met.select("dim", "asked", "vectors", "lists").mapInArrow(trimmed(resolve), "query_id long, vec_id long, score long")
 
 
 def top_k(frame: DataFrame, queries: str, k: int = 20, scale: int = 64) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,10 +26,10 @@ def brute(rows, order):
     return out
 
 
-@pytest.mark.parametrize("order, block, entries", [(3, 1 << 21, 1 << 20), (1, 50, 64), (4, 300, 64), (2, 1 << 21, 16)])
-def test_against_brute_force(spark, monkeypatch, order, block, entries):
+@pytest.mark.parametrize("order, block, ranges", [(3, 1 << 21, 4), (1, 50, 1), (4, 300, 64), (2, 1 << 21, 16)])
+def test_against_brute_force(spark, monkeypatch, order, block, ranges):
     monkeypatch.setattr(lm, "BLOCK_WORDS", block)
-    monkeypatch.setattr(lm, "RANGE_ENTRIES", entries)
+    monkeypatch.setattr(lm, "RANGES", ranges)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
     rows += [(900, None), (901, ""), (902, "one"), (903, "the the the the the"), (903, "the the the the the"), (None, "É the\x0bÉ the"), (904, "the of " * 400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("block", F.lit("clash"))
@@ -37,7 +38,26 @@ def test_against_brute_force(spark, monkeypatch, order, block, entries):
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     for a, b in zip(sorted(found, key=key), sorted(expected, key=key), strict=True):
         assert tuple(a)[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-7)
-        assert a.mean_score == (pytest.approx(b[2] / b[1]) if b[1] else None)
+        assert a.score == (pytest.approx(b[2] / b[1]) if b[1] else None)
+
+
+def test_counts_beyond_32_bits(spark):
+    """Counts of blocks that fit 32 bits each and add up to more."""
+    rows = [(b, n, 0, [5, 9, 1 << 40], [2_000_000_000, 1, 7]) for b in (1, 2, 4) for n in (1, 2)]
+    rows.append((3, 1, 0, [9], [1]))
+    entries = spark.createDataFrame(rows, "block long, n int, range int, keys array<long>, counts array<int>")
+    found = {(r.block, r.n): lm.widened(r.totals, r.wide).tolist() for r in lm._totals(entries, 3).collect()}
+    assert found == {(b, n): [6_000_000_000, 4 if n == 1 else 3, 21] for b in (1, 2, 4) for n in (1, 2)} | {(3, 1): [4]}
+
+
+def test_count_table_is_joined_where_its_rows_are(spark):
+    """One move of the packed rows; grouping and joining by key add none."""
+    entries = spark.createDataFrame([(b, 2, 0, [1, 2, 3], [1, 1, 1]) for b in (1, 2)], "block long, n int, range int, keys array<long>, counts array<int>")
+    with lm.dealt_by_range(spark):
+        totals = lm._totals(entries, 3)
+        totals.collect()
+        plan = totals._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" in plan and "ReusedExchange" in plan and "hashpartitioning(key" not in plan and "hashpartitioning(block" not in plan
 
 
 def test_empty(spark):
