@@ -85,13 +85,13 @@ def _verb(excluded: list[str], more: list[str]) -> Column:
 
 
 def verbs_no_nouns(tokens: DataFrame, verbs: list[str] | None = None) -> DataFrame:
-    """A verb, no, and a noun: "ships no binary"."""
+    """A verb, no, and a noun: "crosses no river"."""
     noun = (F.col("kind") == "Word") & ~F.col("folded").isin(NO_STOP_WORDS)
     return P.find(tokens, [P.one(_verb(FUNCTION_WORDS + CLAUSE_VERBS, verbs or [])), P.one(P.word("no")), P.one(noun)])
 
 
 def verbs_nothing(tokens: DataFrame, verbs: list[str] | None = None) -> DataFrame:
-    """A verb and nothing or none: "finds nothing"."""
+    """A verb and nothing or none: "catches nothing"."""
     barred = [w for w in FUNCTION_WORDS + CLAUSE_VERBS if w != "does"] + RETURN
     object_ = P.word(*NOTHING_OBJECTS) & ~F.col("text").isin("None", "Nothing", "NONE", "NOTHING")
     pattern = [P.one(_verb(barred, READ_AS_VERBS + (verbs or []))), P.one(object_), P.not_followed_by(P.word(*NOTHING_STOP_WORDS, "of", "wrong"))]
@@ -115,7 +115,7 @@ def not_at_all(tokens: DataFrame) -> DataFrame:
 
 
 def possessive_own(tokens: DataFrame) -> DataFrame:
-    """A possessive padded with own: "the tool's own reference"."""
+    """A possessive padded with own: "the island's own harbour"."""
     possessive = _ends("'s") & ~F.col("folded").isin(PRONOUNS_IN_S)
     after = ((F.col("kind") == "Word") & ~F.col("folded").isin(PREPOSITIONS + CONJUNCTIONS + DETERMINERS + AUXILIARIES)) | (F.col("kind") == "Code") | (F.col("kind") == "Number")
     apostrophe = F.col("text").isin("'", "’") & ~F.col("spaced")
@@ -132,7 +132,7 @@ def possessive_own(tokens: DataFrame) -> DataFrame:
 
 
 def denial_tail(tokens: DataFrame) -> DataFrame:
-    """A sentence that ends in a denial: ", not a big-bang rewrite". The first one of each sentence."""
+    """A sentence that ends in a denial: ", not on the old gate". The first one of each sentence."""
     lead = lambda c, k=1: F.lead(c, k).over(in_sentence())
     lag = lambda c, k=1: F.lag(c, k).over(in_sentence())
     text, folded, kind, spaced = F.col("text"), F.col("folded"), F.col("kind"), F.col("spaced")
