@@ -9,8 +9,9 @@ The texts are read once, into blocks of about BLOCK_WORDS words: which words a b
 documents as sequences of their numbers. The n-grams of a block are exploded, each of them once,
 and dealt by ranges of their 64-bit hash keys. They travel as arrays, a row for each block and range,
 and are rows of (key, count) from then on: the count table is their grouped sum, 64 bits wide, and
-a sort-merge join by key brings the counts back to the blocks' n-grams. Both find their rows
-together already, so neither moves them again, and both can spill. The counts return packed to the
+a join by key brings the counts back to the blocks' n-grams. Both find their rows together already,
+so neither moves them again. The join holds a partition's part of the table in memory while
+partitions are as small as they should be, and otherwise sorts and can spill. The counts return packed to the
 blocks, which are a table bucketed by block, and the logarithms are summed by document. From three
 words on, only n-grams go out whose two shorter parts are both in the tables, since no other can be.
 
@@ -41,6 +42,10 @@ ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 BLOCK_WORDS = 1 << 20
 #: Ranges of keys for each partition, at least, so that partitions get about as many.
 RANGES = 4
+#: Words of the corpus for each partition up to which its part of the count table is held in memory: a few million n-grams.
+HASHED_WORDS = 1 << 22
+#: Rows that a task packs at once.
+PACKED_ROWS = 1 << 21
 
 
 def packed(keys: np.ndarray) -> bytes:
@@ -165,7 +170,7 @@ def _rebuilt(sizes: pa.ListScalar, stream: pa.BinaryScalar, words: pa.BinaryScal
         for answer in by.get(n, []):
             low = np.searchsorted(block.sorted[n], np.uint64(answer["range"].as_py()) << np.uint64(64 - bits))
             found = widened(answer["totals"].as_buffer(), answer["wide"].as_py())
-            totals[low : low + len(found)] = found
+            totals[low : low + len(found)] += found  # zero where another answer has it
         block.told(n, totals)
     return block
 
@@ -190,27 +195,48 @@ def _entries(blocks: DataFrame, lengths: list[int], known: int, bits: int) -> Da
     return blocks.mapInArrow(trimmed(explode), "block long, n int, range int, keys array<long>, counts array<int>")
 
 
-def _totals(entries: DataFrame, parts: int) -> DataFrame:
-    """block, n, range, totals, wide: the corpus counts of a block's keys in their order, up to the last that the tables hold."""
+def packed_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of block, n, range, at and total to block, n, range, totals (by place, 0 where there is no row) and wide.
 
-    @F.arrow_udf("totals binary, wide boolean")
-    def pack(places: pa.Array, totals: pa.Array) -> pa.Array:
+    At most PACKED_ROWS rows are held at once; a block's answer for a range may come in several parts.
+    """
+    names = ["block", "n", "range", "at", "total"]
+    held: list[list[np.ndarray]] = []
+    size = 0
+
+    def answers() -> pa.RecordBatch:
+        block, n, range_, at, total = map(np.concatenate, zip(*held)) if held else [np.empty(0, np.int64)] * 5
+        order = np.lexsort((range_, n, block))
+        block, n, range_, at, total = (x[order] for x in (block, n, range_, at, total))
+        first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (n[1:] != n[:-1]) | (range_[1:] != range_[:-1])])) if len(order) else np.empty(0, np.int64)
         blobs, wide = [], []
-        for at, counts in zip(places, totals):
-            at, counts = at.values.to_numpy(zero_copy_only=False), counts.values.to_numpy(zero_copy_only=False)
-            whole = np.zeros(at.max() + 1, np.int64)
-            whole[at] = counts
-            wide.append(bool(counts.max() >= 1 << 32))
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
+            whole = np.zeros(at[a:b].max() + 1, np.int64)
+            whole[at[a:b]] = total[a:b]
+            wide.append(bool(whole.max() >= 1 << 32))
             blobs.append(whole.astype("<i8" if wide[-1] else "<u4").tobytes())
-        return pa.StructArray.from_arrays([pa.array(blobs, pa.binary()), pa.array(wide, pa.bool_())], ["totals", "wide"])
+        return pa.RecordBatch.from_arrays([pa.array(block[first], pa.int64()), pa.array(n[first], pa.int32()), pa.array(range_[first], pa.int32()), pa.array(blobs, pa.binary()), pa.array(wide, pa.bool_())], ["block", "n", "range", "totals", "wide"])
+
+    for batch in batches:
+        held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+        size += len(batch)
+        if size >= PACKED_ROWS:
+            yield answers()
+            held, size = [], 0
+    yield answers()
+
+
+def _totals(entries: DataFrame, parts: int, hashed: bool) -> DataFrame:
+    """block, n, range, totals, wide: the corpus counts of a block's keys in their order, up to the last that the tables hold.
 
+    hashed: whether a partition's part of the count table may be held in memory; else the join sorts and can spill.
+    """
     dealt = entries.repartition(parts, "range")
     grams = dealt.select("range", "n", "block", F.posexplode(F.arrays_zip("keys", "counts")).alias("at", "gram")).select("range", "n", "block", "at", F.col("gram.keys").alias("key"), F.col("gram.counts").alias("count"))
-    table = grams.groupBy("key", "n", "range").agg(F.sum("count").alias("total"), F.count("block").alias("blocks")).where((F.col("n") == 1) | (F.col("total") >= MIN_COUNT))
+    table = grams.groupBy("key", "range").agg(F.sum("count").alias("total"), F.count("block").alias("blocks"), F.min("n").alias("least")).where((F.col("least") == 1) | (F.col("total") >= MIN_COUNT))
     # Other blocks hold an n-gram once at least, so the condition always holds; with it both sides read the same columns, and the dealt rows move once for both.
-    met = grams.join(table.hint("merge"), ["key", "n", "range"]).where(F.col("count") <= F.col("total") - F.col("blocks") + 1)
-    told = met.groupBy("block", "n", "range").agg(F.collect_list("at").alias("places"), F.collect_list("total").alias("totals"))
-    return told.select("block", "n", "range", pack("places", "totals").alias("answer")).select("block", "n", "range", "answer.*")
+    met = grams.join(table.hint("shuffle_hash" if hashed else "merge"), ["key", "range"]).where(F.col("count") <= F.col("total") - F.col("blocks") + 1)
+    return met.select("block", "n", "range", "at", "total").mapInArrow(trimmed(packed_totals), "block long, n int, range int, totals binary, wide boolean")
 
 
 @contextmanager
@@ -242,7 +268,7 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     for lengths in [list(range(1, min(order, 2) + 1))] + [[n] for n in range(3, order + 1)]:
         asked = with_told(totals) if totals is not None else blocks
         with dealt_by_range(spark):
-            found = written(spark, _totals(_entries(asked, lengths, lengths[0] - 1, bits), parts), "totals")
+            found = written(spark, _totals(_entries(asked, lengths, lengths[0] - 1, bits), parts, n_words <= HASHED_WORDS * parts), "totals")
         totals = found if totals is None else totals.unionAll(found)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

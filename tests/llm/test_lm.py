@@ -30,6 +30,8 @@ def brute(rows, order):
 def test_against_brute_force(spark, monkeypatch, order, block, ranges):
     monkeypatch.setattr(lm, "BLOCK_WORDS", block)
     monkeypatch.setattr(lm, "RANGES", ranges)
+    monkeypatch.setattr(lm, "HASHED_WORDS", lm.HASHED_WORDS if order == 3 else 0)
+    monkeypatch.setattr(lm, "PACKED_ROWS", lm.PACKED_ROWS if order == 3 else 500)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
     rows += [(900, None), (901, ""), (902, "one"), (903, "the the the the the"), (903, "the the the the the"), (None, "É the\x0bÉ the"), (904, "the of " * 400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("block", F.lit("clash"))
@@ -41,23 +43,25 @@ def test_against_brute_force(spark, monkeypatch, order, block, ranges):
         assert a.score == (pytest.approx(b[2] / b[1]) if b[1] else None)
 
 
-def test_counts_beyond_32_bits(spark):
+@pytest.mark.parametrize("hashed", [True, False])
+def test_counts_beyond_32_bits(spark, hashed):
     """Counts of blocks that fit 32 bits each and add up to more."""
-    rows = [(b, n, 0, [5, 9, 1 << 40], [2_000_000_000, 1, 7]) for b in (1, 2, 4) for n in (1, 2)]
-    rows.append((3, 1, 0, [9], [1]))
+    rows = [(b, n, 0, [5 + n, 50 + n, n << 40], [2_000_000_000, 1, 7]) for b in (1, 2, 4) for n in (1, 2)]
+    rows.append((3, 1, 0, [51], [1]))
     entries = spark.createDataFrame(rows, "block long, n int, range int, keys array<long>, counts array<int>")
-    found = {(r.block, r.n): lm.widened(r.totals, r.wide).tolist() for r in lm._totals(entries, 3).collect()}
+    found = {(r.block, r.n): lm.widened(r.totals, r.wide).tolist() for r in lm._totals(entries, 3, hashed).collect()}
     assert found == {(b, n): [6_000_000_000, 4 if n == 1 else 3, 21] for b in (1, 2, 4) for n in (1, 2)} | {(3, 1): [4]}
 
 
-def test_count_table_is_joined_where_its_rows_are(spark):
+@pytest.mark.parametrize("hashed", [True, False])
+def test_count_table_is_joined_where_its_rows_are(spark, hashed):
     """One move of the packed rows; grouping and joining by key add none."""
     entries = spark.createDataFrame([(b, 2, 0, [1, 2, 3], [1, 1, 1]) for b in (1, 2)], "block long, n int, range int, keys array<long>, counts array<int>")
     with lm.dealt_by_range(spark):
-        totals = lm._totals(entries, 3)
+        totals = lm._totals(entries, 3, hashed)
         totals.collect()
         plan = totals._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert "SortMergeJoin" in plan and "ReusedExchange" in plan and "hashpartitioning(key" not in plan and "hashpartitioning(block" not in plan
+    assert ("ShuffledHashJoin" if hashed else "SortMergeJoin") in plan and "ReusedExchange" in plan and "hashpartitioning(key" not in plan and "hashpartitioning(block" not in plan
 
 
 def test_empty(spark):
