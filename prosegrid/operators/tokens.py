@@ -1,7 +1,7 @@
 """Blocks, tokens and sentences of documents, as tables.
 
-Texts are dealt by document before they are exploded, so that windows and joins on a document's
-tokens find them together and never shuffle tokens.
+Where windows or joins on a document's tokens follow, texts are dealt by document before they are
+exploded, so that these find them together and never shuffle tokens; counts need no such move.
 """
 
 from __future__ import annotations
@@ -20,10 +20,14 @@ def in_sentence() -> WindowSpec:
     return Window.partitionBy("doc_id", "block_id", "sent_id").orderBy("pos")
 
 
+def line_blocks(docs: DataFrame, windowed: bool = False) -> DataFrame:
+    """doc_id, block_id, text: each line is a block.
 
-def line_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, block_id, text: each line is a block."""
-    rows = docs.select("doc_id", "text").repartition("doc_id")
+    windowed: whether windows over a document's tokens follow. Then texts are dealt by document
+    before they are exploded; otherwise they stay where they were read.
+    """
+    rows = docs.select("doc_id", "text")
+    rows = rows.repartition("doc_id") if windowed else rows
     return rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_id", "text"))
 
 

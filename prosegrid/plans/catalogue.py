@@ -12,10 +12,11 @@ from prosegrid.functions import text as T
 from prosegrid.operators import chars, corpus, exam, lints, sampling, settings
 from prosegrid.operators import patterns as P
 from prosegrid.operators import tokens as K
+from prosegrid.plans import lint_queries
 from prosegrid.plans.fragments import SENTENCES, SIDES, TOKENS, grams, quoted
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(lint_queries.QUERIES)
+ORACLES: dict[str, str] = dict(lint_queries.ORACLES)
 
 #: A word list to compare the sides by.
 WORDS = ["the", "and", "of", "thnd", "ering", "with", "tion"]
@@ -35,8 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.tokens(K.line_blocks(table(spark, sf_dir, "documents")))
+def line_tokens(spark: SparkSession, sf_dir: str, windowed: bool = False) -> DataFrame:
+    return K.tokens(K.line_blocks(table(spark, sf_dir, "documents"), windowed))
 
 
 def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def doc_token_counts(spark, sf_dir):
 
 @query(f"WITH {TOKENS}, {SENTENCES} SELECT doc_id, count(DISTINCT (block_id, sent_id)) AS sentences FROM sents GROUP BY doc_id")
 def sentence_counts(spark, sf_dir):
-    return K.sentences(line_tokens(spark, sf_dir)).groupBy("doc_id").agg(F.count_distinct("block_id", "sent_id").alias("sentences"))
+    return K.sentences(line_tokens(spark, sf_dir, True)).groupBy("doc_id").agg(F.count_distinct("block_id", "sent_id").alias("sentences"))
 
 
 @query(f"WITH {TOKENS} SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS docs FROM tokens GROUP BY kind")
@@ -255,7 +256,7 @@ def html_char_scan(spark, sf_dir):
 def _ngram_query(n: int) -> None:
     def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repo"))
-        rows = K.ngrams(line_tokens(spark, sf_dir), n).join(docs, "doc_id").groupBy("gram").agg(F.count("*").alias("n_total"), F.count_distinct("repo").alias("repos"))
+        rows = K.ngrams(line_tokens(spark, sf_dir, True), n).join(docs, "doc_id").groupBy("gram").agg(F.count("*").alias("n_total"), F.count_distinct("repo").alias("repos"))
         return rows.where("repos >= 3")
 
     QUERIES[f"ngram_n{n}"] = ngram_counts
@@ -272,7 +273,7 @@ for _n in (1, 2, 3, 4):
 def frequent_ngrams_apriori(spark, sf_dir):
     """Frequent runs of up to three tokens, all lengths in one pass."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repo"))
-    return corpus.frequent_ngrams(line_tokens(spark, sf_dir), docs, 3, 8)
+    return corpus.frequent_ngrams(line_tokens(spark, sf_dir, True), docs, 3, 8)
 
 
 COMPARED = f"""
@@ -282,7 +283,7 @@ COMPARED = f"""
 
 @query(f"WITH {COMPARED} SELECT gram, round(max(n) / sum(n), 6) AS top_share FROM hits WHERE side = 0 GROUP BY gram")
 def ngram_top_repo_share(spark, sf_dir):
-    hits, _ = corpus.side_rates(line_tokens(spark, sf_dir), sides(spark, sf_dir), 2)
+    hits, _ = corpus.side_rates(line_tokens(spark, sf_dir, True), sides(spark, sf_dir), 2)
     return corpus.top_share(hits).withColumn("top_share", F.round("top_share", 6))
 
 
@@ -293,7 +294,7 @@ def ngram_top_repo_share(spark, sf_dir):
     SELECT gram, n FROM counted WHERE gram NOT IN (SELECT gram FROM elsewhere WHERE gram IS NOT NULL)""")
 def ngram_guard_antijoin(spark, sf_dir):
     """Frequent trigrams that no benchmark text has."""
-    frequent = K.ngrams(line_tokens(spark, sf_dir), 3).groupBy("gram").agg(F.count("*").alias("n")).where("n >= 5")
+    frequent = K.ngrams(line_tokens(spark, sf_dir, True), 3).groupBy("gram").agg(F.count("*").alias("n")).where("n >= 5")
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - 2, F.lit(1))), lambda i: F.array_join(F.slice("ws", i, F.lit(3)), " "))
     elsewhere = table(spark, sf_dir, "benchmark").select(words.alias("ws")).where(F.size("ws") >= 3).select(F.explode(runs).alias("gram"))
@@ -306,7 +307,7 @@ def ngram_guard_antijoin(spark, sf_dir):
         count(*) FILTER (focus_repos >= 3 AND share <= 0.5 AND reference_repos <= 12) AS rare_elsewhere FROM wide""")
 def candidate_funnel(spark, sf_dir):
     """How many bigrams survive each step of the sieve."""
-    hits, _ = corpus.side_rates(line_tokens(spark, sf_dir), sides(spark, sf_dir), 2)
+    hits, _ = corpus.side_rates(line_tokens(spark, sf_dir, True), sides(spark, sf_dir), 2)
     wide = hits.groupBy("gram").agg(F.count_if(F.col("side") == 0).alias("focus_repos"), F.count_if(F.col("side") == 1).alias("reference_repos"), (F.max(F.when(F.col("side") == 0, F.col("n"))) / F.sum(F.when(F.col("side") == 0, F.col("n")))).alias("share"))
     steps = [("all_runs", F.lit(True)), ("enough_repos", F.col("focus_repos") >= 3), ("spread", F.col("share") <= 0.5), ("rare_elsewhere", F.col("reference_repos") <= 12)]
     return corpus.funnel(wide, steps)
@@ -317,7 +318,7 @@ def candidate_funnel(spark, sf_dir):
     SELECT g3.gram, g2.gram AS inner FROM g3, g2 WHERE contains(' ' || g3.gram || ' ', ' ' || g2.gram || ' ')""".replace("AS inner", 'AS "inner"'))
 def nested_merge(spark, sf_dir):
     """Frequent trigrams beside the frequent bigrams they contain."""
-    rows = line_tokens(spark, sf_dir)
+    rows = line_tokens(spark, sf_dir, True)
     shorter = K.ngrams(rows, 2).groupBy("gram").count().where("count >= 20").select("gram")
     longer = K.ngrams(rows, 3).groupBy("gram").count().where("count >= 10").select("gram")
     return corpus.nested_in(longer, shorter)
@@ -326,7 +327,7 @@ def nested_merge(spark, sf_dir):
 @query()
 def masked_examples(spark, sf_dir):
     """Up to three places of the ten commonest trigrams, uncommon words masked."""
-    rows = line_tokens(spark, sf_dir)
+    rows = line_tokens(spark, sf_dir, True)
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repo"))
     hits = K.ngrams(rows, 3)
     top = hits.groupBy("gram").count().orderBy(F.desc("count"), "gram").limit(10)
@@ -347,22 +348,12 @@ def max_size_docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes")).where("bytes > 8000")
 
 
-@query(rf"""
-    WITH {TOKENS}, caps AS (SELECT *, kind = 'Word' AND length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) >= 2 AND NOT regexp_matches(regexp_replace(text, '[^\p{{L}}]', '', 'g'), '[^\p{{Lu}}]') AS caps FROM tokens),
-    islands AS (SELECT *, sum(CASE WHEN caps THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, block_id ORDER BY pos) AS island FROM caps)
-    SELECT doc_id, block_id, min(pos) AS pos, count(*) AS words FROM islands WHERE caps GROUP BY doc_id, block_id, island
-    HAVING count(*) >= 2 AND count(*) FILTER (replace(text, '’', '''') IN ({quoted(lints.SHOUTED_WORDS)})) >= 1""")
-def caps_runs(spark, sf_dir):
-    found = lints.caps_runs(line_tokens(spark, sf_dir))
-    return found.select("doc_id", F.col("block_id").cast("long").alias("block_id"), F.col("pos").cast("long").alias("pos"), "words")
-
-
 @query(f"""
     WITH {TOKENS} SELECT doc_id, block_id, pos, 2 AS length FROM (
         SELECT *, lead(folded) OVER (PARTITION BY doc_id, block_id ORDER BY pos) AS next FROM tokens
     ) WHERE folded = 'of' AND next = 'the' OR folded = 'it' AND next = 'is'""")
 def phrase_matches(spark, sf_dir):
-    tokens = K.sentences(line_tokens(spark, sf_dir))
+    tokens = K.sentences(line_tokens(spark, sf_dir, True))
     hits = lints.banned_phrases(tokens, ["of the", "it is"])
     return hits.select("doc_id", F.col("block_id").cast("long").alias("block_id"), F.col("pos").cast("long").alias("pos"), "length")
 
@@ -376,7 +367,7 @@ def phrase_matches(spark, sf_dir):
     SELECT doc_id, block_id, sent_id::BIGINT AS sent_id, pos FROM marked WHERE hit AND the_pos IS NOT NULL AND coalesce(break_pos, -1) < the_pos""")
 def pattern_gap_match(spark, sf_dir):
     """`of` with `the` among the nine tokens before it and no comma or semicolon between."""
-    rows = K.sentences(line_tokens(spark, sf_dir))
+    rows = K.sentences(line_tokens(spark, sf_dir, True))
     near = K.in_sentence().rowsBetween(-9, -1)
     the = F.max(F.when(P.word("the"), F.col("pos"))).over(near)
     stop = F.max(F.when(F.col("text").isin(",", ";"), F.col("pos"))).over(near)
@@ -392,7 +383,7 @@ def pattern_gap_match(spark, sf_dir):
     SELECT doc_id, block_id, sent_id::BIGINT AS sent_id, min(pos) AS pos FROM counted WHERE text = ',' AND whole - before BETWEEN 2 AND 12 AND whole - before < before GROUP BY doc_id, block_id, sent_id""")
 def tail_length_match(spark, sf_dir):
     """The first comma of a sentence whose tail has two to twelve words, fewer than what leads up to it."""
-    rows = K.sentences(line_tokens(spark, sf_dir))
+    rows = K.sentences(line_tokens(spark, sf_dir, True))
     word = F.col("kind").isin("Word", "Number").cast("int")
     counted = rows.withColumns({"_before": F.sum(word).over(K.in_sentence()), "_whole": F.sum(word).over(lints.whole_sentence())})
     tail = F.col("_whole") - F.col("_before")
@@ -406,7 +397,7 @@ def tail_length_match(spark, sf_dir):
     SELECT doc_id, block_id, sent_id::BIGINT AS sent_id, min(pos) AS pos, arg_min(length, pos)::INT AS length FROM hits WHERE length IS NOT NULL GROUP BY doc_id, block_id, sent_id""")
 def first_match_per_sentence(spark, sf_dir):
     """in or on, an optional the, and a word: the first match of each sentence."""
-    rows = K.sentences(line_tokens(spark, sf_dir))
+    rows = K.sentences(line_tokens(spark, sf_dir, True))
     hits = P.find(rows, [P.one(P.word("in", "on")), P.optional(P.word("the")), P.one(F.col("kind") == "Word")])
     first = hits.groupBy("doc_id", "block_id", "sent_id").agg(F.min("pos").alias("pos"), F.min_by("length", "pos").alias("length"))
     return first.select("doc_id", F.col("block_id").cast("long").alias("block_id"), F.col("sent_id").cast("long").alias("sent_id"), F.col("pos").cast("long").alias("pos"), "length")
@@ -479,7 +470,7 @@ def interval_overlap_groups(spark, sf_dir):
     FROM (SELECT doc_id, block_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY block_id, pos) AS pos_in_doc FROM tokens) QUALIFY text = ';' OR text = '|'""")
 def asof_line_of_token(spark, sf_dir):
     """The line in force at a mark, as of its place in the document."""
-    rows = line_tokens(spark, sf_dir)
+    rows = line_tokens(spark, sf_dir, True)
     order = Window.partitionBy("doc_id").orderBy("block_id", "pos")
     first = F.when(F.col("pos") == 0, F.col("block_id"))
     marked = rows.withColumns({"pos_in_doc": F.row_number().over(order).cast("long"), "line": F.last(first, ignorenulls=True).over(order).cast("long")})
@@ -756,7 +747,7 @@ def tool_rows(spark, sf_dir):
     WITH {TOKENS}, {SENTENCES}, s AS (SELECT doc_id, block_id, sent_id, count(*) FILTER (kind = 'Word') AS words, count(*) AS n_tokens, count(*) FILTER (folded IN ({quoted(T.ENGLISH)})) AS common, count(*) FILTER (kind IN ('Code', 'Url')) AS other FROM sents GROUP BY ALL)
     SELECT doc_id, count(*) AS sentences, sum(words)::BIGINT AS words FROM s WHERE words >= 2 AND n_tokens <= 60 AND other = 0 AND common >= 0.2 * words GROUP BY doc_id""")
 def eligible_sentences(spark, sf_dir):
-    found = corpus.eligible_sentences(K.sentences(line_tokens(spark, sf_dir)), 2, 60, 0.2)
+    found = corpus.eligible_sentences(K.sentences(line_tokens(spark, sf_dir, True)), 2, 60, 0.2)
     return found.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum("words").alias("words"))
 
 
