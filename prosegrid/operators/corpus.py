@@ -31,29 +31,35 @@ def label_rows(docs: DataFrame, label: str, repo: str, size: str) -> DataFrame:
     )
 
 
+def by_repository(runs: DataFrame, *keys: str) -> DataFrame:
+    """n_total and repos of the runs: counted by run and repository before anything moves, so repositories need no distinct count."""
+    return runs.groupBy(*keys, "repo").agg(F.count("*").alias("c")).groupBy(*keys).agg(F.sum("c").alias("n_total"), F.count("*").alias("repos"))
+
+
 def frequent_ngrams(tokens: DataFrame, docs: DataFrame, longest: int, least_repos: int) -> DataFrame:
     """n, gram, n_total, repos of the runs of up to longest tokens that so many repositories have.
 
-    docs: doc_id, repo. All lengths are counted in one pass over the tokens and one shuffle, which
-    counts by run and repository before it moves anything. A run's parts are at least as frequent,
-    so no length needs another's result.
+    docs: doc_id, repo. tokens: dealt by document. A run's parts are at least as frequent as the run,
+    so tokens are counted first and those of too few repositories part the runs: no run with one in
+    it is ever built or moved. The frequent tokens are joined by broadcast while they are few.
     """
     order = in_block()
     prose = F.col("kind").isin("Word", "Number", "Punctuation", "Symbol") & ~F.col("text").isin(TERMINALS)
-    ahead = F.collect_list(F.struct(prose.alias("prose"), F.col("kind").isin("Word", "Number").alias("edge"), "folded")).over(order.rowsBetween(0, longest - 1))
-    sizes = F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: n)
-    runs = F.transform(
-        sizes,
-        lambda n: F.when(
-            (F.size("_ahead") >= n) & F.get("_ahead", n - 1)["edge"] & F.forall(F.slice("_ahead", 1, n), lambda t: t["prose"]),
-            F.struct(n.alias("n"), F.array_join(F.transform(F.slice("_ahead", 1, n), lambda t: t["folded"]), " ").alias("gram")),
-        ),
-    )
-    starts = tokens.withColumn("_ahead", ahead).where(F.col("kind").isin("Word", "Number"))
-    rows = starts.select("doc_id", F.explode(F.array_compact(runs)).alias("run")).join(docs, "doc_id")
-    by_repo = rows.groupBy("run.n", "run.gram", "repo").agg(F.count("*").alias("c"))
-    counted = by_repo.groupBy("n", "gram").agg(F.sum("c").alias("n_total"), F.count("*").alias("repos"))
-    return counted.where(F.col("repos") >= least_repos)
+    edge = F.col("kind").isin("Word", "Number")
+    rows = tokens.where(prose).select("doc_id", "block_id", "pos", "folded", edge.alias("edge")).join(docs, "doc_id")
+    frequent = by_repository(rows, "folded", "edge").where(F.col("repos") >= least_repos)
+    words = frequent.where("edge").select(F.lit(1).alias("n"), F.col("folded").alias("gram"), "n_total", "repos")
+    if longest == 1:
+        return words
+    kept = rows.join(frequent.select("folded", "edge"), ["folded", "edge"], "left_semi")
+    ahead = {n: [F.lead(c, n - 1).over(order) for c in ("folded", "edge", "pos")] for n in range(2, longest + 1)}
+    runs, gram = [], F.col("folded")
+    for n, (folded, ends, pos) in ahead.items():
+        gram = F.concat_ws(" ", gram, folded)
+        runs.append(F.when(ends & (pos == F.col("pos") + n - 1), F.struct(F.lit(n).alias("n"), gram.alias("gram"))))
+    starts = kept.select("repo", "edge", F.array_compact(F.array(*runs)).alias("runs")).where("edge")
+    longer = by_repository(starts.select("repo", F.explode("runs").alias("run")).select("repo", "run.n", "run.gram"), "n", "gram")
+    return words.unionByName(longer.where(F.col("repos") >= least_repos))
 
 
 def side_rates(tokens: DataFrame, docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:

@@ -66,13 +66,14 @@ def read(blocks: DataFrame) -> DataFrame:
 
 
 def places(blocks: DataFrame, tokens: DataFrame, hits: DataFrame) -> DataFrame:
-    """Hits (pos, length) with their offsets in the block's text and their quote."""
+    """Hits (pos, length, and what else they carry) with their offsets in the block's text and their quote."""
     first = tokens.select(*KEY, "pos", "start")
     last = tokens.select(*KEY, (F.col("pos") + 1).alias("until"), "end")
     spans = hits.withColumn("until", F.col("pos") + F.col("length")).join(first, [*KEY, "pos"]).join(last, [*KEY, "until"])
     text = blocks.select("doc_id", "block_id", F.col("text").alias("block_text"))
     found = spans.join(text, ["doc_id", "block_id"])
-    return found.select(*KEY, "start", "end", T.quote(F.substring(F.col("block_text"), F.col("start") + 1, F.col("end") - F.col("start"))).alias("quote"))
+    more = [c for c in hits.columns if c not in (*KEY, "pos", "length")]
+    return found.select(*KEY, *more, "start", "end", T.quote(F.substring(F.col("block_text"), F.col("start") + 1, F.col("end") - F.col("start"))).alias("quote"))
 
 
 def _ends(suffix: str) -> Column:
@@ -202,12 +203,12 @@ def is_caps(text: Column) -> Column:
 
 
 def caps_runs(tokens: DataFrame) -> DataFrame:
-    """Runs of two words in capitals at least, one of them an everyday word: doc_id, block_id, pos, words."""
+    """Runs of two words in capitals at least, one of them an everyday word: doc_id, block_id, pos, words, letters (with a space between words)."""
     caps = (F.col("kind") == "Word") & is_caps(F.col("text"))
     marked = tokens.withColumn("_island", F.sum(F.when(caps, 0).otherwise(1)).over(in_block())).where(caps)
     shouted = F.replace("text", F.lit("’"), F.lit("'")).isin(SHOUTED_WORDS)
-    runs = marked.groupBy("doc_id", "block_id", "_island").agg(F.min("pos").alias("pos"), F.count("*").alias("words"), F.count_if(shouted).alias("everyday"))
-    return runs.where("words >= 2 and everyday >= 1").select("doc_id", "block_id", "pos", "words")
+    runs = marked.groupBy("doc_id", "block_id", "_island").agg(F.min("pos").alias("pos"), F.count("*").alias("words"), (F.sum(F.char_length("text")) + F.count("*") - 1).alias("letters"), F.count_if(shouted).alias("everyday"))
+    return runs.where("words >= 2 and everyday >= 1").select("doc_id", "block_id", "pos", "words", "letters")
 
 
 def dense_blocks(blocks: DataFrame) -> DataFrame:
@@ -224,6 +225,6 @@ def check(blocks: DataFrame, lints: list[str] | None = None) -> DataFrame:
     tokens = read(blocks)
     found = None
     for name in lints or list(LINTS):
-        rows = places(blocks, tokens, LINTS[name](tokens)).withColumn("lint", F.lit(name))
+        rows = LINTS[name](tokens).select(*KEY, "pos", "length", F.lit(name).alias("lint"))
         found = rows if found is None else found.unionByName(rows)
-    return found
+    return places(blocks, tokens, found)

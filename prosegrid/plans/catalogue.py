@@ -13,7 +13,7 @@ from prosegrid.operators import chars, corpus, exam, lints, sampling, settings
 from prosegrid.operators import patterns as P
 from prosegrid.operators import tokens as K
 from prosegrid.plans import lint_queries
-from prosegrid.plans.fragments import SENTENCES, SIDES, TOKENS, grams, quoted
+from prosegrid.plans.fragments import RULE_VALUES, SENTENCES, SIDES, TOKENS, grams, quoted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(lint_queries.QUERIES)
 ORACLES: dict[str, str] = dict(lint_queries.ORACLES)
@@ -211,7 +211,6 @@ def lint_rate_by_quality(spark, sf_dir):
 
 # Characters
 
-RULE_VALUES = ", ".join(f"({g}, {r}, '{name}', {a}, {b})" for g, name in enumerate(chars.GROUPS) for r, (a, b, _, _) in enumerate(chars.GROUPS[name]))
 CHARS = f"""
     rules(group_ord, rule_ord, char_group, first, last) AS (VALUES {RULE_VALUES}),
     seen AS (SELECT unnest(regexp_extract_all(html, '[^\\x00-\\x7F]')) AS ch FROM pages UNION ALL SELECT unnest(regexp_extract_all(text, '[^\\x00-\\x7F]')) AS ch FROM documents),
@@ -256,8 +255,8 @@ def html_char_scan(spark, sf_dir):
 def _ngram_query(n: int) -> None:
     def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repo"))
-        rows = K.ngrams(line_tokens(spark, sf_dir, True), n).join(docs, "doc_id").groupBy("gram").agg(F.count("*").alias("n_total"), F.count_distinct("repo").alias("repos"))
-        return rows.where("repos >= 3")
+        runs = K.ngrams(line_tokens(spark, sf_dir, n > 1), n).join(docs, "doc_id")
+        return corpus.by_repository(runs, "gram").where("repos >= 3")
 
     QUERIES[f"ngram_n{n}"] = ngram_counts
     ORACLES[f"ngram_n{n}"] = f"WITH {TOKENS}, g AS ({grams(n)}) SELECT gram, count(*) AS n_total, count(DISTINCT source) AS repos FROM g JOIN documents USING (doc_id) GROUP BY gram HAVING count(DISTINCT source) >= 3"
@@ -267,13 +266,13 @@ for _n in (1, 2, 3, 4):
     _ngram_query(_n)
 
 
-@query(f"WITH {TOKENS}, " + ", ".join(f"g{n} AS (SELECT {n} AS n, * FROM ({grams(n)}))" for n in (1, 2, 3)) + """
-    SELECT n, gram, count(*) AS n_total, count(DISTINCT source) AS repos FROM (SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3) JOIN documents USING (doc_id)
+@query(f"WITH {TOKENS}, " + ", ".join(f"g{n} AS (SELECT {n} AS n, * FROM ({grams(n)}))" for n in (1, 2, 3, 4)) + """
+    SELECT n, gram, count(*) AS n_total, count(DISTINCT source) AS repos FROM (SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3 UNION ALL SELECT * FROM g4) JOIN documents USING (doc_id)
     GROUP BY n, gram HAVING count(DISTINCT source) >= 8""")
 def frequent_ngrams_apriori(spark, sf_dir):
-    """Frequent runs of up to three tokens, all lengths in one pass."""
+    """Frequent runs of up to four tokens; rare tokens part them before they are counted."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repo"))
-    return corpus.frequent_ngrams(line_tokens(spark, sf_dir, True), docs, 3, 8)
+    return corpus.frequent_ngrams(line_tokens(spark, sf_dir, True), docs, 4, 8)
 
 
 COMPARED = f"""

@@ -1,28 +1,141 @@
-"""From documents to findings: read blocks once, run the lints, drop what is allowed, narrow to a change."""
+"""From documents to findings: read blocks once, run the lints by their settings, drop what is allowed, narrow to a change."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.operators import lints, markdown, settings
+from prosegrid.operators import chars, lints, markdown
+from prosegrid.operators import settings as S
+
+PROSE = ["Paragraph", "Item", "Quote", "Heading", "Table"]
+#: All lints, in the order in which a report lists them.
+ORDER = ["max_size_bytes", "max_emphasis", "repo_layout", "banned_chars", "banned_phrases", "density", *("verbs_no_nouns", "not_at_all", "verbs_nothing", "possessive_own", "denial_tail")]
+PLACE = ["path", "lint", "line", "end_line", "column", "end_column", "quote"]
+
+
+@dataclass
+class Settings:
+    """What each lint may find too much of; a lint whose setting is None or empty is off, the sentence lints are on unless named in off."""
+
+    max_size_bytes: int | None = None
+    #: Spans of emphasis that are free, and the greatest share of the text, in percent, that more of them may take.
+    max_emphasis: tuple[int, float] | None = None
+    #: The heading of the layout index.
+    repo_layout: str | None = None
+    char_groups: list[str] = field(default_factory=list)
+    allowed_chars: list[str] = field(default_factory=list)
+    banned_chars: dict[str, str] = field(default_factory=dict)
+    phrases: list[str] = field(default_factory=list)
+    allowed_phrases: list[str] = field(default_factory=list)
+    density: bool = False
+    off: list[str] = field(default_factory=list)
+
+    def lints(self) -> list[str]:
+        configured = {
+            "max_size_bytes": self.max_size_bytes is not None, "max_emphasis": self.max_emphasis is not None, "repo_layout": self.repo_layout is not None,
+            "banned_chars": bool(self.char_groups or self.banned_chars), "banned_phrases": bool(self.phrases), "density": self.density,
+        }
+        return [name for name in ORDER if configured.get(name, True) and name not in self.off]
+
+
+def ordered(findings: DataFrame) -> DataFrame:
+    """Findings as a report lists them: by path, then in the order of the lints, then by place."""
+    rank = F.coalesce(*(F.when(F.col("lint") == name, n) for n, name in enumerate(ORDER)), F.lit(len(ORDER)))
+    return findings.orderBy("path", rank, F.asc_nulls_first("line"), F.asc_nulls_first("column"))
+
 
+def _whole(found: DataFrame, lint: str, quote: Column, line: Column | None = None) -> DataFrame:
+    """Findings that have no columns, and perhaps no line."""
+    line = (line if line is not None else F.lit(None)).cast("int")
+    nothing = F.lit(None).cast("int")
+    return found.select(F.col("doc_id").alias("path"), F.lit(lint).alias("lint"), line.alias("line"), line.alias("end_line"), nothing.alias("column"), nothing.alias("end_column"), quote.alias("quote"))
 
-def check_documents(docs: DataFrame, names: list[str] | None = None, hunks: DataFrame | None = None) -> DataFrame:
-    """path, lint, line, end_line, column, end_column, quote. docs: path, text; only prose blocks are read.
 
-    Lines and columns count from 1, columns in code points of the block's line. With hunks (path,
-    added_start, added_end) only findings on touched lines stay.
+def _banned_chars(docs: DataFrame, settings: Settings) -> DataFrame:
+    """A finding for each place of a banned character; only lines with characters outside ASCII or banned ones are taken apart."""
+    rules = chars.rule_table(docs.sparkSession, settings.char_groups)
+    source = markdown.lines(docs).where(F.col("source").rlike(r"[^\x00-\x7F]") | F.exists(F.array(*map(F.lit, [*settings.banned_chars, "\0"])), lambda c: F.contains(F.col("source"), c)))
+    places = source.select("doc_id", (F.col("line") + 1).alias("line"), F.posexplode(F.split("source", "")).alias("at", "ch")).where(F.col("ch").rlike(r"[^\x00-\x7F]") | F.col("ch").isin(list(settings.banned_chars)))
+    seen = places.select("ch").distinct().withColumn("n", F.lit(1))
+    judged = chars.with_group(seen, rules).where(~F.col("ch").isin(settings.allowed_chars) & (F.col("ch").isin(list(settings.banned_chars)) | F.col("char_group").isNotNull())).select("ch")
+    found = places.join(judged, "ch", "left_semi")
+    return found.select(F.col("doc_id").alias("path"), F.lit("banned_chars").alias("lint"), "line", F.col("line").alias("end_line"), (F.col("at") + 1).alias("column"), (F.col("at") + 2).alias("end_column"), F.col("ch").alias("quote"))
+
+
+def sentence_texts(blocks: DataFrame, tokens: DataFrame) -> DataFrame:
+    """path, sent_id (block and sentence) and text of each sentence."""
+    spans = tokens.groupBy(*lints.KEY).agg(F.min("start").alias("start"), F.max("end").alias("end")).join(blocks.select("doc_id", "block_id", F.col("text").alias("block_text")), ["doc_id", "block_id"])
+    return spans.select(F.col("doc_id").alias("path"), _unit(), F.substring(F.col("block_text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))
+
+
+def _unit() -> Column:
+    return F.concat_ws(":", F.col("block_id").cast("string"), F.col("sent_id").cast("string")).alias("sent_id")
+
+
+def check_documents(docs: DataFrame, names: list[str] | None = None, hunks: DataFrame | None = None, settings: Settings | None = None, allowed: DataFrame | None = None, files: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """path, lint, line, end_line, column, end_column, quote. docs: path, text.
+
+    Lines and columns count from 1, columns in code points of the block's line; findings on a whole
+    document have neither. names: the lints to run, all that the settings turn on by default.
+    With hunks (path, added_start, added_end) only findings on touched lines stay. allowed (entry,
+    path, lint, quote) exempts sentences, or blocks where the lint is density, whose text is the
+    quote but for case and white space. files (path) are what a layout may list, docs by default.
+    blocks replaces the Markdown reading of docs: doc_id, block_id, kind, heading, first_line, text.
     """
-    blocks = markdown.blocks(docs.select(F.col("path").alias("doc_id"), "text"))
-    prose = blocks.where(F.col("kind").isin("Paragraph", "Item", "Quote", "Heading", "Table"))
-    found = lints.check(prose, names)
-    placed = found.join(prose.select("doc_id", "block_id", "first_line", "text"), ["doc_id", "block_id"])
-    upto = lambda c: F.substring(F.col("text"), F.lit(1), F.col(c))
-    line = lambda c: F.col("first_line") + F.regexp_count(upto(c), F.lit("\n"))
-    column = lambda c: F.char_length(F.substring_index(upto(c), "\n", -1)) + 1
-    rows = placed.select(F.col("doc_id").alias("path"), "lint", line("start").alias("line"), line("end").alias("end_line"), column("start").alias("column"), column("end").alias("end_column"), "quote")
+    settings = settings or Settings()
+    on = [name for name in names or settings.lints() if name in settings.lints()]
+    texts = docs.select(F.col("path").alias("doc_id"), "text")
+    blocks = markdown.blocks(texts) if blocks is None else blocks
+    prose = blocks.where(F.col("kind").isin(PROSE))
+    parts: list[DataFrame] = []
+    if "max_size_bytes" in on:
+        size = F.octet_length("text")
+        parts.append(_whole(texts.where(size > settings.max_size_bytes), "max_size_bytes", F.concat(size.cast("string"), F.lit(" bytes"))))
+    tokens = lints.read(prose)
+    if "max_emphasis" in on:
+        caps = lints.caps_runs(tokens).withColumnRenamed("letters", "chars")
+        marked = markdown.over_emphasised(blocks, caps, *settings.max_emphasis)
+        parts.append(_whole(marked, "max_emphasis", F.format_string("%d spans, %.2f %%", "spans", "percent")))
+    if "repo_layout" in on:
+        known = (files if files is not None else docs).select("path")
+        parts.append(_whole(markdown.layout_problems(blocks, known, settings.repo_layout), "repo_layout", F.col("problem"), F.col("line")))
+    if "banned_chars" in on:
+        parts.append(_banned_chars(texts, settings))
+
+    hits = None
+    for name in on:
+        if name in lints.LINTS or name == "banned_phrases":
+            found = lints.LINTS[name](tokens) if name in lints.LINTS else lints.banned_phrases(tokens, settings.phrases, settings.allowed_phrases)
+            found = found.select(*lints.KEY, "pos", "length", F.lit(name).alias("lint"))
+            hits = found if hits is None else hits.unionByName(found)
+    exempt = allowed if allowed is not None and on else None
+    if hits is not None:
+        if exempt is not None:
+            found = hits.select(F.col("doc_id").alias("path"), "lint", _unit()).distinct()
+            statuses = S.settled(exempt.where("lint <> 'density'"), sentence_texts(prose, tokens), found, docs.select("path"))
+            dropped = statuses.where("status = 'applied'").select(F.col("path").alias("doc_id"), "lint", F.col("sent_id").alias("unit"))
+            hits = hits.withColumn("unit", _unit()).join(dropped, ["doc_id", "lint", "unit"], "left_anti").drop("unit")
+        placed = lints.places(prose, tokens, hits).join(prose.select("doc_id", "block_id", "first_line", "text"), ["doc_id", "block_id"])
+        upto = lambda c: F.substring(F.col("text"), F.lit(1), F.col(c))
+        line = lambda c: F.col("first_line") + F.regexp_count(upto(c), F.lit("\n"))
+        column = lambda c: F.char_length(F.substring_index(upto(c), "\n", -1)) + 1
+        parts.append(placed.select(F.col("doc_id").alias("path"), "lint", line("start").alias("line"), line("end").alias("end_line"), column("start").alias("column"), column("end").alias("end_column"), "quote"))
+    if "density" in on:
+        dense = lints.dense_blocks(prose.where(F.col("kind").isin("Paragraph", "Item", "Quote")))
+        if exempt is not None:
+            units = prose.select(F.col("doc_id").alias("path"), F.col("block_id").alias("sent_id"), "text")
+            found = dense.select(F.col("doc_id").alias("path"), F.lit("density").alias("lint"), F.col("block_id").alias("sent_id"))
+            statuses = S.settled(exempt.where("lint = 'density'"), units, found, docs.select("path"))
+            dense = dense.join(statuses.where("status = 'applied'").select(F.col("path").alias("doc_id"), F.col("sent_id").alias("block_id")), ["doc_id", "block_id"], "left_anti")
+        parts.append(_whole(dense, "density", F.concat(F.col("chars").cast("string"), F.lit(" characters")), F.col("first_line")))
+
+    rows = docs.select("path", *(F.lit(None).cast(t).alias(c) for c, t in zip(PLACE[1:], ("string", "int", "int", "int", "int", "string")))).limit(0)
+    for part in parts:
+        rows = rows.unionByName(part)
     if hunks is not None:
-        touched = settings.within_change(rows.withColumns({"first_line": F.col("line"), "last_line": F.col("end_line")}), hunks)
-        rows = touched.select(rows.columns)
+        touched = S.within_change(rows.withColumns({"first_line": F.coalesce("line", F.lit(1)), "last_line": F.coalesce("end_line", F.lit(1 << 30))}), hunks)
+        rows = touched.select(PLACE)
     return rows

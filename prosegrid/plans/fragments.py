@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from prosegrid.functions import text as T
+from prosegrid.operators import chars
 
 
 def quoted(words: list[str]) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
+RULE_VALUES = ", ".join(f"({g}, {r}, '{name}', {a}, {b})" for g, name in enumerate(chars.GROUPS) for r, (a, b, _, _) in enumerate(chars.GROUPS[name]))
+
 PIECE = T.PIECE.replace("'", "''")
 
 TOKENS = rf"""

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosegrid.functions import text as T
-from prosegrid.operators import lints
+from prosegrid.operators import chars, lints
 from prosegrid.operators import tokens as K
-from prosegrid.plans.fragments import SENTENCES, TOKENS, quoted
+from prosegrid.plans.check import Settings, check_documents
+from prosegrid.plans.fragments import RULE_VALUES, SENTENCES, TOKENS, quoted
 
 PLANTED = [
     "The ferry carries no lorries, and the pier needs no paint. There is no lighthouse.",
@@ -199,6 +200,46 @@ def caps_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("block_id").cast("long").alias("block_id"), F.col("pos").cast("long").alias("pos"), "words")
 
 
+SETTINGS = Settings(max_size_bytes=8000, char_groups=list(chars.GROUPS), allowed_chars=["é", "§"], banned_chars={"ß": "ss", "§": "section", "|": "or"}, phrases=["of the", "is sold"], allowed_phrases=["of the silver"], density=True)
+#: Exempt: the tails of one planted line, and the phrase of another.
+EXEMPT = [(10, "denial_tail"), (9, "banned_phrases")]
+
+
+def check_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check over all documents by stand-in settings, lines as paragraphs, with exemptions: how many findings of a lint a line has."""
+    docs = planted(spark, sf_dir).withColumn("path", F.col("doc_id").cast("string"))
+    blocks = K.line_blocks(docs.select(F.col("path").alias("doc_id"), "text"), windowed=True).select("doc_id", "block_id", F.lit("Paragraph").alias("kind"), F.lit(None).cast("string").alias("heading"), (F.col("block_id") + 1).alias("first_line"), "text")
+    entries = None
+    for k, lint in EXEMPT:
+        rows = docs.where(F.col("doc_id") % len(PLANTED) == k).select(F.col("doc_id").alias("entry"), "path", F.lit(lint).alias("lint"), F.lit(PLANTED[k].upper()).alias("quote"))
+        entries = rows if entries is None else entries.unionByName(rows)
+    found = check_documents(docs.select("path", "text"), settings=SETTINGS, allowed=entries, blocks=blocks)
+    return found.groupBy("path", "lint", F.col("line").cast("long").alias("line")).agg(F.count("*").alias("n"))
+
+
+def _sentence_lint(name: str) -> str:
+    """The lint's places as a subquery of its own query's SQL."""
+    return f"SELECT doc_id, block_id + 1 AS line, '{name}' AS lint, pos FROM (WITH {ORACLES[f'lint_{name}'].removeprefix(f'WITH {READ}, ')})"
+
+
+_PHRASE = f"lead(folded) {W}"
+QUERIES["check_findings"] = check_findings
+ORACLES["check_findings"] = rf"""
+    WITH {READ}, rules(group_ord, rule_ord, char_group, first, last) AS (VALUES {RULE_VALUES}),
+    near AS (SELECT *, lead(folded) OVER (PARTITION BY doc_id, block_id ORDER BY pos) AS f1, lead(folded, 2) OVER (PARTITION BY doc_id, block_id ORDER BY pos) AS f2 FROM sents),
+    places AS (SELECT doc_id, block_id + 1 AS line, unnest(regexp_extract_all(line, '[^\x00-\x7F]|[|]')) AS ch FROM lines),
+    judged AS (SELECT ch FROM (SELECT DISTINCT ch FROM places) WHERE ch NOT IN ('é', '§') AND (ch IN ('ß', '§', '|') OR EXISTS (SELECT 1 FROM rules WHERE unicode(ch) BETWEEN first AND last))),
+    found AS (
+        SELECT doc_id, NULL::BIGINT AS line, 'max_size_bytes' AS lint, 0 AS pos FROM planted WHERE octet_length(encode(text)) > 8000
+        UNION ALL SELECT doc_id, line, 'banned_chars', 0 FROM places SEMI JOIN judged USING (ch)
+        UNION ALL SELECT doc_id, block_id + 1, 'banned_phrases', pos FROM near WHERE (folded = 'of' AND f1 = 'the' AND coalesce(f2, '') <> 'silver') OR (folded = 'is' AND f1 = 'sold' AND doc_id % {len(PLANTED)} <> 9)
+        UNION ALL SELECT doc_id, block_id + 1, 'density', 0 FROM lines WHERE length(line) > 600
+        {" ".join(f"UNION ALL {_sentence_lint(name)}" for name in lints.LINTS)}
+    )
+    SELECT doc_id::VARCHAR AS path, lint, line::BIGINT AS line, count(*) AS n FROM found
+    WHERE NOT (lint = 'denial_tail' AND doc_id % {len(PLANTED)} = 10 AND line = (SELECT max(block_id) + 1 FROM lines l WHERE l.doc_id = found.doc_id)) GROUP BY ALL"""
+
+
 QUERIES["caps_runs"] = caps_runs
 ORACLES["caps_runs"] = rf"""
     WITH {READ}, caps AS (SELECT *, kind = 'Word' AND length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) >= 2 AND NOT regexp_matches(regexp_replace(text, '[^\p{{L}}]', '', 'g'), '[^\p{{Lu}}]') AS caps FROM tokens),

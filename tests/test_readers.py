@@ -89,10 +89,10 @@ def test_comments(spark):
 
 
 def test_check_and_reports(spark):
-    docs = spark.createDataFrame([("a b.md", "# T\n\nFirst line here.\nIt ships no binary, and the tool's\nown cat.\n\n```\nIt ships no code.\n```\n"), ("c.md", "It ships no cat.")], "path string, text string")
+    docs = spark.createDataFrame([("a b.md", "# T\n\nFirst line here.\nIt sells no honey, and the farm's\nown geese.\n\n```\nIt sells no bread.\n```\n"), ("c.md", "It sells no cat.")], "path string, text string")
     rows = check_documents(docs).cache()
     found = {(r.path, r.lint, r.line, r.column, r.end_line, r.quote) for r in rows.collect()}
-    assert found == {("a b.md", "verbs_no_nouns", 4, 4, 4, "ships no binary"), ("a b.md", "possessive_own", 4, 29, 5, "tool's own cat"), ("c.md", "verbs_no_nouns", 1, 4, 1, "ships no cat")}
+    assert found == {("a b.md", "verbs_no_nouns", 4, 4, 4, "sells no honey"), ("a b.md", "possessive_own", 4, 28, 5, "farm's own geese"), ("c.md", "verbs_no_nouns", 1, 4, 1, "sells no cat")}
     hunks = files.hunks(spark.createDataFrame([(1, "--- a/c.md\n+++ b/c.md\n@@ -1 +1 @@ x\n-a\n+b\n--- a/a b.md\n+++ b/a b.md\n@@ -9,0 +10,2 @@\n")], "patch_id int, text string"))
     assert [r.path for r in check_documents(docs, hunks=hunks).collect()] == ["c.md"]
     assert {(r.path, r.added_start, r.added_end, r.removed_start, r.removed_end) for r in hunks.collect()} == {("c.md", 1, 2, 1, 2), ("a b.md", 10, 12, 10, 10)}
@@ -100,7 +100,7 @@ def test_check_and_reports(spark):
     assert [f["lint"] for f in report["findings"]] == ["possessive_own", "verbs_no_nouns"]
     result = json.loads(reports.sarif_results(rows).where("lint = 'possessive_own'").first().result)
     assert result["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "a%20b.md"
-    assert reports.github_commands(rows).where("path = 'c.md'").first().command == "::error file=c.md,line=1,endLine=1,title=verbs_no_nouns::ships no cat"
+    assert reports.github_commands(rows).where("path = 'c.md'").first().command == "::error file=c.md,line=1,endLine=1,title=verbs_no_nouns::sells no cat"
     assert {(r.lint, r.files, r.places) for r in reports.tally(rows).collect()} == {("verbs_no_nouns", 2, 2), ("possessive_own", 1, 1)}
     assert reports.text_lines(rows).where("path = 'c.md'").first().text == "line 1"
 
@@ -139,10 +139,10 @@ def test_chars(spark):
 
 
 def test_watch(spark, tmp_path):
-    rows = [("a.md", "It ships no cat.", "2024-01-01 00:00:00"), ("b.md", "It ships no cat.", "2024-01-01 00:01:00"), ("c.md", "Fine.", "2024-01-01 00:02:00")]
+    rows = [("a.md", "It sells no cat.", "2024-01-01 00:00:00"), ("b.md", "It sells no cat.", "2024-01-01 00:01:00"), ("c.md", "Fine.", "2024-01-01 00:02:00")]
     frame = spark.createDataFrame(rows, "path string, text string, ts string").withColumn("ts", F.to_timestamp("ts"))
     frame.write.parquet(f"{tmp_path}/in")
     found = []
     query = watch(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in"), lambda df, n: found.extend(df.collect()), f"{tmp_path}/state", ["verbs_no_nouns"])
     query.awaitTermination(120)
-    assert [r.quote for r in found] == ["ships no cat"]
+    assert [r.quote for r in found] == ["sells no cat"]
