@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,26 +40,32 @@ def repo_rates(hits: DataFrame, repos: DataFrame, item: str) -> DataFrame:
     return summed.join(F.broadcast(sides), "side").select(item, "side", "occurrences", "repos", (F.col("summed") / F.col("n_repos")).alias("rate"))
 
 
-def bootstrap_ratio(rates: DataFrame, n_repos: dict[int, int], smooth: float, seed: int = 1) -> DataFrame:
+def draw_weight(draw: Column, *keys: Column) -> Column:
+    """How often a repository is in a draw: a Poisson number of mean one from a hash of its keys, the same on every run.
+
+    Numbers above seven, one in 100,000, count as seven.
+    """
+    at = F.pmod(F.xxhash64(*keys, draw), F.lit(1 << 40)) / float(1 << 40)
+    weight, below, term = F.lit(0), 0.0, math.exp(-1)
+    for k in range(1, 8):
+        below, term = below + term, term / k
+        weight = F.when(at >= below, k).otherwise(weight)
+    return weight
+
+
+def bootstrap_ratio(rates: DataFrame, repos: DataFrame, smooth: float, seed: int = 1) -> DataFrame:
     """item, low and high: the middle 95 % of the smoothed ratio over REPLICATES draws of repositories.
 
-    rates: item, side (0 focus, 1 reference), repo_no (dense from 0 in its side), rate; only
-    repositories with hits. Draws are the same for every item; they take REPLICATES numbers for each
-    repository and side, whatever the number of items.
+    rates: item, side (0 focus, 1 reference), repo, rate; only repositories with hits. repos: side,
+    repo, all of them. Each repository's weight in a draw comes from a hash, so every item sees the
+    same draws, nothing is drawn ahead, and sums add up by partition. A draw's mean is over the
+    weights it has.
     """
-    draws = {}
-    random = np.random.default_rng(seed)
-    for side in (0, 1):
-        n = n_repos[side]
-        draws[side] = random.multinomial(n, np.full(n, 1 / n), REPLICATES).astype(np.int32) if n else np.zeros((REPLICATES, 0), np.int32)
-
-    def interval(rows: pd.DataFrame) -> pd.DataFrame:
-        means = []
-        for side in (0, 1):
-            mine = rows[rows.side == side]
-            means.append(draws[side][:, mine.repo_no.to_numpy(int)] @ mine.rate.to_numpy(float) / max(n_repos[side], 1))
-        ratios = np.sort((means[0] + smooth) / (means[1] + smooth))
-        low, high = (ratios[int(np.ceil(REPLICATES * f)) - 1] for f in (0.025, 0.975))
-        return pd.DataFrame({"item": [rows.item.iloc[0]], "low": [low], "high": [high]})
-
-    return rates.groupBy("item").applyInPandas(interval, "item string, low double, high double")
+    draws = F.explode(F.sequence(F.lit(0), F.lit(REPLICATES - 1))).alias("draw")
+    weight = draw_weight(F.col("draw"), F.lit(seed), F.col("side"), F.col("repo"))
+    sizes = repos.select("side", "repo", draws).groupBy("side", "draw").agg(F.sum(weight).alias("size"))
+    summed = rates.select("item", "side", "repo", "rate", draws).groupBy("item", "draw", "side").agg(F.sum(F.col("rate") * weight).alias("sum"))
+    means = summed.join(F.broadcast(sizes), ["side", "draw"]).select("item", "draw", "side", F.try_divide("sum", "size").alias("mean"))
+    of = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.col("mean"))), F.lit(0.0))
+    both = means.groupBy("item", "draw").agg(((of(0) + smooth) / (of(1) + smooth)).alias("ratio"))
+    return both.groupBy("item").agg(percentile("ratio", 0.025).alias("low"), percentile("ratio", 0.975).alias("high"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Parts of a range of scores over which sums run one by one.
+STEPS = 1000
+
 
 def confusion(rows: DataFrame, gold: str, guess: str, values: list) -> DataFrame:
     """A row for each gold value and a column for each guess."""
@@ -75,11 +78,18 @@ def wilson(right: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 def cutoff(rows: DataFrame, score: str, right: str, floor: float) -> DataFrame:
     """The lowest score down to which the share right is at least the floor, and the rows at or above it.
 
-    Rows are counted by score first; what is left is one row for each distinct score.
+    Rows are counted by score first, and scores by STEPS equal parts of their range; sums run over
+    the parts, and within each part over its scores.
     """
     by = rows.groupBy(score).agg(F.count("*").alias("n"), F.sum(right).alias("right"))
-    down = Window.orderBy(F.desc(score))
-    run = by.withColumns({"_n": F.sum("n").over(down), "_right": F.sum("right").over(down)})
+    ends = by.agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    part = F.coalesce(F.floor(F.try_divide(F.col(score) - F.col("_low"), F.col("_high") - F.col("_low")) * STEPS), F.lit(0))
+    parted = by.crossJoin(F.broadcast(ends)).withColumn("_part", part).drop("_low", "_high")
+    above = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)  # STEPS + 1 rows at most
+    bases = parted.groupBy("_part").agg(F.sum("n").alias("_pn"), F.sum("right").alias("_pr"))
+    bases = bases.select("_part", F.coalesce(F.sum("_pn").over(above), F.lit(0)).alias("_bn"), F.coalesce(F.sum("_pr").over(above), F.lit(0)).alias("_br"))
+    down = Window.partitionBy("_part").orderBy(F.desc(score))
+    run = parted.join(F.broadcast(bases), "_part").withColumns({"_n": F.col("_bn") + F.sum("n").over(down), "_right": F.col("_br") + F.sum("right").over(down)})
     return run.where(F.col("_right") >= floor * F.col("_n")).orderBy(F.col(score)).limit(1).select(F.col(score).alias("cutoff"), F.col("_n").alias("n"), F.col("_right").alias("right"))
 
 

@@ -182,14 +182,11 @@ def ratio_with_smoothing(spark, sf_dir):
 
 @query()
 def bootstrap_interval(spark, sf_dir):
-    """The middle 95 % of the smoothed ratio of each word over draws of repositories; rows only, since the draws are NumPy's."""
+    """The middle 95 % of the smoothed ratio of each word over draws of repositories; rows only, since draws come from Spark's hash."""
     hits, repos = _word_hits(spark, sf_dir)
-    numbered = repos.withColumn("repo_no", F.row_number().over(Window.partitionBy("side").orderBy("repo")) - 1)
-    rates = hits.join(numbered, ["side", "repo"]).select(F.col("gram").alias("item"), "side", "repo_no", stats.per_million(F.col("n"), F.col("tokens")).alias("rate"))
-    counted = {r["side"]: (r["n"], r["tokens"]) for r in repos.groupBy("side").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).collect()}
-    n_repos = {side: counted.get(side, (0, 0))[0] for side in (0, 1)}
-    smooth = 0.5e6 / counted[1][1] if 1 in counted else 0.0
-    return stats.bootstrap_ratio(rates, n_repos, smooth)
+    rates = hits.join(repos, ["side", "repo"]).select(F.col("gram").alias("item"), "side", "repo", stats.per_million(F.col("n"), F.col("tokens")).alias("rate"))
+    words = repos.where("side = 1").agg(F.sum("tokens")).first()[0]
+    return stats.bootstrap_ratio(rates, repos, 0.5e6 / words if words else 0.0)
 
 
 @query("""
@@ -436,17 +433,17 @@ def override_last_wins(spark, sf_dir):
 @query(r"""
     WITH lines AS (SELECT doc_id::VARCHAR AS path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS sent_id FROM documents),
     folded AS (SELECT path, sent_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS folded, length(text) > 600 AS found FROM lines),
-    entries AS (SELECT doc_id AS entry, CASE WHEN doc_id % 7 = 0 THEN 'gone' ELSE doc_id::VARCHAR END AS path, CASE WHEN doc_id % 5 = 0 THEN 'no such line' ELSE string_split(text, chr(10))[1] END AS quote FROM documents WHERE doc_id % 3 = 0),
+    entries AS (SELECT doc_id AS entry, CASE WHEN doc_id % 7 = 0 THEN 'gone' ELSE doc_id::VARCHAR END AS path, CASE WHEN doc_id % 5 = 0 THEN 'no such line' ELSE string_split(text, chr(10))[1] END AS quote FROM documents),
     matched AS (SELECT e.entry, e.path, count(f.sent_id) AS n, min(f.sent_id) AS sent_id FROM entries e LEFT JOIN folded f ON f.path = e.path AND f.folded = lower(trim(regexp_replace(e.quote, '\s+', ' ', 'g'))) GROUP BY ALL)
     SELECT entry, CASE WHEN path = 'gone' THEN 'no such file' WHEN n = 0 THEN 'no such sentence' WHEN n > 1 THEN 'two sentences'
         WHEN NOT EXISTS (SELECT 1 FROM folded f WHERE f.path = m.path AND f.sent_id = m.sent_id AND found) THEN 'no finding' ELSE 'applied' END AS status FROM matched m""")
 def allow_status(spark, sf_dir):
-    """Exemptions (every third document, by construction some broken) against lines and density findings."""
+    """An exemption for each document, some broken by construction, against lines and density findings."""
     docs = table(spark, sf_dir, "documents")
     lines = K.line_blocks(docs).select(F.col("doc_id").cast("string").alias("path"), F.col("block_id").alias("sent_id"), "text")
     findings = lines.where(F.char_length("text") > lints.PARAGRAPH_CHARS).select("path", "sent_id", F.lit("density").alias("lint"))
     quote = F.when(F.col("doc_id") % 5 == 0, "no such line").otherwise(F.get(F.split("text", "\n"), F.lit(0)))
-    entries = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("entry"), F.when(F.col("doc_id") % 7 == 0, "gone").otherwise(F.col("doc_id").cast("string")).alias("path"), F.lit("density").alias("lint"), quote.alias("quote"))
+    entries = docs.select(F.col("doc_id").alias("entry"), F.when(F.col("doc_id") % 7 == 0, "gone").otherwise(F.col("doc_id").cast("string")).alias("path"), F.lit("density").alias("lint"), quote.alias("quote"))
     return settings.settled(entries, lines, findings, lines.select("path")).select("entry", "status")
 
 
@@ -626,16 +623,12 @@ def settings_explained(spark, sf_dir):
     return told.groupBy("setting", "source").agg(F.count("*").alias("paths"))
 
 
-@query(r"""
-    WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS sent_id FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')),
-    entries AS (SELECT doc_id, substr(text, 5, 70) AS quote FROM documents WHERE doc_id % 10 = 0),
-    near AS (SELECT e.doc_id AS entry, sent_id, levenshtein(left(quote, 60), left(text, 60)) AS distance FROM entries e JOIN lines l USING (doc_id))
-    SELECT entry, (row_number() OVER (PARTITION BY entry ORDER BY distance, sent_id))::INT AS rank, sent_id::INT AS sent_id, distance::INT AS distance FROM near QUALIFY rank <= 3""")
+@query()
 def closest_quotes(spark, sf_dir):
+    """The three lines of each document that are nearest to a quote from its start; rows only, since DuckDB counts edits by byte."""
     docs = table(spark, sf_dir, "documents")
-    plain = docs.where((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x00-\x7F]"))
-    lines = K.line_blocks(plain).select(F.col("doc_id").alias("path"), F.col("block_id").alias("sent_id"), "text")
-    entries = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("entry"), F.col("doc_id").alias("path"), F.substring("text", 5, 70).alias("quote"))
+    lines = K.line_blocks(docs).select(F.col("doc_id").alias("path"), F.col("block_id").alias("sent_id"), "text")
+    entries = docs.select(F.col("doc_id").alias("entry"), F.col("doc_id").alias("path"), F.substring("text", 5, 70).alias("quote"))
     return settings.closest(entries, lines)
 
 
@@ -681,13 +674,13 @@ def margin_cutoff(spark, sf_dir):
 
 
 @query(f"""
-    WITH {VOTES}, pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, length(a.a) AS p, length(b.b) AS q FROM (SELECT * FROM votes WHERE doc_id % 2 = 0) a FULL JOIN (SELECT * FROM votes WHERE doc_id % 3 = 0) b ON a.doc_id = b.doc_id)
+    WITH {VOTES}, pairs AS (SELECT length(a.c) AS p, length(b.b) AS q FROM (SELECT * FROM votes WHERE c IS NOT NULL) a FULL JOIN (SELECT * FROM votes WHERE b IS NOT NULL) b ON a.doc_id = b.doc_id)
     SELECT count(*) FILTER (p IS NOT NULL AND q IS NOT NULL) AS "both", count(*) FILTER (p IS NULL OR q IS NULL) AS alone, count(*) FILTER (q > p) AS up, count(*) FILTER (q < p) AS down FROM pairs""")
 def paired_runs(spark, sf_dir):
-    """Two runs that judge different documents in part, joined by document."""
+    """Two voters that abstain from different documents, joined by document."""
     votes = _votes(spark, sf_dir)
-    before = votes.where("doc_id % 2 = 0").select("doc_id", F.char_length("a").alias("value"))
-    after = votes.where("doc_id % 3 = 0").select("doc_id", F.char_length("b").alias("value"))
+    before = votes.where("c is not null").select("doc_id", F.char_length("c").alias("value"))
+    after = votes.where("b is not null").select("doc_id", F.char_length("b").alias("value"))
     return exam.paired(before, after, "doc_id", "value")
 
 
