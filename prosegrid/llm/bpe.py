@@ -16,8 +16,8 @@ that has an arc here and stepping back where no arc leads on. Words come from th
 file's normalizer and pre-tokenizer. To decode is to emit the labels of the arcs.
 
 Defined results: a null or blank text has no tokens; special tokens written in a text are read as
-such; equal texts give equal ids. Texts are encoded whole, whatever their length. Other columns
-are untouched.
+such; equal texts give equal ids, so repeated rows do, and an empty table gives an empty result.
+Texts are encoded whole, whatever their length. Other columns are untouched.
 """
 
 from __future__ import annotations

@@ -11,8 +11,10 @@ so that no control string of this or of other common templates is left in a text
 each escaping backslash gives the text back.
 
 Defined results: a null text or role is empty; a null turn sorts first; turns with equal numbers
-sort by role, then text; rows with a null conversation id form one conversation; repeated rows are
-turns of their own; an empty table gives an empty result. Other columns are ignored.
+sort by role, then text; a row with a null conversation id is a conversation of its own, so that
+such rows never gather; repeated rows are turns of their own; an empty table gives an empty result.
+Other columns are ignored. A conversation is a row, so it must fit one; spans are appended one by
+one, which takes the square of its turns.
 """
 
 from __future__ import annotations
@@ -46,7 +48,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """
     filled = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
     row = F.struct(F.col("turn").alias("turn"), filled("role").alias("role"), filled("text").alias("text"))
-    sorted_turns = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    sorted_turns = turns.select("conv_id", alone.alias("_alone"), row.alias("_row")).groupBy("conv_id", "_alone").agg(F.sort_array(F.collect_list("_row")).alias("turns"))
     # A piece is what a turn adds to the string: its opening marks, then its escaped text.
     pieces = F.transform(
         "turns",

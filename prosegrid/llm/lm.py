@@ -7,10 +7,9 @@ sum of the logarithms over its words, its score their mean.
 
 The texts are read once, into blocks of about BLOCK_WORDS words: which words a block has, and its
 documents as sequences of their numbers. The n-grams of a block are exploded, each of them once,
-and dealt by ranges of their 64-bit hash keys. They travel as arrays, a row for each block and range,
-and are rows of (key, count) from then on: the count table is their grouped sum, 64 bits wide, and
-a join by key brings the counts back to the blocks' n-grams. Both find their rows together already,
-so neither moves them again. The join holds a partition's part of the table in memory while
+and dealt by ranges of their 64-bit hash keys. They travel as arrays, a row for each block and range.
+Grouped by range, they give the count table, rows of (key, total) of 64 bits each, and exploded to
+rows they are joined by key to it, where they lie. The join holds a partition's part of the table in memory while
 partitions are as small as they should be, and otherwise sorts and can spill. The counts return packed to the
 blocks, which are a table bucketed by block, and the logarithms are summed by document. From three
 words on, only n-grams go out whose two shorter parts are both in the tables, since no other can be.
@@ -226,16 +225,30 @@ def packed_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield answers()
 
 
+def counted(rows: pa.Table) -> pa.Table:
+    """A range's part of the count table, from all rows that have n-grams of it: range, key, total."""
+    flat = lambda c: rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    keys, counts = flat("keys"), flat("counts").astype(np.int64)
+    words = np.repeat(rows.column("n").to_numpy(), [len(x) for x in rows.column("keys")])
+    order = np.argsort(keys)
+    keys, counts, words = keys[order], counts[order], words[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    totals = np.add.reduceat(counts, first)
+    held = (words[first] == 1) | (totals >= MIN_COUNT)
+    keys, totals = keys[first][held], totals[held]
+    return pa.table({"range": pa.array(np.full(len(keys), rows.column("range")[0].as_py(), np.int32)), "key": keys, "total": totals})
+
+
 def _totals(entries: DataFrame, parts: int, hashed: bool) -> DataFrame:
     """block, n, range, totals, wide: the corpus counts of a block's keys in their order, up to the last that the tables hold.
 
     hashed: whether a partition's part of the count table may be held in memory; else the join sorts and can spill.
     """
-    dealt = entries.repartition(parts, "range")
+    dealt = entries.where("range is not null").repartition(parts, "range")  # which the join would ask of its side alone
+    table = dealt.groupBy("range").applyInArrow(counted, "range int, key long, total long")
     grams = dealt.select("range", "n", "block", F.posexplode(F.arrays_zip("keys", "counts")).alias("at", "gram")).select("range", "n", "block", "at", F.col("gram.keys").alias("key"), F.col("gram.counts").alias("count"))
-    table = grams.groupBy("key", "range").agg(F.sum("count").alias("total"), F.count("block").alias("blocks"), F.min("n").alias("least")).where((F.col("least") == 1) | (F.col("total") >= MIN_COUNT))
-    # Other blocks hold an n-gram once at least, so the condition always holds; with it both sides read the same columns, and the dealt rows move once for both.
-    met = grams.join(table.hint("shuffle_hash" if hashed else "merge"), ["key", "range"]).where(F.col("count") <= F.col("total") - F.col("blocks") + 1)
+    # A block never has an n-gram more often than the corpus; with this both sides read the same columns, and the dealt rows move once for both.
+    met = grams.join(table.hint("shuffle_hash" if hashed else "merge"), ["key", "range"]).where(F.col("count") <= F.col("total"))
     return met.select("block", "n", "range", "at", "total").mapInArrow(trimmed(packed_totals), "block long, n int, range int, totals binary, wide boolean")
 
 

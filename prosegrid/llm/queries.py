@@ -206,10 +206,10 @@ ORACLES = {
         SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM judged""",
     "op10_chat": f"""
         WITH turns AS (
-            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+            SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, NULL, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'
         ), marked AS (
-            SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM turns
+            SELECT *, lag(role) OVER (PARTITION BY conv_id, alone ORDER BY turn, role, text) AS before FROM turns
         ), sized AS (
             SELECT *, length({_ESCAPED.format("text")}) + CASE WHEN before = role THEN {len(chat.ALSO)}
                 ELSE {len(chat.TURN + chat.SAYS + chat.DONE)} + length({_ESCAPED.format("role")}) END AS chars FROM marked
@@ -219,5 +219,5 @@ ORACLES = {
             coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(chars)::BIGINT AS formatted_chars
-        FROM sized GROUP BY conv_id""",
+        FROM sized GROUP BY conv_id, alone""",
 }

@@ -40,6 +40,23 @@ def test_automaton_agrees_with_library(spark, texts):
         assert (row.ids, row.decoded) == (a, b), text
 
 
+def test_repeated_rows_and_none(spark):
+    docs = spark.createDataFrame([(1, "The cat's hat"), (1, "The cat's hat"), (None, "The cat's hat")], "doc_id long, text string")
+    rows = docs.withColumn("ids", bpe.bpe_encode(spark, F.col("text"), WORDS)).withColumn("decoded", bpe.bpe_decode(spark, F.col("ids"), WORDS)).collect()
+    assert len(rows) == 3 and len({(tuple(r.ids), r.decoded) for r in rows}) == 1
+    none = docs.limit(0).withColumn("ids", bpe.bpe_encode(spark, F.col("text"), WORDS))
+    assert none.withColumn("decoded", bpe.bpe_decode(spark, F.col("ids"), WORDS)).collect() == []
+
+
+def test_packing_repeated_rows(spark):
+    """Each row is packed, repeated or without an id."""
+    docs = spark.createDataFrame([(1, "The cat's hat"), (1, "The cat's hat"), (None, "The cat's hat")], "doc_id long, text string")
+    rows = packing.pack(docs, BYTES, window=4).collect()
+    ids = library(BYTES, ["The cat's hat"])[0][0] + [1]
+    assert sum(r.length for r in rows) == 3 * len(ids) and {r.doc_tokens for r in rows} == {len(ids)}
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
 def test_automaton_against_merging():
     """Random merge lists, with tokens that lead and end like each other."""
     rng = np.random.default_rng(3)
