@@ -159,3 +159,39 @@ def eligible_sentences(tokens: DataFrame, least_words: int = 2, most_tokens: int
     )
     good = found.where((F.col("words") >= least_words) & (F.col("n_tokens") <= most_tokens) & (F.col("_other") == 0) & (F.col("_common") >= english * F.col("words")))
     return good.drop("_common", "_other")
+
+
+def gram_documents(runs: DataFrame, kept: DataFrame) -> DataFrame:
+    """gram, doc_id, n and first (block_id, pos) of the kept runs in every document; kept is joined by gram."""
+    found = runs.join(kept.select("gram").distinct(), "gram", "left_semi")
+    return found.groupBy("gram", "doc_id").agg(F.count("*").alias("n"), F.min(F.struct("block_id", "pos")).alias("first"))
+
+
+def ranked_by_interval(compared_: DataFrame, intervals: DataFrame, item: str, most: int) -> DataFrame:
+    """The items whose interval begins highest, ties by ratio, then name. intervals: item, low, high."""
+    met = compared_.join(intervals.withColumnRenamed("item", item), item)
+    return met.orderBy(F.desc("low"), F.desc("ratio"), item).limit(most)
+
+
+def pattern_rates(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """label, files, hit_files and matches, zeros included. docs: doc_id, label. hits: doc_id, n."""
+    met = docs.join(hits.select("doc_id", "n"), "doc_id", "left")
+    return met.groupBy("label").agg(F.count("*").alias("files"), F.count("n").alias("hit_files"), F.coalesce(F.sum("n"), F.lit(0)).alias("matches"))
+
+
+def plain_blocks(docs: DataFrame) -> DataFrame:
+    """doc_id, block_id, first_line, last_line, text of plain texts: runs of lines that aren't blank; lines from 1."""
+    rows = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).where(F.col("line").rlike(r"\S"))
+    island = F.col("n") - F.row_number().over(Window.partitionBy("doc_id").orderBy("n"))
+    found = rows.withColumn("_island", island).groupBy("doc_id", "_island").agg((F.min("n") + 1).alias("first_line"), (F.max("n") + 1).alias("last_line"), F.array_sort(F.collect_list(F.struct("n", "line"))).alias("_lines"))
+    text = F.array_join(F.transform("_lines", lambda x: x["line"]), "\n")
+    return found.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("first_line")).alias("block_id"), "first_line", "last_line", text.alias("text"))
+
+
+def summary(docs: DataFrame, facets: list[str], label: str, repo: str, size: str) -> DataFrame:
+    """section, key, label, files, repos and chars over all documents and by each facet, in one pass."""
+    grouped = docs.groupingSets([[label], *([f, label] for f in facets)], *facets, label)
+    counted = grouped.agg(F.count("*").alias("files"), F.count_distinct(repo).alias("repos"), F.sum(size).alias("chars"), *(F.grouping(f).alias(f"_all_{f}") for f in facets))
+    section = F.coalesce(*(F.when(F.col(f"_all_{f}") == 0, f) for f in facets), F.lit("all"))
+    key = F.coalesce(*(F.when(F.col(f"_all_{f}") == 0, F.col(f).cast("string")) for f in facets), F.lit(""))
+    return counted.select(section.alias("section"), key.alias("key"), F.col(label).alias("label"), "files", "repos", "chars")

@@ -52,6 +52,15 @@ def mark(*marks: str) -> Column:
     return F.col("text").isin(list(marks)) & F.col("kind").isin("Punctuation", "Symbol")
 
 
+def not_pair(*pairs: tuple[str, str]) -> Column:
+    """Not the first word of one of these pairs with its second right after it in the sentence."""
+    after = F.lead("folded").over(in_sentence())
+    pair = F.lit(False)
+    for first, second in pairs:
+        pair = pair | ((F.col("folded") == first) & F.coalesce(after == second, F.lit(False)))
+    return ~pair
+
+
 def alternatives(items: list[Item]) -> list[list[tuple[int, int, bool]]]:
     """Lists of (item, offset, wanted), longest first; the last entry's offset tells the length."""
     found: list[tuple[int, list[tuple[int, int, bool]]]] = [(0, [])]

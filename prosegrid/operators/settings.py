@@ -40,12 +40,12 @@ def resolved(paths: DataFrame, section: Section) -> DataFrame:
     return paths.select("path", *columns)
 
 
-def settled(allowed: DataFrame, sentences: DataFrame, findings: DataFrame, paths: DataFrame) -> DataFrame:
+def settled(allowed: DataFrame, sentences: DataFrame, findings: DataFrame, paths: DataFrame, unit: str = "sentence") -> DataFrame:
     """Each exemption with one status, in the order of the settings.
 
     allowed: entry, path, lint, quote. sentences: path, sent_id, text. findings: path, lint, sent_id.
     Quotes and sentences agree if they are equal but for case and white space, and only one
-    sentence of the file may.
+    sentence of the file may. unit names what the quotes quote, sentences or lines.
     """
     folded = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
     entries = allowed.withColumn("_folded", folded("quote"))
@@ -56,8 +56,8 @@ def settled(allowed: DataFrame, sentences: DataFrame, findings: DataFrame, paths
     known = known.join(hit, ["path", "lint", "sent_id"], "left")
     status = (
         F.when(F.col("_there").isNull(), "no such file")
-        .when(F.col("_sentences") == 0, "no such sentence")
-        .when(F.col("_sentences") > 1, "two sentences")
+        .when(F.col("_sentences") == 0, f"no such {unit}")
+        .when(F.col("_sentences") > 1, f"two {unit}s")
         .when(F.col("_found").isNull(), "no finding")
         .otherwise("applied")
     )
@@ -133,3 +133,8 @@ def news(rows: DataFrame, stamp: str, running: str) -> DataFrame:
     """Rows (since) that are newer than the stamp and not newer than what runs."""
     since = release(F.col("since"))
     return rows.where((since > release(F.lit(stamp))) & (since <= release(F.lit(running))))
+
+
+def reader(path: Column, rules: list[tuple[str, str]], default: str = "none") -> Column:
+    """The reader that the first fitting rule (reader, regular expression) of an ordered list names."""
+    return F.coalesce(*(F.when(path.rlike(pattern), name) for name, pattern in rules), F.lit(default))

@@ -11,7 +11,7 @@ from prosegrid.operators import exam
 from prosegrid.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["documents", "embeddings", "pages", "benchmark", "labels", "conversations", "lineitem", "orders"]
+TABLES = ["documents", "embeddings", "pages", "benchmark", "labels", "conversations", "lineitem", "orders", "events"]
 
 
 @pytest.fixture(scope="module")
