@@ -246,3 +246,50 @@ ORACLES["caps_runs"] = rf"""
     islands AS (SELECT *, sum(CASE WHEN caps THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, block_id ORDER BY pos) AS island FROM caps)
     SELECT doc_id, block_id, min(pos) AS pos, count(*) AS words FROM islands WHERE caps GROUP BY doc_id, block_id, island
     HAVING count(*) >= 2 AND count(*) FILTER (replace(text, '’', '''') IN ({quoted(lints.SHOUTED_WORDS)})) >= 1"""
+
+
+# Lints of whole documents, over Markdown made from the documents' words and numbers.
+
+FREE_SPANS, MOST_PERCENT = 3, 5.0
+
+
+def lint_max_emphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's first words as a paragraph, some of them strong or light by its number: those with too much emphasis."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.left("text", F.lit(400))), "[^a-z]+", " "), " "), lambda w: w != "")
+    marked = F.transform("words", lambda w, i: F.when(i >= F.col("doc_id") % 7, w).when(i % 2 == 0, F.concat(F.lit("**"), w, F.lit("**"))).otherwise(F.concat(F.lit("*"), w, F.lit("*"))))
+    made = docs.select("doc_id", words.alias("words")).select(F.col("doc_id").cast("string").alias("path"), F.array_join(marked, " ").alias("text"))
+    found = check_documents(made, ["max_emphasis"], settings=Settings(max_emphasis=(FREE_SPANS, MOST_PERCENT)))
+    return found.select("path", "quote")
+
+
+QUERIES["lint_max_emphasis"] = lint_max_emphasis
+ORACLES["lint_max_emphasis"] = f"""
+    WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(left(text, 400)), '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM documents),
+    m AS (SELECT doc_id, least(doc_id % 7, len(ws)) AS spans, length(array_to_string(ws[1:doc_id % 7], '')) AS chars, length(array_to_string(ws, ' ')) AS prose FROM w)
+    SELECT doc_id::VARCHAR AS path, printf('%d spans, %.2f %%', spans, ceil(100.0 * chars / prose * 100) / 100) AS quote FROM m WHERE spans > {FREE_SPANS} AND 100.0 * chars / prose > {MOST_PERCENT}"""
+
+
+def lint_repo_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layout index for each document, as long and as broken as its number says, against twelve known paths."""
+    n = F.col("doc_id")
+    path = lambda i: F.concat(F.lit("p"), i.cast("string"))
+    entry = lambda i: F.concat(F.rpad(path(i), F.when((n % 4 == 1) & (i == 2), 9).otherwise(8), " "), F.lit("<- part "), i.cast("string"))
+    row = lambda i: F.when((n % 3 == 0) & (i % 5 == 4), "no arrow here").otherwise(entry(i))
+    rows = F.transform(F.sequence(F.lit(0), (n % 15 + 2).cast("int")), row)
+    heading = F.when(n % 10 == 9, "Other").otherwise("Repository layout")
+    text = F.concat(F.lit("# R\n\n## "), heading, F.lit("\n\n```\n"), F.array_join(rows, "\n"), F.lit("\n```\n"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(n.cast("string").alias("path"), text.alias("text"))
+    known = spark.range(12).select(path(F.col("id")).alias("path"))
+    found = check_documents(docs, ["repo_layout"], settings=Settings(repo_layout="Repository layout"), files=known)
+    return found.select("path", F.col("line").cast("long").alias("line"), "quote")
+
+
+QUERIES["lint_repo_layout"] = lint_repo_layout
+ORACLES["lint_repo_layout"] = """
+    WITH r AS (SELECT doc_id, unnest(range(0, doc_id % 15 + 3)) AS i FROM documents),
+    e AS (SELECT *, doc_id % 3 = 0 AND i % 5 = 4 AS bare, doc_id % 4 = 1 AND i = 2 AS off FROM r WHERE doc_id % 10 <> 9),
+    c AS (SELECT doc_id, count(*) FILTER (NOT bare) AS n FROM e GROUP BY doc_id)
+    SELECT doc_id::VARCHAR AS path, 6 + i AS line, CASE WHEN bare THEN 'no entry' WHEN off THEN 'out of column' ELSE 'no such path' END AS quote FROM e WHERE bare OR off OR i >= 12
+    UNION ALL SELECT doc_id::VARCHAR, 6, CASE WHEN n < 5 THEN 'too few entries' ELSE 'too many entries' END FROM c WHERE n < 5 OR n > 15
+    UNION ALL SELECT doc_id::VARCHAR, NULL, 'no heading' FROM documents WHERE doc_id % 10 = 9"""
