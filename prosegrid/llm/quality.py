@@ -7,8 +7,8 @@ the rows of an unlabelled pool that it is sure of to the other as pseudo-labels.
 calibrated on labelled rows kept apart, and a document's score fuses the calibrated views, taking
 the prior once.
 
-Fitting uses a bounded sample, ``MAX_LABELLED`` labelled rows and ``MAX_POOL`` pool rows, chosen by
-the hash of doc_id; every document is scored, on its whole text, in one pass without a shuffle.
+Fitting uses a bounded sample, ``max_labelled`` labelled documents and ``max_pool`` others for the
+pool, chosen by the hash of doc_id from all of them; every document is scored, on its whole text, in one pass without a shuffle.
 
 Defined results: a null text is an empty one; null metadata is a value of its own; without labels
 of both classes every score is 0.5, and documents at 0.5 or above are kept; of repeated labels of
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from prosegrid.llm.shared import bounded_batches, trim
 
+#: Documents to fit on, at most; fit() takes other bounds.
 MAX_LABELLED, MAX_POOL = 20_000, 20_000
 ROUNDS = 4
 #: How sure a view must be of a pseudo-label, and the share of the pool it may pass on in a round.
@@ -154,24 +155,27 @@ def co_train(views: tuple[np.ndarray, np.ndarray], labels: np.ndarray, held: np.
 
 
 def _first(rows: DataFrame, most: int) -> DataFrame:
-    """The first rows by the hash of doc_id. Of many rows, only those whose hash is low enough to be among them are sorted."""
+    """The first doc_ids by their hash, each once. Of many, only those whose hash is low enough to be among them are sorted."""
     by_hash = F.xxhash64("doc_id", F.lit(17))
-    n = rows.count()
-    if n > 2 * most:  # hashes are even, so a fifth more than needed leaves enough
-        rows = rows.where(by_hash < int(-(2**63) + 2**64 * 1.2 * most / n))
-    return rows.orderBy(by_hash, "doc_id").limit(most)
+    n = rows.agg(F.approx_count_distinct("doc_id")).first()[0]
+    if n > 2 * most:  # hashes are even, so two fifths more than needed leave enough, for a count that is off by a twentieth
+        rows = rows.where(by_hash < int(-(2**63) + 2**64 * 1.4 * most / n))
+    return rows.dropDuplicates(["doc_id"]).orderBy(by_hash, "doc_id").limit(most)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, quality: str) -> DataFrame:
+def _sample(docs: DataFrame, labels: DataFrame, quality: str, max_labelled: int, max_pool: int) -> DataFrame:
     """doc_id and label of the rows to fit on; the label of pool rows is null."""
     graded = labels.where(F.col("doc_id").isNotNull() & F.col(quality).isNotNull()).groupBy("doc_id").agg(F.max(quality).cast("double").alias("label"))
-    graded = _first(graded, MAX_LABELLED)
-    pool = _first(docs.where("doc_id is not null").select("doc_id"), MAX_POOL)
+    graded = _first(graded, max_labelled)
+    pool = _first(docs.where("doc_id is not null").select("doc_id"), max_pool)
     return graded.unionByName(pool.select("doc_id", F.lit(None).cast("double").alias("label"))).groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, quality: str = "quality") -> CoTrained | None:
-    """A model from the bounded sample, or None without labels of both classes."""
+def fit(docs: DataFrame, labels: DataFrame, quality: str = "quality", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained | None:
+    """A model from the bounded sample, or None without labels of both classes.
+
+    The bounds are parameters of the fit alone: about 800 bytes of the driver's memory for each row.
+    """
     bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("array<double>")
@@ -179,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, quality: str = "quality") -> CoTrain
         rows = zip(texts, sources, langs, sizes)
         return pa.array([np.concatenate([text_view(t.as_py()), metadata_view(s.as_py(), g.as_py(), n.as_py())]) for t, s, g, n in rows], pa.list_(pa.float64()))
 
-    chosen = docs.select("doc_id", *_inputs()).join(F.broadcast(_sample(docs, labels, quality)), "doc_id")
+    chosen = docs.select("doc_id", *_inputs()).join(F.broadcast(_sample(docs, labels, quality, max_labelled, max_pool)), "doc_id")
     rows = chosen.select("doc_id", "label", both("_text", "_source", "_lang", "_chars").alias("x"))
     rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("x").alias("x")).orderBy("doc_id").toPandas()
     if rows.empty:

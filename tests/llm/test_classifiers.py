@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +33,40 @@ def test_views_teach_each_other():
     assert quality.co_train(views, np.where(labels == 1, 1.0, np.nan), np.arange(4000) % 3 == 0) is None
 
 
+def plain_score(model, text, source, lang, n_chars):
+    """One document's scores, number by number."""
+
+    def margin(line, x):
+        weights = line.weights.tolist()
+        scaled = [max(-20.0, min(20.0, (v - m) / s)) for v, m, s in zip(x, line.mean.tolist(), line.scale.tolist())]
+        return weights[0] + sum(w * v for w, v in zip(weights[1:], scaled))
+
+    odds = []
+    for view, x in ((model.text, quality.text_view(text)), (model.metadata, quality.metadata_view(source, lang, n_chars))):
+        odds.append(max(-15.0, min(15.0, margin(view.curve, [margin(view.classifier, x.tolist())]))))
+    return [1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) for z in (*odds, sum(odds) - model.prior)]
+
+
+def test_quality_one_document_at_a_time(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    hard = spark.createDataFrame([(-1, None, None, None, None), (-2, "", "xx", "s", -5), (-3, "x " * 50_000, "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).unionByName(hard)
+    model = quality.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    rows = docs.withColumn("_q", quality.quality(docs, model)).collect()
+    assert len(rows) > 100
+    for r in rows:
+        expected = plain_score(model, r.text.encode() if r.text is not None else None, r.source, r.lang, r.n_chars)
+        assert list(r._q) == pytest.approx(expected, abs=1e-9)
+
+
+def test_pool_of_distinct_documents(spark):
+    """An id that is repeated very often takes one place."""
+    rows = spark.range(500).unionAll(spark.range(2000).select(F.lit(7).cast("long"))).toDF("doc_id")
+    found = [r.doc_id for r in quality._first(rows, 100).collect()]
+    assert len(found) == len(set(found)) == 100
+    assert found == [r.doc_id for r in quality._first(spark.range(500).toDF("doc_id"), 100).collect()]
+
+
 HARD = [(1, None, None, None, None), (2, "", "xx", "s", -5), (None, "a b c", "en", "s", 1), (4, "x " * 100_000, "en", "s", 9), (4, "x " * 100_000, "en", "s", 9), (5, "日本", "en", None, 2)]
 
 
