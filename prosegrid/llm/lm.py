@@ -125,18 +125,23 @@ class Block:
         if n > 2:  # both parts must be in the tables
             asked[1:] &= (self.found[n - 1][1:] > 0) & (self.found[n - 1][:-1] > 0)
         self.at = np.flatnonzero(asked)
-        self.sorted[n], counts = np.unique(keys[self.at], return_counts=True)
+        keys = keys[self.at]
+        self.order = np.argsort(keys)
+        keys = keys[self.order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        self.sorted[n], self.counts = keys[first], np.diff(first, append=len(keys))
         if n > 2:
             del self.keys[n - 1]
-        return counts
+        return self.counts
 
     def told(self, n: int, totals: np.ndarray) -> None:
-        """Takes the totals of the sorted n-grams."""
+        """Takes the totals of the sorted n-grams, those made last."""
         if n == 1:
             self.found[1] = totals[self.numbers]
             return
         self.found[n] = np.zeros(len(self.numbers), np.int64)
-        self.found[n][self.at] = totals[np.searchsorted(self.sorted.pop(n), self.keys[n][self.at])]
+        self.found[n][self.at[self.order]] = np.repeat(totals, self.counts)
+        del self.sorted[n]
 
     def scores(self, order: int, corpus_words: int) -> np.ndarray:
         """The logarithm of each word's score."""
@@ -244,11 +249,13 @@ def _totals(entries: DataFrame, parts: int, hashed: bool) -> DataFrame:
 
     hashed: whether a partition's part of the count table may be held in memory; else the join sorts and can spill.
     """
-    dealt = entries.where("range is not null").repartition(parts, "range")  # which the join would ask of its side alone
+    # The conditions are those that the join and the explosion ask of their side; with them here, and counts read on both sides
+    # by an expression that stays where it is written, the dealt rows are the same on both and move once.
+    dealt = entries.where(F.col("range").isNotNull() & (F.size("keys") > 0) & F.col("keys").isNotNull()).repartition(parts, "range")
     table = dealt.groupBy("range").applyInArrow(counted, "range int, key long, total long")
-    grams = dealt.select("range", "n", "block", F.posexplode(F.arrays_zip("keys", "counts")).alias("at", "gram")).select("range", "n", "block", "at", F.col("gram.keys").alias("key"), F.col("gram.counts").alias("count"))
-    # A block never has an n-gram more often than the corpus; with this both sides read the same columns, and the dealt rows move once for both.
-    met = grams.join(table.hint("shuffle_hash" if hashed else "merge"), ["key", "range"]).where(F.col("count") <= F.col("total"))
+    sized = dealt.select("range", "n", "block", "keys", F.when(F.spark_partition_id() >= 0, F.size("counts")).alias("size"))
+    grams = sized.select("range", "n", "block", "size", F.posexplode("keys").alias("at", "key")).where("at < size")
+    met = grams.join(table.hint("shuffle_hash" if hashed else "merge"), ["key", "range"])
     return met.select("block", "n", "range", "at", "total").mapInArrow(trimmed(packed_totals), "block long, n int, range int, totals binary, wide boolean")
 
 
