@@ -53,14 +53,29 @@ def mark(*marks: str) -> Column:
 
 
 def not_pair(*pairs: tuple[str, str]) -> Column:
-    """Not the first word of one of these pairs with its second right after it in the sentence."""
-    after = F.lead("folded").over(in_sentence())
+    """Not the first word of one of these pairs with its second two tokens on in the sentence."""
+    after = F.lead("folded", 2).over(in_sentence())
     pair = F.lit(False)
     for first, second in pairs:
         pair = pair | ((F.col("folded") == first) & F.coalesce(after == second, F.lit(False)))
     return ~pair
 
 
+#: How sure a reading can be, from the least on.
+CONFIDENCE = ["Unknown", "Unsure", "Likely", "Sure"]
+
+
+def tagged(*tags: str, least: str = "Likely") -> Column:
+    """A word whose tag is one of these, as sure as least at least; for tokens that the tagger has read."""
+    enough = CONFIDENCE[CONFIDENCE.index(least) :]
+    return F.coalesce(F.col("tag").isin(list(tags)) & F.col("confidence").isin(enough), F.lit(False))
+
+
+def origin(*origins: str) -> Column:
+    """A word whose origin, as the tagger tells it, is one of these."""
+    return F.coalesce(F.col("origin").isin(list(origins)), F.lit(False))
+
+
 def alternatives(items: list[Item]) -> list[list[tuple[int, int, bool]]]:
     """Lists of (item, offset, wanted), longest first; the last entry's offset tells the length."""
     found: list[tuple[int, list[tuple[int, int, bool]]]] = [(0, [])]

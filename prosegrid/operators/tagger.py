@@ -8,7 +8,7 @@ neighbour. The open-class lexicon is a table of the caller's.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosegrid.operators.lints import AUXILIARIES, CONJUNCTIONS, DETERMINERS, PREPOSITIONS
@@ -103,6 +103,45 @@ def _dropped(rows: DataFrame) -> DataFrame:
     return rows.drop("_settled", "_before", "_after", "_last", "_next")
 
 
+def code_words(blocks: DataFrame) -> DataFrame:
+    """doc_id and text: the runs of two letters, digits or underscores at least that a document writes in code."""
+    inline = F.array_join(F.regexp_extract_all("text", F.lit(r"`+[^`]+`+"), F.lit(0)), " ")
+    code = F.when(F.col("kind") == "Code", F.col("text")).otherwise(inline)
+    return blocks.select("doc_id", F.explode(F.regexp_extract_all(code, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("text")).distinct()
+
+
+def origins(tokens: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Adds origin to words: Path, Symbol, Flag, or Seen where the document's code has the word (seen: doc_id, text); null for others."""
+    before = F.lag("text").over(in_sentence())
+    text = F.col("text")
+    cue = F.when(text.rlike(r"\.[A-Za-z]\w{0,4}$") & ~text.rlike(r"^\d"), "Path").when(text.rlike(r"[a-z0-9][A-Z]|\w_\w|::"), "Symbol")
+    cue = cue.when((before == "-") & ~F.col("spaced"), "Flag")
+    known = tokens
+    if seen is not None:
+        known = tokens.join(seen.select("doc_id", "text", F.lit(True).alias("_seen")), ["doc_id", "text"], "left")
+        cue = cue.when(F.col("_seen"), "Seen")
+    return known.withColumn("origin", F.when(F.col("kind") == "Word", cue)).drop("_seen")
+
+
+def proper(rows: DataFrame) -> DataFrame:
+    """A capital after a word or comma within a sentence is a name's, unless the sentence is a title: three long words at least, all with capitals."""
+    capital = F.col("text").rlike(r"^\p{Lu}\p{Ll}")
+    long = (F.col("kind") == "Word") & (F.char_length("text") >= 4)
+    sentence = in_sentence().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    title = (F.count_if(long).over(sentence) >= 3) & (F.count_if(long & ~F.col("text").rlike(r"^\p{Lu}")).over(sentence) == 0)
+    after = (F.lag("kind").over(in_sentence()) == "Word") | (F.lag("text").over(in_sentence()) == ",")
+    rows = rows.withColumn("_named", F.coalesce(capital & after & ~title, F.lit(False)))
+    return _narrowed(rows, F.col("_named") & F.array_contains("kept", "ProperNoun"), F.array(F.lit("ProperNoun"))).drop("_named")
+
+
+def function_words(rows: DataFrame) -> DataFrame:
+    """have, has, had, do, does and did before a settled verb or adverb are auxiliaries, before a determiner, possessive or pronoun verbs; determiners before a settled auxiliary or verb are pronouns where they can be."""
+    rows = _neighbours(rows)
+    both = F.array_contains("kept", "Auxiliary") & F.array_contains("kept", "Verb")
+    rows = _narrowed(rows, both & F.col("_after").isin("Verb", "Adverb"), F.array(F.lit("Auxiliary")))
+    return _dropped(_narrowed(rows, both & F.col("_after").isin("Determiner", "Possessive", "Pronoun", "Numeral"), F.array(F.lit("Verb"))))
+
+
 def infinitive(rows: DataFrame) -> DataFrame:
     """A word after to: a verb unless it can only be an object; before a determiner to is an adposition."""
     rows = _neighbours(rows)
@@ -143,6 +182,6 @@ def single(rows: DataFrame) -> DataFrame:
 def tag(tokens: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """Tokens of sentences with tag, kept and confidence."""
     rows = readings(tokens, lexicon)
-    for step in (infinitive, noun_or_verb, prior, single):
+    for step in (proper, infinitive, function_words, noun_or_verb, prior, single):
         rows = step(rows)
     return rows.withColumn("tag", F.get("kept", F.lit(0))).drop("dominant", "listed")

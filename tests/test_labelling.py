@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from prosegrid.operators import chars, corpus, labelling, lints
+from prosegrid.operators import chars, corpus, labelling, lints, tagger
 from prosegrid.operators import patterns as P
 from prosegrid.plans.check import Settings, check_documents, ordered
 
@@ -35,11 +35,26 @@ def test_ranked_by_interval(spark):
 
 
 def test_not_pair(spark):
-    blocks = spark.createDataFrame([(1, 0, "The old mill and the old barn stand here.")], "doc_id long, block_id int, text string")
+    blocks = spark.createDataFrame([(1, 0, "The old mill wheel and the old red barn stand here.")], "doc_id long, block_id int, text string")
     hits = P.find(lints.read(blocks), [P.one(P.word("old") & P.not_pair(("old", "barn"))), P.one(F.col("kind") == "Word")])
     assert [r.pos for r in hits.collect()] == [1]
 
 
+def test_names_origins_and_tags(spark):
+    texts = [(1, 0, "Paragraph", "We met Clara near York, Anna and `mill_wheel` said so. The mill has a wheel_pit in main.rs and a -x flag; mill_wheel turns."), (2, 0, "Paragraph", "Every Tall Tower Falls Down")]
+    blocks = spark.createDataFrame(texts, "doc_id long, block_id int, kind string, text string")
+    seen = tagger.code_words(blocks)
+    assert [r.text for r in seen.collect()] == ["mill_wheel"]
+    rows = tagger.origins(tagger.tag(lints.read(blocks)), seen)
+    found = {(r.doc_id, r.text): r for r in rows.collect()}
+    assert all((found[1, w].tag, found[1, w].confidence) == ("ProperNoun", "Likely") for w in ("Clara", "York", "Anna"))
+    assert found[2, "Tower"].kept == ["ProperNoun", "Noun"]
+    assert found[1, "has"].tag == "Verb"
+    assert [found[1, w].origin for w in ("main.rs", "wheel_pit", "x", "mill_wheel", "mill")] == ["Path", "Symbol", "Flag", "Symbol", None]
+    hits = P.find(rows, [P.one(P.tagged("ProperNoun")), P.one(P.mark(",")), P.one(P.tagged("ProperNoun"))])
+    assert hits.count() == 1 and rows.where(P.origin("Path", "Flag")).count() == 2
+
+
 def test_fix_and_retain(spark):
     texts = spark.createDataFrame([("a", "wait \u2014 no\u2026"), ("b", "plain")], "path string, text string")
     fixed = chars.fixed_to_fixpoint(texts, "text", list(chars.GROUPS))

@@ -44,8 +44,9 @@ def test_statistics_vectors(spark):
     assert (row.s, row.a, row.b) == (0.25, 40.0, 0.5)
     ten = spark.range(1, 11)
     assert [ten.agg(stats.percentile("id", f)).first()[0] for f in (0, 0.1, 0.11, 0.5, 1)] == [1, 1, 2, 5, 10]
-    rates = spark.createDataFrame([("x", 0, 0, 400.0)], "item string, side int, repo_no int, rate double")
-    low = stats.bootstrap_ratio(rates, {0: 40, 1: 3}, 1.0).first()
+    rates = spark.createDataFrame([("x", 0, "r0", 400.0)], "item string, side int, repo string, rate double")
+    all_repos = spark.range(43).select(F.when(F.col("id") < 40, 0).otherwise(1).alias("side"), F.concat(F.lit("r"), "id").alias("repo"))
+    low = stats.bootstrap_ratio(rates, all_repos, 1.0).first()
     assert low.low == 1.0 and low.high > 20
 
 
