@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from prosegrid.llm.shared import bounded_batches, saved, trimmed, written
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 21
 #: Ranges of keys for each partition, at least, so that partitions get about as many.
 RANGES = 4
 #: Words of the corpus for each partition up to which its part of the count table is held in memory: a few million n-grams.
@@ -231,7 +231,7 @@ def packed_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def counted(rows: pa.Table) -> pa.Table:
-    """A range's part of the count table, from all rows that have n-grams of it: range, key, total."""
+    """A range's part of the count table, from all rows that have n-grams of it: range, and its keys and totals as arrays."""
     flat = lambda c: rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
     keys, counts = flat("keys"), flat("counts").astype(np.int64)
     words = np.repeat(rows.column("n").to_numpy(), [len(x) for x in rows.column("keys")])
@@ -240,8 +240,7 @@ def counted(rows: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     totals = np.add.reduceat(counts, first)
     held = (words[first] == 1) | (totals >= MIN_COUNT)
-    keys, totals = keys[first][held], totals[held]
-    return pa.table({"range": pa.array(np.full(len(keys), rows.column("range")[0].as_py(), np.int32)), "key": keys, "total": totals})
+    return pa.table({"range": rows.column("range").slice(0, 1), "keys": pa.array([keys[first][held]], pa.list_(pa.int64())), "totals": pa.array([totals[held]], pa.list_(pa.int64()))})
 
 
 def _totals(entries: DataFrame, parts: int, hashed: bool) -> DataFrame:
@@ -252,7 +251,8 @@ def _totals(entries: DataFrame, parts: int, hashed: bool) -> DataFrame:
     # The conditions are those that the join and the explosion ask of their side; with them here, and counts read on both sides
     # by an expression that stays where it is written, the dealt rows are the same on both and move once.
     dealt = entries.where(F.col("range").isNotNull() & (F.size("keys") > 0) & F.col("keys").isNotNull()).repartition(parts, "range")
-    table = dealt.groupBy("range").applyInArrow(counted, "range int, key long, total long")
+    table = dealt.groupBy("range").applyInArrow(counted, "range int, keys array<long>, totals array<long>").repartition(parts, "range")
+    table = table.select("range", F.explode(F.arrays_zip("keys", "totals")).alias("gram")).select("range", F.col("gram.keys").alias("key"), F.col("gram.totals").alias("total"))
     sized = dealt.select("range", "n", "block", "keys", F.when(F.spark_partition_id() >= 0, F.size("counts")).alias("size"))
     grams = sized.select("range", "n", "block", "size", F.posexplode("keys").alias("at", "key")).where("at < size")
     met = grams.join(table.hint("shuffle_hash" if hashed else "merge"), ["key", "range"])
