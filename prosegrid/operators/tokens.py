@@ -39,6 +39,20 @@ def tokens(blocks: DataFrame) -> DataFrame:
     return rows.withColumns({"folded": T.fold(F.col("text")), "kind": T.token_kind(F.col("text"))})
 
 
+def document_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, tokens, words and types of documents that have any token.
+
+    Each text is counted as an array where it lies; what moves is its distinct tokens, once.
+    """
+    pieces = F.flatten(F.transform(F.split("text", "\n"), T.pieces))
+    spelled = F.transform(pieces, lambda p: F.regexp_replace(p, r"^\s+", ""))
+    rows = docs.select("doc_id", spelled.alias("texts")).where(F.size("texts") > 0)
+    words = F.size(F.filter("texts", lambda t: T.token_kind(t) == "Word"))
+    counted = rows.select("doc_id", F.size("texts").alias("tokens"), words.alias("words"), F.array_distinct(F.transform("texts", T.fold)).alias("types"))
+    found = counted.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words"), F.collect_list("types").alias("types"))
+    return found.withColumn("types", F.when(F.size("types") == 1, F.size(F.get("types", F.lit(0)))).otherwise(F.size(F.array_distinct(F.flatten("types")))).cast("long"))
+
+
 def with_offsets(blocks: DataFrame) -> DataFrame:
     """Tokens with start and end in code points of the block's text."""
     rows = blocks.select("doc_id", "block_id", F.posexplode(T.pieces(F.col("text"))).alias("pos", "piece"))

@@ -51,7 +51,7 @@ def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TOKENS} SELECT doc_id, count(*) AS tokens, count(*) FILTER (kind = 'Word') AS words, count(DISTINCT folded) AS types FROM tokens GROUP BY doc_id")
 def doc_token_counts(spark, sf_dir):
-    return line_tokens(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count_if(F.col("kind") == "Word").alias("words"), F.count_distinct("folded").alias("types"))
+    return K.document_counts(table(spark, sf_dir, "documents"))
 
 
 @query(f"WITH {TOKENS}, {SENTENCES} SELECT doc_id, count(DISTINCT (block_id, sent_id)) AS sentences FROM sents GROUP BY doc_id")
