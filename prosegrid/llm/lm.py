@@ -157,9 +157,15 @@ class Block:
         return score
 
 
-def widened(blob: memoryview, wide: bool) -> np.ndarray:
-    """Counts as 64-bit numbers; a blob without any beyond 32 bits holds them in 32."""
-    return np.frombuffer(blob, "<i8" if wide else "<u4").astype(np.int64)
+def narrowed(counts: np.ndarray) -> tuple[bytes, int]:
+    """Counts in as few bytes each as the largest needs, 1 to 8."""
+    width = next(w for w in (1, 2, 4, 8) if counts.max(initial=0) < 1 << 8 * w - (w == 8))
+    return counts.astype(f"<u{width}").tobytes(), width
+
+
+def widened(blob: memoryview, width: int) -> np.ndarray:
+    """What narrowed() wrote, as 64-bit numbers."""
+    return np.frombuffer(blob, f"<u{width}").astype(np.int64)
 
 
 def _rebuilt(sizes: pa.ListScalar, stream: pa.BinaryScalar, words: pa.BinaryScalar, told: pa.ListScalar | None, order: int, bits: int) -> Block:
@@ -173,7 +179,7 @@ def _rebuilt(sizes: pa.ListScalar, stream: pa.BinaryScalar, words: pa.BinaryScal
         totals = np.zeros(len(block.sorted[n]), np.int64)
         for answer in by.get(n, []):
             low = np.searchsorted(block.sorted[n], np.uint64(answer["range"].as_py()) << np.uint64(64 - bits))
-            found = widened(answer["totals"].as_buffer(), answer["wide"].as_py())
+            found = widened(answer["totals"].as_buffer(), answer["width"].as_py())
             totals[low : low + len(found)] += found  # zero where another answer has it
         block.told(n, totals)
     return block
@@ -200,7 +206,7 @@ def _entries(blocks: DataFrame, lengths: list[int], known: int, bits: int) -> Da
 
 
 def packed_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of block, n, range, at and total to block, n, range, totals (by place, 0 where there is no row) and wide.
+    """Rows of block, n, range, at and total to block, n, range, totals (by place, 0 where there is no row) and their width.
 
     At most PACKED_ROWS rows are held at once; a block's answer for a range may come in several parts.
     """
@@ -213,13 +219,14 @@ def packed_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         order = np.lexsort((range_, n, block))
         block, n, range_, at, total = (x[order] for x in (block, n, range_, at, total))
         first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (n[1:] != n[:-1]) | (range_[1:] != range_[:-1])])) if len(order) else np.empty(0, np.int64)
-        blobs, wide = [], []
+        blobs, widths = [], []
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
             whole = np.zeros(at[a:b].max() + 1, np.int64)
             whole[at[a:b]] = total[a:b]
-            wide.append(bool(whole.max() >= 1 << 32))
-            blobs.append(whole.astype("<i8" if wide[-1] else "<u4").tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(block[first], pa.int64()), pa.array(n[first], pa.int32()), pa.array(range_[first], pa.int32()), pa.array(blobs, pa.binary()), pa.array(wide, pa.bool_())], ["block", "n", "range", "totals", "wide"])
+            blob, width = narrowed(whole)
+            blobs.append(blob)
+            widths.append(width)
+        return pa.RecordBatch.from_arrays([pa.array(block[first], pa.int64()), pa.array(n[first], pa.int32()), pa.array(range_[first], pa.int32()), pa.array(blobs, pa.binary()), pa.array(widths, pa.int32())], ["block", "n", "range", "totals", "width"])
 
     for batch in batches:
         held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
@@ -244,7 +251,7 @@ def counted(rows: pa.Table) -> pa.Table:
 
 
 def _totals(entries: DataFrame, parts: int, hashed: bool) -> DataFrame:
-    """block, n, range, totals, wide: the corpus counts of a block's keys in their order, up to the last that the tables hold.
+    """block, n, range, totals, width: the corpus counts of a block's keys in their order, up to the last that the tables hold.
 
     hashed: whether a partition's part of the count table may be held in memory; else the join sorts and can spill.
     """
@@ -256,7 +263,7 @@ def _totals(entries: DataFrame, parts: int, hashed: bool) -> DataFrame:
     sized = dealt.select("range", "n", "block", "keys", F.when(F.spark_partition_id() >= 0, F.size("counts")).alias("size"))
     grams = sized.select("range", "n", "block", "size", F.posexplode("keys").alias("at", "key")).where("at < size")
     met = grams.join(table.hint("shuffle_hash" if hashed else "merge"), ["key", "range"])
-    return met.select("block", "n", "range", "at", "total").mapInArrow(trimmed(packed_totals), "block long, n int, range int, totals binary, wide boolean")
+    return met.select("block", "n", "range", "at", "total").mapInArrow(trimmed(packed_totals), "block long, n int, range int, totals binary, width int")
 
 
 @contextmanager
@@ -281,7 +288,7 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     n_words = blocks.select(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0))).first()[0]
 
     def with_told(totals: DataFrame) -> DataFrame:
-        told = totals.groupBy("block").agg(F.collect_list(F.struct("n", "range", "totals", "wide")).alias("told"))
+        told = totals.groupBy("block").agg(F.collect_list(F.struct("n", "range", "totals", "width")).alias("told"))
         return blocks.join(told.hint("merge"), "block", "left")
 
     totals = None

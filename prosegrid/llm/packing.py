@@ -32,6 +32,8 @@ from prosegrid.llm.bpe import SPACES, byte_letters
 from prosegrid.llm.shared import bounded_batches, trimmed, written
 
 WINDOW = 2048
+#: Partitions whose totals are broadcast, 16 bytes each; more are joined by a shuffle.
+MAX_BROADCAST_PARTS = 1_000_000
 #: Pieces of text whose ids a Python worker keeps, each short.
 KEPT_PIECES, KEPT_LENGTH = 200_000, 40
 #: Fixed value: how byte-level BPE files of this kind split a text before merging.
@@ -126,5 +128,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW)
             columns = [batch.column("doc_id").take(pa.array(row)), *map(pa.array, (start, high - low, counts[row], sequence, low - sequence * window)), pa.array(cuts, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    placed = tokens.join(F.broadcast(bases), "part").select("doc_id", "n_tokens", (F.col("base") + F.col("at")).alias("first"), "ids", "width")
+    few = tokens.select("part").distinct().count() <= MAX_BROADCAST_PARTS
+    placed = tokens.join(F.broadcast(bases) if few else bases, "part").select("doc_id", "n_tokens", (F.col("base") + F.col("at")).alias("first"), "ids", "width")
     return placed.mapInArrow(trimmed(cut), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -43,13 +43,19 @@ def test_against_brute_force(spark, monkeypatch, order, block, ranges):
         assert a.score == (pytest.approx(b[2] / b[1]) if b[1] else None)
 
 
+def test_widths():
+    for most, width in ((0, 1), (255, 1), (256, 2), (65_535, 2), (65_536, 4), ((1 << 32) - 1, 4), (1 << 32, 8), ((1 << 63) - 1, 8)):
+        blob, found = lm.narrowed(np.array([0, most], np.int64))
+        assert found == width and lm.widened(blob, found).tolist() == [0, most]
+
+
 @pytest.mark.parametrize("hashed", [True, False])
 def test_counts_beyond_32_bits(spark, hashed):
     """Counts of blocks that fit 32 bits each and add up to more."""
     rows = [(b, n, 0, [5 + n, 50 + n, n << 40], [2_000_000_000, 1, 7]) for b in (1, 2, 4) for n in (1, 2)]
     rows.append((3, 1, 0, [51], [1]))
     entries = spark.createDataFrame(rows, "block long, n int, range int, keys array<long>, counts array<int>")
-    found = {(r.block, r.n): lm.widened(r.totals, r.wide).tolist() for r in lm._totals(entries, 3, hashed).collect()}
+    found = {(r.block, r.n): lm.widened(r.totals, r.width).tolist() for r in lm._totals(entries, 3, hashed).collect()}
     assert found == {(b, n): [6_000_000_000, 4 if n == 1 else 3, 21] for b in (1, 2, 4) for n in (1, 2)} | {(3, 1): [4]}
 
 
