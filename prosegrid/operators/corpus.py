@@ -195,3 +195,20 @@ def summary(docs: DataFrame, facets: list[str], label: str, repo: str, size: str
     section = F.coalesce(*(F.when(F.col(f"_all_{f}") == 0, f) for f in facets), F.lit("all"))
     key = F.coalesce(*(F.when(F.col(f"_all_{f}") == 0, F.col(f).cast("string")) for f in facets), F.lit(""))
     return counted.select(section.alias("section"), key.alias("key"), F.col(label).alias("label"), "files", "repos", "chars")
+
+
+def unmerged(kept: DataFrame) -> DataFrame:
+    """The kept runs that hold no other kept run: a longer one merges into a shorter one within it."""
+    return kept.join(nested_in(kept, kept).select("gram").distinct(), "gram", "left_anti")
+
+
+def sieve(wide: DataFrame, steps: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
+    """The candidates that pass all steps and hold no other, and (step, name, left): how many are left after each step and after the merge."""
+    passed = F.lit(True)
+    for _, condition in steps:
+        passed = passed & F.coalesce(condition, F.lit(False))
+    kept = unmerged(wide.where(passed))
+    counts = funnel(wide, steps)
+    rows = F.array(*(F.struct(F.lit(n).alias("step"), F.lit(name).alias("name"), F.col(name).alias("left")) for n, (name, _) in enumerate(steps)))
+    merged = kept.agg(F.count("*").alias("left")).select(F.lit(len(steps)).alias("step"), F.lit("merged").alias("name"), "left")
+    return kept, counts.select(F.explode(rows).alias("r")).select("r.*").unionByName(merged)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from prosegrid.functions import text as T
 from prosegrid.operators import chars, corpus, labelling, settings
 from prosegrid.operators import tokens as K
-from prosegrid.plans.fragments import TOKENS, grams, quoted
+from prosegrid.plans.fragments import SIDES, TOKENS, grams, quoted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -225,6 +225,46 @@ def pattern_rates(spark, sf_dir):
     return corpus.pattern_rates(docs, runs.groupBy("doc_id").agg(F.count("*").alias("n")))
 
 
+DECIDED = ["of the", "in the", "to the"]
+
+
+@query(rf"""
+    WITH {TOKENS}, {SIDES}, g AS (SELECT * FROM ({grams(2)}) UNION ALL SELECT * FROM ({grams(3)})),
+    found AS (SELECT gram, doc_id, side, repo, toxic, count(*) AS c FROM g JOIN sides USING (doc_id) JOIN labels USING (doc_id) GROUP BY ALL),
+    by_repo AS (SELECT gram, side, repo, count(*) AS files, sum(c) AS c FROM found GROUP BY ALL),
+    wide AS (
+        SELECT gram, count(*) FILTER (side = 0) AS repos, max(files) FILTER (side = 0) / sum(files) FILTER (side = 0) AS share,
+            (coalesce(sum(c) FILTER (side = 0), 0) + 0.5) / (coalesce(sum(c) FILTER (side = 1), 0) + 0.5) AS ratio FROM by_repo GROUP BY gram),
+    tools AS (SELECT gram, count(DISTINCT toxic) AS tools FROM found WHERE side = 0 GROUP BY gram),
+    elsewhere AS (SELECT DISTINCT unnest(list_transform(range(1, greatest(len(ws), 1)), lambda i: ws[i] || ' ' || ws[i + 1])) AS gram FROM (SELECT regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM benchmark)),
+    s AS (
+        SELECT w.*, repos >= 3 AS a, repos >= 3 AND share <= 0.5 AS b, repos >= 3 AND share <= 0.5 AND e.gram IS NULL AS c, repos >= 3 AND share <= 0.5 AND e.gram IS NULL AND ratio >= 0.1 AS d,
+            repos >= 3 AND share <= 0.5 AND e.gram IS NULL AND ratio >= 0.1 AND tools >= 2 AS e, repos >= 3 AND share <= 0.5 AND e.gram IS NULL AND ratio >= 0.1 AND tools >= 2 AND w.gram NOT IN ({quoted(DECIDED)}) AS f
+        FROM wide w LEFT JOIN tools t ON t.gram = w.gram LEFT JOIN elsewhere e ON e.gram = w.gram),
+    kept AS (SELECT gram FROM s WHERE f), held AS (SELECT DISTINCT x.gram FROM kept x, kept y WHERE x.gram <> y.gram AND contains(' ' || x.gram || ' ', ' ' || y.gram || ' '))
+    SELECT 0 AS step, 'enough_repos' AS name, count(*) FILTER (a) AS "left" FROM s UNION ALL SELECT 1, 'spread', count(*) FILTER (b) FROM s UNION ALL SELECT 2, 'not_elsewhere', count(*) FILTER (c) FROM s
+    UNION ALL SELECT 3, 'ratio', count(*) FILTER (d) FROM s UNION ALL SELECT 4, 'tools', count(*) FILTER (e) FROM s UNION ALL SELECT 5, 'undecided', count(*) FILTER (f) FROM s
+    UNION ALL SELECT 6, 'merged', (SELECT count(*) FROM kept) - (SELECT count(*) FROM held)""")
+def candidate_sieve(spark, sf_dir):
+    """The whole sieve over runs of two and three tokens: repositories, spread, a guard, a ratio, tools, what is decided, and the merge."""
+    labels = table(spark, sf_dir, "labels").where("quality is not null")
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.col("source").alias("repo")).join(labels.select("doc_id", F.col("quality").alias("side"), "toxic"), "doc_id")
+    tokens = K.tokens(K.line_blocks(table(spark, sf_dir, "documents"), windowed=True))
+    runs = K.ngrams(tokens, 2).unionByName(K.ngrams(tokens, 3)).join(docs, "doc_id")
+    found = runs.groupBy("gram", "doc_id", "side", "repo", "toxic").agg(F.count("*").alias("c"))
+    by_repo = found.groupBy("gram", "side", "repo").agg(F.count("*").alias("files"), F.sum("c").alias("c"))
+    focus = lambda c: F.when(F.col("side") == 0, F.col(c))
+    total = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("c"))), F.lit(0)) + 0.5
+    wide = by_repo.groupBy("gram").agg(F.count(focus("files")).alias("repos"), (F.max(focus("files")) / F.sum(focus("files"))).alias("share"), (total(0) / total(1)).alias("ratio"))
+    tools = found.where("side = 0").groupBy("gram").agg(F.count_distinct("toxic").alias("tools"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: F.array_join(F.slice("ws", i, F.lit(2)), " "))
+    guard = table(spark, sf_dir, "benchmark").select(words.alias("ws")).where(F.size("ws") >= 2).select(F.explode(pairs).alias("gram")).distinct().withColumn("guarded", F.lit(True))
+    wide = wide.join(tools, "gram", "left").join(guard, "gram", "left")
+    steps = [("enough_repos", F.col("repos") >= 3), ("spread", F.col("share") <= 0.5), ("not_elsewhere", F.col("guarded").isNull()), ("ratio", F.col("ratio") >= 0.1), ("tools", F.col("tools") >= 2), ("undecided", ~F.col("gram").isin(DECIDED))]
+    return corpus.sieve(wide, steps)[1]
+
+
 # Texts
 
 
