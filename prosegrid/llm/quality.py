@@ -178,17 +178,17 @@ def fit(docs: DataFrame, labels: DataFrame, quality: str = "quality", max_labell
     """
     bounded_batches(docs.sparkSession)
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf("binary")
     def both(texts: pa.Array, sources: pa.Array, langs: pa.Array, sizes: pa.Array) -> pa.Array:
         rows = zip(texts, sources, langs, sizes)
-        return pa.array([np.concatenate([text_view(t.as_py()), metadata_view(s.as_py(), g.as_py(), n.as_py())]) for t, s, g, n in rows], pa.list_(pa.float64()))
+        return pa.array([np.concatenate([text_view(t.as_py()), metadata_view(s.as_py(), g.as_py(), n.as_py())]).tobytes() for t, s, g, n in rows], pa.binary())
 
     chosen = docs.select("doc_id", *_inputs()).join(F.broadcast(_sample(docs, labels, quality, max_labelled, max_pool)), "doc_id")
     rows = chosen.select("doc_id", "label", both("_text", "_source", "_lang", "_chars").alias("x"))
     rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("x").alias("x")).orderBy("doc_id").toPandas()
     if rows.empty:
         return None
-    x = np.vstack(rows.x)
+    x = np.frombuffer(b"".join(rows.pop("x")), float).reshape(len(rows), -1)
     width = len(text_view(b""))
     held = np.array([zlib.crc32(str(i).encode()) % 10 < 3 for i in rows.doc_id])
     return co_train((x[:, :width], x[:, width:]), rows.label.to_numpy(float), held)
