@@ -9,6 +9,9 @@ from prosegrid.functions import stats
 from prosegrid.functions.text import ENGLISH, TERMINALS
 from prosegrid.operators.tokens import in_block, ngrams
 
+#: Frequent tokens that are broadcast, about 50 bytes each; more are joined by a shuffle.
+MAX_BROADCAST_TOKENS = 1_000_000
+
 
 def facet_counts(docs: DataFrame, facets: list[str], label: str, repo: str) -> DataFrame:
     """facet, value, label, files, repos for each facet, in one pass."""
@@ -41,17 +44,19 @@ def frequent_ngrams(tokens: DataFrame, docs: DataFrame, longest: int, least_repo
 
     docs: doc_id, repo. tokens: dealt by document. A run's parts are at least as frequent as the run,
     so tokens are counted first and those of too few repositories part the runs: no run with one in
-    it is ever built or moved. The frequent tokens are joined by broadcast while they are few.
+    it is ever built or moved. The frequent tokens are kept, and joined by broadcast while they are few.
     """
     order = in_block()
     prose = F.col("kind").isin("Word", "Number", "Punctuation", "Symbol") & ~F.col("text").isin(TERMINALS)
     edge = F.col("kind").isin("Word", "Number")
     rows = tokens.where(prose).select("doc_id", "block_id", "pos", "folded", edge.alias("edge")).join(docs, "doc_id")
-    frequent = by_repository(rows, "folded", "edge").where(F.col("repos") >= least_repos)
+    frequent = by_repository(rows, "folded", "edge").where(F.col("repos") >= least_repos).persist()
+    few = frequent.count() <= MAX_BROADCAST_TOKENS
     words = frequent.where("edge").select(F.lit(1).alias("n"), F.col("folded").alias("gram"), "n_total", "repos")
     if longest == 1:
         return words
-    kept = rows.join(frequent.select("folded", "edge"), ["folded", "edge"], "left_semi")
+    known = frequent.select("folded", "edge")
+    kept = rows.join(F.broadcast(known) if few else known, ["folded", "edge"], "left_semi")
     ahead = {n: [F.lead(c, n - 1).over(order) for c in ("folded", "edge", "pos")] for n in range(2, longest + 1)}
     runs, gram = [], F.col("folded")
     for n, (folded, ends, pos) in ahead.items():
