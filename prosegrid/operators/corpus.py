@@ -9,8 +9,8 @@ from prosegrid.functions import stats
 from prosegrid.functions.text import ENGLISH, TERMINALS
 from prosegrid.operators.tokens import in_block, ngrams
 
-#: Frequent tokens that are broadcast, about 50 bytes each; more are joined by a shuffle.
-MAX_BROADCAST_TOKENS = 1_000_000
+#: Frequent tokens or pairs that are broadcast, about 60 bytes each; more are joined by a shuffle.
+MAX_BROADCAST_RUNS = 1_000_000
 
 
 def facet_counts(docs: DataFrame, facets: list[str], label: str, repo: str) -> DataFrame:
@@ -42,29 +42,42 @@ def by_repository(runs: DataFrame, *keys: str) -> DataFrame:
 def frequent_ngrams(tokens: DataFrame, docs: DataFrame, longest: int, least_repos: int) -> DataFrame:
     """n, gram, n_total, repos of the runs of up to longest tokens that so many repositories have.
 
-    docs: doc_id, repo. tokens: dealt by document. A run's parts are at least as frequent as the run,
-    so tokens are counted first and those of too few repositories part the runs: no run with one in
-    it is ever built or moved. The frequent tokens are kept, and joined by broadcast while they are few.
+    docs: doc_id, repo. tokens: dealt by document. A run's parts are at least as frequent as the run:
+    tokens are counted first, then pairs of frequent tokens, and a longer run is only built, and only
+    moves, where all its pairs are frequent. Frequent tokens and pairs are kept, and joined by
+    broadcast while they are few.
     """
     order = in_block()
     prose = F.col("kind").isin("Word", "Number", "Punctuation", "Symbol") & ~F.col("text").isin(TERMINALS)
     edge = F.col("kind").isin("Word", "Number")
     rows = tokens.where(prose).select("doc_id", "block_id", "pos", "folded", edge.alias("edge")).join(docs, "doc_id")
-    frequent = by_repository(rows, "folded", "edge").where(F.col("repos") >= least_repos).persist()
-    few = frequent.count() <= MAX_BROADCAST_TOKENS
-    words = frequent.where("edge").select(F.lit(1).alias("n"), F.col("folded").alias("gram"), "n_total", "repos")
+
+    def frequent(runs: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+        found = by_repository(runs, *keys).where(F.col("repos") >= least_repos).persist()
+        known = found.select(*keys)
+        return found, F.broadcast(known) if found.count() <= MAX_BROADCAST_RUNS else known
+
+    words, known = frequent(rows, "folded", "edge")
+    found = words.where("edge").select(F.lit(1).alias("n"), F.col("folded").alias("gram"), "n_total", "repos")
     if longest == 1:
-        return words
-    known = frequent.select("folded", "edge")
-    kept = rows.join(F.broadcast(known) if few else known, ["folded", "edge"], "left_semi")
-    ahead = {n: [F.lead(c, n - 1).over(order) for c in ("folded", "edge", "pos")] for n in range(2, longest + 1)}
-    runs, gram = [], F.col("folded")
-    for n, (folded, ends, pos) in ahead.items():
-        gram = F.concat_ws(" ", gram, folded)
-        runs.append(F.when(ends & (pos == F.col("pos") + n - 1), F.struct(F.lit(n).alias("n"), gram.alias("gram"))))
-    starts = kept.select("repo", "edge", F.array_compact(F.array(*runs)).alias("runs")).where("edge")
+        return found
+    kept = rows.join(known, ["folded", "edge"], "left_semi")
+    ahead = lambda c, k=1: F.lead(c, k).over(order)
+    paired = kept.withColumns({"next": F.when(ahead("pos") == F.col("pos") + 1, ahead("folded")), "ends": ahead("edge")})
+    pairs, known = frequent(paired.where("next is not null").select("repo", "folded", "next", "edge", "ends"), "folded", "next", "edge", "ends")
+    gram = F.concat_ws(" ", "folded", "next")
+    found = found.unionByName(pairs.where("edge and ends").select(F.lit(2).alias("n"), gram.alias("gram"), "n_total", "repos"))
+    if longest == 2:
+        return found
+    joined = paired.join(known.withColumn("tied", F.lit(True)), ["folded", "next", "edge", "ends"], "left")
+    tied, runs = F.col("tied"), []
+    for n in range(3, longest + 1):
+        tied = tied & ahead("tied", n - 2)
+        gram = F.concat_ws(" ", gram, ahead("next", n - 2))
+        runs.append(F.when(tied & ahead("ends", n - 2), F.struct(F.lit(n).alias("n"), gram.alias("gram"))))
+    starts = joined.select("repo", "edge", "tied", F.array_compact(F.array(*runs)).alias("runs")).where("edge and tied")
     longer = by_repository(starts.select("repo", F.explode("runs").alias("run")).select("repo", "run.n", "run.gram"), "n", "gram")
-    return words.unionByName(longer.where(F.col("repos") >= least_repos))
+    return found.unionByName(longer.where(F.col("repos") >= least_repos))
 
 
 def side_rates(tokens: DataFrame, docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
