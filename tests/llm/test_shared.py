@@ -10,9 +10,8 @@ from prosegrid.llm import shared
 @pytest.fixture
 def folder(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(shared, "_saved", set())
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    yield tmp_path
-    spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(shared, "run_folder", lambda spark: f"{tmp_path}/run")
+    return tmp_path
 
 
 def test_tables_go_when_asked(spark, folder):
