@@ -20,14 +20,20 @@ def in_sentence() -> WindowSpec:
     return Window.partitionBy("doc_id", "block_id", "sent_id").orderBy("pos")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Texts where they lie, unless they lie in fewer partitions than there are cores: then they are dealt by document."""
+    few = docs.rdd.getNumPartitions() < docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition("doc_id") if few else docs
+
+
 def line_blocks(docs: DataFrame, windowed: bool = False) -> DataFrame:
     """doc_id, block_id, text: each line is a block.
 
     windowed: whether windows over a document's tokens follow. Then texts are dealt by document
-    before they are exploded; otherwise they stay where they were read.
+    before they are exploded; otherwise they stay where they were read, if that is spread enough.
     """
     rows = docs.select("doc_id", "text")
-    rows = rows.repartition("doc_id") if windowed else rows
+    rows = rows.repartition("doc_id") if windowed else spread(rows)
     return rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_id", "text"))
 
 
@@ -46,7 +52,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
     """
     pieces = F.flatten(F.transform(F.split("text", "\n"), T.pieces))
     spelled = F.transform(pieces, lambda p: F.regexp_replace(p, r"^\s+", ""))
-    rows = docs.select("doc_id", spelled.alias("texts")).where(F.size("texts") > 0)
+    rows = spread(docs.select("doc_id", "text")).select("doc_id", spelled.alias("texts")).where(F.size("texts") > 0)
     words = F.size(F.filter("texts", lambda t: T.token_kind(t) == "Word"))
     counted = rows.select("doc_id", F.size("texts").alias("tokens"), words.alias("words"), F.array_distinct(F.transform("texts", T.fold)).alias("types"))
     found = counted.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words"), F.collect_list("types").alias("types"))
