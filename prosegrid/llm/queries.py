@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegrid.llm import bpe, chat, langid, lm, media, packing, quality, simhash, topk, urls
+from prosegrid.llm import bpe, chat, langid, lm, media, mixing, packing, quality, runs, simhash, topk, trie, urls
 from prosegrid.llm.shared import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -133,6 +133,56 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Weights of sources in order, the share of all words that they share, and what a source gets at most, in times of its size.
+MIX = {"cycle": (3, 1, 2), "share": 1.5, "cap": 2.0, "seed": 42}
+
+
+def op11_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), **MIX).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def crc_of(number: Column) -> Column:
+    return F.crc32(number.cast("string").cast("binary"))
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where one text of ten, by a hash of doc_id, is periodic from a word of it on."""
+    h = crc_of(F.col("doc_id"))
+    g = F.floor(h / 10)
+    split = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({mixing.WORD})"))).alias("words"))
+    n = F.size("words")
+    a = (F.col("g") % n).cast("int")
+    left = n - a
+    period = (1 + F.floor(left / (3 + F.col("g") % 8))).cast("int")
+    again = F.array_repeat(F.slice("words", a + 1, period), F.ceil(left / period).cast("int"))
+    planted = F.concat(F.slice("words", F.lit(1), a), F.slice(F.flatten(again), F.lit(1), left))
+    return split.select("doc_id", F.when(n > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = planted_runs(table(spark, sf_dir, "documents"))
+    read = docs.select("doc_id", runs.find_runs(spark, F.col("text"), least=12).alias("r")).select("doc_id", "r.*")
+    # By length, then the smallest start and period.
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    parts = read.select("doc_id", "runs", "collapsed", longest.alias("m")).select("doc_id", "runs", "collapsed", F.col("m.length").alias("length"), (-F.col("m.col2")).alias("start"), (-F.col("m.col3")).alias("period"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n"))))
+    return parts.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "start",
+        "length",
+        "period",
+        F.floor(1000 * F.col("length") / F.col("period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = trie.sequences(table(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(trie.grafted(said, every=5, n=(crc_of(F.col("conv_id")) % 9).cast("int"), most=8))
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_simhash": op2_simhash,
@@ -144,6 +194,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_packing": op9_packing,
     "op10_chat": op10_chat,
+    "op11_mix": op11_mix,
+    "op12_runs": op12_runs,
+    "op13_trie": op13_trie,
     "pages_language": pages_language,
 }
 
@@ -151,6 +204,12 @@ _ESCAPED = "replace({0}, chr(92), chr(92) || chr(92))"
 for _mark in chat.CONTROL:
     _ESCAPED = f"replace({_ESCAPED}, '{_mark}', '{_mark[0]}' || chr(92) || '{_mark[1:]}')"
 
+#: CRC-32 in SQL: a table of 256 entries by rule, and a fold over the characters of a number.
+_CRC_TABLE = """crc AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+        )"""
+_CRC = "xor(list_reduce(list_concat([4294967295], list_transform(string_split({0}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
 ORACLES = {
     "op1_top_k": """
         WITH v AS (
@@ -220,4 +279,85 @@ ORACLES = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(chars)::BIGINT AS formatted_chars
         FROM sized GROUP BY conv_id, alone""",
+    "op11_mix": rf"""
+        WITH sized AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                -ln((('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+                    / coalesce(pow((1 + length(translate(text, '{mixing.ODD_MARKS}', ''))) / (1 + length(text)), 2), 1) AS key
+            FROM documents
+        ), sources AS (
+            SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST)) % 3 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END AS weight
+            FROM sized GROUP BY source
+        ), filled AS (
+            SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS weight_left, coalesce(sum(source_size) OVER o, 0) AS smaller
+            FROM sources WINDOW o AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), capped AS (
+            SELECT *, 2 * (source_size * weight_left + smaller * weight) <= 1.5 * total * weight AS capped FROM filled
+        ), rates AS (
+            SELECT (1.5::DOUBLE * any_value(total) - 2::DOUBLE * coalesce(sum(source_size) FILTER (capped), 0)) / sum(weight) FILTER (NOT capped) AS rate FROM capped
+        ), targets AS (
+            SELECT source, source_size, CASE WHEN capped THEN 2::DOUBLE * source_size ELSE rate * weight END AS target FROM capped, rates
+        ), placed AS (
+            SELECT doc_id, size, source_size, target, round(target)::BIGINT AS quota,
+                coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
+        )
+        SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0
+            ELSE quota // source_size * size + greatest(0, least(size, quota % source_size - before)) END::BIGINT AS taken
+        FROM placed""",
+    "op12_runs": rf"""
+        WITH {_CRC_TABLE}, split AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, {_CRC.format("doc_id")} AS h FROM documents, crc
+        ), placed AS (
+            SELECT doc_id, ws, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS planted, (h // 10) % greatest(len(ws), 1) AS a, 3 + (h // 10) % 8 AS parts FROM split
+        ), docs AS (
+            SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // parts) END]) ELSE ws END AS ws FROM placed
+        ), words AS (
+            SELECT doc_id, unnest(ws) AS w, unnest(range(n)) AS i FROM docs
+        ), grams AS (
+            SELECT doc_id, i, hash(doc_id, w, lead(w) OVER o, lead(w, 2) OVER o) AS g, w, lead(w) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+        ), again AS (
+            SELECT a.doc_id, a.i, b.i - a.i AS q FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id = b.doc_id AND a.w = b.w AND a.w1 = b.w1 AND a.w2 = b.w2 AND a.i < b.i
+        ), islands AS (
+            SELECT doc_id, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island, i FROM again
+        ), stretches AS (
+            SELECT doc_id, min(i) AS start, count(*) + 2 + q AS length, q FROM islands GROUP BY doc_id, q, island HAVING count(*) + 2 + q >= greatest(12, 2 * q)
+        ), runs AS (
+            SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length
+        ), by_doc AS (
+            SELECT doc_id, count(*) AS n_runs, arg_max({{'start': start, 'length': length, 'period': period}}, (length, -start, -period)) AS m,
+                string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id
+        ), dropped AS (
+            SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+        ), kept AS (
+            SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS left_text FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, m.start::BIGINT AS start, m.length::BIGINT AS length, m.period::BIGINT AS period, (1000 * m.length // m.period)::BIGINT AS exponent_milli,
+            sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(left_text, '')) AS collapsed_sha256
+        FROM docs LEFT JOIN by_doc USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_trie": f"""
+        WITH {_CRC_TABLE}, convs AS (
+            SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), cut AS (
+            SELECT conv_id, turns, {_CRC.format("conv_id")} % 9 AS h FROM convs, crc
+        ), rebuilt AS (
+            SELECT c.conv_id, list_concat(coalesce(b.turns[:c.h], []), c.turns[c.h + 1:]) AS turns FROM cut c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 5
+        ), prefixes AS (
+            SELECT conv_id, len(turns) AS size, d AS depth, md5(turns[:d]::VARCHAR || turns[:d]::JSON::VARCHAR) AS node, coalesce(strlen(turns[d].text), 0) AS bytes
+            FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM rebuilt)
+        ), nodes AS (
+            SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(bytes) AS bytes, bool_and(size = depth) AS leaf,
+                sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256
+            FROM prefixes GROUP BY node, depth
+        ), paths AS (
+            SELECT a.node, n.conv_id, n.depth, n.n, n.bytes, n.leaf FROM nodes n JOIN prefixes a ON a.conv_id = n.conv_id AND a.depth <= n.depth
+        ), below AS (
+            SELECT node, sum((n - 1) * bytes) AS saved, count(*) FILTER (leaf) AS leaves FROM paths GROUP BY node
+        ), parents AS (
+            SELECT n.node, p.node AS parent, m.conv_id AS parent_conv FROM nodes n JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1 JOIN nodes m ON m.node = p.node
+        ), children AS (
+            SELECT parent, count(*) AS n FROM parents GROUP BY parent
+        )
+        SELECT n.conv_id, n.depth::BIGINT AS depth, parent_conv AS parent_conv_id, n.n AS n_convs, coalesce(c.n, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, ends_sha256
+        FROM nodes n JOIN below USING (node) LEFT JOIN parents USING (node) LEFT JOIN children c ON c.parent = n.node""",
 }
