@@ -6,6 +6,8 @@ parts of speech is not part of them.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -76,6 +78,37 @@ def places(blocks: DataFrame, tokens: DataFrame, hits: DataFrame) -> DataFrame:
     return found.select(*KEY, *more, "start", "end", T.quote(F.substring(F.col("block_text"), F.col("start") + 1, F.col("end") - F.col("start"))).alias("quote"))
 
 
+def _holds(words: list[str]) -> str:
+    """A pattern for texts that hold one of the words on its own, in any case and with either apostrophe."""
+    listed = "|".join(re.escape(w).replace("'", "['’]") for w in words)
+    return rf"(?i)(?<!\p{{L}})(?:{listed})(?!\p{{L}})"
+
+
+#: No text without one of these words has a place of the lint, so only texts that have one are taken apart.
+NEEDED = {
+    "verbs_no_nouns": _holds(["no"]),
+    "verbs_nothing": _holds(NOTHING_OBJECTS),
+    "not_at_all": _holds(["all"]),
+    "possessive_own": _holds(["own"]),
+    "denial_tail": _holds(["not", "never"]),
+    "caps_runs": _holds(SHOUTED_WORDS).replace("(?i)", ""),
+}
+
+
+def located(blocks: DataFrame, hits: DataFrame) -> DataFrame:
+    """Hits with start and end in their block's text, and their quote, from the block's own tokens; only the hits' blocks are taken apart."""
+    texts = blocks.select("doc_id", "block_id", F.col("text").alias("_text"))
+    met = hits.join(texts, ["doc_id", "block_id"])
+    pieces, pos, until = T.pieces(F.col("_text")), F.col("pos"), F.col("pos") + F.col("length")
+    before = lambda n: F.aggregate(F.slice("_pieces", F.lit(1), n.cast("int")), F.lit(0), lambda a, p: a + F.char_length(p))
+    met = met.withColumn("_pieces", pieces)
+    first = F.get("_pieces", pos.cast("int"))
+    space = F.char_length(first) - F.char_length(F.regexp_replace(first, r"^\s+", ""))
+    placed = met.withColumns({"start": before(pos) + space, "end": before(until)})
+    quote = T.quote(F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start")))
+    return placed.select(*hits.columns, "start", "end", quote.alias("quote"))
+
+
 def _ends(suffix: str) -> Column:
     return (F.col("kind") == "Word") & F.endswith("folded", F.lit(suffix))
 

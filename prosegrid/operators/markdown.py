@@ -1,29 +1,11 @@
-"""Markdown and comments as block tables, read with windows over lines.
-
-Every line is classified on its own; windows over a document's lines then settle what needs its
-neighbours: where front matter and fences end, which lines one block holds, and which heading a
-block stands under. A fence ends at the next fence line of any mark; a loose list item's later
-paragraphs are paragraphs; Setext headings are not read.
-"""
+"""Markdown's blocks, and what lints of whole documents ask of them: emphasis, layouts, comment runs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FENCE = r"^ {0,3}(`{3,}|~{3,})"
-HEADING = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?[ \t]*#*[ \t]*$"
-RULE = r"^ {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$"
-QUOTE = r"^ {0,3}>"
-ITEM = r"^\s*(?:[-*+]|\d{1,9}[.)])(?:\s+|$)"
-TASK = r"^\s*[-*+]\s+\[([ xX])\]\s"
-TABLE = r"^\s*\|.*\|\s*$"
-HTML = r"^ {0,3}<(?:/?[a-zA-Z]|!--)"
-
-
-def by_line() -> WindowSpec:
-    return Window.partitionBy("doc_id").orderBy("line")
-
+from prosegrid.operators import tree
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, line (from 0) and source, dealt by document; LF, CRLF and lone CR end lines, and a byte order mark is no text."""
@@ -31,48 +13,13 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text")).repartition("doc_id").select("doc_id", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("line", "source"))
 
 
-def classified(rows: DataFrame) -> DataFrame:
-    """Adds kind to each line, and opens where a fence opens."""
-    whole = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    source = F.col("source")
-    opens_front = F.first(source.rlike(r"^---[ \t]*$")).over(whole)
-    front_end = F.min(F.when((F.col("line") > 0) & source.rlike(r"^(---|\.\.\.)[ \t]*$"), F.col("line"))).over(whole)
-    rows = rows.withColumn("_front", F.coalesce(opens_front & (F.col("line") <= front_end), F.lit(False)))
-    fence = source.rlike(FENCE) & ~F.col("_front")
-    rows = rows.withColumn("_fence", fence).withColumn("_fences", F.sum(F.col("_fence").cast("int")).over(by_line()))
-    code = (F.col("_fences") % 2 == 1) | F.col("_fence")
-    kind = F.when(F.col("_front"), "Frontmatter").when(code, "Code").when(source.rlike(r"^\s*$"), "Blank").when(source.rlike(HEADING), "Heading")
-    kind = kind.when(source.rlike(RULE), "Rule").when(source.rlike(QUOTE), "Quote").when(source.rlike(ITEM), "Item").when(source.rlike(TABLE), "Table").when(source.rlike(HTML), "Html").otherwise("Paragraph")
-    rows = rows.withColumn("kind", kind).withColumn("opens", F.col("_fence") & (F.col("_fences") % 2 == 1))
-    # Four spaces after a blank line, outside a list, are raw.
-    listed = F.last(F.when(F.col("kind").isin("Item", "Heading", "Rule"), F.col("kind") == "Item"), ignorenulls=True).over(by_line())
-    raw = (F.col("kind") == "Paragraph") & source.rlike(r"^(?: {4}|\t)") & F.coalesce(F.lag("kind").over(by_line()) == "Blank", F.lit(True)) & ~F.coalesce(listed, F.lit(False))
-    return rows.withColumn("kind", F.when(raw, "Code").otherwise(F.col("kind"))).drop("_front", "_fence", "_fences")
-
-
 def blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, block_id, kind, level, task, info, heading, first_line, last_line, text; lines from 1."""
-    rows = classified(lines(docs))
-    before = F.lag("kind").over(by_line())
-    lazy = (F.col("kind") == "Paragraph") & before.isin("Item", "Quote", "Paragraph")
-    begins = (F.col("kind") != "Blank") & (F.col("kind").isin("Heading", "Rule", "Item") | F.col("opens") | ~F.coalesce((F.col("kind") == before) | lazy, F.lit(False)))
-    rows = rows.withColumn("block_id", F.sum(begins.cast("int")).over(by_line())).where("kind <> 'Blank'")
-    # A fence that closes right before another opens is told apart by opens above.
-    source = F.col("source")
-    bare = F.when(F.col("kind") == "Heading", F.regexp_extract(source, HEADING, 2)).when(F.col("kind") == "Quote", F.regexp_replace(source, r"^ {0,3}>[ ]?", ""))
-    bare = bare.when(F.col("kind") == "Item", F.regexp_replace(F.regexp_replace(source, ITEM, ""), r"^\[[ xX]\]\s", "")).when(F.col("kind").isin("Code", "Frontmatter", "Html"), source).otherwise(F.ltrim(source))
-    fence = source.rlike(FENCE) & (F.col("kind") == "Code")
-    found = rows.groupBy("doc_id", "block_id").agg(
-        F.min_by("kind", "line").alias("kind"),
-        F.max(F.when(F.col("kind") == "Heading", F.char_length(F.regexp_extract(source, HEADING, 1)))).alias("level"),
-        F.max(F.when(source.rlike(TASK) & (F.col("kind") == "Item"), F.regexp_extract(source, TASK, 1) != " ")).alias("task"),
-        F.min_by(F.when(F.col("opens"), F.trim(F.regexp_replace(source, FENCE, ""))), "line").alias("info"),
-        (F.min("line") + 1).alias("first_line"),
-        (F.max("line") + 1).alias("last_line"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~fence, F.struct("line", bare.alias("text"))))), lambda x: x["text"]), "\n").alias("text"),
-    )
-    order = Window.partitionBy("doc_id").orderBy("block_id")
-    return found.withColumn("heading", F.last(F.when(F.col("kind") == "Heading", F.col("text")), ignorenulls=True).over(order))
+    """doc_id, block_id, kind, level, task, info, heading, first_line, last_line, text; lines from 1, those of a fence with its marks."""
+    found = tree.blocks(docs.select("doc_id", "text").repartition("doc_id"), ["doc_id"])
+    item = found.select("doc_id", F.col("pre").alias("parent"), F.col("task").alias("_task")).where("_task is not null")
+    leaves = found.where("kind not in ('Item', 'Quote')").drop("task").join(item, ["doc_id", "parent"], "left")
+    kind = F.when((F.col("kind") == "Paragraph") & F.col("within").isNotNull(), F.col("within")).otherwise(F.col("kind"))
+    return leaves.select("doc_id", F.col("pre").alias("block_id"), kind.alias("kind"), "level", F.col("_task").alias("task"), "info", "heading", "first_line", "last_line", "text")
 
 
 def visible(text: Column) -> Column:
@@ -128,10 +75,12 @@ def layout_problems(rows: DataFrame, files: DataFrame, heading: str = "Repositor
     files: path. Problems: no heading, no block, too few or many entries, a row that is no entry, a
     wide row, an arrow out of column, a path that isn't there.
     """
+    # A fence's first line is its mark.
+    at = F.col("text_line") if "text_line" in rows.columns else F.col("first_line") + F.when(F.col("info").isNull(), 0).otherwise(1)
     under = rows.where((F.col("kind") == "Code") & (F.col("heading") == heading))
-    first = under.groupBy("doc_id").agg(F.min_by(F.struct("first_line", "text"), "block_id").alias("b"))
-    entries = first.select("doc_id", F.posexplode(F.split("b.text", "\n")).alias("n", "row"), F.col("b.first_line").alias("at")).where(F.trim("row") != "")
-    parsed = entries.select("doc_id", (F.col("at") + F.col("n") + 1).alias("line"), "row", F.trim(F.regexp_extract("row", r"^\s*(\S+)\s+<-\s+\S", 1)).alias("path"), F.instr("row", "<-").alias("column"))
+    first = under.groupBy("doc_id").agg(F.min_by(F.struct(at.alias("at"), "text"), "block_id").alias("b"))
+    entries = first.select("doc_id", F.posexplode(F.split("b.text", "\n")).alias("n", "row"), F.col("b.at").alias("at")).where(F.trim("row") != "")
+    parsed = entries.select("doc_id", (F.col("at") + F.col("n")).alias("line"), "row", F.trim(F.regexp_extract("row", r"^\s*(\S+)\s+<-\s+\S", 1)).alias("path"), F.instr("row", "<-").alias("column"))
     order = Window.partitionBy("doc_id").orderBy("line")
     parsed = parsed.withColumn("_column", F.first(F.when(F.col("path") != "", F.col("column")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     known = parsed.join(files.select(F.regexp_replace("path", "/$", "").alias("_path"), F.lit(True).alias("_there")).distinct(), F.regexp_replace("path", "/$", "") == F.col("_path"), "left")
