@@ -81,7 +81,7 @@ def compose(inner: DataFrame, outer: DataFrame, keys: list[str], more: list[str]
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     swept = cuts.unionByName(borders, allowMissingColumns=True).withColumns({"_inner": F.last("_inner", ignorenulls=True).over(upto), "_outer": F.last("_outer", ignorenulls=True).over(upto), "_next": F.lead("at").over(order)})
     i, o = F.col("_inner"), F.col("_outer")
-    swept = swept.withColumn("to", F.least(F.coalesce("_next", F.lit(1 << 62)), i["outer_start"] + i["outer_length"], o["start"] + o["length"])).where(F.col("to") > F.col("at"))
+    swept = swept.withColumn("to", F.least(F.coalesce("_next", F.lit(1 << 62)), i["outer_start"] + i["outer_length"], o["start"] + o["length"])).where((F.col("to") > F.col("at")) & i.isNotNull() & o.isNotNull())
     exact = o["kind"] == "V"
     pieces = swept.select(
         *keys,

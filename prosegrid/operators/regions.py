@@ -151,8 +151,8 @@ def runs(docs: DataFrame, keys: list[str]) -> DataFrame:
     alone = F.coalesce(F.col("_lead").rlike(r"^\x{FEFF}?[ \t]*$"), F.lit(False))
     lined = ~F.startswith("marker", F.lit("/*"))
     spans = spans.withColumns({"doc": F.col("marker").rlike(r"^(///|//!|/\*\*|/\*!)"), "_alone": alone & lined & F.col("closed"), "_column": F.char_length(F.regexp_replace("_lead", r"^\x{FEFF}", ""))})
-    attributes = r"^[ \t]*(?:\r\n|\r|\n)(?:[ \t]*#!?\[[^\r\n]*\][ \t]*(?:\r\n|\r|\n))*[ \t]*$"
-    bare = r"^[ \t]*(?:\r\n|\r|\n)[ \t]*$"
+    attributes = r"^[ \t]*(?:\r\n|\r|\n)(?:[ \t]*#!?\[[^\r\n]*\][ \t]*(?:\r\n|\r|\n))*[ \t]*\z"
+    bare = r"^[ \t]*(?:\r\n|\r|\n)[ \t]*\z"
     # An attribute of Rust between two lines of one doc comment doesn't part them.
     close = F.col("_gap").rlike(bare) | ((F.col("language") == "rust") & F.col("doc") & F.col("_gap").rlike(attributes))
     same = lambda c: F.lag(c).over(order) == F.col(c)

@@ -12,11 +12,11 @@ from prosegrid.functions import text as T
 from prosegrid.operators import chars, corpus, exam, lints, sampling, settings
 from prosegrid.operators import patterns as P
 from prosegrid.operators import tokens as K
-from prosegrid.plans import label_queries, lint_queries
+from prosegrid.plans import label_queries, layer_queries, lint_queries
 from prosegrid.plans.fragments import RULE_VALUES, SENTENCES, SIDES, TOKENS, grams, quoted
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**lint_queries.QUERIES, **label_queries.QUERIES}
-ORACLES: dict[str, str] = {**lint_queries.ORACLES, **label_queries.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**lint_queries.QUERIES, **label_queries.QUERIES, **layer_queries.QUERIES}
+ORACLES: dict[str, str] = {**lint_queries.ORACLES, **label_queries.ORACLES, **layer_queries.ORACLES}
 
 #: A word list to compare the sides by.
 WORDS = ["the", "and", "of", "thnd", "ering", "with", "tion"]

@@ -132,7 +132,6 @@ def check_documents(docs: DataFrame, names: list[str] | None = None, hunks: Data
         parts.append(found)
 
     hits, wanted = None, F.lit(False)
-    sentences = sentence_texts(prose, _tokens(prose.join(allowed.select(F.col("path").alias("doc_id")).distinct(), "doc_id", "left_semi"))) if allowed is not None else None
     for name in [n for n in on if n in lints.LINTS or n == "banned_phrases"]:
         if name in lints.LINTS:
             holds = F.col("text").rlike(lints.NEEDED[name])
@@ -143,12 +142,16 @@ def check_documents(docs: DataFrame, names: list[str] | None = None, hunks: Data
             found = lints.banned_phrases(_tokens(prose.where(holds)), settings.phrases, settings.allowed_phrases)
         wanted = wanted | holds
         found = found.select(*lints.KEY, "pos", "length", F.lit(name).alias("lint"))
-        if allowed is not None:
-            named = found.select(F.col("doc_id").alias("path"), *[c for c in found.columns if c not in ("doc_id", "sent_id")], F.col("sent_id").alias("_sent"), _unit())
-            found = _exempt(named, name, allowed, sentences, paths).select(F.col("path").alias("doc_id"), "block_id", F.col("_sent").alias("sent_id"), "pos", "length", "lint")
         hits = found if hits is None else hits.unionByName(found)
     if hits is not None:
         held = prose.where(wanted)
+        if allowed is not None:
+            # Only the files that have exemptions are read for their sentences.
+            entries = allowed.where(~F.col("lint").isin("density", "banned_chars"))
+            sentences = sentence_texts(prose, _tokens(prose.join(entries.select(F.col("path").alias("doc_id")).distinct(), "doc_id", "left_semi")))
+            units = hits.select(F.col("doc_id").alias("path"), "lint", _unit()).distinct()
+            applied = S.settled(entries, sentences, units, paths).where("status = 'applied'").select(F.col("path").alias("doc_id"), "lint", F.col("sent_id").alias("unit"))
+            hits = hits.withColumn("unit", _unit().cast("string")).join(applied, ["doc_id", "lint", "unit"], "left_anti").drop("unit")
         placed = lints.located(held, hits)
         if segments is not None:
             placed = layers.file_places(placed, segments, texts)

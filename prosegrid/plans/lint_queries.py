@@ -144,8 +144,8 @@ _lint(
             SELECT *, {WORD_KIND} AND ends_with(folded, '''s') AND folded NOT IN ({quoted(lints.PRONOUNS_IN_S)}) AS owner, {WORD_KIND} AND ends_with(folded, 's') AS plural,
                 text IN ('''', '’') AND NOT spaced AS mark, {WORD_KIND} AND folded IN ('and', 'or') OR text = ',' AND kind IN ('Punctuation', 'Symbol') AS connects, {WORD_KIND} AND folded IN ({quoted(lints.DETERMINERS)}) AS det FROM sents
         ), ended AS (SELECT *, owner OR (mark AND coalesce(lag(plural) {W}, false)) AS owns FROM marked),
-        coupled AS (SELECT *, connects AND coalesce(last_value(CASE WHEN NOT connects THEN owns END IGNORE NULLS) {W}, false) AS joined FROM ended),
-        ahead AS (
+        coupled AS MATERIALIZED (SELECT *, connects AND coalesce(last_value(CASE WHEN NOT connects THEN owns END IGNORE NULLS) {W}, false) AS joined FROM ended),
+        ahead AS MATERIALIZED (
             SELECT *, lag(joined) {W} OR (lag(det) {W} AND lag(joined, 2) {W}) AS coordinated, lead(mark) {W} AS mark1, {", ".join(f"lead(folded, {n}) {W} AS f{n}, lead(kind, {n}) {W} AS k{n}" for n in (1, 2, 3, 4))} FROM coupled
         ), single AS ({_own("owner", 1)}), several AS ({_own("plural AND coalesce(mark1, false)", 2)}),
         fresh AS (SELECT *, CASE WHEN pos < lag(pos + length) OVER (PARTITION BY way, doc_id, block_id, sent_id ORDER BY pos) THEN 0 ELSE 1 END AS apart FROM (SELECT 1 AS way, * FROM single UNION ALL SELECT 2, * FROM several)),
@@ -254,31 +254,38 @@ FREE_SPANS, MOST_PERCENT = 3, 5.0
 
 
 def lint_max_emphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's first words as a paragraph, some of them strong or light by its number: those with too much emphasis."""
+    """Each document's words as a paragraph, a stretch of them, by its number, strong or light: those with too much emphasis."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = F.filter(F.split(F.regexp_replace(F.lower(F.left("text", F.lit(400))), "[^a-z]+", " "), " "), lambda w: w != "")
-    marked = F.transform("words", lambda w, i: F.when(i >= F.col("doc_id") % 7, w).when(i % 2 == 0, F.concat(F.lit("**"), w, F.lit("**"))).otherwise(F.concat(F.lit("*"), w, F.lit("*"))))
-    made = docs.select("doc_id", words.alias("words")).select(F.col("doc_id").cast("string").alias("path"), F.array_join(marked, " ").alias("text"))
+    words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " "), lambda w: w != "")
+    # The stretch begins at a word of the text by its number, and takes up to an eighth of the words.
+    size = F.size("words")
+    begins, spans = (F.col("doc_id") % F.greatest(size, F.lit(1))).cast("int"), F.floor(size * (F.col("doc_id") % 7) / 48).cast("int")
+    held = F.transform(F.slice("words", begins + 1, spans), lambda w, i: F.when(i % 2 == 0, F.concat(F.lit("**"), w, F.lit("**"))).otherwise(F.concat(F.lit("*"), w, F.lit("*"))))
+    marked = F.concat(F.slice("words", F.lit(1), begins), held, F.slice("words", begins + spans + 1, size))
+    placed = docs.select("doc_id", words.alias("words"))
+    made = placed.select(F.col("doc_id").cast("string").alias("path"), F.array_join(marked, " ").alias("text"))
     found = check_documents(made, ["max_emphasis"], settings=Settings(max_emphasis=(FREE_SPANS, MOST_PERCENT)))
     return found.select("path", "quote")
 
 
 QUERIES["lint_max_emphasis"] = lint_max_emphasis
 ORACLES["lint_max_emphasis"] = f"""
-    WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(left(text, 400)), '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM documents),
-    m AS (SELECT doc_id, least(doc_id % 7, len(ws)) AS spans, length(array_to_string(ws[1:doc_id % 7], '')) AS chars, length(array_to_string(ws, ' ')) AS prose FROM w)
+    WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM documents),
+    p AS (SELECT *, ws[doc_id % greatest(len(ws), 1) + 1:doc_id % greatest(len(ws), 1) + len(ws) * (doc_id % 7) // 48] AS held FROM w),
+    m AS (SELECT doc_id, len(held) AS spans, length(array_to_string(held, '')) AS chars, length(array_to_string(ws, ' ')) AS prose FROM p)
     SELECT doc_id::VARCHAR AS path, printf('%d spans, %.2f %%', spans, ceil(100.0 * chars / prose * 100) / 100) AS quote FROM m WHERE spans > {FREE_SPANS} AND 100.0 * chars / prose > {MOST_PERCENT}"""
 
 
 def lint_repo_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A layout index for each document, as long and as broken as its number says, against twelve known paths."""
+    """Each document's lines and then a layout index, as long and as broken as its number says, against twelve known paths."""
     n = F.col("doc_id")
     path = lambda i: F.concat(F.lit("p"), i.cast("string"))
     entry = lambda i: F.concat(F.rpad(path(i), F.when((n % 4 == 1) & (i == 2), 9).otherwise(8), " "), F.lit("<- part "), i.cast("string"))
     row = lambda i: F.when((n % 3 == 0) & (i % 5 == 4), "no arrow here").otherwise(entry(i))
     rows = F.transform(F.sequence(F.lit(0), (n % 15 + 2).cast("int")), row)
     heading = F.when(n % 10 == 9, "Other").otherwise("Repository layout")
-    text = F.concat(F.lit("# R\n\n## "), heading, F.lit("\n\n```\n"), F.array_join(rows, "\n"), F.lit("\n```\n"))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("w"), F.regexp_replace(F.lower(x), "[^a-z]+", " ")))
+    text = F.concat(F.array_join(lines, "\n"), F.lit("\n\n## "), heading, F.lit("\n\n```\n"), F.array_join(rows, "\n"), F.lit("\n```\n"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(n.cast("string").alias("path"), text.alias("text"))
     known = spark.range(12).select(path(F.col("id")).alias("path"))
     found = check_documents(docs, ["repo_layout"], settings=Settings(repo_layout="Repository layout"), files=known)
@@ -287,9 +294,10 @@ def lint_repo_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["lint_repo_layout"] = lint_repo_layout
 ORACLES["lint_repo_layout"] = """
-    WITH r AS (SELECT doc_id, unnest(range(0, doc_id % 15 + 3)) AS i FROM documents),
+    WITH d AS (SELECT doc_id, len(string_split(text, chr(10))) AS lines FROM documents),
+    r AS (SELECT doc_id, lines, unnest(range(0, doc_id % 15 + 3)) AS i FROM d),
     e AS (SELECT *, doc_id % 3 = 0 AND i % 5 = 4 AS bare, doc_id % 4 = 1 AND i = 2 AS off FROM r WHERE doc_id % 10 <> 9),
-    c AS (SELECT doc_id, count(*) FILTER (NOT bare) AS n FROM e GROUP BY doc_id)
-    SELECT doc_id::VARCHAR AS path, 6 + i AS line, CASE WHEN bare THEN 'no entry' WHEN off THEN 'out of column' ELSE 'no such path' END AS quote FROM e WHERE bare OR off OR i >= 12
-    UNION ALL SELECT doc_id::VARCHAR, 6, CASE WHEN n < 5 THEN 'too few entries' ELSE 'too many entries' END FROM c WHERE n < 5 OR n > 15
+    c AS (SELECT doc_id, lines, count(*) FILTER (NOT bare) AS n FROM e GROUP BY doc_id, lines)
+    SELECT doc_id::VARCHAR AS path, lines + 5 + i AS line, CASE WHEN bare THEN 'no entry' WHEN off THEN 'out of column' ELSE 'no such path' END AS quote FROM e WHERE bare OR off OR i >= 12
+    UNION ALL SELECT doc_id::VARCHAR, lines + 5, CASE WHEN n < 5 THEN 'too few entries' ELSE 'too many entries' END FROM c WHERE n < 5 OR n > 15
     UNION ALL SELECT doc_id::VARCHAR, NULL, 'no heading' FROM documents WHERE doc_id % 10 = 9"""
