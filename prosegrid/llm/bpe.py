@@ -56,10 +56,16 @@ def byte_letters() -> list[str]:
     return [chr(b if b in visible else next(hidden)) for b in range(256)]
 
 
+#: Two tokens are one number of 40 bits.
+MOST_TOKENS = 1 << 20
+
+
 class Automaton:
     """Labels end in END where a word does. born: the merge that made a token, -1 for a base symbol."""
 
     def __init__(self, base: list[str], merges: list[tuple[str, str]]):
+        if len(base) + len(merges) > MOST_TOKENS:
+            raise ValueError(f"a vocabulary of more than {MOST_TOKENS} tokens")
         self.label = [x.replace(WORD_END, END) for x in base]
         self.number = {symbol: n for n, symbol in enumerate(self.label)}
         self.left, self.right, self.born = [-1] * len(base), [-1] * len(base), [-1] * len(base)

@@ -41,6 +41,8 @@ ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 BLOCK_WORDS = 1 << 20
 #: Ranges of keys for each partition, at least, so that partitions get about as many.
 RANGES = 4
+#: N-grams that one range holds, about, at most: what a task counts at once, whatever the input.
+RANGE_GRAMS = 1 << 22
 #: Words of the corpus for each partition up to which its part of the count table is held in memory: a few million n-grams.
 HASHED_WORDS = 1 << 22
 #: Rows that a task packs at once.
@@ -278,15 +280,24 @@ def dealt_by_range(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def range_bits(parts: int, n_words: int) -> int:
+    """Bits of a key that name its range: enough for RANGES to a partition, and for RANGE_GRAMS to a range.
+
+    Two lengths of n-grams, of each as many as there are words, are dealt at once. Keys are hashes, so ranges are even.
+    """
+    return math.ceil(math.log2(max(RANGES * parts, 2 * n_words / RANGE_GRAMS)))
+
+
 def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, n_words, total (sum of natural logarithms) and score, their mean, of each document."""
     spark = docs.sparkSession
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = math.ceil(math.log2(RANGES * parts))
     blocks = saved(_blocks(docs), "blocks", parts, "block")
     n_words = blocks.select(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0))).first()[0]
 
+    bits = range_bits(parts, n_words)
+
     def with_told(totals: DataFrame) -> DataFrame:
         told = totals.groupBy("block").agg(F.collect_list(F.struct("n", "range", "totals", "width")).alias("told"))
         return blocks.join(told.hint("merge"), "block", "left")

@@ -43,6 +43,16 @@ def test_against_brute_force(spark, monkeypatch, order, block, ranges):
         assert a.score == (pytest.approx(b[2] / b[1]) if b[1] else None)
 
 
+def test_ranges_grow_with_the_words(spark, monkeypatch):
+    """A range holds a bounded number of n-grams, and many ranges give the same scores."""
+    assert [lm.range_bits(8, n) for n in (0, lm.RANGE_GRAMS, lm.RANGE_GRAMS << 10)] == [5, 5, 11]
+    rows = [(i, f"the same words {i % 7} again and again the same") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = sorted(map(tuple, lm.scores(docs).collect()))
+    monkeypatch.setattr(lm, "RANGE_GRAMS", 4)
+    assert sorted(map(tuple, lm.scores(docs).collect())) == few
+
+
 def test_widths():
     for most, width in ((0, 1), (255, 1), (256, 2), (65_535, 2), (65_536, 4), ((1 << 32) - 1, 4), (1 << 32, 8), ((1 << 63) - 1, 8)):
         blob, found = lm.narrowed(np.array([0, most], np.int64))

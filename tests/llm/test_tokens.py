@@ -118,3 +118,11 @@ def test_packing_empty(spark):
 def test_checksum(spark):
     row = packing.pack(spark.createDataFrame([(7, None)], "doc_id long, text string"), BYTES).select("doc_id", F.crc32("ids").alias("c"), "length").first()
     assert (row.doc_id, row.c, row.length) == (7, zlib.crc32(b"\x01\0\0\0"), 1)
+
+
+def test_too_many_tokens(monkeypatch):
+    from prosegrid.llm import bpe
+
+    monkeypatch.setattr(bpe, "MOST_TOKENS", 3)
+    with pytest.raises(ValueError, match="more than 3 tokens"):
+        bpe.Automaton(["a", "b", "c"], [("a", "b")])
