@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,3 +27,14 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/prosegrid-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def numbered(frame: DataFrame, order: list[str], name: str) -> DataFrame:
+    """The frame with number, each row's place in a global order, from 0: ranges of the order are numbered apart, and begin where those before them end."""
+    ranged = frame.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    laid = stored(ranged, name)
+    # A row for each range.
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = laid.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return laid.withColumn("_inside", inside).join(F.broadcast(starts), "_range").withColumn("number", F.col("_start") + F.col("_inside")).drop("_range", "_start", "_inside")
