@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosegrid.functions import stats
+from prosegrid.functions import draws, stats
+from prosegrid.sources.tables import numbered
 
 
 def order_key(seed: str, key: Column) -> Column:
@@ -115,34 +116,62 @@ def marked_by(rows: DataFrame, text: str, patterns: list[tuple[str, str]]) -> Da
     return rows.withColumn("marks", F.array_sort(F.array_distinct(F.array_compact(hits))))
 
 
-def share_intervals(tallies: DataFrame, group: str, unit: str, seed: int = 1) -> DataFrame:
+def share_intervals(tallies: DataFrame, group: str, unit: str) -> DataFrame:
     """group, share, low and high: right over n of all units of a group, and the middle 95 % over draws of units.
 
-    tallies: group, unit (a sentence), n, right. A unit's weight in a draw comes from a hash; draws
-    without any row are dropped.
+    tallies: group, unit (a sentence), n, right. A group's draws are those of the seed that its name
+    makes, its units numbered by name; draws without any row are dropped.
     """
-    return _replicates(tallies, group, unit, seed, {"share": ("right", "n")})
+    return _replicates(tallies, group, unit, {"share": ("right", "n")})
 
 
-def paired_difference(tallies: DataFrame, group: str, unit: str, seed: int = 1) -> DataFrame:
+def paired_difference(tallies: DataFrame, group: str, unit: str) -> DataFrame:
     """group, before, after, low, high and verdict: the difference of two runs over the same units, draw by draw.
 
     tallies: group, unit, n, before, after. better or worse where the interval leaves zero out.
     """
-    found = _replicates(tallies, group, unit, seed, {"before": ("before", "n"), "after": ("after", "n")})
+    found = _replicates(tallies, group, unit, {"before": ("before", "n"), "after": ("after", "n")})
     verdict = F.when(F.col("low") > 0, "better").when(F.col("high") < 0, "worse").otherwise("same")
     return found.withColumn("verdict", verdict)
 
 
-def _replicates(tallies: DataFrame, group: str, unit: str, seed: int, shares: dict[str, tuple[str, str]]) -> DataFrame:
+def unpaired_difference(tallies: DataFrame, group: str, unit: str, first: str, second: str) -> DataFrame:
+    """before, after, low, high and verdict: the share of the second group less that of the first, each drawn by itself.
+
+    tallies: group, unit, n, right. Draws are paired by number.
+    """
+    both = tallies.where(F.col(group).isin(first, second))
+    drawn = _drawn(both, group, unit, ["n", "right"]).withColumn("share", F.try_divide("right", "n"))
+    of = lambda name, c: F.max(F.when(F.col(group) == name, F.col(c)))
+    pairs = drawn.groupBy("replicate").agg((of(second, "share") - of(first, "share")).alias("gap")).where("gap is not null")
+    sums = lambda name, c: F.sum(F.when(F.col(group) == name, F.col(c)))
+    whole = both.agg(F.try_divide(sums(first, "right"), sums(first, "n")).alias("before"), F.try_divide(sums(second, "right"), sums(second, "n")).alias("after"))
+    interval = pairs.agg(stats.percentile("gap", 0.025).alias("low"), stats.percentile("gap", 0.975).alias("high"))
+    # One row each.
+    verdict = F.when(F.col("low") > 0, "better").when(F.col("high") < 0, "worse").otherwise("same")
+    return whole.withColumn("_", F.lit(1)).join(interval.withColumn("_", F.lit(1)), "_").drop("_").withColumn("verdict", verdict)
+
+
+def _drawn(tallies: DataFrame, group: str, unit: str, columns: list[str]) -> DataFrame:
+    """group, replicate and the columns, summed over a replicate's draws of the group's units. Groups are few; their units need not be."""
+    spark = tallies.sparkSession
+    listed = numbered(tallies.where(F.col(group).isNotNull()).select(group, unit, *columns), [group, unit], "units")
+    sizes = listed.groupBy(group).agg(F.min("number").alias("first"), F.count("*").alias("n")).collect()
+    drawn = spark.createDataFrame([], "at long, replicate int, times long")
+    for row in sizes:
+        one = draws.resampled(spark, {0: row.n}, draws.SEED ^ draws.fnv1a64(str(row[group])))
+        drawn = drawn.unionByName(one.select((F.col("unit") + row["first"]).alias("at"), "replicate", F.col("n").alias("times")))
+    met = drawn.join(listed.withColumnRenamed("number", "at"), "at")
+    return met.groupBy(group, "replicate").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in columns))
+
+
+def _replicates(tallies: DataFrame, group: str, unit: str, shares: dict[str, tuple[str, str]]) -> DataFrame:
     """Each share over all units, and the interval of the last minus the first, or of the only one, over draws."""
     columns = sorted({c for pair in shares.values() for c in pair})
-    draws = F.explode(F.sequence(F.lit(0), F.lit(stats.REPLICATES - 1))).alias("draw")
-    weight = stats.draw_weight(F.col("draw"), F.lit(seed), F.col(group), F.col(unit))
-    summed = tallies.select(group, unit, *columns, draws).groupBy(group, "draw").agg(*(F.sum(F.col(c) * weight).alias(c) for c in columns))
     of = {name: F.try_divide(F.col(a), F.col(b)) for name, (a, b) in shares.items()}
     first, *rest = of.values()
     ratio = rest[-1] - first if rest else first
+    summed = _drawn(tallies, group, unit, columns)
     interval = summed.select(group, ratio.alias("ratio")).where("ratio is not null").groupBy(group).agg(stats.percentile("ratio", 0.025).alias("low"), stats.percentile("ratio", 0.975).alias("high"))
     whole = tallies.groupBy(group).agg(*(F.sum(c).alias(c) for c in columns)).select(group, *(c.alias(name) for name, c in of.items()))
     return whole.join(interval, group, "left")

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prosegrid.functions import globs, stats
+from prosegrid.functions import draws, globs, stats
 from prosegrid.functions import text as T
 from prosegrid.operators import chars, corpus, exam, lints, sampling, settings
 from prosegrid.operators import patterns as P
 from prosegrid.operators import tokens as K
 from prosegrid.plans import label_queries, layer_queries, lint_queries
-from prosegrid.plans.fragments import RULE_VALUES, SENTENCES, SIDES, TOKENS, grams, quoted
+from prosegrid.plans.fragments import RULE_VALUES, SENTENCES, SIDES, TOKENS, generated, grams, quoted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**lint_queries.QUERIES, **label_queries.QUERIES, **layer_queries.QUERIES}
 ORACLES: dict[str, str] = {**lint_queries.ORACLES, **label_queries.ORACLES, **layer_queries.ORACLES}
@@ -180,13 +180,31 @@ def ratio_with_smoothing(spark, sf_dir):
     return found.withColumns({c: F.round(c, 6) for c in ("focus_rate", "reference_rate", "ratio")})
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {RATES}, listed AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY repo) - 1 AS unit FROM repos),
+    seeds AS (SELECT 0 AS k, {draws.SEED}::UBIGINT AS seed, {draws.REPLICATES} * count(*) AS most FROM repos), {generated("seeds")},
+    sized AS (SELECT coalesce(max(n) FILTER (side = 0), 0) AS n0, coalesce(max(n) FILTER (side = 1), 0) AS n1 FROM n_repos),
+    placed AS (
+        SELECT CASE WHEN i < {draws.REPLICATES} * n0 THEN 0 ELSE 1 END AS side, CASE WHEN i < {draws.REPLICATES} * n0 THEN i // n0 ELSE (i - {draws.REPLICATES} * n0) // n1 END AS replicate,
+            (v % CASE WHEN i < {draws.REPLICATES} * n0 THEN n0 ELSE n1 END)::BIGINT AS unit FROM drawn, sized
+    ), times AS (SELECT side, replicate, unit, count(*) AS times FROM placed GROUP BY ALL),
+    means AS (
+        SELECT gram, replicate, side, sum(h.n * 1e6 / tokens * times) / any_value(n_repos.n) AS mean
+        FROM hits h JOIN listed USING (side, repo) JOIN times USING (side, unit) JOIN n_repos USING (side) GROUP BY ALL
+    ), smooth AS (SELECT 0.5e6 / sum(tokens) AS s FROM repos WHERE side = 1),
+    every AS (SELECT gram, unnest(range({draws.REPLICATES})) AS replicate FROM (SELECT DISTINCT gram FROM hits)),
+    ratios AS (
+        SELECT gram, replicate, (coalesce(max(mean) FILTER (side = 0), 0) + any_value(s)) / (coalesce(max(mean) FILTER (side = 1), 0) + any_value(s)) AS ratio
+        FROM every LEFT JOIN means USING (gram, replicate), smooth GROUP BY gram, replicate
+    )
+    SELECT gram AS item, round(quantile_disc(ratio, 0.025), 6) AS low, round(quantile_disc(ratio, 0.975), 6) AS high FROM ratios GROUP BY gram""")
 def bootstrap_interval(spark, sf_dir):
-    """The middle 95 % of the smoothed ratio of each word over draws of repositories; rows only, since draws come from Spark's hash."""
+    """The middle 95 % of the smoothed ratio of each word over exact draws of repositories."""
     hits, repos = _word_hits(spark, sf_dir)
     rates = hits.join(repos, ["side", "repo"]).select(F.col("gram").alias("item"), "side", "repo", stats.per_million(F.col("n"), F.col("tokens")).alias("rate"))
     words = repos.where("side = 1").agg(F.sum("tokens")).first()[0]
-    return stats.bootstrap_ratio(rates, repos, 0.5e6 / words if words else 0.0)
+    found = draws.bootstrap_ratio(rates, repos, 0.5e6 / words if words else 0.0)
+    return found.select("item", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query("""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from prosegrid.functions import draws
 from prosegrid.functions import text as T
 from prosegrid.operators import chars
 
@@ -58,3 +59,21 @@ def grams(n: int) -> str:
     ahead = " || ' ' || ".join(f"lead(folded, {k}) {w}" if k else "folded" for k in range(n))
     good = " AND ".join([edge, f"lead({edge}, {n - 1}) {w}" if n > 1 else edge, *(f"lead({prose}, {k}) {w}" for k in range(1, n))])
     return f"SELECT doc_id, block_id, pos, gram FROM (SELECT doc_id, block_id, pos, {ahead} AS gram, {good} AND {prose} AS good FROM tokens) WHERE good"
+
+
+def generated(seeds: str) -> str:
+    """The draws of (k, seed, most) rows as a recursive query: gen(k, i, s), and drawn(k, i, v) with the draws from 0 on. Goes first, after WITH RECURSIVE."""
+    return f"""
+    gen AS (
+        SELECT k, 0::BIGINT AS i, seed AS s, most FROM {seeds}
+        UNION ALL
+        SELECT k, i + 1, xor(b, b >> 27), most FROM (SELECT k, i, most, xor(a, (a & 549755813887::UBIGINT) << 25) AS b FROM (SELECT k, i, most, xor(s, s >> 12) AS a FROM gen WHERE i < most))
+    ), drawn AS (
+        SELECT k, i - 1 AS i, ((s::UHUGEINT * {draws.MULTIPLIER}::UHUGEINT) & 18446744073709551615::UHUGEINT)::UBIGINT AS v FROM gen WHERE i > 0
+    )"""
+
+
+def label_seed(label: str) -> str:
+    """The seed that a label makes."""
+    hashed = f"list_reduce(list_concat([{draws.FNV_START}::UHUGEINT], list_transform(string_split({label}, ''), lambda x: ascii(x)::UHUGEINT)), lambda h, b: (xor(h, b) * {draws.FNV_PRIME}::UHUGEINT) & 18446744073709551615::UHUGEINT)"
+    return f"xor({hashed}::UBIGINT, {draws.SEED}::UBIGINT)"

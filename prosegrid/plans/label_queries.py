@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prosegrid.functions import draws
 from prosegrid.functions import text as T
 from prosegrid.operators import chars, corpus, labelling, settings
 from prosegrid.operators import tokens as K
-from prosegrid.plans.fragments import SIDES, TOKENS, grams, quoted
+from prosegrid.plans.fragments import SIDES, TOKENS, generated, grams, label_seed, quoted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,19 +177,50 @@ def marked_pages(spark, sf_dir):
     return labelling.marked_by(table(spark, sf_dir, "pages"), "url", MARKS).select("page_id", F.array_join("marks", " ").alias("marks"))
 
 
-@query()
+def _tally_draws(columns: str) -> str:
+    """Each language's tallies by source, drawn again by its own seed and summed: sums(lang, replicate, ...)."""
+    names = [c.split(" AS ")[1] for c in columns.split(", ")]
+    return f"""
+    WITH RECURSIVE {JUDGED}, tallies AS (SELECT lang, source, count(*) AS n, {columns} FROM judged GROUP BY lang, source),
+    listed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS unit, count(*) OVER (PARTITION BY lang) AS units FROM tallies),
+    seeds AS (SELECT lang AS k, {label_seed("lang")} AS seed, {draws.REPLICATES} * any_value(units) AS most FROM listed GROUP BY lang), {generated("seeds")},
+    times AS (SELECT k AS lang, i // units AS replicate, (v % units)::BIGINT AS unit, count(*) AS times FROM drawn JOIN (SELECT DISTINCT lang, units FROM listed) l ON l.lang = k GROUP BY ALL),
+    sums AS (SELECT lang, replicate, sum(n * times) AS n, {", ".join(f"sum({x} * times) AS {x}" for x in names)} FROM listed JOIN times USING (lang, unit) GROUP BY ALL),
+    whole AS (SELECT lang, sum(n) AS n, {", ".join(f"sum({x}) AS {x}" for x in names)} FROM tallies GROUP BY lang)"""
+
+
+@query(f"""{_tally_draws("sum((guess = quality)::INT) AS correct")},
+    ranged AS (SELECT lang, quantile_disc(correct / n, 0.025) AS low, quantile_disc(correct / n, 0.975) AS high FROM sums GROUP BY lang)
+    SELECT lang, round(correct / n, 9) AS share, round(low, 9) AS low, round(high, 9) AS high FROM whole JOIN ranged USING (lang)""")
 def accuracy_intervals(spark, sf_dir):
-    """Each language's accuracy with its interval over draws of sources; rows only, since draws come from Spark's hash."""
+    """Each language's accuracy with its interval over exact draws of sources."""
     tallies = judged(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum((F.col("guess") == F.col("quality")).cast("int")).alias("right"))
-    return labelling.share_intervals(tallies, "lang", "source")
+    found = labelling.share_intervals(tallies, "lang", "source")
+    return found.select("lang", *(F.round(c, 9).alias(c) for c in ("share", "low", "high")))
 
 
-@query()
+@query(f"""{_tally_draws("sum((1 - toxic = quality)::INT) AS former, sum((guess = quality)::INT) AS latter")},
+    ranged AS (SELECT lang, quantile_disc(latter / n - former / n, 0.025) AS low, quantile_disc(latter / n - former / n, 0.975) AS high FROM sums GROUP BY lang)
+    SELECT lang, round(former / n, 9) AS before, round(latter / n, 9) AS after, round(low, 9) AS low, round(high, 9) AS high,
+        CASE WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse' ELSE 'same' END AS verdict FROM whole JOIN ranged USING (lang)""")
 def accuracy_differences(spark, sf_dir):
-    """Two voters' accuracy, draw by draw; rows only, since draws come from Spark's hash."""
+    """Two voters' accuracy, draw by draw."""
     right = lambda c: F.sum((c == F.col("quality")).cast("int"))
     tallies = judged(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").alias("n"), right(1 - F.col("toxic")).alias("before"), right(F.col("guess")).alias("after"))
-    return labelling.paired_difference(tallies, "lang", "source")
+    found = labelling.paired_difference(tallies, "lang", "source")
+    return found.select("lang", *(F.round(c, 9).alias(c) for c in ("before", "after", "low", "high")), "verdict")
+
+
+@query(f"""{_tally_draws("sum((guess = quality)::INT) AS correct")},
+    gaps AS (SELECT max(correct / n) FILTER (lang = 'de') - max(correct / n) FILTER (lang = 'en') AS gap FROM sums GROUP BY replicate),
+    ranged AS (SELECT quantile_disc(gap, 0.025) AS low, quantile_disc(gap, 0.975) AS high FROM gaps WHERE gap IS NOT NULL)
+    SELECT (SELECT round(correct / n, 9) FROM whole WHERE lang = 'en') AS before, (SELECT round(correct / n, 9) FROM whole WHERE lang = 'de') AS after,
+        round(low, 9) AS low, round(high, 9) AS high, CASE WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse' ELSE 'same' END AS verdict FROM ranged""")
+def accuracy_gap(spark, sf_dir):
+    """The accuracy on one language less that on another, each drawn by itself."""
+    tallies = judged(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum((F.col("guess") == F.col("quality")).cast("int")).alias("right"))
+    found = labelling.unpaired_difference(tallies, "lang", "source", "en", "de")
+    return found.select(*(F.round(c, 9).alias(c) for c in ("before", "after", "low", "high")), "verdict")
 
 
 # N-grams and words
