@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegrid.operators import tree
+from prosegrid.operators import fixes, tree
 from prosegrid.plans.check import Settings, check_documents
+from prosegrid.sources import ignores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,8 +115,51 @@ def block_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("line", "ancestor_line", "ancestor_depth")), "ancestor_kind")
 
 
-QUERIES |= {"nested_places": nested_places, "comment_places": comment_places, "block_ancestors": block_ancestors}
+#: Where a line goes in a text to fix, and what becomes of it: a bullet at a line's start would make it a list item, so its line is held.
+BROKEN = ["• {0} …", "{l} — … {l}", "{l}•", "{l}"]
+MENDED = ["• {0} …", "{l} - ... {l}", "{l}-", "{l}"]
+INSTEAD = {"•": "-", "…": "...", "—": "-"}
+
+
+def fixed_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines with characters that a fix replaces, unless that changes the blocks: each text's digest after it, and how many lines are held."""
+    docs = _planted(spark, sf_dir, BROKEN, "\n\n", ".md")
+    found, held, _ = fixes.fix(docs, fixes.char_edits(INSTEAD))
+    n = held.groupBy("path").agg(F.count("*").alias("n_held"))
+    return found.join(n, "path", "left").select("path", "fixed", F.md5("text").alias("text_md5"), F.coalesce("n_held", F.lit(0)).alias("n_held"))
+
+
+def ignored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of a file for each document, by language and source, and what its ignore files leave out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    n = F.col("doc_id")
+    name = F.concat(F.lit("f"), n.cast("string"), F.when(n % 5 == 0, ".log").when(n % 5 == 1, ".tmp").otherwise(".md"))
+    paths = docs.select(F.concat_ws("/", "lang", "source", F.when(n % 7 == 0, F.concat(F.lit("deep/"), name)).otherwise(name)).alias("path"))
+    rules = spark.createDataFrame(list(IGNORES.items()), "path string, text string")
+    return ignores.left_out(paths, ignores.rules_of(rules))
+
+
+#: Ignore files of the tree, by path.
+IGNORES = {".gitignore": "# logs\n*.log\n!f?0.log\n/de/src1\n", "en/.gitignore": "src1?/deep/\n!*.log\n", "fr/src2/.gitignore": "*.tmp\n!f1*\n", "de/src1/.gitignore": "!*.md\n"}
+
+
+QUERIES |= {"fixed_by_place": fixed_by_place, "ignored_paths": ignored_paths, "nested_places": nested_places, "comment_places": comment_places, "block_ancestors": block_ancestors}
+_CASES = " ".join(f"WHEN i % {len(MENDED)} = {k} THEN {_sql_template(t)}" for k, t in enumerate(MENDED))
 ORACLES |= {
+    "fixed_by_place": f"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents
+        ), made AS (
+            SELECT doc_id, i, 'w' || regexp_replace(lower(line), '[^a-z]+', ' ', 'g') AS l FROM lines
+        )
+        SELECT doc_id || '.md' AS path, count(*) > 1 AS fixed, md5(string_agg(CASE {_CASES} END, chr(10) || chr(10) ORDER BY i)) AS text_md5, count(*) FILTER (i % {len(MENDED)} = 0) AS n_held FROM made GROUP BY doc_id""",
+    "ignored_paths": """
+        WITH t AS (
+            SELECT lang, source, doc_id % 7 = 0 AS deep, 'f' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.log' WHEN 1 THEN '.tmp' ELSE '.md' END AS name FROM documents
+        )
+        SELECT DISTINCT lang || '/' || source || '/' || CASE WHEN deep THEN 'deep/' ELSE '' END || name AS path, coalesce(lang, '') = 'de' AND source = 'src1'
+            OR lang = 'en' AND deep AND regexp_full_match(source, 'src1.') OR lang <> 'en' AND name LIKE '%.log' AND NOT regexp_full_match(name, 'f.0[.]log')
+            OR lang = 'fr' AND source = 'src2' AND name LIKE '%.tmp' AND name NOT LIKE 'f1%' AS ignored FROM t""",
     "nested_places": _places_sql(QUOTED, [0] * len(QUOTED), 2, ".md"),
     "comment_places": _places_sql(CODED, AFTER, 1, ".rs"),
     "block_ancestors": f"""
