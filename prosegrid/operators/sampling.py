@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prosegrid.sources.tables import running, stored
+
 
 def hash_split(key: Column, parts: int = 10, chosen: int = 0) -> Column:
     """Whether the first byte of the key's digest falls to the chosen part."""
@@ -63,3 +65,34 @@ def stratified(rows: DataFrame, stratum: str, quotas: dict[str, int], caps: list
     quota = F.create_map(*(F.lit(x) for pair in quotas.items() for x in pair))
     drawn = rows.withColumn("_n", F.row_number().over(Window.partitionBy(stratum).orderBy("_order")))
     return drawn.where(F.col("_n") <= quota[F.col(stratum)]).drop("_n", "_order")
+
+
+def quota_draw(rows: DataFrame, caps: dict[str, int | dict[str, int]], order: list[str]) -> DataFrame:
+    """The rows that a walk in the order takes, one after another, where a row is taken if none of its groups is full.
+
+    caps: for each grouping column, how many rows each of its groups takes, or how many each named one
+    takes, others none. order must tell rows apart.
+
+    Instead of a walk, rounds decide all rows at once that can be: a row goes where a group has as many
+    taken rows before it as it may, and is taken where even all undecided rows before it would leave room
+    in each group. The first undecided row is always decided. Counts before a row are sums over ranges,
+    so a group may be of any size.
+    """
+    names = [c for c in rows.columns]
+    cap = lambda group: F.lit(caps[group]) if isinstance(caps[group], int) else F.coalesce(F.create_map(*(F.lit(x) for pair in caps[group].items() for x in pair))[F.col(group)], F.lit(0))
+    open_ = F.lit(True)
+    for group in caps:
+        open_ = open_ & (cap(group) > 0)
+    state = stored(rows.where(open_).withColumn("_taken", F.lit(0)), "draw")
+    while True:
+        goes, fits = F.lit(False), F.lit(True)
+        counted = state
+        for n, group in enumerate(caps):
+            sums = {f"_t{n}": F.col("_taken").cast("long"), f"_u{n}": (1 - F.col("_taken")).cast("long")}
+            counted = running(counted, group, order, sums, "counts")
+            goes = goes | (F.col(f"_t{n}") >= cap(group))
+            fits = fits & (F.col(f"_t{n}") + F.col(f"_u{n}") < cap(group))
+        decided = counted.where((F.col("_taken") == 1) | ~goes).withColumn("_open", (F.col("_taken") == 0) & ~fits)
+        state = stored(decided.select(*names, F.when(F.col("_open"), 0).otherwise(1).alias("_taken")), "draw")
+        if state.where("_taken = 0").isEmpty():
+            return state.select(names)

@@ -769,3 +769,26 @@ def stratified_draw(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     drawn = sampling.stratified(docs, "lang", {"en": 30, "de": 15, "fr": 15}, [("source", 4)], F.struct("n_chars", "doc_id"))
     return drawn.select("doc_id", "lang", "source")
+
+
+QUOTAS, PER_SOURCE, PER_LENGTH = {"en": 40, "de": 25, "fr": 9}, 6, 5
+
+
+@query(f"""
+    WITH RECURSIVE ordered AS (
+        SELECT row_number() OVER (ORDER BY sha256('quota:' || doc_id), doc_id) AS k, doc_id, lang, source, (n_chars % 40)::INTEGER AS length_class FROM documents WHERE lang IN ({quoted(list(QUOTAS))})
+    ), walk(k, taken) AS (
+        SELECT 0::BIGINT, []::STRUCT(doc_id BIGINT, lang VARCHAR, source VARCHAR, length_class INTEGER)[]
+        UNION ALL
+        SELECT o.k, CASE WHEN len(list_filter(taken, lambda x: x.lang = o.lang)) < CASE o.lang {" ".join(f"WHEN '{k}' THEN {v}" for k, v in QUOTAS.items())} END
+            AND len(list_filter(taken, lambda x: x.source = o.source)) < {PER_SOURCE} AND len(list_filter(taken, lambda x: x.length_class = o.length_class)) < {PER_LENGTH}
+            THEN list_append(taken, {{'doc_id': o.doc_id, 'lang': o.lang, 'source': o.source, 'length_class': o.length_class}}) ELSE taken END
+        FROM walk w JOIN ordered o ON o.k = w.k + 1
+    ), whole AS (SELECT unnest(arg_max(taken, k), recursive := true) FROM walk)
+    SELECT doc_id, lang, source, length_class FROM whole""")
+def quota_draw(spark, sf_dir):
+    """Documents in hash order as a walk takes them, within quotas of languages and caps of sources and of lengths at once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", (F.col("n_chars") % 40).cast("int").alias("length_class"))
+    key = F.sha2(F.concat(F.lit("quota:"), F.col("doc_id").cast("string")), 256)
+    drawn = sampling.quota_draw(docs.withColumn("key", key), {"lang": QUOTAS, "source": PER_SOURCE, "length_class": PER_LENGTH}, ["key", "doc_id"])
+    return drawn.select("doc_id", "lang", "source", "length_class")

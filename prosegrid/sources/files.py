@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosegrid.functions import globs
+from prosegrid.sources.ignores import left_out, rules_of
 
 #: What a fixture's sidecar holds, as far as it is checked here.
 SIDECAR = (
@@ -17,14 +18,19 @@ SIDECAR = (
 )
 
 
-def walk(spark: SparkSession, root: str, include: list[str], exclude: list[str]) -> DataFrame:
-    """path (relative) and content of the files under root that the globs select, by path; .git is left out."""
+def walk(spark: SparkSession, root: str, include: list[str], exclude: list[str], ignores: bool = True) -> DataFrame:
+    """path (relative) and content of the files under root that the globs select; .git is left out, and so is what .gitignore and .ignore files say unless ignores is false."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     clean = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     base = root.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
     path = F.substring_index(clean, base, -1) if base != "/" else clean
     found = files.select(path.alias("path"), "content").where(~F.col("path").rlike(r"(^|/)\.git/"))
-    return found.where(globs.selected(F.col("path"), include, exclude))
+    chosen = found.where(globs.selected(F.col("path"), include, exclude))
+    if not ignores:
+        return chosen
+    lists = found.where(F.col("path").rlike(r"(^|/)\.(git)?ignore$")).select("path", F.decode("content", "UTF-8").alias("text"))
+    out = left_out(chosen.select("path"), rules_of(lists)).where("ignored").select("path")
+    return chosen.join(out, "path", "left_anti")
 
 
 def _lossless(data: bytes) -> str:
