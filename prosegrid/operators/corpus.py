@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prosegrid.functions import stats
 from prosegrid.functions.text import ENGLISH, TERMINALS
 from prosegrid.operators.tokens import in_block, ngrams
+from prosegrid.sources.tables import numbered, stored
 
 #: Frequent tokens or pairs that are broadcast, about 60 bytes each; more are joined by a shuffle.
 MAX_BROADCAST_RUNS = 1_000_000
@@ -42,42 +43,45 @@ def by_repository(runs: DataFrame, *keys: str) -> DataFrame:
 def frequent_ngrams(tokens: DataFrame, docs: DataFrame, longest: int, least_repos: int) -> DataFrame:
     """n, gram, n_total, repos of the runs of up to longest tokens that so many repositories have.
 
-    docs: doc_id, repo. tokens: dealt by document. A run's parts are at least as frequent as the run:
-    tokens are counted first, then pairs of frequent tokens, and a longer run is only built, and only
-    moves, where all its pairs are frequent. Frequent tokens and pairs are kept, and joined by
+    docs: doc_id, repo. A run's parts are at least as frequent as the run: tokens are counted first, and
+    frequent ones get numbers; pairs of numbers are counted next, and a longer run is only built, and
+    only moves, where all its pairs are frequent. Tokens are made once, into a table; from then on rows
+    are numbers, and only frequent runs become text again. Numbers of tokens and pairs are joined by
     broadcast while they are few.
     """
-    order = in_block()
     prose = F.col("kind").isin("Word", "Number", "Punctuation", "Symbol") & ~F.col("text").isin(TERMINALS)
     edge = F.col("kind").isin("Word", "Number")
-    rows = tokens.where(prose).select("doc_id", "block_id", "pos", "folded", edge.alias("edge")).join(docs, "doc_id")
-
-    def frequent(runs: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
-        found = by_repository(runs, *keys).where(F.col("repos") >= least_repos).persist()
-        known = found.select(*keys)
-        return found, F.broadcast(known) if found.count() <= MAX_BROADCAST_RUNS else known
-
-    words, known = frequent(rows, "folded", "edge")
-    found = words.where("edge").select(F.lit(1).alias("n"), F.col("folded").alias("gram"), "n_total", "repos")
-    if longest == 1:
-        return found
-    kept = rows.join(known, ["folded", "edge"], "left_semi")
-    ahead = lambda c, k=1: F.lead(c, k).over(order)
-    paired = kept.withColumns({"next": F.when(ahead("pos") == F.col("pos") + 1, ahead("folded")), "ends": ahead("edge")})
-    pairs, known = frequent(paired.where("next is not null").select("repo", "folded", "next", "edge", "ends"), "folded", "next", "edge", "ends")
-    gram = F.concat_ws(" ", "folded", "next")
-    found = found.unionByName(pairs.where("edge and ends").select(F.lit(2).alias("n"), gram.alias("gram"), "n_total", "repos"))
-    if longest == 2:
-        return found
-    joined = paired.join(known.withColumn("tied", F.lit(True)), ["folded", "next", "edge", "ends"], "left")
-    tied, runs = F.col("tied"), []
-    for n in range(3, longest + 1):
-        tied = tied & ahead("tied", n - 2)
-        gram = F.concat_ws(" ", gram, ahead("next", n - 2))
-        runs.append(F.when(tied & ahead("ends", n - 2), F.struct(F.lit(n).alias("n"), gram.alias("gram"))))
-    starts = joined.select("repo", "edge", "tied", F.array_compact(F.array(*runs)).alias("runs")).where("edge and tied")
-    longer = by_repository(starts.select("repo", F.explode("runs").alias("run")).select("repo", "run.n", "run.gram"), "n", "gram")
-    return found.unionByName(longer.where(F.col("repos") >= least_repos))
+    rows = stored(tokens.where(prose).select("doc_id", "block_id", "pos", "folded", edge.alias("edge")).join(docs, "doc_id"), "tokens")
+    found = by_repository(rows, "folded", "edge").where(F.col("repos") >= least_repos)
+    words = stored(numbered(found, ["folded", "edge"], "words"), "numbers")
+    few = lambda frame: F.broadcast(frame) if frame.count() <= MAX_BROADCAST_RUNS else frame
+    listed = words.select("folded", "edge", "number")
+    grams = words.where("edge").select(F.lit(1).alias("n"), F.array("number").alias("run"), "n_total", "repos")
+    if longest > 1:
+        order = in_block()
+        ahead = lambda c, k=1: F.lead(c, k).over(order)
+        kept = rows.join(few(listed), ["folded", "edge"]).select("repo", "doc_id", "block_id", "pos", "number", "edge")
+        next_to = lambda c: F.when(ahead("pos") == F.col("pos") + 1, ahead(c))
+        paired = stored(kept.withColumns({"next": next_to("number"), "ends": next_to("edge")}).where("next is not null"), "pairs")
+        pair = F.shiftleft("number", 32).bitwiseOR(F.col("next"))
+        pairs = stored(by_repository(paired.select("repo", pair.alias("pair"), (F.col("edge") & F.col("ends")).alias("whole")), "pair", "whole").where(F.col("repos") >= least_repos), "frequent")
+        halves = F.array(F.shiftrightunsigned("pair", 32), F.col("pair").bitwiseAND(0xFFFFFFFF))
+        grams = grams.unionByName(pairs.where("whole").select(F.lit(2).alias("n"), halves.alias("run"), "n_total", "repos"))
+    if longest > 2:
+        # Rows whose pair is frequent; a run goes on where the next row begins at the next token.
+        tied = paired.withColumn("pair", pair).join(few(pairs.select("pair").distinct()), "pair", "left_semi")
+        goes_on, run, runs = F.lit(True), F.array("number", "next"), []
+        for n in range(3, longest + 1):
+            goes_on = goes_on & (ahead("pos", n - 2) == F.col("pos") + n - 2)
+            run = F.array_append(run, ahead("next", n - 2))
+            runs.append(F.when(goes_on & ahead("ends", n - 2), run))
+        starts = tied.select("repo", "edge", F.array_compact(F.array(*runs)).alias("runs")).where("edge and size(runs) > 0")
+        longer = by_repository(starts.select("repo", F.explode("runs").alias("run")), "run").where(F.col("repos") >= least_repos)
+        grams = grams.unionByName(longer.select(F.size("run").alias("n"), "run", "n_total", "repos"))
+    # Only what is frequent is spelled.
+    spelled = grams.select("n", "run", "n_total", "repos", F.posexplode("run").alias("at", "number")).join(few(listed.select("number", "folded")), "number")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "folded"))), lambda x: x["folded"]), " ")
+    return spelled.groupBy("run").agg(F.first("n").alias("n"), text.alias("gram"), F.first("n_total").alias("n_total"), F.first("repos").alias("repos")).drop("run")
 
 
 def side_rates(tokens: DataFrame, docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:

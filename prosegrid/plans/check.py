@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -82,6 +83,12 @@ def _unit() -> Column:
     return F.concat_ws(":", F.col("block_id").cast("string"), F.col("sent_id").cast("string")).alias("sent_id")
 
 
+def _spelled(phrases: list[str]) -> str:
+    """A pattern that every folded text with one of the phrases matches, whatever white space is between their tokens."""
+    parts = [re.findall(r"\w+|[^\w\s]", p.lower().replace("’", "'")) for p in phrases]
+    return "|".join(r"\s*".join(re.escape(t) for t in tokens) for tokens in parts)
+
+
 def _exempt(found: DataFrame, lint: str, exempt: DataFrame, units: DataFrame, paths: DataFrame, unit: str = "sentence") -> DataFrame:
     """Findings (path, sent_id and more) of a lint without those that an entry allows."""
     statuses = S.settled(exempt.where(F.col("lint") == lint), units, found.select("path", F.lit(lint).alias("lint"), "sent_id").distinct(), paths, unit)
@@ -137,8 +144,7 @@ def check_documents(docs: DataFrame, names: list[str] | None = None, hunks: Data
             holds = F.col("text").rlike(lints.NEEDED[name])
             found = lints.LINTS[name](_tokens(prose.where(holds)))
         else:
-            folded = T.fold(F.col("text"))
-            holds = F.exists(F.array(*(F.lit(p.split()[0].lower().replace("’", "'")) for p in settings.phrases)), lambda w: F.contains(folded, w))
+            holds = T.fold(F.col("text")).rlike(_spelled(settings.phrases))
             found = lints.banned_phrases(_tokens(prose.where(holds)), settings.phrases, settings.allowed_phrases)
         wanted = wanted | holds
         found = found.select(*lints.KEY, "pos", "length", F.lit(name).alias("lint"))
