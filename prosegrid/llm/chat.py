@@ -13,15 +13,15 @@ each escaping backslash gives the text back.
 Defined results: a null text or role is empty; a null turn sorts first; turns with equal numbers
 sort by role, then text; a row with a null conversation id is a conversation of its own, so that
 such rows never gather; repeated rows are turns of their own; an empty table gives an empty result.
-Other columns are ignored. A conversation is a row, so it must fit one; spans are appended one by
-one, which takes the square of its turns.
+Other columns are ignored. A conversation is a row, so it must fit one; spans are sums over its
+rows, so its cost is that of a sort.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, SAYS, ALSO, DONE = "<|turn|>", "<|says|>", "<|also|>", "<|done|>"
@@ -49,35 +49,26 @@ def format_chats(turns: DataFrame) -> DataFrame:
     filled = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
     row = F.struct(F.col("turn").alias("turn"), filled("role").alias("role"), filled("text").alias("text"))
     alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
-    sorted_turns = turns.select("conv_id", alone.alias("_alone"), row.alias("_row")).groupBy("conv_id", "_alone").agg(F.sort_array(F.collect_list("_row")).alias("turns"))
-    # A piece is what a turn adds to the string: its opening marks, then its escaped text.
-    pieces = F.transform(
-        "turns",
-        lambda turn, i: F.struct(
-            F.when(i == 0, F.concat(F.lit(TURN), escaped(turn["role"]), F.lit(SAYS)))
-            .when(turn["role"] == F.get("turns", i - 1)["role"], F.lit(ALSO))
-            .otherwise(F.concat(F.lit(DONE + TURN), escaped(turn["role"]), F.lit(SAYS)))
-            .alias("mark"),
-            escaped(turn["text"]).alias("text"),
-            (turn["role"] == "assistant").alias("loss"),
-        ),
-    )
-    whole = sorted_turns.select("conv_id", pieces.alias("pieces"))
-    formatted = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["mark"], p["text"])), ""), F.lit(DONE))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def step(state: Column, piece: Column) -> Column:
-        text_at = state["at"] + F.char_length(piece["mark"])
-        length = F.char_length(piece["text"])
-        span = F.struct(text_at.alias("start"), length.alias("length"))
-        spans = F.when(piece["loss"], F.array_append(state["spans"], span)).otherwise(state["spans"])
-        return F.struct((text_at + length).alias("at"), spans.alias("spans"))
-
-    return whole.select(
-        "conv_id",
-        formatted.alias("formatted"),
-        F.aggregate("pieces", start, step, lambda state: state["spans"]).alias("loss_spans"),
-    )
+    key = ["conv_id", "_alone"]
+    sorted_turns = turns.select("conv_id", alone.alias("_alone"), row.alias("_row")).groupBy(key).agg(F.sort_array(F.collect_list("_row")).alias("turns"))
+    # A block is the turns from where a role begins to where another does.
+    begins = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"]))
+    cut = sorted_turns.select(*key, "turns", begins.alias("begins"))
+    until = lambda k: F.coalesce(F.get("begins", k + 1), F.size("turns"))
+    blocks = F.transform("begins", lambda b, k: F.struct(F.get("turns", b)["role"].alias("role"), F.transform(F.slice("turns", b + 1, until(k) - b), lambda t: t["text"]).alias("texts")))
+    merged = cut.select(*key, F.posexplode(blocks).alias("block", "b")).select(*key, "block", "b.role", F.size("b.texts").alias("n"), F.posexplode("b.texts").alias("at", "text"))
+    # What a text adds to the string: what opens it, itself, and at its block's end what closes that.
+    opens = F.when(F.col("at") == 0, F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(SAYS))).otherwise(F.lit(ALSO))
+    closes = F.when(F.col("at") == F.col("n") - 1, DONE).otherwise("")
+    pieces = merged.select(*key, "block", "at", (F.col("role") == "assistant").alias("loss"), opens.alias("opens"), escaped(F.col("text")).alias("text"), closes.alias("closes"))
+    length = lambda c: F.char_length(c)
+    order = Window.partitionBy(*key).orderBy("block", "at").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(length("opens") + length("text") + length("closes")).over(order), F.lit(0))
+    placed = pieces.withColumn("start", (before + length("opens") + 1).cast("int"))
+    span = F.when(F.col("loss"), F.struct("start", length("text").alias("length")))
+    parts = F.sort_array(F.collect_list(F.struct("block", "at", F.concat("opens", "text", "closes").alias("part"))))
+    whole = placed.groupBy(key).agg(parts.alias("parts"), F.sort_array(F.collect_list(span)).alias("loss_spans"))
+    return whole.select("conv_id", F.array_join("parts.part", "").alias("formatted"), "loss_spans")
 
 
 def read_chats(chats: DataFrame) -> DataFrame:

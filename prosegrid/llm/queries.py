@@ -59,13 +59,25 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", f"{langid.RESULT}.*", in_one_language().cast("int").alias("keep"))
 
 
+def declared_language(html: Column) -> Column:
+    """The primary subtag of the language that the html tag declares, lower-cased; null if there is none."""
+    tag = F.regexp_extract(html, r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?\s*([A-Za-z]{2,8})(?![A-Za-z])""", 1)
+    return F.nullif(F.lower(tag), F.lit(""))
+
+
+def host_suffix(host: Column) -> Column:
+    """What follows the last dot of a host, without user and port; null for addresses of numbers and for hosts without a dot."""
+    bare = F.regexp_replace(F.substring_index(host, "@", -1), r":\d*$|\.$", "")
+    return F.when(bare.rlike(r"\.[a-z][a-z0-9-]*$"), F.substring_index(bare, ".", -1))
+
+
 def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over pages, where the markup declares a language and the address has a host and a suffix."""
     host, _ = urls.host_and_path(F.col("url"))
     text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
-    parts = {"text": text, "declared": F.nullif(F.regexp_extract("html", r'(?i)<html[^>]*\blang="?([A-Za-z-]+)', 1), F.lit("")), "host": F.nullif(host, F.lit(""))}
+    parts = {"text": text, "declared": declared_language(F.col("html")), "host": F.nullif(host, F.lit(""))}
     pages = table(spark, sf_dir, "pages").select("page_id", *(c.alias(n) for n, c in parts.items()))
-    pages = pages.withColumn("suffix", F.substring_index("host", ".", -1))
+    pages = pages.withColumn("suffix", host_suffix(F.col("host")))
     found = langid.identify(pages, langid.fit(pages, "declared", "host", "suffix"), "declared", "host", "suffix")
     return found.select("page_id", "declared", "host", "suffix", f"{langid.RESULT}.*", in_one_language().cast("int").alias("keep"))
 

@@ -188,3 +188,22 @@ def test_pages(spark):
     rows = queries.pages_language(spark, SF).collect()
     assert len(rows) == 250 and {r.suffix for r in rows} >= {"com", "net"}
     assert np.mean([r.language == r.declared for r in rows]) > 0.95
+
+
+def test_wrong_declarations_are_set_right(spark):
+    """One text of ten declares another language: the text overrules it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.col("lang").alias("truth"), "source")
+    other = F.when(F.col("truth") == "en", "de").when(F.col("truth") == "de", "fr").otherwise("en")
+    wrong = (F.col("doc_id") % 10 == 3) & (F.length("text") > 200)
+    found = queries.spoken(docs.withColumn("wrong", wrong).withColumn("lang", F.when(wrong, other).otherwise(F.col("truth")))).where("wrong").select("truth", f"{langid.RESULT}.language").collect()
+    assert len(found) >= 10 and np.mean([r.language == r.truth for r in found]) >= 0.9, found
+
+
+def test_declared_and_suffix(spark):
+    rows = [
+        ('<html lang="en-US">', "h.com:8080", "en", "com"), ("<HTML class=x LANG='De'>", "user@x.org.", "de", "org"), ("<html data-lang=fr>", "192.0.2.7", None, None),
+        ("<html lang=EN_gb>", "localhost", "en", None), ("<html\n xml:lang='fr' lang = \"pt\" >", "", "pt", None), ("<p lang=en>", None, None, None), (None, "a.b.net", None, "net"),
+    ]
+    frame = spark.createDataFrame(rows, "html string, host string, lang string, suffix string")
+    found = frame.select("lang", "suffix", queries.declared_language(F.col("html")).alias("a"), queries.host_suffix(F.col("host")).alias("b")).collect()
+    assert [(r.a, r.b) for r in found] == [(r.lang, r.suffix) for r in found]
