@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prosegrid.functions import draws, globs, stats
 from prosegrid.functions import text as T
-from prosegrid.operators import chars, corpus, exam, lints, sampling, settings
+from prosegrid.operators import chars, corpus, exam, lints, rules, sampling, settings
 from prosegrid.operators import patterns as P
 from prosegrid.operators import tokens as K
 from prosegrid.plans import label_queries, layer_queries, lint_queries
@@ -792,3 +792,22 @@ def quota_draw(spark, sf_dir):
     key = F.sha2(F.concat(F.lit("quota:"), F.col("doc_id").cast("string")), 256)
     drawn = sampling.quota_draw(docs.withColumn("key", key), {"lang": QUOTAS, "source": PER_SOURCE, "length_class": PER_LENGTH}, ["key", "doc_id"])
     return drawn.select("doc_id", "lang", "source", "length_class")
+
+
+@query(f"""
+    WITH {TOKENS}, told AS (SELECT DISTINCT doc_id, lang FROM documents WHERE lang IS NOT NULL),
+    words AS (SELECT folded AS word, lang AS tag, t.doc_id % 2 = 0 AS train FROM tokens t JOIN told USING (doc_id) WHERE kind = 'Word'),
+    counted AS (SELECT word, tag, count(*) AS n FROM words WHERE train GROUP BY ALL),
+    known AS (SELECT word, tag FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, tag) AS r FROM counted) WHERE r = 1),
+    cuts AS (SELECT unnest(range(0, least(length(word), 5) + 1)) AS size, word, tag, n FROM counted),
+    grown AS (SELECT CASE WHEN size = 0 THEN '' ELSE right(word, size) END AS suffix, tag, sum(n) AS n FROM cuts GROUP BY ALL),
+    often AS (SELECT suffix, tag FROM (SELECT *, sum(n) OVER (PARTITION BY suffix) AS all_n, row_number() OVER (PARTITION BY suffix ORDER BY n DESC, tag) AS r FROM grown) WHERE r = 1 AND (all_n >= 2 OR suffix = '')),
+    asked AS (SELECT DISTINCT word FROM words WHERE NOT train),
+    tried AS (SELECT word, unnest(range(0, least(length(word), 5) + 1)) AS size FROM asked),
+    met AS (SELECT t.word, arg_max(o.suffix, size) AS suffix, arg_max(o.tag, size) AS tag FROM tried t JOIN often o ON o.suffix = CASE WHEN size = 0 THEN '' ELSE right(t.word, size) END GROUP BY t.word)
+    SELECT word, coalesce(known.tag, met.tag) AS tag, CASE WHEN known.tag IS NULL THEN suffix ELSE word END AS by FROM asked LEFT JOIN known USING (word) LEFT JOIN met USING (word)""")
+def starting_tags(spark, sf_dir):
+    """Each word of every second document with the language that its like in the others has most: the word's own, or its longest suffix's."""
+    docs = table(spark, sf_dir, "documents").where("lang is not null").select("doc_id", F.col("lang").alias("tag")).distinct()
+    words = line_tokens(spark, sf_dir).where("kind = 'Word'").select("doc_id", F.col("folded").alias("word")).join(docs, "doc_id")
+    return rules.starting_tags(words.where("doc_id % 2 = 0").select("word", "tag"), words.where("doc_id % 2 <> 0"))
