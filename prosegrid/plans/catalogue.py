@@ -338,7 +338,14 @@ def nested_merge(spark, sf_dir):
     return corpus.nested_in(longer, shorter)
 
 
-@query()
+@query(f"""
+    WITH {TOKENS}, hits AS ({grams(3)}), top AS (SELECT gram FROM hits GROUP BY gram ORDER BY count(*) DESC, gram LIMIT 10),
+    common AS (SELECT folded FROM tokens WHERE kind = 'Word' GROUP BY folded ORDER BY count(DISTINCT doc_id) DESC, count(*) DESC, folded LIMIT 200),
+    first AS (
+        SELECT * FROM (SELECT h.*, source AS repo, row_number() OVER (PARTITION BY gram, source ORDER BY doc_id, block_id, pos) AS r FROM hits h SEMI JOIN top USING (gram) JOIN documents USING (doc_id)) WHERE r = 1
+    ), chosen AS (SELECT * FROM (SELECT gram, repo, doc_id, block_id, pos AS at, row_number() OVER (PARTITION BY gram ORDER BY repo, doc_id) AS rank FROM first) WHERE rank <= 3)
+    SELECT gram, rank::INT AS rank, repo, string_agg(CASE WHEN kind <> 'Word' OR common.folded IS NOT NULL THEN t.folded ELSE '_' END, ' ' ORDER BY t.pos) AS example
+    FROM chosen c JOIN tokens t ON t.doc_id = c.doc_id AND t.block_id = c.block_id AND t.pos BETWEEN c.at - 15 AND c.at + 15 LEFT JOIN common ON common.folded = t.folded GROUP BY gram, rank, repo""")
 def masked_examples(spark, sf_dir):
     """Up to three places of the ten commonest trigrams, uncommon words masked."""
     rows = line_tokens(spark, sf_dir, True)

@@ -29,6 +29,12 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that stored() has made in this application; results that weren't written can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/prosegrid-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(frame: DataFrame, order: list[str], name: str) -> DataFrame:
     """The frame with number, each row's place in a global order, from 0: ranges of the order are numbered apart, and begin where those before them end."""
     ranged = frame.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
