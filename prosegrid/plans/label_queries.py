@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from prosegrid.functions import draws
 from prosegrid.functions import text as T
-from prosegrid.operators import chars, corpus, labelling, settings
+from prosegrid.operators import candidates, chars, corpus, labelling, settings
 from prosegrid.operators import tokens as K
-from prosegrid.plans.fragments import SIDES, TOKENS, generated, grams, label_seed, quoted
+from prosegrid.plans.fragments import SENTENCES, SIDES, TOKENS, generated, grams, label_seed, quoted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -361,3 +361,64 @@ def corpus_summary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     size = F.when(F.col("n_chars") < 1000, "short").when(F.col("n_chars") < 5000, "middle").otherwise("long")
     return corpus.summary(docs.withColumn("size", size), ["lang", "toxic", "size"], "quality", "source", "n_chars")
+
+
+# Candidates, junk, readings and spelling
+
+
+@query("""
+    WITH c AS (SELECT doc_id AS key, list_distinct([source, lang]) AS sources, doc_id % 3 = 0 AS agent, n_chars % 2 = 0 AS early FROM documents),
+    e AS (SELECT key, unnest(sources) AS source FROM c), z AS (SELECT source, count(*) AS size FROM e GROUP BY source),
+    r AS (SELECT key, arg_min(source, (size, source)) AS rarest FROM e JOIN z USING (source) GROUP BY key),
+    n AS (SELECT c.key, CASE WHEN agent AND early THEN 0 WHEN agent THEN 1 ELSE 2 END AS rank, rarest FROM c JOIN r USING (key))
+    SELECT key, rank, row_number() OVER (PARTITION BY rank, rarest ORDER BY sha256('7:' || key), key) - 1 AS turn, rarest FROM n""")
+def candidate_order(spark, sf_dir):
+    """Documents as candidates found by their source and language: rank, and turn of the rarest of the two."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").alias("key"), F.array("source", "lang").alias("sources"), (F.col("doc_id") % 3 == 0).alias("agent"), (F.col("n_chars") % 2 == 0).alias("early"))
+    return candidates.ordered_candidates(rows, "7")
+
+
+@query(rf"""
+    WITH {TOKENS}, {SENTENCES}, known AS (SELECT folded FROM tokens WHERE kind = 'Word' GROUP BY folded HAVING count(DISTINCT doc_id) >= 20),
+    facts AS (
+        SELECT doc_id, block_id, sent_id, count(*) FILTER (kind = 'Word') AS words, count(*) FILTER (kind = 'Number') AS numbers, count(*) FILTER (kind IN ('Code', 'Url')) AS code_words,
+            count(*) FILTER (kind = 'Word' AND regexp_replace(s.folded, '^[^\p{{L}}]+|[^\p{{L}}]+$', '', 'g') IN ({quoted(candidates.LOREM)})) AS lorem,
+            count(*) FILTER (kind = 'Word' AND known.folded IS NULL) AS unknown
+        FROM sents s LEFT JOIN known ON known.folded = s.folded GROUP BY ALL
+    )
+    SELECT doc_id, block_id::BIGINT AS block_id, sent_id::BIGINT AS sent_id, CASE WHEN lorem >= 2 AND lorem * 2 >= words THEN 'lorem' WHEN numbers >= 3 AND numbers >= words THEN 'versions'
+        WHEN words > 0 AND code_words * 2 >= words THEN 'command' WHEN (words >= 5 AND unknown * 2 > words) OR (words >= 10 AND unknown * 100 >= 45 * words) THEN 'not english' END AS junk FROM facts
+    WHERE junk IS NOT NULL""".replace("\\p", "\p"))
+def junk_sentences(spark, sf_dir):
+    """Sentences that are no English prose, where the words of twenty documents are known."""
+    rows = K.sentences(K.tokens(K.line_blocks(table(spark, sf_dir, "documents"), windowed=True)))
+    known = rows.where("kind = 'Word'").groupBy("folded").agg(F.count_distinct("doc_id").alias("n")).where("n >= 20").select("folded")
+    found = candidates.sentence_facts(rows, known).withColumn("junk", candidates.junk()).where("junk is not null")
+    return found.select("doc_id", F.col("block_id").cast("long").alias("block_id"), F.col("sent_id").cast("long").alias("sent_id"), "junk")
+
+
+@query(f"""
+    WITH {TOKENS}, told AS (SELECT folded AS form, CASE lang WHEN 'en' THEN 'noun' WHEN 'de' THEN 'verb' ELSE lang END AS tag, count(*) AS met, count(DISTINCT source) AS senses
+        FROM tokens t JOIN documents d USING (doc_id) WHERE kind = 'Word' GROUP BY ALL),
+    keyed AS (SELECT *, met / CASE tag WHEN 'noun' THEN 2 WHEN 'verb' THEN 4 ELSE 1 END AS weight, CASE tag WHEN 'noun' THEN 1 WHEN 'verb' THEN 2 ELSE 3 END AS fixed FROM told),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY form ORDER BY weight DESC, senses DESC, fixed, tag) AS r FROM keyed)
+    SELECT form, string_agg(tag, ' ' ORDER BY r) AS tags, CASE WHEN max(met) FILTER (r = 1) >= 5 AND max(met) FILTER (r = 1) >= 0.9::DOUBLE * sum(met) THEN max(tag) FILTER (r = 1) END AS dominant FROM ranked GROUP BY form""")
+def ranked_readings(spark, sf_dir):
+    """Each word's languages as readings, ranked, and the one that dominates."""
+    docs = table(spark, sf_dir, "documents")
+    words = K.tokens(K.line_blocks(docs)).where("kind = 'Word'").join(docs.select("doc_id", "lang", "source"), "doc_id")
+    tag = F.when(F.col("lang") == "en", "noun").when(F.col("lang") == "de", "verb").otherwise(F.col("lang"))
+    told = words.groupBy(F.col("folded").alias("form"), tag.alias("tag")).agg(F.count("*").alias("met"), F.count_distinct("source").alias("senses")).withColumn("place", F.lit(None).cast("int"))
+    return candidates.ranked_readings(told, ["noun", "verb"])
+
+
+@query(f"""
+    WITH {TOKENS}, g AS ({grams(2)}), runs AS (
+        SELECT doc_id, block_id, pos, text || CASE WHEN lead(spaced) OVER w THEN ' ' ELSE '' END || lead(text) OVER w AS phrase FROM tokens WINDOW w AS (PARTITION BY doc_id, block_id ORDER BY pos)
+    )
+    SELECT gram, arg_min(phrase, (doc_id, block_id, pos)) AS phrase FROM g JOIN runs USING (doc_id, block_id, pos) GROUP BY gram""")
+def gram_spelling(spark, sf_dir):
+    """Each bigram with the spacing of its first place."""
+    rows = K.tokens(K.line_blocks(table(spark, sf_dir, "documents"), windowed=True))
+    return candidates.spelled(K.ngrams(rows, 2).join(candidates.spaced_runs(rows, 2), ["doc_id", "block_id", "pos"]))

@@ -78,3 +78,12 @@ def test_check_by_settings(spark):
     kept = {(r.path, r.lint) for r in check_documents(docs, settings=on, allowed=entries).collect()}
     assert kept == {(p, x) for p, x, _ in found} - {("b.md", "verbs_no_nouns"), ("b.md", "density")}
     assert check_documents(docs, ["density"]).collect() == [] and check_documents(docs.limit(0), settings=on).collect() == []
+
+
+def test_cut_links(spark):
+    from prosegrid.operators import candidates
+
+    rows = [("not a [link", "not a link"), ("end](http://x) at all", "end at all"), ("[whole](y) `a]` z]", "[whole](y) `a]` z"), ("plain", "plain"), (None, None), ("a](b", "a(b")]
+    frame = spark.createDataFrame(rows, "quote string, expected string")
+    found = frame.select("expected", candidates.without_cut_links(F.col("quote")).alias("found")).collect()
+    assert [r.found for r in found] == [r.expected for r in found]
