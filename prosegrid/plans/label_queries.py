@@ -389,7 +389,7 @@ def candidate_order(spark, sf_dir):
     )
     SELECT doc_id, block_id::BIGINT AS block_id, sent_id::BIGINT AS sent_id, CASE WHEN lorem >= 2 AND lorem * 2 >= words THEN 'lorem' WHEN numbers >= 3 AND numbers >= words THEN 'versions'
         WHEN words > 0 AND code_words * 2 >= words THEN 'command' WHEN (words >= 5 AND unknown * 2 > words) OR (words >= 10 AND unknown * 100 >= 45 * words) THEN 'not english' END AS junk FROM facts
-    WHERE junk IS NOT NULL""".replace("\\p", "\p"))
+    WHERE junk IS NOT NULL""")
 def junk_sentences(spark, sf_dir):
     """Sentences that are no English prose, where the words of twenty documents are known."""
     rows = K.sentences(K.tokens(K.line_blocks(table(spark, sf_dir, "documents"), windowed=True)))
