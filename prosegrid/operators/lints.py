@@ -1,7 +1,7 @@
 """The prose lints, each a table of places: doc_id, block_id, sent_id, start, end, quote.
 
-The verb lints take forms that end in s, and any further verb forms that the caller lists; reading
-parts of speech is not part of them.
+The verb lints take forms that end in s, and any further verb forms that the caller lists; over tokens
+that the tagger has read, they take all forms.
 """
 
 from __future__ import annotations
@@ -53,6 +53,13 @@ SHOUTED_WORDS = (
     "NOW OF ON ONLY SHOULD SURE THAT THE THESE THIS TO WE WILL WITH WON'T YOU YOUR"
 ).split()
 PARAGRAPH_CHARS, ITEM_CHARS = 600, 300
+BE_DO = "am are were be been do did done".split()
+CLAUSE_FORMS = (
+    "mean meant ensure ensured guarantee guaranteed imply implied show showed shown assume assumed prove proved proven indicate indicated "
+    "suggest suggested confirm confirmed verify verified expect expected"
+).split()
+SAY = "say said".split()
+NO_IDIOMS = [("make", "sense"), ("made", "sense"), ("look", "further"), ("read", "further"), ("pay", "attention"), ("paid", "attention")]
 # End of the fixed values.
 
 KEY = ["doc_id", "block_id", "sent_id"]
@@ -132,6 +139,36 @@ def verbs_nothing(tokens: DataFrame, verbs: list[str] | None = None) -> DataFram
     return P.find(tokens, pattern)
 
 
+def _form(barred: list[str]) -> Column:
+    """A verb in a form other than -s and -ing, as sure as Likely; base forms that end in -ing count."""
+    folded = F.col("folded")
+    participle = F.endswith(folded, F.lit("ing")) & F.regexp_replace(folded, "ing$", "").rlike("[aeiouy]")
+    return P.tagged("Verb") & ~F.contains(folded, F.lit("'")) & ~F.endswith(folded, F.lit("s")) & ~participle & ~folded.isin(barred)
+
+
+def _heads_a_noun(tokens: DataFrame, hits: DataFrame) -> DataFrame:
+    """Hits but those whose first word an article or whose stands right before."""
+    before = F.lag("folded").over(in_sentence())
+    led = tokens.select(*KEY, "pos", before.alias("_before")).where(F.col("_before").isin("a", "an", "the", "whose")).select(*KEY, "pos")
+    return hits.join(led, [*KEY, "pos"], "left_anti").select(*KEY, "pos", "length")
+
+
+def verbs_no_nouns_tagged(tokens: DataFrame) -> DataFrame:
+    """The same of tagged tokens, in any form of the verb: "crossed no river", "may cross no river"."""
+    noun = (F.col("kind") == "Word") & ~F.col("folded").isin(NO_STOP_WORDS)
+    forms = P.find(tokens, [P.one(_form([*BE_DO, "have", *CLAUSE_FORMS, *SAY]) & P.not_pair(*NO_IDIOMS)), P.one(P.word("no")), P.one(noun)])
+    return P.leftmost(_heads_a_noun(tokens, verbs_no_nouns(tokens).unionByName(forms)))
+
+
+def verbs_nothing_tagged(tokens: DataFrame) -> DataFrame:
+    """The same of tagged tokens, in any form of the verb, and with a preposition before the object: "led to nothing"."""
+    object_ = P.word(*NOTHING_OBJECTS) & ~F.col("text").isin("None", "Nothing", "NONE", "NOTHING")
+    verb = (_form([*BE_DO[:5], *CLAUSE_FORMS, *SAY, *RETURN])) | P.word(*READ_AS_VERBS)
+    slot = P.optional(P.tagged("Adposition") | P.word("to"))
+    forms = P.find(tokens, [P.one(verb), slot, P.one(object_), P.not_followed_by(P.word(*NOTHING_STOP_WORDS, "of", "wrong"))])
+    return P.leftmost(_heads_a_noun(tokens, verbs_nothing(tokens).unionByName(forms)))
+
+
 def not_at_all(tokens: DataFrame) -> DataFrame:
     """A negation padded with "at all", except in questions and in bare answers."""
     negator = P.word(*NEGATORS) | _ends("n't")
@@ -250,6 +287,8 @@ def dense_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.withColumns({"chars": F.char_length("text"), "limit": limit}).where("chars > limit")
 
 
+#: What takes tagged tokens instead.
+TAGGED = {"verbs_no_nouns": verbs_no_nouns_tagged, "verbs_nothing": verbs_nothing_tagged}
 LINTS = {"verbs_no_nouns": verbs_no_nouns, "verbs_nothing": verbs_nothing, "not_at_all": not_at_all, "possessive_own": possessive_own, "denial_tail": denial_tail}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegrid.functions import text as T
-from prosegrid.operators import chars, layers, lints, markdown
+from prosegrid.operators import chars, layers, lints, markdown, tagger
 from prosegrid.operators import settings as S
 from prosegrid.sources.tables import stored
 
@@ -95,7 +95,7 @@ def _exempt(found: DataFrame, lint: str, exempt: DataFrame, units: DataFrame, pa
     return found.join(statuses.where("status = 'applied'").select("path", "sent_id"), ["path", "sent_id"], "left_anti")
 
 
-def check_documents(docs: DataFrame, names: list[str] | None = None, hunks: DataFrame | None = None, settings: Settings | None = None, allowed: DataFrame | None = None, files: DataFrame | None = None, blocks: DataFrame | None = None, segments: DataFrame | None = None) -> DataFrame:
+def check_documents(docs: DataFrame, names: list[str] | None = None, hunks: DataFrame | None = None, settings: Settings | None = None, allowed: DataFrame | None = None, files: DataFrame | None = None, blocks: DataFrame | None = None, segments: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """path, lint, line, end_line, column, end_column, quote. docs: path, text.
 
     Files are read by their suffix, Markdown if it is none that layers reads, and in layers: comments in
@@ -106,7 +106,7 @@ def check_documents(docs: DataFrame, names: list[str] | None = None, hunks: Data
     where it is banned_chars, whose text is the quote but for case and white space. files (path) are
     what a layout may list, docs by default. blocks and segments replace the reading of docs: doc_id,
     block_id, kind, heading, first_line, text, and their source map; without a map, columns are those
-    of the block's lines.
+    of the block's lines. With a lexicon, as the tagger takes it, the verb lints read parts of speech.
     """
     settings = settings or Settings()
     on = [name for name in names or settings.lints() if name in settings.lints()]
@@ -142,7 +142,11 @@ def check_documents(docs: DataFrame, names: list[str] | None = None, hunks: Data
     for name in [n for n in on if n in lints.LINTS or n == "banned_phrases"]:
         if name in lints.LINTS:
             holds = F.col("text").rlike(lints.NEEDED[name])
-            found = lints.LINTS[name](_tokens(prose.where(holds)))
+            tokens = _tokens(prose.where(holds))
+            if lexicon is not None and name in lints.TAGGED:
+                found = lints.TAGGED[name](tagger.tag(tokens, lexicon))
+            else:
+                found = lints.LINTS[name](tokens)
         else:
             holds = T.fold(F.col("text")).rlike(_spelled(settings.phrases))
             found = lints.banned_phrases(_tokens(prose.where(holds)), settings.phrases, settings.allowed_phrases)

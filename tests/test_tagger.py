@@ -58,3 +58,19 @@ def test_sections_and_apportionment(spark):
         settings.sections_of(paths, [md, settings.Section("all", ["docs/**"])]).collect()
     weights = spark.createDataFrame([("a", 3), ("b", 3), ("c", 1)], "k string, w int")
     assert {(r.k, r.seats) for r in sampling.apportioned(weights, "k", "w", 5).collect()} == {("a", 2), ("b", 2), ("c", 1)}
+
+
+def test_tagged_verb_lints(spark):
+    """Any form of a verb, but idioms, participles, clause verbs and nouns after an article; a preposition before nothing."""
+    from prosegrid.plans.check import check_documents
+
+    lines = [
+        "They crossed no river.", "We may cross no river.", "Having no map helps.", "It made no sense.", "The cross no saint made.", "They showed no map.",
+        "You bring no food.", "They led to nothing.", "He crossed nothing.", "It crosses no river.", "She has known nothing of it.",
+    ]
+    docs = spark.createDataFrame([("a.md", "\n\n".join(lines))], "path string, text string")
+    lexicon = [("crossed", ["Verb"], True), ("cross", ["Verb", "Noun"], True), ("having", ["Verb"], True), ("made", ["Verb"], True), ("showed", ["Verb"], True), ("bring", ["Verb"], True), ("led", ["Verb"], True), ("known", ["Verb"], True)]
+    found = check_documents(docs, ["verbs_no_nouns", "verbs_nothing"], lexicon=spark.createDataFrame(lexicon, tagger.LEXICON)).collect()
+    assert sorted((r.line, r.quote) for r in found) == [
+        (1, "crossed no river"), (3, "cross no river"), (13, "bring no food"), (15, "led to nothing"), (17, "crossed nothing"), (19, "crosses no river"),
+    ]
