@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegrid.functions import draws
+from prosegrid.functions import codes, draws
 from prosegrid.functions import text as T
 from prosegrid.operators import candidates, chars, corpus, labelling, settings
 from prosegrid.operators import tokens as K
@@ -422,3 +422,25 @@ def gram_spelling(spark, sf_dir):
     """Each bigram with the spacing of its first place."""
     rows = K.tokens(K.line_blocks(table(spark, sf_dir, "documents"), windowed=True))
     return candidates.spelled(K.ngrams(rows, 2).join(candidates.spaced_runs(rows, 2), ["doc_id", "block_id", "pos"]))
+
+
+#: Codes that words get by their length, what each is in a treebank (and, if it isn't the same, as a code again), or what is wrong with it.
+CODED = [
+    ("N.s", "NOUN", "Number=Sing", None), ("PN.p", "PROPN", "Number=Plur", None), ("V.pp", "VERB", "Tense=Past|VerbForm=Part", None), ("AX.fi", "AUX", "VerbForm=Fin", None), ("C", None, "_", None), ("PR", "PRON", "_", None), ("X", "X", "_", None),
+    ("V", None, None, "needs a form"), ("N", None, None, "needs a number"), ("J.s", None, None, "takes no feature"), ("N.x", None, None, "no number"), ("V.s", None, None, "no form"), ("Q", None, None, "no code"), ("V.ing", "VERB", "VerbForm=Ger", None), ("AX.pr", "AUX", "Tense=Pres|VerbForm=Fin", None),
+]
+_CODED_ROWS = ", ".join(f"({n}, {', '.join('NULL' if x is None else quoted([x]) for x in row)})" for n, row in enumerate(CODED))
+
+
+@query(f"""
+    WITH {TOKENS}, c(k, code, upos, feats, problem) AS (VALUES {_CODED_ROWS}),
+    w AS (SELECT folded, kind FROM tokens WHERE kind = 'Word')
+    SELECT code, CASE WHEN code = 'C' THEN CASE WHEN folded IN ({quoted(codes.COORDINATORS)}) THEN 'CCONJ' ELSE 'SCONJ' END ELSE upos END AS upos, feats, problem,
+        CASE WHEN problem IS NULL THEN code END AS again, count(*) AS n FROM w JOIN c ON c.k = length(folded) % {len(CODED)} GROUP BY ALL""")
+def coded_words(spark, sf_dir):
+    """All words with a code by their length: its UPOS and FEATS, the code that these give, or what is wrong with it."""
+    words = K.tokens(K.line_blocks(table(spark, sf_dir, "documents"))).where("kind = 'Word'")
+    code = F.get(F.array(*(F.lit(c) for c, *_ in CODED)), (F.char_length("folded") % len(CODED)).cast("int"))
+    told = words.select("folded", code.alias("code")).withColumn("t", codes.to_treebank(F.col("code"), F.col("folded"))).withColumn("problem", codes.problem(F.col("code")))
+    again = codes.from_treebank(F.col("t.upos"), F.col("t.feats"))
+    return told.groupBy("code", "t.upos", "t.feats", "problem", again.alias("again")).agg(F.count("*").alias("n"))

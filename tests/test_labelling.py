@@ -87,3 +87,11 @@ def test_cut_links(spark):
     frame = spark.createDataFrame(rows, "quote string, expected string")
     found = frame.select("expected", candidates.without_cut_links(F.col("quote")).alias("found")).collect()
     assert [r.found for r in found] == [r.expected for r in found]
+
+
+def test_codes(spark):
+    from prosegrid.functions import codes
+
+    rows = [("VERB", "Tense=Pres", "V.pr"), ("VERB", "Tense=Past|VerbForm=Part", "V.pp"), ("AUX", "VerbForm=Part", "AX.pp"), ("VERB", "Tense=Pres|VerbForm=Part", "V.ing"), ("VERB", "_", "V"), ("NOUN", "Case=Nom|Number=Coll,Plur", "N.p"), ("CCONJ", "_", "C"), ("SYM", "_", "X"), ("ADJ", "Number=Plur", "J"), ("_", "_", None), (None, None, None)]
+    found = spark.createDataFrame(rows, "upos string, feats string, code string").withColumn("found", codes.from_treebank(F.col("upos"), F.col("feats"))).collect()
+    assert [r.found for r in found] == [r.code for r in found]
