@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,8 +20,31 @@ SIDECAR = (
 )
 
 
+def rule_files(spark: SparkSession, root: str, depth: int) -> DataFrame:
+    """path (relative) and text of the ignore files under root, down to that many folders.
+
+    Spark lists no names that begin with a dot, so the file system is asked for these few by pattern, level by level.
+    """
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = system.makeQualified(top).toUri().getPath().rstrip("/") + "/"
+    rows = []
+    for level in range(depth + 1):
+        for status in system.globStatus(jvm.org.apache.hadoop.fs.Path(base + "*/" * level + "{.gitignore,.ignore}")) or []:
+            stream = system.open(status.getPath())
+            try:
+                rows.append((status.getPath().toUri().getPath().removeprefix(base), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+    return spark.createDataFrame([r for r in rows if not re.search(r"(^|/)\.git/", r[0])], "path string, text string")
+
+
 def walk(spark: SparkSession, root: str, include: list[str], exclude: list[str], ignores: bool = True) -> DataFrame:
-    """path (relative) and content of the files under root that the globs select; .git is left out, and so is what .gitignore and .ignore files say unless ignores is false."""
+    """path (relative) and content of the files under root that the globs select; .git is left out, and so is what .gitignore and .ignore files say unless ignores is false.
+
+    Files and folders whose names begin with a dot or an underscore are none to Spark, and not walked.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     clean = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     base = root.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
@@ -28,9 +53,9 @@ def walk(spark: SparkSession, root: str, include: list[str], exclude: list[str],
     chosen = found.where(globs.selected(F.col("path"), include, exclude))
     if not ignores:
         return chosen
-    lists = found.where(F.col("path").rlike(r"(^|/)\.(git)?ignore$")).select("path", F.decode("content", "UTF-8").alias("text"))
-    out = left_out(chosen.select("path"), rules_of(lists)).where("ignored").select("path")
-    return chosen.join(out, "path", "left_anti")
+    depth = found.agg(F.max(F.size(F.split("path", "/")) - 1)).first()[0] or 0
+    rules = rules_of(rule_files(spark, root, depth))
+    return chosen.join(left_out(chosen.select("path"), rules).where("ignored").select("path"), "path", "left_anti")
 
 
 def _lossless(data: bytes) -> str:

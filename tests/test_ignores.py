@@ -41,3 +41,14 @@ def test_against_git(spark, tmp_path):
     rows = ignores.left_out(spark.createDataFrame([(p,) for p in files], "path string"), rules).collect()
     assert len(rows) == len(files) and 50 < len(expected) < len(files) - 20
     assert {r.path for r in rows if r.ignored} == expected
+
+
+def test_walk(spark, tmp_path):
+    from prosegrid.sources import files
+
+    for path, text in ((".gitignore", "*.tmp\nbuild/\n"), ("a.md", "x"), ("b.tmp", "x"), ("build/c.md", "x"), ("sub/.ignore", "d.md\n!e.tmp\n"), ("sub/d.md", "x"), ("sub/e.tmp", "x"), (".git/f.md", "x")):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    walked = lambda **more: sorted(r.path for r in files.walk(spark, str(tmp_path), ["**/*.md", "**/*.tmp"], [], **more).collect())
+    assert walked() == ["a.md", "sub/e.tmp"]
+    assert walked(ignores=False) == ["a.md", "b.tmp", "build/c.md", "sub/d.md", "sub/e.tmp"]
