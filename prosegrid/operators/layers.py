@@ -9,8 +9,6 @@ map leads from a block's text to the file. Rounds end when no block has a reader
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
