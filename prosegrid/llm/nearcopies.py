@@ -11,7 +11,9 @@ blocks agree, and one does with a probability of 0.9994; more similar pairs have
 
 Only distinct sets are compared: equal texts share theirs. The members of a block's bucket are
 compared by 192 bits that no block holds and tied where these differ in ``CHECK_APART`` at most; ties
-are spanning forests. A bucket of more than ``LANE`` texts is dealt into lanes that share its smallest text, and
+are spanning forests. Blocks are taken in three passes, few first, and a pass ties only texts that the
+passes before haven't brought into one family, so a large family has about as many ties as texts, not
+as many for each block. A bucket of more than ``LANE`` texts is dealt into lanes that share its smallest text, and
 what these ties don't bring into the bucket's largest family then meets all of the bucket. Ties,
 verified or not, make families. In a family that verified ties don't join into one, all pairs are
 compared by fingerprint and verified, in lanes of bounded size where every two parts of the family
@@ -25,6 +27,7 @@ reaches has a doc_id; an empty table gives an empty result. Other columns are ig
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -48,8 +51,12 @@ CHECK_WORDS, CHECK_APART = 3, 54
 CHECKS = tuple(f"check{n}" for n in range(CHECK_WORDS))
 #: Pairs of a family whose fingerprints differ in a larger share of bits aren't verified: at 0.8 it is so once in 10^6 or less.
 APART = 0.2
+#: Blocks that the first passes end at; the last pass takes the others.
+PASSES = (2, 16)
 #: Texts of a bucket that a lane holds, about, and rows of a task that compares buckets.
 LANE, TASK_ROWS = 2048, 1 << 20
+#: Texts that a lane's first ties bring to one text.
+FAN = 32
 #: A hash gives each shingle two signs for a bit, so that sets of few shingles differ in no more bits than large ones.
 FACTORS = np.random.default_rng(7).integers(0, 1 << 63, 1 << 10, np.uint64) * np.uint64(2) + np.uint64(1)
 MIX, AGAIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -93,13 +100,13 @@ def fingerprint(found: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(2 * ones > len(both), bitorder="little").view(np.uint64)
 
 
-def blocks(prints: np.ndarray, width: int, number: int) -> np.ndarray:
-    """Rows of fingerprints to rows of bucket numbers, which hold the block's number and its bits."""
-    bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")[:, : width * number].reshape(-1, number, width)
+def blocks(prints: np.ndarray, width: int, number: int, first: int = 0) -> np.ndarray:
+    """Rows of fingerprints to rows of bucket numbers, which hold the block's number, from the first on, and its bits."""
+    bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")[:, width * first : width * number].reshape(-1, number - first, width)
     packed = np.packbits(bits, axis=2, bitorder="little")
-    values = np.zeros((len(prints), number, 8), np.uint8)
+    values = np.zeros((len(prints), number - first, 8), np.uint8)
     values[:, :, : packed.shape[2]] = packed
-    return values.view(np.int64)[:, :, 0] | np.arange(number, dtype=np.int64) << 32
+    return values.view(np.int64)[:, :, 0] | np.arange(first, number, dtype=np.int64) << 32
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -140,19 +147,19 @@ def _prints(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return prints
 
 
-def _buckets(width: int, number: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _buckets(width: int, number: int, first: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The bucket numbers alone, to be counted."""
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1024):
-                yield pa.RecordBatch.from_arrays([pa.array(blocks(_words(batch.column("print").slice(at, 1024)), width, number).ravel())], ["bucket"])
+                yield pa.RecordBatch.from_arrays([pa.array(blocks(_words(batch.column("print").slice(at, 1024)), width, number, first).ravel())], ["bucket"])
 
     return buckets
 
 
-def _keyed(width: int, number: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each text in each of its buckets, with the bits behind the blocks."""
+def _keyed(width: int, number: int, first: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each text and its label in each of its buckets, with the bits behind the blocks."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,8 +167,8 @@ def _keyed(width: int, number: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 some = batch.slice(at, 1024)
                 prints = _words(some.column("print"))
                 check = prints[:, -CHECK_WORDS:].view(np.int64).T
-                columns = [blocks(prints, width, number).ravel(), *(np.repeat(x, number) for x in (some.column("digest").to_numpy(), *check))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "digest", *CHECKS])
+                columns = [blocks(prints, width, number, first).ravel(), *(np.repeat(x, number - first) for x in (some.column("digest").to_numpy(), some.column("label").to_numpy(), *check))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "digest", "label", *CHECKS])
 
     return keyed
 
@@ -175,25 +182,38 @@ def _roots(root: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def bucket_ties(lane: np.ndarray, digest: np.ndarray, label: np.ndarray, second: np.ndarray, check: list[np.ndarray]) -> list[np.ndarray]:
-    """Ties that join all labels with texts near each other in one lane and on different sides of it, if it has two; labels joined by other ties get none."""
+    """Ties (low, high digest and their labels) that join all labels with texts near each other in one lane and on different sides of it, if it has two; labels joined by other ties get none."""
     order = np.argsort(lane, kind="stable")
     lane, digest, second, check = lane[order], digest[order], second[order], [c[order] for c in check]
-    label = np.unique(label[order], return_inverse=True)[1]
+    labels, label = np.unique(label[order], return_inverse=True)
     split = np.isin(lane, lane[second])
-    root, found = np.arange(label.max() + 1), [np.empty((2, 0), np.int64)]
-    at, step = np.arange(len(lane)), 1
-    while len(at := at[at + step < len(lane)]) and len(at := at[lane[at] == lane[at + step]]):
-        near = sum(np.bitwise_count(c[at] ^ c[at + step]) for c in check) <= CHECK_APART
-        i = at[near & ((second[at] != second[at + step]) | ~split[at])]
+    root, found = np.arange(len(labels)), [np.empty((2, 0), np.int64)]
+
+    def tie(i: np.ndarray, j: np.ndarray) -> None:
+        near = sum(np.bitwise_count(c[i] ^ c[j]) for c in check) <= CHECK_APART
+        near &= (second[i] != second[j]) | ~split[i]
+        i, j = i[near], j[near]
         while len(i):
-            a, b = _roots(root, label[i]), _roots(root, label[i + step])
-            i, a, b = i[a != b], a[a != b], b[a != b]
+            a, b = _roots(root, label[i]), _roots(root, label[j])
+            i, j, a, b = (x[a != b] for x in (i, j, a, b))
             # One tie for each label that goes; the others are tried again.
             high, first = np.unique(np.maximum(a, b), return_index=True)
             root[high] = np.minimum(a, b)[first]
-            found.append(np.array([digest[i[first]], digest[i[first] + step]]))
+            found.append(np.array([i[first], j[first]]))
+
+    # First a wide tree over each lane, so that no chain of ties is long; then all pairs of lanes that it leaves in parts.
+    starts, of = np.unique(lane, return_index=True, return_inverse=True)[1:]
+    place = np.arange(len(lane)) - starts[of]
+    tie(child := np.flatnonzero(place), starts[of[child]] + (place[child] - 1) // FAN)
+    now = _roots(root, label)
+    whole = np.minimum.reduceat(now, starts) == np.maximum.reduceat(now, starts)
+    at, step = np.flatnonzero(~whole[of]), 1
+    while len(at := at[at + step < len(lane)]) and len(at := at[lane[at] == lane[at + step]]):
+        tie(at, at + step)
         step += 1
-    return list(np.sort(np.concatenate(found, axis=1), axis=0))
+    i, j = np.concatenate(found, axis=1)
+    i, j = np.where(digest[i] < digest[j], [i, j], [j, i])
+    return [digest[i], digest[j], labels[label[i]], labels[label[j]]]
 
 
 def _bucket_ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +221,8 @@ def _bucket_ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if some:
         rows = {name: column.to_numpy() for name, column in zip(some[0].schema.names, pa.Table.from_batches(some).columns)}
         second = rows.get("second", np.zeros(len(rows["lane"]), bool))
-        hub, digest = bucket_ties(rows["lane"], rows["digest"], rows.get("label", rows["digest"]), second, [rows[c].view(np.uint64) for c in CHECKS])
-        yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(hub)], ["digest", "hub"])
+        hub, digest, a, b = bucket_ties(rows["lane"], rows["digest"], rows["label"], second, [rows[c].view(np.uint64) for c in CHECKS])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (digest, hub, a, b)], ["digest", "hub", "a", "b"])
 
 
 def lane_links(sets: list[np.ndarray], prints: np.ndarray, nodes: list[int], labels: list[int], second: list[bool]) -> list[tuple[int, int]]:
@@ -229,8 +249,8 @@ def _lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(rows: DataFrame, n: int) -> DataFrame:
-    """Ties of about n rows: lane, digest and bits; label and second where there are any."""
-    return rows.repartition(n // TASK_ROWS + 2, "lane").mapInArrow(trimmed(_bucket_ties), "digest long, hub long").distinct()
+    """Ties of about n rows, with the labels a and b that they join: lane, digest, label and bits; second where there is any."""
+    return rows.repartition(n // TASK_ROWS + 2, "lane").mapInArrow(trimmed(_bucket_ties), "digest long, hub long, a long, b long").distinct()
 
 
 def _lane(part: Column) -> Column:
@@ -238,47 +258,66 @@ def _lane(part: Column) -> Column:
     return F.col("bucket").bitwiseXOR(F.shiftleft(part, 44)).alias("lane")
 
 
+def _labelled(rows: DataFrame, families: DataFrame | None) -> DataFrame:
+    """Rows with their digest's family; a text of none is its own."""
+    if families is None:
+        return rows.withColumn("label", F.col("digest"))
+    return rows.join(families.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+
+
+def _families(ties: DataFrame, families: DataFrame | None) -> DataFrame:
+    """Families (node, label) that more ties make of those there are, whose labels are all that the search sees."""
+    merged = components(ties.select("a", "b"))
+    if families is None:
+        return merged
+    moved = families.withColumnRenamed("label", "was").join(merged.select(F.col("node").alias("was"), "label"), "was", "left").select("node", F.coalesce("label", "was").alias("label"))
+    return written(ties.sparkSession, moved.unionAll(merged.join(families, "node", "left_anti")), "families-so-far")
+
+
 def candidates(nodes: DataFrame, width: int, number: int) -> tuple[DataFrame, DataFrame]:
     """Ties (digest, hub) that join all texts near each other in a bucket, and the families (node, label) that ties make. nodes: digest and print."""
+    texts, found, families = nodes.count(), [], None
+    ends = [*(end for end in PASSES if end < number), number]
+    for first, end in zip([0, *ends], ends):
+        ties, families = _pass(nodes.select("digest", "print"), texts, families, width, first, end)
+        found += ties
+    return written(nodes.sparkSession, functools.reduce(DataFrame.unionAll, found).select("digest", "hub"), "ties"), families
+
+
+def _pass(nodes: DataFrame, texts: int, families: DataFrame | None, width: int, first: int, end: int) -> tuple[list[DataFrame], DataFrame]:
+    """Tables of ties between families in the blocks from first to end, and the families that they make."""
     spark = nodes.sparkSession
-    texts = nodes.count()
-    keyed = nodes.select("digest", "print").mapInArrow(trimmed(_keyed(width, number)), "bucket long, digest long, " + ", ".join(f"{c} long" for c in CHECKS))
+    keyed = _labelled(nodes, families).mapInArrow(trimmed(_keyed(width, end, first)), "bucket long, digest long, label long, " + ", ".join(f"{c} long" for c in CHECKS))
     n_large = 0
     if texts > LANE:
-        counts = nodes.select("print").mapInArrow(trimmed(_buckets(width, number)), "bucket long").groupBy("bucket").agg(F.count("*").alias("n"))
+        counts = nodes.select("print").mapInArrow(trimmed(_buckets(width, end, first)), "bucket long").groupBy("bucket").agg(F.count("*").alias("n"))
         large = written(spark, counts.where(F.col("n") > LANE), "large-buckets")
         n_large, n_rows = large.agg(F.count("*"), F.sum("n")).first()
+    n = texts * (end - first)
     if not n_large:
-        ties = written(spark, _compared(keyed.withColumnRenamed("bucket", "lane"), texts * number), "ties")
-        return ties, _families(ties)
+        ties = written(spark, _compared(keyed.withColumnRenamed("bucket", "lane"), n), "ties")
+        return [ties], _families(ties, families)
 
     large = F.broadcast(large) if n_large <= MAX_BROADCAST else large
     rows = written(spark, keyed.join(large, "bucket"), "large-rows")
-    parts, bits = F.ceil(F.col("n") / LANE).cast("long"), ("digest", *CHECKS)
+    parts, bits = F.ceil(F.col("n") / LANE).cast("long"), ("digest", "label", *CHECKS)
     part, every = F.pmod("digest", parts), F.sequence(F.lit(0).cast("long"), parts - 1)
     dealt = rows.join(rows.groupBy("bucket").agg(F.min("digest").alias("hub")), "bucket")
     dealt = dealt.withColumn("part", F.explode(F.when(F.col("digest") == F.col("hub"), every).otherwise(F.array(part))))
     small = keyed.join(large, "bucket", "left_anti").select(F.col("bucket").alias("lane"), *bits)
-    ties = written(spark, _compared(small.unionAll(dealt.select(_lane(F.col("part")), *bits)), texts * number), "ties")
-    families = _families(ties)
+    ties = written(spark, _compared(small.unionAll(dealt.select(_lane(F.col("part")), *bits)), n), "ties")
+    families = _families(ties, families)
 
-    named = rows.join(families.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    named = _labelled(rows.drop("label"), families)
     main = named.groupBy("bucket", "label").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("m"))
     named = named.join(main, "bucket").where("n > m")
     others = F.ceil((F.col("n") - F.col("m")) / LANE).cast("long")
     all_rows = named.withColumn("second", F.lit(False)).withColumn("part", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), others - 1), lambda x: part * others + x)))
     rest = named.where("label <> main").withColumn("second", F.lit(True)).withColumn("part", F.explode(F.transform(every, lambda x: x * others + F.pmod("digest", others))))
-    more = all_rows.unionAll(rest).select(_lane(F.col("part")), *bits, "label", "second")
+    more = all_rows.unionAll(rest).select(_lane(F.col("part")), *bits, "second")
     more = written(spark, _compared(more, n_rows), "more-ties")
-    if more.limit(1).count():
-        ties = written(spark, ties.unionAll(more).distinct(), "ties")
-        families = _families(ties)
     discard(rows)
-    return ties, families
-
-
-def _families(ties: DataFrame) -> DataFrame:
-    return components(ties.select(F.col("hub").alias("a"), F.col("digest").alias("b")))
+    return [ties, more], _families(more, families)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:

@@ -80,3 +80,16 @@ def test_ties_span_the_buckets(spark, monkeypatch, lane):
     assert classes(len(sets), ties) == expected
     found = {r.node: r.label for r in families.collect()}
     assert [found.get(n, n) for n in range(len(sets))] == expected and len(set(expected)) > 10
+
+
+@pytest.mark.parametrize("texts", [150, 300])
+def test_a_large_family_has_few_ties(spark, monkeypatch, texts):
+    """However many tasks compare the buckets, near copies of one text have about one tie each, not one for each block."""
+    monkeypatch.setattr(nearcopies, "TASK_ROWS", 300)
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 200, np.uint64)
+    prints = [nearcopies.fingerprint(np.concatenate([base[10:], rng.integers(0, 1 << 63, 10, np.uint64)]), 16 * 99 + 192) for _ in range(texts)]
+    nodes = spark.createDataFrame([(n, bytearray(p.tobytes())) for n, p in enumerate(prints)], "digest long, print binary")
+    ties, families = nearcopies.candidates(nodes, 16, 99)
+    assert {(r.node, r.label) for r in families.collect()} == {(n, 0) for n in range(texts)}
+    assert texts - 1 <= ties.count() <= 2 * texts
