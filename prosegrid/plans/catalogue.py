@@ -419,7 +419,9 @@ def tail_length_match(spark, sf_dir):
 def first_match_per_sentence(spark, sf_dir):
     """in or on, an optional the, and a word: the first match of each sentence."""
     rows = K.sentences(line_tokens(spark, sf_dir, True))
-    hits = P.find(rows, [P.one(P.word("in", "on")), P.optional(P.word("the")), P.one(F.col("kind") == "Word")])
+    # "the" is the optional item and never the word itself: "in the 3" is no match.
+    last = (F.col("kind") == "Word") & ((F.col("folded") != "the") | F.coalesce(F.lag(P.word("the")).over(K.in_sentence()), F.lit(False)))
+    hits = P.find(rows, [P.one(P.word("in", "on")), P.optional(P.word("the")), P.one(last)])
     first = hits.groupBy("doc_id", "block_id", "sent_id").agg(F.min("pos").alias("pos"), F.min_by("length", "pos").alias("length"))
     return first.select("doc_id", F.col("block_id").cast("long").alias("block_id"), F.col("sent_id").cast("long").alias("sent_id"), F.col("pos").cast("long").alias("pos"), "length")
 
