@@ -229,7 +229,7 @@ def sieve(wide: DataFrame, steps: list[tuple[str, Column]]) -> tuple[DataFrame,
     passed = F.lit(True)
     for _, condition in steps:
         passed = passed & F.coalesce(condition, F.lit(False))
-    kept = unmerged(wide.where(passed))
+    kept = unmerged(stored(wide.where(passed), "passed"))
     counts = funnel(wide, steps)
     rows = F.array(*(F.struct(F.lit(n).alias("step"), F.lit(name).alias("name"), F.col(name).alias("left")) for n, (name, _) in enumerate(steps)))
     merged = kept.agg(F.count("*").alias("left")).select(F.lit(len(steps)).alias("step"), F.lit("merged").alias("name"), "left")

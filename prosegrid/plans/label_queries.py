@@ -12,6 +12,7 @@ from prosegrid.functions import text as T
 from prosegrid.operators import candidates, chars, corpus, labelling, settings
 from prosegrid.operators import tokens as K
 from prosegrid.plans.fragments import SENTENCES, SIDES, TOKENS, generated, grams, label_seed, quoted
+from prosegrid.sources.tables import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -281,18 +282,20 @@ def candidate_sieve(spark, sf_dir):
     """The whole sieve over runs of two and three tokens: repositories, spread, a guard, a ratio, tools, what is decided, and the merge."""
     labels = table(spark, sf_dir, "labels").where("quality is not null")
     docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.col("source").alias("repo")).join(labels.select("doc_id", F.col("quality").alias("side"), "toxic"), "doc_id")
-    tokens = K.tokens(K.line_blocks(table(spark, sf_dir, "documents"), windowed=True))
-    runs = K.ngrams(tokens, 2).unionByName(K.ngrams(tokens, 3)).join(docs, "doc_id")
-    found = runs.groupBy("gram", "doc_id", "side", "repo", "toxic").agg(F.count("*").alias("c"))
-    by_repo = found.groupBy("gram", "side", "repo").agg(F.count("*").alias("files"), F.sum("c").alias("c"))
+    # Only texts that have a side are taken apart; the join deals them by document.
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").join(docs.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    tokens = K.tokens(texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_id", "text")))
+    # Both lengths from one reading, and all that the steps ask of a run from one grouping.
+    found = K.runs(tokens, 2, 3).join(docs, "doc_id").groupBy("gram", "doc_id", "side", "repo", "toxic").agg(F.count("*").alias("c"))
+    by_repo = found.groupBy("gram", "side", "repo").agg(F.count("*").alias("files"), F.sum("c").alias("c"), F.collect_set("toxic").alias("tools"))
     focus = lambda c: F.when(F.col("side") == 0, F.col(c))
     total = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("c"))), F.lit(0)) + 0.5
-    wide = by_repo.groupBy("gram").agg(F.count(focus("files")).alias("repos"), (F.max(focus("files")) / F.sum(focus("files"))).alias("share"), (total(0) / total(1)).alias("ratio"))
-    tools = found.where("side = 0").groupBy("gram").agg(F.count_distinct("toxic").alias("tools"))
+    tools = F.size(F.array_distinct(F.flatten(F.collect_list(focus("tools")))))
+    wide = by_repo.groupBy("gram").agg(F.count(focus("files")).alias("repos"), (F.max(focus("files")) / F.sum(focus("files"))).alias("share"), (total(0) / total(1)).alias("ratio"), tools.alias("tools"))
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     pairs = F.transform(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: F.array_join(F.slice("ws", i, F.lit(2)), " "))
     guard = table(spark, sf_dir, "benchmark").select(words.alias("ws")).where(F.size("ws") >= 2).select(F.explode(pairs).alias("gram")).distinct().withColumn("guarded", F.lit(True))
-    wide = wide.join(tools, "gram", "left").join(guard, "gram", "left")
+    wide = stored(wide.join(guard, "gram", "left"), "wide")
     steps = [("enough_repos", F.col("repos") >= 3), ("spread", F.col("share") <= 0.5), ("not_elsewhere", F.col("guarded").isNull()), ("ratio", F.col("ratio") >= 0.1), ("tools", F.col("tools") >= 2), ("undecided", ~F.col("gram").isin(DECIDED))]
     return corpus.sieve(wide, steps)[1]
 

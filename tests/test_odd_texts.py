@@ -28,3 +28,19 @@ def test_the_article_is_no_match_of_its_own(spark, tmp_path):
     texts = ["Sit in the 3 boats. Stay on the `deck`", "Live in the the house\nGo on, in the", "We are in the garden, on paper"]
     found = agree(spark, tmp_path, "first_match_per_sentence", texts)
     assert [(r["doc_id"], r["pos"], r["length"]) for r in found] == [(1, 1, 3), (2, 2, 3)]
+
+
+def test_the_sieve_reads_both_lengths_at_once(spark, tmp_path):
+    """A union of two readings, each dealt by document, can't be joined where nothing is broadcast and no partition is merged."""
+    texts = ["the old mill pond. The old mill", "old mill pond and the old mill pond", "the old `x` mill, the old mill pond"] * 4
+    labels = spark.createDataFrame([(n, n % 2, n % 3 % 2) for n in range(len(texts))], "doc_id long, quality int, toxic int")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = agree(spark, tmp_path, "candidate_sieve", texts, labels=labels, benchmark=spark.createDataFrame([(1, "mill pond")], "item_id long, text string"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found[0]["left"] > 0
