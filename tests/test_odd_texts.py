@@ -1,8 +1,12 @@
 """Queries against their SQL on texts that the driver's tables lack."""
 
+import re
+
 import duckdb
+import pytest
 
-from prosegrid.plans import catalogue
+from prosegrid.operators import lints
+from prosegrid.plans import catalogue, lint_queries
 
 
 def agree(spark, folder, name, texts, **tables):
@@ -44,3 +48,23 @@ def test_the_sieve_reads_both_lengths_at_once(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert found[0]["left"] > 0
+
+
+ODD = [
+    "Nobody likes it AT ALL. ALL the same, I can't at all.\nThey do NOT sleep, not at all so; small ball, tall hall",
+    "The mill’s OWN wheel, the town's own. Known, disown, its own gown_own\nthe bakers' very own 3 loaves and the cook's own `pot`",
+    "A man waits in the old grey boat all day, NEVER on the far wide shore.\nknot, whatnot - not on the old, old gate of it — nevertheless",
+    "He finds NONE. She says nothing; it holds no_thing, nothing-else nonesuch\nhe knows NO rest, sees no.1 and hears nonsense, makes no noise's",
+]
+
+
+@pytest.mark.parametrize("lint", sorted(lints.LINTS))
+def test_only_lines_that_hold_the_words_are_taken_apart(spark, tmp_path, lint):
+    """The lint's places are SQL's, and its tokens those of lines that hold one of its words."""
+    agree(spark, tmp_path, f"lint_{lint}", ODD * 3)
+    tokens = lint_queries.planted_sentences(spark, str(tmp_path), lint)
+    lines = {(n, k): line for n, text in enumerate(ODD * 3) for k, line in enumerate((text + "\n" + lint_queries.PLANTED[n % len(lint_queries.PLANTED)]).split("\n"))}
+    read = {(r.doc_id, r.block_id) for r in tokens.select("doc_id", "block_id").distinct().collect()}
+    words = {"verbs_no_nouns": "no", "verbs_nothing": "nothing|none", "not_at_all": "all", "possessive_own": "own", "denial_tail": "not|never"}[lint]
+    held = {k for k, line in lines.items() if re.search(rf"(?i)(?<![^\W\d_])(?:{words})(?![^\W\d_])", line)}
+    assert read == held and 0 < len(held) < len(lines)
