@@ -404,11 +404,7 @@ def pattern_gap_match(spark, sf_dir):
     SELECT doc_id, block_id, sent_id::BIGINT AS sent_id, min(pos) AS pos FROM counted WHERE text = ',' AND whole - before BETWEEN 2 AND 12 AND whole - before < before GROUP BY doc_id, block_id, sent_id""")
 def tail_length_match(spark, sf_dir):
     """The first comma of a sentence whose tail has two to twelve words, fewer than what leads up to it."""
-    rows = K.sentences(line_tokens(spark, sf_dir, True))
-    word = F.col("kind").isin("Word", "Number").cast("int")
-    counted = rows.withColumns({"_before": F.sum(word).over(K.in_sentence()), "_whole": F.sum(word).over(lints.whole_sentence())})
-    tail = F.col("_whole") - F.col("_before")
-    found = counted.where((F.col("text") == ",") & tail.between(2, 12) & (tail < F.col("_before"))).groupBy("doc_id", "block_id", "sent_id").agg(F.min("pos").alias("pos"))
+    found = lints.short_tails(K.line_blocks(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.col("block_id").cast("long").alias("block_id"), F.col("sent_id").cast("long").alias("sent_id"), F.col("pos").cast("long").alias("pos"))
 
 

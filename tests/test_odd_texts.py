@@ -68,3 +68,13 @@ def test_only_lines_that_hold_the_words_are_taken_apart(spark, tmp_path, lint):
     words = {"verbs_no_nouns": "no", "verbs_nothing": "nothing|none", "not_at_all": "all", "possessive_own": "own", "denial_tail": "not|never"}[lint]
     held = {k for k, line in lines.items() if re.search(rf"(?i)(?<![^\W\d_])(?:{words})(?![^\W\d_])", line)}
     assert read == held and 0 < len(held) < len(lines)
+
+
+def test_short_tails_are_found_without_windows(spark, tmp_path):
+    """Commas at the bounds of a tail, sentences that closers end, small letters after a full stop, and many commas; no token is sorted or moved."""
+    words = lambda n: " ".join(f"w{k}" for k in range(n))
+    texts = [f"{words(a)},{' ' if a % 2 else ''}{words(b)}{end} Then {words(3)}, {words(2)}" for a in (1, 3, 13, 14) for b in (1, 2, 3, 12, 13) for end in (".", '?" )', ". small", " …", "")]
+    texts += [", , ,,", "a,b,c,d,e,f,g,h,i,j,k,l,m,n,o,p", "x y z ,,, 1 2\n" * 3, "", "(a b c, d e.) F g h, `i j`, https://k.l, 4 5!"]
+    assert agree(spark, tmp_path, "tail_length_match", texts)
+    plan = catalogue.QUERIES["tail_length_match"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
