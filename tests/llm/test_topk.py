@@ -60,3 +60,16 @@ def test_few_or_no_rows(spark):
     assert topk.top_k(spark.createDataFrame([], schema), "vec_id % 20 = 0").collect() == []
     assert topk.top_k(spark.createDataFrame([(0, [1.0])], schema), "vec_id % 20 = 0").collect() == []
     assert topk.top_k(spark.createDataFrame([(1, [1.0])], schema), "vec_id % 20 = 0").collect() == []
+
+
+def test_no_block_is_copied_for_each_chunk(spark, monkeypatch):
+    """What is broadcast or shuffled where blocks meet chunks doesn't grow with the number of chunks: a plan without a generator of chunk numbers, and no exchange under a product."""
+    monkeypatch.setattr(topk, "CHUNK_ROWS", 20)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 5)
+    rng = np.random.default_rng(3)
+    frame = spark.createDataFrame([(i, rng.normal(size=4).round(3).tolist()) for i in range(300)], "vec_id long, embedding array<float>")
+    search = topk.Search(frame, "vec_id % 20 = 0", 5, 64)
+    pairs = search._pairs(search._blocks(search.asking))
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan and "SortMergeJoin" not in plan
+    assert pairs.count() == search.chunks.count() * search.asking.select("block").distinct().count()
