@@ -4,8 +4,9 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions
 
-from prosegrid.operators import lints
+from prosegrid.operators import corpus, lints, tokens
 from prosegrid.plans import catalogue, lint_queries
 
 
@@ -62,9 +63,9 @@ ODD = [
 def test_only_lines_that_hold_the_words_are_taken_apart(spark, tmp_path, lint):
     """The lint's places are SQL's, and its tokens those of lines that hold one of its words."""
     agree(spark, tmp_path, f"lint_{lint}", ODD * 3)
-    tokens = lint_queries.planted_sentences(spark, str(tmp_path), lint)
+    taken = lint_queries.planted_sentences(spark, str(tmp_path), lint)
     lines = {(n, k): line for n, text in enumerate(ODD * 3) for k, line in enumerate((text + "\n" + lint_queries.PLANTED[n % len(lint_queries.PLANTED)]).split("\n"))}
-    read = {(r.doc_id, r.block_id) for r in tokens.select("doc_id", "block_id").distinct().collect()}
+    read = {(r.doc_id, r.block_id) for r in taken.select("doc_id", "block_id").distinct().collect()}
     words = {"verbs_no_nouns": "no", "verbs_nothing": "nothing|none", "not_at_all": "all", "possessive_own": "own", "denial_tail": "not|never"}[lint]
     held = {k for k, line in lines.items() if re.search(rf"(?i)(?<![^\W\d_])(?:{words})(?![^\W\d_])", line)}
     assert read == held and 0 < len(held) < len(lines)
@@ -78,3 +79,23 @@ def test_short_tails_are_found_without_windows(spark, tmp_path):
     assert agree(spark, tmp_path, "tail_length_match", texts)
     plan = catalogue.QUERIES["tail_length_match"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Aggregate" not in plan
+
+
+def test_runs_of_documents_are_counted_as_hashes(spark, tmp_path, monkeypatch):
+    """gram_documents agrees with SQL on odd texts, and where all runs share one hash; the reading in place has the windows' runs of every length."""
+    texts = ["In the, in the `x` in the. In the\nin the", "the in the — in the 3 in", "In the the in … The in the", ""] * 30
+    rows = [(n, t, f"s{n % 17}") for n, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for hashed in (functions.xxhash64, lambda c: functions.length(c) * 0):
+        monkeypatch.setattr(corpus.F, "xxhash64", hashed)
+        docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        found = catalogue.QUERIES["gram_documents"](spark, str(tmp_path))
+        result = con.sql(catalogue.ORACLES["gram_documents"])
+        expected = sorted(tuple(dict(zip(result.columns, r))[c] for c in found.columns) for r in result.fetchall())
+        assert sorted(map(tuple, found.collect())) == expected and len({r[0] for r in expected}) > 1
+    blocks = tokens.line_blocks(docs)
+    for n in (1, 2, 3, 4):
+        columns = ["doc_id", "block_id", "pos", "gram"]
+        assert sorted(map(tuple, tokens.line_runs(blocks, n).select(columns).collect())) == sorted(map(tuple, tokens.ngrams(tokens.tokens(blocks), n).select(columns).collect()))
